@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe
+from . import bpe, simhash
 
 QUERIES = {
+    "op2_simhash_vptree": simhash.op2_simhash_vptree,
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
 }
 
