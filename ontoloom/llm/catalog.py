@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash
+from . import bpe, recompression, simhash
 
 QUERIES = {
     "op2_simhash_vptree": simhash.op2_simhash_vptree,
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
+    "op5_recompression": recompression.op5_recompression,
 }
 
 
