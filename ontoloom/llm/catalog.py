@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, recompression, simhash
+from . import bpe, chat, recompression, simhash
 
 QUERIES = {
     "op2_simhash_vptree": simhash.op2_simhash_vptree,
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
     "op5_recompression": recompression.op5_recompression,
+    "op7_prefix_targets": chat.op7_prefix_targets,
+}
+SQL = {
+    "op5_recompression": recompression.SQL,
+    "op7_prefix_targets": chat.SQL,
 }
 
 
@@ -16,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)

@@ -446,3 +446,16 @@ def digest(kept: DataFrame) -> DataFrame:
 
 def op5_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+SQL = r"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') words from documents),
+s as (select doc_id, words, unnest(generate_series(1, len(words) - 12)) i from d where len(words) >= 13),
+w as (select doc_id, i, array_to_string(list_slice(words, i, i + 12), ' ') passage from s),
+m as (select passage, min(doc_id) first from w group by passage),
+hit as (select distinct doc_id, i + unnest(range(13)) p from w join m using (passage) where first < doc_id),
+gone as (select doc_id, list(p) spots from hit group by doc_id)
+select doc_id, cast(len(words) as bigint) n_words, cast(coalesce(len(spots), 0) as bigint) n_removed,
+  sha256(case when spots is null then array_to_string(words, ' ') else array_to_string(list_filter(words, lambda x, k: not list_contains(spots, k)), ' ') end) kept_sha256
+from d left join gone using (doc_id)
+"""
