@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, matroska, recompression, simhash
+from . import bpe, chat, matroska, packing, recompression, simhash
 
 QUERIES = {
     "op2_simhash_vptree": simhash.op2_simhash_vptree,
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
     "op5_recompression": recompression.op5_recompression,
+    "op6_vector_best_fit": packing.op6_vector_best_fit,
     "op7_prefix_targets": chat.op7_prefix_targets,
     "op10_matroska": matroska.op10_matroska,
 }
