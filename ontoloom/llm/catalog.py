@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, matroska, packing, recompression, simhash
+from . import bpe, chat, matroska, packing, quality, recompression, simhash, toxicity
 
 QUERIES = {
+    "op1_gam": quality.op1_gam,
     "op2_simhash_vptree": simhash.op2_simhash_vptree,
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
     "op5_recompression": recompression.op5_recompression,
     "op6_vector_best_fit": packing.op6_vector_best_fit,
     "op7_prefix_targets": chat.op7_prefix_targets,
+    "op8_boosted_toxicity": toxicity.op8_boosted_toxicity,
     "op10_matroska": matroska.op10_matroska,
 }
 SQL = {
