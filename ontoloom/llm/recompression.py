@@ -6,8 +6,9 @@ round parts all names into lefts and rights by one bit of a hash and names every
 pair of a left before a right.  What a symbol is called depends only on the
 words in its extent: its own and the few beside it that decided its pairing.
 So equal passages carry equal symbols inside, and each window of `width` words
-elects one of the symbols whose extents it holds as its anchor (or, if it holds
-none, as in a long run of one word, its own name).
+elects one of the symbols whose extents it holds as its anchor, the widest first;
+an anchor is known by all words of its extent.  A window that holds none, as in a
+long run of one word, is its own anchor.
 
 Three stages follow, each with one exchange in which a block of documents sends
 a name once:
@@ -18,6 +19,10 @@ a name once:
    another block;
 3. each block adds the windows repeated within itself and drops their words.
 
+The topmost symbol of a text names all its words.  It goes along in both
+exchanges, and a text whose topmost symbol an earlier document has is a copy:
+all its windows go, and it needs to send none of them.
+
 A block is one row: some megabytes of whole documents, packed.
 """
 
@@ -28,6 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +42,9 @@ from pyspark.sql import types as T
 from ._shared import stash, table
 
 #: Bytes of text in a block, about; a longer document is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Names that a task holds before it sends them on, and names that meet in a bucket, about.
-HELD, BUCKET = 4 << 20, 1 << 19
+HELD, BUCKET = 1 << 20, 1 << 19
 #: Rounds of pairs.
 ROUNDS = 2
 #: Bytes hashed at once.
@@ -169,7 +175,11 @@ def anchors(words: Words, names: np.ndarray, at: np.ndarray, width: int) -> tupl
     within = np.cumsum(np.bincount(np.clip(high, 0, n + 1), minlength=n + 2))  # symbols with high <= s
     i, j = below[at], within[at + width]
     i = np.maximum(i, np.searchsorted(low, 0)) if len(low) and low[0] < 0 else i
-    rank = mix(name ^ _B2)
+    inside = np.flatnonzero((low >= 0) & (high <= n))
+    name = name.copy()
+    name[inside] = _segments(names, low[inside], high[inside], _B2, SLICE + 1)
+    spread = np.clip(high - low, 0, width).astype(np.uint64)
+    rank = (mix(name ^ _B2) >> np.uint64(8)) | (np.uint64(255) - spread) << np.uint64(56)
     best, least = np.full(len(at), -1), np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
     for k in range(int((j - i).max(initial=0))):
         live = np.flatnonzero(i + k < j)
@@ -217,7 +227,7 @@ def unpack(data: bytes, dtype, ascending: bool = False) -> np.ndarray:
 
 def as_ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -275,6 +285,10 @@ class Outbox:
         self.held.append((name, extra, first, np.full(len(name), block)))
         self.n += len(name)
 
+    def add_tops(self, block: int, tops) -> None:
+        (name, extra), first, _ = least_by(tops[1:3], tops[3])
+        self.add(block, name, extra, first)
+
     def rows(self) -> pa.RecordBatch:
         name, extra, first, block = map(np.concatenate, zip(*self.held))
         order = np.argsort(name, kind="stable")
@@ -289,14 +303,19 @@ class Outbox:
 
 
 def _meet(earlier: bool):
-    """For a bucket: tells each block its names that another block has too, or (earlier) in an earlier document."""
+    """For a bucket: tells each block its names that another block has in an earlier document.
+
+    Without `earlier`, that holds for topmost symbols alone; of anchors it tells all that another block has too.
+    """
 
     def run(batch: pa.Table) -> pa.Table:
         name = np.concatenate([unpack(x, np.uint64, True) for x in batch["name"].to_pylist()])
         extra = np.concatenate([unpack(x, np.uint32) for x in batch["extra"].to_pylist()])
         first, block = (np.concatenate([unpack(x, np.int64) for x in batch[c].to_pylist()]) for c in ("first", "block"))
-        _, least, of = least_by((name, extra) if earlier else (name,), first)
-        told = first > least[of] if earlier else (np.bincount(of) > 1)[of]
+        _, least, of = least_by((name, extra), first)
+        told = first > least[of]
+        if not earlier:
+            told = np.where(extra > 0, told, (np.bincount(of) > 1)[of])
         name, extra, block = name[told], extra[told], block[told]
         order = np.lexsort((name, block))
         edges = [0, *(np.flatnonzero(np.diff(block[order])) + 1), len(order)] if len(order) else [0]
@@ -331,8 +350,17 @@ def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(at, len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
 
 
-def _full_names(words: Words, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return window_names(words.names(), at, width), window_names(words.names(1), at, width).astype(np.uint32)
+def _both_among(name: np.ndarray, extra: np.ndarray, known_name: np.ndarray, known_extra: np.ndarray) -> np.ndarray:
+    """Which pairs (name, extra) are among the known ones."""
+    out = _among(name, known_name)
+    at = np.flatnonzero(out)
+    if len(at):
+        out[at] = pa.compute.is_in(_pairs(name[at], extra[at]), _pairs(known_name, known_extra)).to_numpy(zero_copy_only=False)
+    return out
+
+
+def _full_names(names: tuple[np.ndarray, np.ndarray], at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    return window_names(names[0], at, width), window_names(names[1], at, width).astype(np.uint32)
 
 
 def _owners(batch: pa.RecordBatch, words: Words, at: np.ndarray) -> np.ndarray:
@@ -341,6 +369,24 @@ def _owners(batch: pa.RecordBatch, words: Words, at: np.ndarray) -> np.ndarray:
     return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[words.text[at]]
 
 
+def _tops(batch: pa.RecordBatch, words: Words, names: tuple[np.ndarray, np.ndarray], width: int):
+    """(text, name, extra, doc_id) of the texts that have a doc_id and a window: their topmost symbols."""
+    known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+    text = np.flatnonzero(known & (words.count >= width))
+    name, extra = (_segments(n, words.first[text], words.first[text + 1], _B2, SLICE + 1) for n in names)
+    ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return text, name ^ _M1, extra.astype(np.uint32) | np.uint32(1), ids[text]
+
+
+def _copies(tops, told: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
+    """Which of n texts an earlier document has word for word."""
+    text, name, extra, ids = tops
+    _, least, of = least_by((name, extra), ids)
+    out = np.zeros(n, bool)
+    out[text] = (ids > least[of]) | _both_among(name, extra, *told)
+    return out
+
+
 def _judged(batch: pa.RecordBatch, words: Words, width: int) -> np.ndarray:
     """Windows of rows that have a doc_id."""
     at = words.windows(width)
@@ -368,10 +414,12 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
             for block, data in zip(rows.column(0).to_pylist(), rows.column(1)):
                 batch = of_ipc(data.as_py())
                 words = Words(batch.column("text"))
+                names = words.names(), words.names(1)
                 at = _judged(batch, words, width)
-                name, word, _ = anchors(words, words.names(), at, width)
+                name, word, _ = anchors(words, names[0], at, width)
                 (name,), first, _ = least_by((name,), _owners(batch, words, word))
                 box.add(block, name, np.zeros(len(name), np.uint32), first)
+                box.add_tops(block, _tops(batch, words, names, width))
                 if box.n >= HELD:
                     yield box.rows()
         if box.n:
@@ -380,14 +428,18 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     def send_windows(batches):
         box = Outbox(buckets)
         for rows in batches:
-            for block, data, told in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2).to_pylist()):
-                batch = of_ipc(data.as_py())
+            for block, data, told in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2)):
+                batch, told = of_ipc(data.as_py()), _read(told.as_py())
                 words = Words(batch.column("text"))
+                names = words.names(), words.names(1)
+                tops = _tops(batch, words, names, width)
                 at = _judged(batch, words, width)
-                name, _, of = anchors(words, words.names(), at, width)
-                at = at[_among(name, _read(told)[0])[of]]
-                keys, first, _ = least_by(_full_names(words, at, width), _owners(batch, words, at))
+                at = at[~_copies(tops, told, len(batch))[words.text[at]]]
+                name, _, of = anchors(words, names[0], at, width)
+                at = at[_among(name, told[0])[of]]
+                keys, first, _ = least_by(_full_names(names, at, width), _owners(batch, words, at))
                 box.add(block, *keys, first)
+                box.add_tops(block, tops)
                 if box.n >= HELD:
                     yield box.rows()
         if box.n:
@@ -395,23 +447,19 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
 
     def drop(batches):
         for rows in batches:
-            for data, told in zip(rows.column(1), rows.column(2).to_pylist()):
-                batch = of_ipc(data.as_py())
+            for data, told in zip(rows.column(1), rows.column(2)):
+                batch, told = of_ipc(data.as_py()), _read(told.as_py())
                 words = Words(batch.column("text"))
+                names = words.names(), words.names(1)
+                copy = _copies(_tops(batch, words, names, width), told, len(batch))
                 at = _judged(batch, words, width)
-                names, extra = _full_names(words, at, width)
+                at = at[~copy[words.text[at]]]
+                name, extra = _full_names(names, at, width)
                 owner = _owners(batch, words, at)
-                _, least, of = least_by((names, extra), owner)
-                gone = owner > least[of]
-                name, more = _read(told)
-                rest = np.flatnonzero(~gone)
-                rest = rest[_among(names[rest], name)]
-                if len(rest):
-                    gone[rest] = pa.compute.is_in(_pairs(names[rest], extra[rest]), _pairs(name, more)).to_numpy(zero_copy_only=False)
-                edge = np.zeros(len(words.text) + 1, np.int64)
-                np.add.at(edge, at[gone], 1)
-                np.add.at(edge, at[gone] + width, -1)
-                removed = np.cumsum(edge[:-1]) > 0
+                _, least, of = least_by((name, extra), owner)
+                gone = at[(owner > least[of]) | _both_among(name, extra, *told)]
+                edge = np.bincount(gone, minlength=len(words.text) + 1) - np.bincount(gone + width, minlength=len(words.text) + 1)
+                removed = (np.cumsum(edge[: len(words.text)]) > 0) | copy[words.text]
                 n_removed = np.bincount(words.text[removed], minlength=len(batch))
                 texts = [_kept(words, k, removed if n else None) for k, n in enumerate(n_removed.tolist())]
                 columns = list(batch.columns)
