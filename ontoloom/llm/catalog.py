@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, matroska, packing, quality, recompression, simhash, toxicity
+from . import bpe, chat, matroska, nndescent, packing, quality, recompression, simhash, toxicity
 
 QUERIES = {
     "op1_gam": quality.op1_gam,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_vector_best_fit": packing.op6_vector_best_fit,
     "op7_prefix_targets": chat.op7_prefix_targets,
     "op8_boosted_toxicity": toxicity.op8_boosted_toxicity,
+    "op9_nn_descent": nndescent.op9_nn_descent,
     "op10_matroska": matroska.op10_matroska,
 }
 SQL = {
