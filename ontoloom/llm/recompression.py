@@ -28,17 +28,14 @@ A block is one row: some megabytes of whole documents, packed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._blocks import B1, B2, M1, SLICE, Words, bucket_edges, in_blocks, mix, of_ipc, pack, segments, unpack
 from ._shared import stash, table
 
 #: Bytes of text in a block, about; a longer document is a block of its own.
@@ -47,92 +44,8 @@ BLOCK = 2 << 20
 HELD, BUCKET = 1 << 20, 1 << 19
 #: Rounds of pairs.
 ROUNDS = 2
-#: Bytes hashed at once.
-SLICE = 1 << 20
-_M1, _M2, _B1, _B2 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
-_S = np.uint64(33)
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer."""
-    h = (h ^ (h >> _S)) * _M1
-    h = (h ^ (h >> _S)) * _M2
-    return h ^ (h >> _S)
-
-
-@lru_cache(maxsize=4)
-def _byte_codes(seed: int) -> np.ndarray:
-    return mix(np.arange(1 + 256 * seed, 257 + 256 * seed, dtype=np.uint64) * _B1)
-
-
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return tuple(out)
-
-
-def _segments(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64, n: int) -> np.ndarray:
-    """Polynomial hashes of values[start:end]; n: a length kept by _powers."""
-    power, inverse = _powers(int(base), max(n, len(values) + 1))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[: len(values)], dtype=np.uint64)])
-    return mix((total[end] - total[start]) * inverse[start])
-
-
-class Words:
-    """The words of a block of texts: where they are, whose they are, what they are called."""
-
-    def __init__(self, texts: pa.Array):
-        texts = texts.cast(pa.large_string())
-        if texts.null_count:
-            texts = texts.fill_null("")
-        self.texts = texts
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
-        data = texts.buffers()[2]
-        self.bytes = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
-        offsets = offsets - offsets[0]
-        gap = SPACE[self.bytes]
-        opens = np.empty(len(gap), bool)
-        if len(gap):
-            opens[0] = True
-            opens[1:] = gap[:-1]
-            opens[offsets[:-1][offsets[:-1] < len(gap)]] = True
-        self.start = np.flatnonzero(opens & ~gap)
-        closes = np.empty(len(gap), bool)
-        if len(gap):
-            closes[-1] = True
-            closes[:-1] = gap[1:]
-            closes[offsets[1:][offsets[1:] > 0] - 1] = True
-        self.end = np.flatnonzero(closes & ~gap) + 1
-        self.first = np.searchsorted(self.start, offsets)  # the first word of each text
-        self.count = np.diff(self.first)
-        self.text = np.repeat(np.arange(len(texts)), self.count)
-
-    def names(self, seed: int = 0) -> np.ndarray:
-        codes, out, k = _byte_codes(seed), np.empty(len(self.start), np.uint64), 0
-        while k < len(out):
-            at = self.start[k]
-            to = max(int(np.searchsorted(self.end, at + SLICE, "right")), k + 1)
-            part = codes[self.bytes[at : self.end[to - 1]]]
-            out[k:to] = _segments(part, self.start[k:to] - at, self.end[k:to] - at, _B1, SLICE + 1)
-            k = to
-        return out
-
-    def windows(self, width: int) -> np.ndarray:
-        """The first words of all windows: `width` consecutive words of one text."""
-        if len(self.text) < width:
-            return np.zeros(0, np.int64)
-        return np.flatnonzero(self.text[: len(self.text) - width + 1] == self.text[width - 1 :])
-
-
 def window_names(names: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    return _segments(names, at, at + width, _B2, SLICE + 1)
+    return segments(names, at, at + width, B2, SLICE + 1)
 
 
 def symbols(names: np.ndarray, text: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +61,7 @@ def symbols(names: np.ndarray, text: np.ndarray, rounds: int = ROUNDS) -> tuple[
     at = np.flatnonzero(fresh)
     to = np.append(at[1:], n)
     length = (to - at).astype(np.uint64)
-    name = np.where(length > 1, mix(names[at] + length * _B2), names[at])
+    name = np.where(length > 1, mix(names[at] + length * B2), names[at])
     low, high, text = at - 1, to + 1, text[at]
     for k in range(rounds):
         right = mix(name ^ np.uint64(0x5851F42D4C957F2D * (k + 1) % (1 << 64))) >> np.uint64(63) == 1
@@ -161,7 +74,7 @@ def symbols(names: np.ndarray, text: np.ndarray, rounds: int = ROUNDS) -> tuple[
         high = np.where(first | ~right, after, high)  # a pair ends with its second; a lone left saw what comes after
         low = np.where(right & ~second, before, low)
         follower = np.append(name[1:], np.uint64(0))
-        name = np.where(first, mix((name * _B1 ^ (name >> np.uint64(29))) + follower), name)
+        name = np.where(first, mix((name * B1 ^ (name >> np.uint64(29))) + follower), name)
         keep = ~second
         name, low, high, text = name[keep], low[keep], high[keep], text[keep]
     return name, low, high
@@ -177,9 +90,9 @@ def anchors(words: Words, names: np.ndarray, at: np.ndarray, width: int) -> tupl
     i = np.maximum(i, np.searchsorted(low, 0)) if len(low) and low[0] < 0 else i
     inside = np.flatnonzero((low >= 0) & (high <= n))
     name = name.copy()
-    name[inside] = _segments(names, low[inside], high[inside], _B2, SLICE + 1)
+    name[inside] = segments(names, low[inside], high[inside], B2, SLICE + 1)
     spread = np.clip(high - low, 0, width).astype(np.uint64)
-    rank = (mix(name ^ _B2) >> np.uint64(8)) | (np.uint64(255) - spread) << np.uint64(56)
+    rank = (mix(name ^ B2) >> np.uint64(8)) | (np.uint64(255) - spread) << np.uint64(56)
     best, least = np.full(len(at), -1), np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
     for k in range(int((j - i).max(initial=0))):
         live = np.flatnonzero(i + k < j)
@@ -193,7 +106,7 @@ def anchors(words: Words, names: np.ndarray, at: np.ndarray, width: int) -> tupl
     used = used[lone:]
     of = of - lone
     of[bare] = len(used) + np.arange(len(bare))
-    own = window_names(names, at[bare], width) ^ _B1
+    own = window_names(names, at[bare], width) ^ B1
     return np.concatenate([name[used], own]), np.concatenate([np.clip(low[used] + 1, 0, n - 1), at[bare]]), of
 
 
@@ -212,67 +125,6 @@ def least_by(keys: tuple[np.ndarray, ...], value: np.ndarray) -> tuple[list[np.n
     return [k[order][at] for k in keys], least, of
 
 
-def pack(x: np.ndarray, ascending: bool = False) -> bytes:
-    """Bytes by significance, so that the exchange compresses the empty ones away."""
-    if ascending and len(x):
-        x = np.concatenate([x[:1], np.diff(x)])
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-
-
-def unpack(data: bytes, dtype, ascending: bool = False) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    x = np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().reshape(-1).view(dtype)
-    return np.cumsum(x, dtype=dtype) if ascending else x
-
-
-def as_ipc(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def of_ipc(data: bytes) -> pa.RecordBatch:
-    table_ = pa.ipc.open_stream(data).read_all().combine_chunks()
-    return table_.to_batches()[0] if table_.num_rows else pa.RecordBatch.from_pylist([], schema=table_.schema)
-
-
-def in_blocks(docs: DataFrame) -> DataFrame:
-    """block, docs: all columns of docs, some megabytes to a row."""
-    where = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        held, size = [], 0
-
-        def hand_on() -> pa.RecordBatch:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return pa.record_batch([pa.array([block]), pa.array([as_ipc(whole)], pa.binary())], names=["block", "docs"])
-
-        for batch in batches:
-            sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(where)), 0).to_numpy(zero_copy_only=False)
-            k = 0
-            while k < len(sizes):
-                total = np.cumsum(sizes[k:])
-                n = max(1, int(np.searchsorted(total, BLOCK - size, "right")))
-                held.append(batch.slice(k, n))
-                size += int(total[min(n, len(total)) - 1])
-                k += n
-                if k < len(sizes) or size >= BLOCK:
-                    yield hand_on()
-                    block += 1
-                    held, size = [], 0
-        if held:
-            yield hand_on()
-
-    return docs.mapInArrow(run, "block long, docs binary")
-
-
-def _buckets(names: np.ndarray, n: int) -> np.ndarray:
-    """Edges of the buckets in sorted names."""
-    return np.searchsorted(names, (np.arange(1, n) * ((1 << 64) // n)).astype(np.uint64))
-
-
 class Outbox:
     """Names of some blocks, sent on as one row for each bucket."""
 
@@ -292,7 +144,7 @@ class Outbox:
     def rows(self) -> pa.RecordBatch:
         name, extra, first, block = map(np.concatenate, zip(*self.held))
         order = np.argsort(name, kind="stable")
-        edges = [0, *_buckets(name[order], self.buckets), len(order)]
+        edges = [0, *bucket_edges(name[order], self.buckets), len(order)]
         out = []
         for k in range(self.buckets):
             at = order[edges[k] : edges[k + 1]]
@@ -373,9 +225,9 @@ def _tops(batch: pa.RecordBatch, words: Words, names: tuple[np.ndarray, np.ndarr
     """(text, name, extra, doc_id) of the texts that have a doc_id and a window: their topmost symbols."""
     known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
     text = np.flatnonzero(known & (words.count >= width))
-    name, extra = (_segments(n, words.first[text], words.first[text + 1], _B2, SLICE + 1) for n in names)
+    name, extra = (segments(n, words.first[text], words.first[text + 1], B2, SLICE + 1) for n in names)
     ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return text, name ^ _M1, extra.astype(np.uint32) | np.uint32(1), ids[text]
+    return text, name ^ M1, extra.astype(np.uint32) | np.uint32(1), ids[text]
 
 
 def _copies(tops, told: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
@@ -404,7 +256,7 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     """
     docs = docs.drop("n_words", "n_removed")
     where = docs.columns.index("text")
-    blocks = stash(in_blocks(docs), "blocks")
+    blocks = stash(in_blocks(docs, BLOCK), "blocks")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(8, size // 24 // BUCKET)  # about one anchor in 24 bytes
 
