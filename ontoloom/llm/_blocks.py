@@ -22,6 +22,8 @@ M1, M2, B1, B2 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53,
 S33 = np.uint64(33)
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -57,7 +59,7 @@ def segments(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.ui
 class Words:
     """The words of a block of texts: where they are, whose they are, what they are called."""
 
-    def __init__(self, texts: pa.Array):
+    def __init__(self, texts: pa.Array, lower: bool = False):
         texts = texts.cast(pa.large_string())
         if texts.null_count:
             texts = texts.fill_null("")
@@ -65,6 +67,8 @@ class Words:
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
         data = texts.buffers()[2]
         self.bytes = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and len(texts) else np.zeros(0, np.uint8)
+        if lower:
+            self.bytes = LOWER[self.bytes]
         offsets = offsets - offsets[0]
         gap = SPACE[self.bytes]
         opens = np.empty(len(gap), bool)

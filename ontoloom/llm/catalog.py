@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, matroska, nndescent, packing, quality, recompression, simhash, toxicity
+from . import bpe, chat, matroska, ngrams, nndescent, packing, quality, recompression, simhash, toxicity
 
 QUERIES = {
     "op1_gam": quality.op1_gam,
     "op2_simhash_vptree": simhash.op2_simhash_vptree,
+    "op3_stupid_backoff": ngrams.op3_stupid_backoff,
     "op4_bpe_automaton": bpe.op4_bpe_automaton,
     "op5_recompression": recompression.op5_recompression,
     "op6_vector_best_fit": packing.op6_vector_best_fit,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_matroska": matroska.op10_matroska,
 }
 SQL = {
+    "op3_stupid_backoff": ngrams.SQL,
     "op5_recompression": recompression.SQL,
     "op7_prefix_targets": chat.SQL,
 }
