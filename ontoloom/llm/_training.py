@@ -78,3 +78,16 @@ def scored(docs: DataFrame, of_text, score: Callable[[np.ndarray], np.ndarray],
     rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
     held_out = F.coalesce(split_of(F.col("doc_id"), modulus) == held, F.lit(False))
     return rows.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def kept(docs: DataFrame, of_text, score: Callable[[np.ndarray], np.ndarray], width: int, keep: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """The rows of docs, all columns as they are, whose scores `keep` accepts."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extract = of_text()
+        for batch in batches:
+            x = np.array([extract(t.as_py() or "") for t in batch.column(at)], float).reshape(-1, width)
+            yield batch.filter(pa.array(keep(score(x)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -208,6 +208,11 @@ def classify(docs: DataFrame, model: Gam, threshold: float = 0.7) -> DataFrame:
     return tr.scored(docs, lambda: features, model.score, len(FEATURES), 4, 2, threshold)
 
 
+def keep_good(docs: DataFrame, model: Gam, threshold: float = 0.7) -> DataFrame:
+    """The rows of docs, as they are, that classify() predicts 1 for."""
+    return tr.kept(docs, lambda: features, model.score, len(FEATURES), lambda s: s >= threshold)
+
+
 def op1_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classify(docs, fit(docs, table(spark, sf_dir, "labels"), split_of(F.col("doc_id"), 4) != 2))

@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ._graph import components, spanning_forest
 from ._shared import stash, table
@@ -211,5 +212,17 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def keep_first(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
+    """The rows of docs, all columns as they are, with the smallest doc_id of each component of near_duplicates().
+
+    Of rows that repeat a doc_id one stays.  Rows without doc_id can't be told apart and stay.
+    """
+    first = near_duplicates(docs, width, radius).where("doc_id = component_id").select("doc_id").distinct()
+    known = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn(
+        "_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
+    )
+    return known.where("_place = 1").select(docs.columns).union(docs.where("doc_id is null"))
+
+
 def op2_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -289,6 +289,11 @@ def classify(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame
     return tr.scored(docs, lambda: Features(model.lexicon), model.score, len(FEATURES), 5, 0, threshold)
 
 
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, as they are, that classify() predicts 0 for."""
+    return tr.kept(docs, lambda: Features(model.lexicon), model.score, len(FEATURES), lambda s: s < threshold)
+
+
 def op8_boosted_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return classify(docs, fit(docs, table(spark, sf_dir, "labels"), split_of(F.col("doc_id"), 5) != 0))
