@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import investment
+from . import graphs, investment
 
-MODULES = [investment]
+MODULES = [investment, graphs]
 
 
 def queries() -> dict:
