@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.store import stash
@@ -121,12 +121,13 @@ def graph_score(results: DataFrame, edges: DataFrame, smoothing: bool = True) ->
     Concepts without an edge inside go; without any edge at all every score is 1.
     """
     from ..functions.expr import concave
-    from .relational import induced
+    from .relational import induced, of_greatest
 
     ids = results.select(F.col("concept_id").alias("id")).distinct()
-    inside = induced(edges, ids).groupBy(F.col("src").alias("concept_id")).agg(F.sum("score").alias("strength"))
-    share = F.col("strength") / F.max("strength").over(Window.partitionBy(F.lit(0)))
-    inside = inside.select("concept_id", (concave(share) if smoothing else share).alias("graph_score"))
+    inside = induced(edges, ids).groupBy(F.col("src").alias("concept_id")).agg(F.sum("score").alias("graph_score"))
+    inside = of_greatest(inside, "graph_score")
+    if smoothing:
+        inside = inside.withColumn("graph_score", concave(F.col("graph_score")))
     empty = inside.agg((F.count("*") == 0).alias("none"))
     scored = results.join(inside, "concept_id", "left").crossJoin(F.broadcast(empty))
     scored = scored.withColumn("graph_score", F.when(F.col("none"), 1.0).otherwise(F.col("graph_score")))

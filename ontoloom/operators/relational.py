@@ -108,3 +108,18 @@ def top_share(df: DataFrame, ratio: float, *order: Column) -> DataFrame:
     """The first floor(ratio * rows) rows, by a distributed sort and the sizes of its partitions."""
     n = int(df.count() * ratio)
     return df.orderBy(*order).limit(n)
+
+
+def of_greatest(df: DataFrame, *values: str) -> DataFrame:
+    """df with each of the columns divided by its greatest value: one aggregated row joined by broadcast, no global sort.
+
+    df is written aside first, since it is read twice.
+    """
+    from ..sources.store import stash
+
+    df = stash(df, "scored")
+    top = df.agg(*(F.max(c).alias(f"_top_{c}") for c in values))
+    scaled = df.crossJoin(F.broadcast(top))
+    for c in values:
+        scaled = scaled.withColumn(c, safe_div(F.col(c), F.col(f"_top_{c}")))
+    return scaled.select(df.columns)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import graphs, investment
+from . import concepts, graphs, investment
 
-MODULES = [investment, graphs]
+MODULES = [investment, graphs, concepts]
 
 
 def queries() -> dict:
