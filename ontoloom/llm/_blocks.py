@@ -13,6 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -105,15 +106,36 @@ class Words:
 
 
 def pack(x: np.ndarray, ascending: bool = False) -> bytes:
-    """Bytes by significance, so that the exchange compresses the empty ones away."""
+    """An array of integers, its bytes by significance: empty planes cost nothing, others what their values vary.
+
+    ascending: only the differences of neighbours are kept.
+    """
     if ascending and len(x):
         x = np.concatenate([x[:1], np.diff(x)])
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+    out = [len(x).to_bytes(4, "little")]
+    squeeze = zstandard.ZstdCompressor(level=1, write_content_size=False, write_checksum=False).compress
+    for plane in x.view(np.uint8).reshape(-1, x.itemsize).T:
+        if not plane.any():
+            out.append(bytes(4))
+            continue
+        raw = plane.tobytes()
+        small = squeeze(raw)
+        kept = small if len(small) < len(raw) else raw
+        out += [len(kept).to_bytes(4, "little"), kept]
+    return b"".join(out)
 
 
 def unpack(data: bytes, dtype, ascending: bool = False) -> np.ndarray:
-    size = np.dtype(dtype).itemsize
-    x = np.frombuffer(data, np.uint8).reshape(size, -1).T.copy().reshape(-1).view(dtype)
+    n, at, size = int.from_bytes(data[:4], "little"), 4, np.dtype(dtype).itemsize
+    planes = np.zeros((n, size), np.uint8)
+    expand = zstandard.ZstdDecompressor().decompress
+    for k in range(size):
+        length = int.from_bytes(data[at : at + 4], "little")
+        kept = data[at + 4 : at + 4 + length]
+        at += 4 + length
+        if length:
+            planes[:, k] = np.frombuffer(kept if length == n else expand(kept, max_output_size=n), np.uint8)
+    x = planes.reshape(-1).view(dtype)
     return np.cumsum(x, dtype=dtype) if ascending else x
 
 

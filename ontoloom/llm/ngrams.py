@@ -25,7 +25,10 @@ from ._blocks import B1, M2, Words, bucket_edges, in_blocks, mix, of_ipc, pack,
 from ._shared import stash, table
 
 #: Bytes of text in a block, about; names that meet in a partition of a count table, about.
-BLOCK, PARTITION = 4 << 20, 2 << 20
+BLOCK, PARTITION = 1 << 20, 1 << 20
+#: Names have as many bits as the bytes of the corpus take to count, and SPARE_BITS, but LEAST_BITS at least: of some
+#: million n-grams one has a name that another has too, which only counts where both its parts occur elsewhere.
+SPARE_BITS, LEAST_BITS = 20, 50
 #: What a step back costs.
 ALPHA = 0.4
 #: The n-gram of no words, which occurs once for every word.
@@ -35,7 +38,7 @@ EMPTY = np.uint64(0x2545F4914F6CDD1D)
 def gram_names(names: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(first word, name) of every k-gram within one text."""
     at = np.flatnonzero(text[: max(0, len(text) - k + 1)] == text[k - 1 :])
-    h = mix(names[at] + np.uint64(k) * M2)
+    h = mix(names[at] + np.uint64(k * int(M2) % (1 << 64)))
     for j in range(1, k):
         h = mix(h * B1 + names[at + j])
     return at, h
@@ -56,9 +59,10 @@ def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Block:
     """The n-grams of a block, and what is known of their counts in all other documents."""
 
-    def __init__(self, batch: pa.RecordBatch, order: int):
+    def __init__(self, batch: pa.RecordBatch, order: int, bits: int):
         self.words = Words(batch.column("text"), lower=True)
         self.text, self.order = self.words.text, order
+        self.mask = ~np.uint64((1 << (64 - bits)) - 1)  # the lowest bits stay empty, and cost nothing when packed
         self.names = self.words.names()
         self.elsewhere: dict[int, np.ndarray] = {}  # by order: for each word, how often the k-gram ending there occurs elsewhere
 
@@ -68,28 +72,39 @@ class Block:
             shorter = self.elsewhere[k - 1]
             both = (shorter[at + k - 2] > 0) & (shorter[at + k - 1] > 0)
             at, name = at[both], name[both]
-        return at, name
+        return at, name & self.mask
+
+    def _listed(self, ks: list[int]):
+        """(first words and names by order, names in order, number of the name of each, counts) of what the block sends."""
+        grams = {k: self._sendable(k) for k in ks if k}
+        name = [g[1] for g in grams.values()]
+        if 0 in ks:
+            name.append(np.array([EMPTY & self.mask]))
+        own, of, n = counted(np.concatenate(name))
+        if 0 in ks:
+            n[of[-1]] = len(self.names)
+        return grams, own, of, n
 
     def sent(self, ks: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """(names in order, counts) that the block sends for some orders."""
-        name = [self._sendable(k)[1] for k in ks if k]
-        own, _, n = counted(np.concatenate(name))
-        if 0 in ks:
-            at = np.searchsorted(own, EMPTY)
-            own, n = np.insert(own, at, EMPTY), np.insert(n, at, len(self.names))
+        _, own, _, n = self._listed(ks)
         return own, n
 
-    def learn(self, ks: list[int], totals: np.ndarray) -> None:
-        """Take in the corpus counts of what sent(ks) lists."""
-        sent, _ = self.sent(ks)
+    def learn(self, ks: list[int], others: np.ndarray) -> None:
+        """Take in how often other blocks have what sent(ks) lists."""
+        grams, _, of, n = self._listed(ks)
+        total = (n + others)[of]
         if 0 in ks:
-            self.total = int(totals[np.searchsorted(sent, EMPTY)])
-        for k in filter(None, ks):
-            at, name = self._sendable(k)
-            out = np.zeros(len(self.names), np.int64)
-            _, of, n = counted(mix(name + self.text[at].astype(np.uint64) * M2))
-            out[at + k - 1] = totals[np.searchsorted(sent, name)] - n[of]
-            self.elsewhere[k] = out
+            self.total = int(total[-1])
+        for k, (at, name) in grams.items():
+            _, own, m = counted(mix(name + self.text[at].astype(np.uint64) * M2))
+            found = total[: len(at)] - m[own]
+            total = total[len(at) :]
+            if k > 1:
+                shorter = self.elsewhere[k - 1]
+                found[(shorter[at + k - 2] == 0) | (shorter[at + k - 1] == 0)] = 0
+            self.elsewhere[k] = np.zeros(len(self.names), np.int64)
+            self.elsewhere[k][at + k - 1] = found
 
     def scores(self, alpha: float) -> np.ndarray:
         """The natural logarithm of the score of each word after those before it in its text."""
@@ -112,15 +127,29 @@ def _phases(order: int) -> list[list[int]]:
     return [[0, 1, 2][: order + 1], *([k] for k in range(3, order + 1))]
 
 
+def pack_sparse(x: np.ndarray) -> bytes:
+    """Counts that are mostly zero: how many, which are not, and those."""
+    some = x > 0
+    return len(x).to_bytes(8, "little") + np.packbits(some).tobytes() + pack(x[some])
+
+
+def unpack_sparse(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    ends = 8 + (n + 7) // 8
+    out = np.zeros(n, np.int64)
+    out[np.unpackbits(np.frombuffer(data[8:ends], np.uint8), count=n).astype(bool)] = unpack(data[ends:], np.int64)
+    return out
+
+
 def _sum(batch: pa.Table) -> pa.Table:
-    """For a partition of a count table: the sums, for each block in the order in which it sent its names."""
+    """For a partition of a count table: what other blocks add, for each block in the order in which it sent its names."""
     names = [unpack(x, np.uint64, True) for x in batch["name"].to_pylist()]
     n = np.concatenate([unpack(x, np.int64) for x in batch["n"].to_pylist()])
     _, of, _ = counted(np.concatenate(names))
-    total = np.bincount(of, n).astype(np.int64)[of]
+    total = np.bincount(of, n).astype(np.int64)[of] - n
     ends = np.cumsum([len(x) for x in names])
     return pa.table(
-        [batch["block"], batch["partition"], pa.array([pack(total[b - len(x) : b]) for x, b in zip(names, ends)], pa.binary())],
+        [batch["block"], batch["partition"], pa.array([pack_sparse(total[b - len(x) : b]) for x, b in zip(names, ends)], pa.binary())],
         names=["block", "partition", "total"],
     )
 
@@ -137,15 +166,16 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> Dat
     blocks = stash(in_blocks(docs, BLOCK), "blocks")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     partitions = max(8, size // 6 // PARTITION)
+    bits = min(64, max(LEAST_BITS, int(size).bit_length() + SPARE_BITS))
     phases = _phases(order)
 
     def opened(rows: pa.RecordBatch, known: int) -> Iterator[tuple[int, pa.RecordBatch, Block]]:
         for i, block in enumerate(rows.column(0).to_pylist()):
             batch = of_ipc(rows.column(1)[i].as_py())
-            own = Block(batch, order)
+            own = Block(batch, order, bits)
             for p in range(known):
                 parts = sorted(rows.column(2 + p)[i].as_py() or (), key=lambda x: x["partition"])
-                own.learn(phases[p], np.concatenate([np.zeros(0, np.int64), *(unpack(x["total"], np.int64) for x in parts)]))
+                own.learn(phases[p], np.concatenate([np.zeros(0, np.int64), *(unpack_sparse(x["total"]) for x in parts)]))
             yield block, batch, own
 
     def send(phase: int):
