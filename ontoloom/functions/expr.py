@@ -92,25 +92,6 @@ def text_distance(cos: Column, mean_length: Column) -> Column:
     return (1 - cos) * (1 - F.exp(-mean_length / 16))
 
 
-def lcs_ratio(a: Column, b: Column) -> Column:
-    """2 LCS(a, b) / (|a| + |b|), 1 for two empty strings: a fold that keeps one row of the table of lengths."""
-    letters_a, letters_b = F.split(a, ""), F.split(b, "")
-    width = F.length(b)
-
-    def row(previous: Column, letter: Column) -> Column:
-        def cell(state: Column, j: Column) -> Column:
-            left = F.element_at(state, -1)
-            above, corner = F.element_at(previous, j + 1), F.element_at(previous, j)
-            return F.concat(state, F.array(F.when(F.element_at(letters_b, j) == letter, corner + 1).otherwise(F.greatest(left, above))))
-
-        return F.aggregate(F.sequence(F.lit(1), width), F.array(F.lit(0)), cell)
-
-    zero = F.array_repeat(F.lit(0), width + 1)
-    longest = F.element_at(F.aggregate(letters_a, zero, row), -1)
-    both = F.length(a) + F.length(b)
-    return F.when(both == 0, 1.0).when((F.length(a) == 0) | (width == 0), 0.0).otherwise(2.0 * longest / both)
-
-
 def date_position(d: Column, start: Column, end: Column) -> Column:
     """Where a date lies between two others, from 0 to 1, clipped."""
     micros = lambda x: F.unix_micros(x.cast("timestamp")).cast("double")

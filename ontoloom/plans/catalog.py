@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import concepts, graphs, investment
+from . import concepts, graphs, investment, models, texts
 
-MODULES = [investment, graphs, concepts]
+MODULES = [investment, graphs, concepts, texts, models]
 
 
 def queries() -> dict:
