@@ -141,7 +141,7 @@ def unpack(data: bytes, dtype, ascending: bool = False) -> np.ndarray:
 
 def as_ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
