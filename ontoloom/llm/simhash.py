@@ -218,10 +218,11 @@ def keep_first(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
     Of rows that repeat a doc_id one stays.  Rows without doc_id can't be told apart and stay.
     """
     first = near_duplicates(docs, width, radius).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(first, "doc_id", "left_semi").withColumn(
-        "_place", F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))
-    )
-    return known.where("_place = 1").select(docs.columns).union(docs.where("doc_id is null"))
+    place = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
+    known = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
+    known = known.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where(F.col(place) == 1)
+    return known.select(docs.columns).union(docs.where("doc_id is null"))
+
 
 
 def op2_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
