@@ -32,7 +32,7 @@ def plain_html(html: Column) -> Column:
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(char))
     t = F.regexp_replace(t, r"[ \t]+", " ")
-    return F.trim(F.regexp_replace(t, r" ?\n[ \n]*", "\n"))
+    return F.regexp_replace(F.regexp_replace(t, r" ?\n[ \n]*", "\n"), r"^[ \n]+|[ \n]+$", "")
 
 
 def normalised(text: Column) -> Column:

@@ -85,7 +85,7 @@ _PLAIN = r"regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(
 _PLAIN = rf"regexp_replace(regexp_replace({_PLAIN}, '(?i)</?(b|i|u|em|strong|span|a|sup|sub|small|font)( [^>]*)?>', ' ', 'g'), '<[^>]*>', chr(10), 'g')"
 for _e, _c in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&nbsp;", " "), ("&amp;", "&")):
     _PLAIN = f"replace({_PLAIN}, '{_e}', '{_c}')"
-_PLAIN = rf"trim(regexp_replace(regexp_replace({_PLAIN}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'))"
+_PLAIN = rf"regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
 
 
 @query(f"select page_id, length(p) n, md5(p) text from (select page_id, {_PLAIN} p from pages)")
