@@ -9,6 +9,7 @@ from ..functions import text as TX
 from ..operators import cache as CA
 from ..operators import scrape as SC
 from ..operators import search as SE
+from ..sources.store import stash
 from .derived import Tables
 from .investment import r6
 
@@ -130,6 +131,11 @@ _POST = f"select doc_id, term, length, count(*) tf from (select doc_id, len(w) l
 _ASK = f"select distinct item_id query, unnest(w[1:4]) term from (select item_id, {_W} w from benchmark where item_id < 20)"
 
 
+def _index(t: Tables) -> DataFrame:
+    """The inverted index as a table: it is read for sizes, for frequencies and for hits."""
+    return stash(SE.postings(t("documents"), "doc_id"), "index")
+
+
 def _asked(t: Tables) -> DataFrame:
     q = t("benchmark").where("item_id < 20")
     return q.select(F.col("item_id").alias("query"), F.explode(F.slice(TX.words(F.col("text")), 1, 4)).alias("term")).distinct()
@@ -140,7 +146,7 @@ def _asked(t: Tables) -> DataFrame:
 )
 def bm25_search(t: Tables) -> DataFrame:
     """The ten best documents for the first words of benchmark passages."""
-    return SE.bm25(SE.postings(t("documents"), "doc_id"), _asked(t), "doc_id")
+    return SE.bm25(_index(t), _asked(t), "doc_id")
 
 
 @query(
@@ -148,7 +154,7 @@ def bm25_search(t: Tables) -> DataFrame:
 )
 def ltr_features(t: Tables) -> DataFrame:
     """Ranking features of queries and documents."""
-    f = SE.rank_features(SE.postings(t("documents"), "doc_id"), _asked(t), "doc_id")
+    f = SE.rank_features(_index(t), _asked(t), "doc_id")
     return f.select("query", "doc_id", "matched", "tf", F.col("length").cast("long").alias("length"), *r6("min_idf", "max_idf", "avg_idf", "sum_idf", "dev_idf"), "max_ttf")
 
 
