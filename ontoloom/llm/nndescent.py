@@ -7,10 +7,13 @@ as one node.  The neighbour graph of the pivots starts from neighbours along
 random projections and is refined in rounds: every node introduces its
 neighbours, forward and reverse, to each other, and the closer ones are kept.
 A list holds its best `k` neighbours beyond the reach of a link and all within,
-so it grows wherever links would fill it.  A brute-force audit of a sample
-measures recall; while it is short, the lists get longer and rounds go on.  In
-the end every pair of balls in reach is compared in double precision, or counted
-in whole where the bounds already decide.
+so it grows wherever links would fill it.  Every pass also introduces the nodes
+that share a code of new random hyperplanes, so that lone pairs amid unlike
+vectors meet.  A brute-force audit of a sample, another one in every pass and
+before its finds are added, measures recall; while it is short, the lists get
+longer, the codes more and rounds go on, and the operator fails if no pass is
+good enough.  In the end every pair of balls in reach is compared in double
+precision, or counted in whole where the bounds already decide.
 """
 
 from __future__ import annotations
@@ -31,8 +34,12 @@ from ._shared import n_partitions, stash, table
 BITS, CODES, K, ROUNDS, AUDITED, RECALL = 20, 4, 12, 12, 512, 0.995
 #: Projections for the first graph, followers along each.
 PROJECTIONS, FOLLOWERS = 4, 4
-#: Members of a list introduced to each other at once; members of a ball to a row; pairs of sums compared at once.
+#: Passes at most; codes that introduce nodes in the first (twice as many in each later one), nodes to a code, about, and at most.
+PASSES, MEETINGS, MET, MOST_MET = 4, 8, 64, 4096
+#: Members of a list compared with the whole list at once; members of a ball to a row.
 INTRODUCED, MEMBERS = 256, 512
+#: Pairs handed on at once.
+PAIRS = 1 << 20
 
 
 def _planes(seed: int, dim: int, n: int) -> np.ndarray:
@@ -133,50 +140,89 @@ def _chained(nodes: DataFrame, seed: int) -> DataFrame:
     return placed.mapInArrow(link, "id long, nbr long, sim double")
 
 
-def _introduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For rows in order of c: pairs of members of one list that are closer than what the first of them has."""
-    held: list[tuple] = []
+def _introduce(k: int, most: int | None = None):
+    """For rows in order of c: pairs of members of one list that are closer than what the first of them has.
+
+    All members of a list meet, however long it is, unless it is cut into parts of `most`.  Each gets all others in
+    reach and the k best beyond.
+    """
 
     def closer(rows: list[tuple]):
         if len(rows) < 2 or not any(r[4] for r in rows):
             return
         ids = np.array([r[1] for r in rows])
         x = np.stack([np.frombuffer(r[2], np.float32) for r in rows])
-        kth, fresh = np.array([r[3] for r in rows]), np.array([r[4] for r in rows])
-        sim = (x @ x.T).astype(float)
-        i, j = np.nonzero((sim > kth[:, None]) & (fresh[:, None] | fresh) & (ids[:, None] != ids))
-        if len(i):
-            yield ids[i], ids[j], sim[i, j]
+        kth, fresh, reach = (np.array([r[c] for r in rows]) for c in (3, 4, 5))
+        for at in range(0, len(rows), INTRODUCED):
+            own = slice(at, at + INTRODUCED)
+            sim = (x[own] @ x.T).astype(float)
+            better = (sim > kth[own, None]) & (fresh[own, None] | fresh) & (ids[own, None] != ids)
+            within = sim >= reach[own, None]
+            if len(rows) > k:
+                beyond = np.where(better & ~within, sim, -np.inf)
+                better &= within | (beyond >= np.partition(beyond, -k, axis=1)[:, -k, None])
+            i, j = np.nonzero(better)
+            if len(i):
+                yield ids[own][i], ids[j], sim[i, j]
 
     def out(parts: list[tuple]) -> pa.RecordBatch:
         return pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*parts)], names=["id", "nbr", "sim"])
 
-    for batch in batches:
-        parts = []
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and (row[0] != held[0][0] or len(held) >= INTRODUCED):
-                parts += closer(held)
-                held = []
-            held.append(row)
-        if parts:
-            yield out(parts)
-    parts = list(closer(held))
-    if parts:
-        yield out(parts)
-
-
-def neighbour_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, graph: DataFrame | None = None) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            parts, n = [], 0
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and (row[0] != held[0][0] or len(held) == most):
+                    for part in closer(held):
+                        parts.append(part)
+                        n += len(part[0])
+                        if n > PAIRS:
+                            yield out(parts)
+                            parts, n = [], 0
+                    held = []
+                held.append(row)
+            if parts:
+                yield out(parts)
+        for part in closer(held):
+            yield out([part])
+
+    return run
+
+
+def _met(nodes: DataFrame, seed: int, n_codes: int, k: int, n: int) -> DataFrame:
+    """id, nbr, sim: nodes that share one of n_codes codes of random hyperplanes, each with its nearest among them."""
+    bits = max(1, int(np.ceil(np.log2(max(n, 1) / MET))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(2).to_pylist()
+            code = np.zeros((len(v), n_codes), np.int64)
+            for size in {len(b) for b in v}:
+                at = [i for i, b in enumerate(v) if len(b) == size]
+                x = np.stack([np.frombuffer(v[i], np.float32) for i in at]) @ _planes(seed, size // 4, n_codes * bits)
+                code[at] = (x > 0).reshape(len(at), n_codes, bits) @ (1 << np.arange(bits))
+            yield pa.record_batch([*batch.columns, pa.array(list(code), pa.list_(pa.int64()))], names=["id", "grp", "v", "reach", "codes"])
+
+    coded = nodes.select("id", "grp", "v", "reach").mapInArrow(run, "id long, grp string, v binary, reach double, codes array<long>")
+    coded = coded.select("id", "grp", "v", "reach", F.posexplode("codes").alias("t", "code"))
+    rows = coded.select(F.xxhash64("grp", "t", "code").alias("c"), F.col("id").alias("m"), "v", F.lit(-2.0).alias("kth"), F.lit(True).alias("fresh"), "reach")
+    return rows.repartition("c").sortWithinPartitions("c", F.xxhash64("m", F.lit(seed))).mapInArrow(_introduce(k, MOST_MET), "id long, nbr long, sim double")
+
+
+def neighbour_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, graph: DataFrame | None = None, turn: int = 0) -> DataFrame:
     """id, nbr, sim: for each node of nodes(id, grp, v, reach) all found neighbours with sim >= reach and k others.
 
-    A graph to start from may be given; otherwise it is laid along random projections.
+    A graph to start from may be given; otherwise it is laid along random projections.  Each turn adds codes of its own.
     """
+    n = nodes.count()
     if graph is None:
         graph = _chained(nodes, 100)
         for p in range(1, PROJECTIONS):
             graph = graph.union(_chained(nodes, 100 + p))
+    graph = graph.select("id", "nbr", "sim").union(_met(nodes, 200 + turn, MEETINGS << turn, k, n))
     reach = nodes.select("id", "reach")
     best = Window.partitionBy("id", "beyond").orderBy(F.desc("sim"), "nbr")
-    n = nodes.count()
 
     def kept(rows: DataFrame) -> DataFrame:
         rows = rows.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
@@ -186,13 +232,13 @@ def neighbour_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, graph: D
     graph = stash(kept(graph.select("id", "nbr", "sim").withColumn("fresh", F.lit(True))), "graph")
     for r in range(rounds):
         kth = graph.where("beyond").groupBy("id").agg(F.min("sim").alias("kth"), F.count("*").alias("n")).where(F.col("n") >= k).select("id", "kth")
-        member = nodes.join(kth, "id", "left").select(F.col("id").alias("m"), "v", F.coalesce("kth", F.lit(-2.0)).alias("kth"))
+        member = nodes.join(kth, "id", "left").select(F.col("id").alias("m"), "v", F.coalesce("kth", F.lit(-2.0)).alias("kth"), "reach")
         ends = graph.select(F.col("id").alias("c"), F.col("nbr").alias("m"), "fresh")
         ends = ends.union(graph.select(F.col("nbr").alias("c"), F.col("id").alias("m"), "fresh"))
         lists = ends.groupBy("c", "m").agg(F.max("fresh").alias("fresh"))
         lists = lists.union(nodes.select(F.col("id").alias("c"), F.col("id").alias("m"), F.lit(False).alias("fresh")))
-        lists = lists.join(member, "m").select("c", "m", "v", "kth", "fresh")
-        met = lists.repartition("c").sortWithinPartitions("c", F.xxhash64("m", F.lit(r))).mapInArrow(_introduce, "id long, nbr long, sim double")
+        lists = lists.join(member, "m").select("c", "m", "v", "kth", "fresh", "reach")
+        met = lists.repartition("c").sortWithinPartitions("c", F.xxhash64("m", F.lit(r))).mapInArrow(_introduce(k), "id long, nbr long, sim double")
         old = graph.select("id", "nbr", "sim").withColumn("fresh", F.lit(False))
         graph = stash(kept(old.union(met.withColumn("fresh", F.lit(True)))), f"graph{r}")
         if graph.where("fresh").count() <= 0.002 * n * k:
@@ -200,9 +246,12 @@ def neighbour_graph(nodes: DataFrame, k: int = K, rounds: int = ROUNDS, graph: D
     return graph
 
 
-def audit(nodes: DataFrame, graph: DataFrame) -> tuple[float, DataFrame]:
-    """(recall, missed): the share of the neighbours in reach of a sample of nodes that the graph has; the others."""
-    asked = nodes.orderBy(F.xxhash64("id"), "id").limit(AUDITED).select("id", "grp", "v", "reach").toArrow()
+def audit(nodes: DataFrame, graph: DataFrame, turn: int = 0) -> tuple[float, DataFrame]:
+    """(recall, missed): the share of the neighbours in reach of a sample of nodes that the graph has; the others.
+
+    Every turn has a sample of its own.
+    """
+    asked = nodes.orderBy(F.xxhash64("id", F.lit(turn)), "id").limit(AUDITED).select("id", "grp", "v", "reach").toArrow()
     ids, groups, reach = asked["id"].to_numpy(), np.array(asked["grp"].to_pylist(), object), asked["reach"].to_numpy()
     vectors = asked["v"].to_pylist()
 
@@ -251,15 +300,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93) -> DataFrame:
     reach = F.cos(F.least(F.col("radius") + (theta + widest), F.lit(float(np.pi)))) - 1e-5  # what single precision may lose
     nodes = units.join(sizes, F.col("rid") == F.col("pid")).select(F.col("rid").alias("id"), "grp", "unit", reach.alias("reach"))
     nodes = stash(nodes.mapInArrow(single, "id long, grp string, v binary, reach double"), "nodes")
-    k, graph = K, None
-    for _ in range(3):
-        graph = neighbour_graph(nodes, k, graph=graph)
-        recall, missed = audit(nodes, graph)
-        graph = graph.select("id", "nbr", "sim").union(missed)
+    k, graph, found = K, None, None
+    for turn in range(PASSES):
+        graph = neighbour_graph(nodes, k, graph=graph, turn=turn)
+        recall, missed = audit(nodes, graph, turn)
+        found = missed if found is None else found.union(missed)  # apart, so that no later audit counts them
         if recall >= RECALL:
             break
         k *= 2
-    edge = graph.select(F.least("id", "nbr").alias("p"), F.greatest("id", "nbr").alias("q")).distinct()
+    else:
+        raise RuntimeError(f"after {PASSES} passes the neighbour graph has {recall:.4f} of the neighbours in reach, not {RECALL}")
+    edge = graph.select("id", "nbr").union(found.select("id", "nbr")).select(F.least("id", "nbr").alias("p"), F.greatest("id", "nbr").alias("q")).distinct()
     return _linked(rows, units, ball, sizes, edge, threshold, theta)
 
 

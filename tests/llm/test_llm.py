@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
@@ -405,6 +406,36 @@ def test_nn_descent_equals_brute_force(spark):
     assert nndescent.near_duplicates(df.where("false")).count() == 0
 
 
+def test_nn_descent_fails_if_links_stay_unseen(spark, monkeypatch):
+    """A search that finds nothing of its own is not saved by what the audits add to its graph."""
+    rng = np.random.default_rng(8)
+    x = np.repeat(rng.standard_normal((700, 64)), 2, axis=0) + 0.04 * rng.standard_normal((1400, 64))
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    none = spark.createDataFrame([], "id long, nbr long, sim double")
+    monkeypatch.setattr(nndescent, "balls", lambda units, half_angle: units.select("rid", F.col("rid").alias("pid"), F.lit(0.0).alias("angle")))
+    monkeypatch.setattr(nndescent, "neighbour_graph", lambda nodes, k, graph=None, turn=0: none if graph is None else graph)
+    with pytest.raises(RuntimeError, match="neighbours in reach"):
+        nndescent.near_duplicates(df)
+
+
+def test_nn_descent_introduces_long_lists():
+    v = np.random.default_rng(9).standard_normal((600, 8)).astype(np.float32)
+    rows = [(1, k, x.tobytes(), -2.0, True, 100.0) for k, x in enumerate(v)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("c", "m", "v", "kth", "fresh", "reach"), r)) for r in rows])
+    got = {(r["id"], r["nbr"]) for b in nndescent._introduce(3)(iter([batch])) for r in b.to_pylist()}
+    sim = v @ v.T
+    np.fill_diagonal(sim, -np.inf)
+    assert got == {(i, int(j)) for i in range(600) for j in np.argsort(-sim[i])[:3]}
+
+
+def test_nn_descent_audits_other_nodes(spark):
+    v = [np.array([1.0, k / 1e6], np.float32).tobytes() for k in range(2000)]
+    nodes = spark.createDataFrame([(k, f"g{k // 2}", x, 0.5) for k, x in enumerate(v)], "id long, grp string, v binary, reach double")
+    recall, missed = nndescent.audit(nodes, nodes.sparkSession.createDataFrame([], "id long, nbr long, sim double"))
+    assert recall == 0 and missed.count() == nndescent.AUDITED
+    assert nndescent.audit(nodes, missed, 1)[0] < nndescent.RECALL
+
+
 # Media
 
 
