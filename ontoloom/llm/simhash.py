@@ -217,7 +217,12 @@ def keep_first(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
 
     Of rows that repeat a doc_id one stays.  Rows without doc_id can't be told apart and stay.
     """
-    first = near_duplicates(docs, width, radius).where("doc_id = component_id").select("doc_id").distinct()
+    return keep_least(docs, near_duplicates(docs, width, radius))
+
+
+def keep_least(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """The rows of docs with the doc_id that names their component in near(doc_id, component_id)."""
+    first = near.where("doc_id = component_id").select("doc_id").distinct()
     place = "_" * (1 + max(map(len, docs.columns)))  # a name that no column has
     known = docs.where("doc_id is not null").join(first, "doc_id", "left_semi")
     known = known.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("doc_id"))).where(F.col(place) == 1)

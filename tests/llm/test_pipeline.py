@@ -1,9 +1,12 @@
 """The stages of the corpus pipeline, one after the other and on awkward documents."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from ontoloom.llm import shingles
 from ontoloom.llm._shared import table
 
 FOLDER = "/root/testdata/sf0.001"
@@ -35,3 +38,29 @@ def test_awkward_documents(spark, name, stage):
     assert stage(spark, docs.where("false"), FOLDER).count() == 0
     extra = docs.withColumn("n_words", F.lit(1)).withColumn("score", F.lit("x"))
     assert stage(spark, extra, FOLDER).count() >= 0
+
+
+def test_near_duplicates_of_five_words_and_four_fifths(spark):
+    """The stage keeps what brute force over the sets of shingles keeps, among groups of edited copies."""
+    rng, rows = random.Random(4), []
+    for k in range(40):
+        words = [f"w{rng.randrange(900)}" for _ in range(rng.choice((60, 150, 400)))]
+        for _ in range(4):
+            rows.append((len(rows), " ".join(words), "en", "s", 0))
+            for at in rng.sample(range(len(words)), len(words) // 60):
+                words[at] = f"x{rng.randrange(900)}"
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (r[1].split() for r in rows)]
+    root = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                low, high = sorted((root[a], root[b]))
+                root = [low if r == high else r for r in root]
+    got = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, FOLDER).collect()}
+    assert got == set(root) and 40 <= len(got) < len(rows)
+
+
+def test_similar_links_connect_all():
+    sets = [shingles.shingles(" ".join(f"w{k}" for k in range(n, n + 100))) for n in (0, 500, 9, 18, 509, 900)]
+    assert sorted(tuple(sorted(x)) for x in shingles.similar_links(sets)) == [(0, 2), (1, 4), (2, 3)]
