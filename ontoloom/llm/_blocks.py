@@ -1,24 +1,28 @@
-"""Blocks of whole documents, their words, and names by which blocks find what they share.
-
-A block is one row: some megabytes of documents, packed.  Words and sequences of
-words are named by 64-bit hashes, the same everywhere, so a name met in two
-blocks stands for the same words.
+"""Blocks of whole documents, their words, and the exchange in which blocks name what they share.
+
+A block is one row: some megabytes of documents, packed.  A key is a word, or a
+few numbers that were given to words or keys before.  Every block sends each of
+its keys once to the bucket of its hash.  The bucket compares the keys
+themselves, adds up what the blocks say of them and gives a number to each key
+that two documents have.  So equal numbers always stand for equal words, and
+hashes decide only where keys meet.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ._shared import stash
 
-#: Bytes hashed at once.
-SLICE = 1 << 20
 M1, M2, B1, B2 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 S33 = np.uint64(33)
 SPACE = np.zeros(256, bool)
@@ -34,31 +38,8 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> S33)
 
 
-@lru_cache(maxsize=4)
-def _byte_codes(seed: int) -> np.ndarray:
-    return mix(np.arange(1 + 256 * seed, 257 + 256 * seed, dtype=np.uint64) * B1)
-
-
-@lru_cache(maxsize=4)
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, modulo 2**64."""
-    out = []
-    for b in (base, pow(base, -1, 1 << 64)):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return tuple(out)
-
-
-def segments(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64, n: int) -> np.ndarray:
-    """Polynomial hashes of values[start:end]; n: a length kept by _powers."""
-    power, inverse = _powers(int(base), max(n, len(values) + 1))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power[: len(values)], dtype=np.uint64)])
-    return mix((total[end] - total[start]) * inverse[start])
-
-
 class Words:
-    """The words of a block of texts: where they are, whose they are, what they are called."""
+    """The words of a block of texts: where they are, whose they are, which of the distinct words each is."""
 
     def __init__(self, texts: pa.Array, lower: bool = False):
         texts = texts.cast(pa.large_string())
@@ -87,16 +68,10 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)  # the first word of each text
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(len(texts)), self.count)
-
-    def names(self, seed: int = 0) -> np.ndarray:
-        codes, out, k = _byte_codes(seed), np.empty(len(self.start), np.uint64), 0
-        while k < len(out):
-            at = self.start[k]
-            to = max(int(np.searchsorted(self.end, at + SLICE, "right")), k + 1)
-            part = codes[self.bytes[at : self.end[to - 1]]]
-            out[k:to] = segments(part, self.start[k:to] - at, self.end[k:to] - at, B1, SLICE + 1)
-            k = to
-        return out
+        packed = self.bytes[~gap]
+        ends = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
+        spelt = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(packed)]).dictionary_encode()
+        self.ids, self.vocabulary = spelt.indices.to_numpy().astype(np.int64), spelt.dictionary
 
     def windows(self, width: int) -> np.ndarray:
         """The first words of all windows: `width` consecutive words of one text."""
@@ -182,6 +157,138 @@ def in_blocks(docs: DataFrame, target: int) -> DataFrame:
     return docs.mapInArrow(run, "block long, docs binary")
 
 
-def bucket_edges(names: np.ndarray, n: int) -> np.ndarray:
-    """Edges of the buckets in sorted names."""
-    return np.searchsorted(names, (np.arange(1, n) * ((1 << 64) // n)).astype(np.uint64))
+def pack_sparse(x: np.ndarray) -> bytes:
+    """Numbers that are mostly zero: how many, which are not, and those."""
+    some = x > 0
+    return len(x).to_bytes(8, "little") + np.packbits(some).tobytes() + pack(x[some])
+
+
+def unpack_sparse(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    ends = 8 + (n + 7) // 8
+    out = np.zeros(n, np.int64)
+    out[np.unpackbits(np.frombuffer(data[8:ends], np.uint8), count=n).astype(bool)] = unpack(data[ends:], np.int64)
+    return out
+
+
+def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(first row of each distinct key in their order, number of the key of each row); a key is a row of the columns."""
+    n = len(columns[0])
+    varied = [c for c in columns if n and (c != c[0]).any()] or columns[:1]
+    order = np.argsort(varied[0], kind="stable") if len(varied) == 1 else np.lexsort(varied[::-1])
+    fresh = np.zeros(n, bool)
+    fresh[:1] = True
+    for c in varied:
+        s = c[order]
+        fresh[1:] |= s[1:] != s[:-1]
+    of = np.empty(n, np.int64)
+    of[order] = np.cumsum(fresh) - 1
+    return order[fresh], of
+
+
+def columns_of(parts: list[np.ndarray], bits: int) -> list[np.ndarray]:
+    """Numbers of at most `bits` bits, as many to a column as 64 bits hold."""
+    fit, out = max(1, 64 // bits), []
+    for k in range(0, len(parts), fit):
+        column = parts[k].astype(np.uint64)
+        for p in parts[k + 1 : k + fit]:
+            column = column << np.uint64(bits) | p.astype(np.uint64)
+        out.append(column)
+    return out
+
+
+def several(of: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
+    """Which of n keys occur in two texts: `of` says which key each occurrence is of, `text` where it is."""
+    at = of[distinct([of.astype(np.uint64) << np.uint64(32) | text.astype(np.uint64)])[0]]
+    return np.bincount(at, minlength=n) > 1
+
+
+def in_buckets(columns: list[np.ndarray], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows in the order of their buckets, edges of the buckets)."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = mix(h * B1 + c)
+    return dealt(h % np.uint64(buckets), buckets)
+
+
+def dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+    return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=bucket.dtype))
+
+
+def word_buckets(vocabulary: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    h = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary.to_pylist()], np.uint64)
+    return dealt(h % np.uint64(buckets), buckets)
+
+
+#: What a block sends to a bucket: packed keys, and a number for each: twice its count, and one more if two documents have it.
+SENT = "bucket int, block long, keys array<binary>, n binary"
+
+
+def sent(block: int, keys: pa.Array | list[np.ndarray], n: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+    """The rows in which a block sends its keys, distinct words or rows of columns."""
+    spelt = isinstance(keys, pa.Array)
+    order, edges = word_buckets(keys, buckets) if spelt else in_buckets(keys, buckets)
+    words = keys.take(pa.array(order)).to_pylist() if spelt else None
+    squeeze = zstandard.ZstdCompressor(level=3).compress
+    rows = []
+    for k in np.flatnonzero(np.diff(edges)).tolist():
+        at = order[edges[k] : edges[k + 1]]
+        packed = [squeeze(b"\n".join(words[edges[k] : edges[k + 1]]))] if spelt else [pack(c[at], j == 0) for j, c in enumerate(keys)]
+        rows.append((k, block, packed, pack(n[at])))
+    if rows:
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.binary()))], names=["bucket", "block", "keys", "n"])
+
+
+def in_order_sent(keys: pa.Array | list[np.ndarray], buckets: int) -> np.ndarray:
+    """The order in which sent() sends keys, and in which heard() hears of them."""
+    return (word_buckets(keys, buckets) if isinstance(keys, pa.Array) else in_buckets(keys, buckets))[0]
+
+
+def heard(told: list | None, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number, count in other blocks) of each key that a block sent; keys of one document alone have number 0."""
+    parts = sorted(told or (), key=lambda x: x["bucket"])
+    out = []
+    for c in ("id", "others"):
+        x = np.zeros(len(order), np.int64)
+        x[order] = np.concatenate([np.zeros(0, np.int64), *(unpack_sparse(p[c]) for p in parts)])
+        out.append(x)
+    return out[0], out[1]
+
+
+def _met(spelt: bool, buckets: int, base: int) -> Callable[[pa.Table], pa.Table]:
+    """What a bucket tells the blocks of their keys."""
+
+    def run(batch: pa.Table) -> pa.Table:
+        keys, ns = batch["keys"].to_pylist(), [unpack(x, np.int64) for x in batch["n"].to_pylist()]
+        if spelt:
+            expand = zstandard.ZstdDecompressor().decompress
+            words = pa.concat_arrays([pa.array(expand(k[0]).split(b"\n"), pa.large_binary()) for k in keys]).dictionary_encode()
+            rank = np.empty(len(words.dictionary), np.int64)
+            rank[pa.compute.sort_indices(words.dictionary).to_numpy()] = np.arange(len(rank))
+            of = rank[words.indices.to_numpy()]
+        else:
+            _, of = distinct([np.concatenate([unpack(k[j], np.uint64, j == 0) for k in keys]) for j in range(len(keys[0]))])
+        n = np.concatenate(ns)
+        total = np.bincount(of, n >> 1).astype(np.int64)
+        shared = (np.bincount(of) > 1) | (np.bincount(of, n & 1) > 0)
+        bucket = batch["bucket"][0].as_py()
+        number = np.where(shared, 1 + base + bucket + buckets * (np.cumsum(shared) - 1), 0)[of]
+        others, ends = total[of] - (n >> 1), np.cumsum([len(x) for x in ns])
+        parts = [slice(e - len(x), e) for x, e in zip(ns, ends)]
+        columns = [batch["bucket"], batch["block"], *(pa.array([pack_sparse(x[p]) for p in parts], pa.binary()) for x in (number, others))]
+        most = pa.array([int(number.max(initial=0))] * len(parts), pa.int64())
+        return pa.table([*columns, most], names=["bucket", "block", "id", "others", "most"])
+
+    return run
+
+
+def told(keys: DataFrame, buckets: int, tag: str, spelt: bool = False, base: int = 0) -> tuple[DataFrame, int]:
+    """(block, told: what heard() takes; the greatest number given): the exchange of the keys that blocks sent.
+
+    Numbers start beyond `base`.
+    """
+    met = keys.groupBy("bucket").applyInArrow(_met(spelt, buckets, base), "bucket int, block long, id binary, others binary, most long")
+    met = stash(met, tag)
+    most = met.agg(F.max("most")).first()[0] or base
+    return met.groupBy("block").agg(F.collect_list(F.struct("bucket", "id", "others")).alias(tag)), max(most, base)

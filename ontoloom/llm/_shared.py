@@ -47,6 +47,14 @@ def unstash(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def free_name(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores after it as it takes that no column has it (letter case aside)."""
+    used = {c.lower() for c in columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def split_of(doc_id: Column, modulus: int) -> Column:
     """crc32(doc_id as text) mod modulus: the fold that decides which labels may be learned."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

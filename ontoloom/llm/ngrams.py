@@ -3,13 +3,14 @@
 The model of a document is the n-gram counts of all other documents: what the
 corpus counts less what the document itself holds.  Count tables are partitioned
 by the hash of the n-gram.  A block of documents sends each of its n-grams once,
-with its own count; the partition that it belongs to adds the counts up and the
+with its own count; the bucket that it belongs to adds the counts up and the
 sums are joined back to the block, where they meet the exploded n-grams of every
 document and are summed to its score.
 
-An n-gram can only occur elsewhere if both its shorter parts do.  So words and
-pairs go first, and longer n-grams are sent only where both parts were counted
-elsewhere; all others are known to count zero.
+Words go first and are sent as they are spelt.  Each that two documents have
+gets a number, and longer n-grams are sent as rows of these numbers, so counts
+never mix what only hashes alike.  An n-gram can only occur elsewhere if both
+its shorter parts do: others are known to count zero and are not sent.
 """
 
 from __future__ import annotations
@@ -21,96 +22,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._blocks import B1, M2, Words, bucket_edges, in_blocks, mix, of_ipc, pack, unpack
+from ._blocks import SENT, Words, columns_of, distinct, heard, in_blocks, in_order_sent, of_ipc, sent, several, told
 from ._shared import stash, table
 
-#: Bytes of text in a block, about; names that meet in a partition of a count table, about.
-BLOCK, PARTITION = 1 << 20, 1 << 20
-#: Names have as many bits as the bytes of the corpus take to count, and SPARE_BITS, but LEAST_BITS at least: of some
-#: million n-grams one has a name that another has too, which only counts where both its parts occur elsewhere.
-SPARE_BITS, LEAST_BITS = 20, 50
+#: Bytes of text in a block, about; keys that meet in a bucket of a count table, about.
+BLOCK, BUCKET = 4 << 20, 1 << 19
 #: What a step back costs.
 ALPHA = 0.4
-#: The n-gram of no words, which occurs once for every word.
-EMPTY = np.uint64(0x2545F4914F6CDD1D)
-
-
-def gram_names(names: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, name) of every k-gram within one text."""
-    at = np.flatnonzero(text[: max(0, len(text) - k + 1)] == text[k - 1 :])
-    h = mix(names[at] + np.uint64(k * int(M2) % (1 << 64)))
-    for j in range(1, k):
-        h = mix(h * B1 + names[at + j])
-    return at, h
-
-
-def counted(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(distinct values in order, number of the value of each, count of each value)."""
-    order = np.argsort(x)
-    s = x[order]
-    fresh = np.ones(len(s), bool)
-    fresh[1:] = s[1:] != s[:-1]
-    of = np.empty(len(x), np.int64)
-    of[order] = np.cumsum(fresh) - 1
-    at = np.flatnonzero(fresh)
-    return s[at], of, np.diff(np.append(at, len(s)))
 
 
 class Block:
     """The n-grams of a block, and what is known of their counts in all other documents."""
 
-    def __init__(self, batch: pa.RecordBatch, order: int, bits: int):
+    def __init__(self, batch: pa.RecordBatch, order: int):
         self.words = Words(batch.column("text"), lower=True)
         self.text, self.order = self.words.text, order
-        self.mask = ~np.uint64((1 << (64 - bits)) - 1)  # the lowest bits stay empty, and cost nothing when packed
-        self.names = self.words.names()
         self.elsewhere: dict[int, np.ndarray] = {}  # by order: for each word, how often the k-gram ending there occurs elsewhere
 
-    def _sendable(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at, name = gram_names(self.names, self.text, k)
-        if k > 2:
-            shorter = self.elsewhere[k - 1]
-            both = (shorter[at + k - 2] > 0) & (shorter[at + k - 1] > 0)
-            at, name = at[both], name[both]
-        return at, name & self.mask
-
-    def _listed(self, ks: list[int]):
-        """(first words and names by order, names in order, number of the name of each, counts) of what the block sends."""
-        grams = {k: self._sendable(k) for k in ks if k}
-        name = [g[1] for g in grams.values()]
-        if 0 in ks:
-            name.append(np.array([EMPTY & self.mask]))
-        own, of, n = counted(np.concatenate(name))
-        if 0 in ks:
-            n[of[-1]] = len(self.names)
-        return grams, own, of, n
-
-    def sent(self, ks: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """(names in order, counts) that the block sends for some orders."""
-        _, own, _, n = self._listed(ks)
-        return own, n
-
-    def learn(self, ks: list[int], others: np.ndarray) -> None:
-        """Take in how often other blocks have what sent(ks) lists."""
-        grams, _, of, n = self._listed(ks)
-        total = (n + others)[of]
-        if 0 in ks:
-            self.total = int(total[-1])
-        for k, (at, name) in grams.items():
-            _, own, m = counted(mix(name + self.text[at].astype(np.uint64) * M2))
-            found = total[: len(at)] - m[own]
-            total = total[len(at) :]
-            if k > 1:
-                shorter = self.elsewhere[k - 1]
-                found[(shorter[at + k - 2] == 0) | (shorter[at + k - 1] == 0)] = 0
-            self.elsewhere[k] = np.zeros(len(self.names), np.int64)
-            self.elsewhere[k][at + k - 1] = found
-
-    def scores(self, alpha: float) -> np.ndarray:
+    def grams(self, k: int, bits: int):
+        """(last words of the k-grams that may occur elsewhere, what to send for them, which of that each is)."""
+        if k == 1:
+            return np.arange(len(self.text)), self.words.vocabulary, self.words.ids
+        shorter = self.elsewhere[k - 1]
+        at = np.flatnonzero(self.text[: max(0, len(self.text) - k + 1)] == self.text[k - 1 :])
+        at = at[(shorter[at + k - 2] > 0) & (shorter[at + k - 1] > 0)]
+        columns = columns_of([self.number[at + j] for j in range(k)], bits)
+        first, of = distinct(columns)
+        return at + k - 1, [c[first] for c in columns], of
+
+    def send(self, k: int, bits: int, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        at, keys, of = self.grams(k, bits)
+        yield from sent(block, keys, np.bincount(of, minlength=_size(keys)) * 2 + several(of, self.text[at], _size(keys)), buckets)
+
+    def learn(self, k: int, bits: int, told_: list | None, buckets: int) -> None:
+        at, keys, of = self.grams(k, bits)
+        number, others = heard(told_, in_order_sent(keys, buckets))
+        total = (np.bincount(of, minlength=_size(keys)) + others)[of]
+        _, mine = distinct([of.astype(np.uint64) << np.uint64(32) | self.text[at].astype(np.uint64)])
+        if k == 1:
+            self.number = number[of]
+        self.elsewhere[k] = np.zeros(len(self.text), np.int64)
+        self.elsewhere[k][at] = total - np.bincount(mine)[mine] if len(at) else 0
+
+    def scores(self, alpha: float, total: int) -> np.ndarray:
         """The natural logarithm of the score of each word after those before it in its text."""
         place = np.arange(len(self.text)) - self.words.first[:-1][self.text]
         most = np.minimum(place + 1, self.order)
-        rest = self.total - self.words.count[self.text]
+        rest = total - self.words.count[self.text]
         step = np.log(alpha)
         out = most * step - np.log(rest + 1.0)  # a word that no other document has
         one = self.elsewhere[1]
@@ -123,35 +81,8 @@ class Block:
         return out
 
 
-def _phases(order: int) -> list[list[int]]:
-    return [[0, 1, 2][: order + 1], *([k] for k in range(3, order + 1))]
-
-
-def pack_sparse(x: np.ndarray) -> bytes:
-    """Counts that are mostly zero: how many, which are not, and those."""
-    some = x > 0
-    return len(x).to_bytes(8, "little") + np.packbits(some).tobytes() + pack(x[some])
-
-
-def unpack_sparse(data: bytes) -> np.ndarray:
-    n = int.from_bytes(data[:8], "little")
-    ends = 8 + (n + 7) // 8
-    out = np.zeros(n, np.int64)
-    out[np.unpackbits(np.frombuffer(data[8:ends], np.uint8), count=n).astype(bool)] = unpack(data[ends:], np.int64)
-    return out
-
-
-def _sum(batch: pa.Table) -> pa.Table:
-    """For a partition of a count table: what other blocks add, for each block in the order in which it sent its names."""
-    names = [unpack(x, np.uint64, True) for x in batch["name"].to_pylist()]
-    n = np.concatenate([unpack(x, np.int64) for x in batch["n"].to_pylist()])
-    _, of, _ = counted(np.concatenate(names))
-    total = np.bincount(of, n).astype(np.int64)[of] - n
-    ends = np.cumsum([len(x) for x in names])
-    return pa.table(
-        [batch["block"], batch["partition"], pa.array([pack_sparse(total[b - len(x) : b]) for x, b in zip(names, ends)], pa.binary())],
-        names=["block", "partition", "total"],
-    )
+def _size(keys: pa.Array | list[np.ndarray]) -> int:
+    return len(keys) if isinstance(keys, pa.Array) else len(keys[0])
 
 
 def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFrame:
@@ -164,46 +95,42 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> Dat
     """
     docs = docs.select("doc_id", "text")
     blocks = stash(in_blocks(docs, BLOCK), "blocks")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    partitions = max(8, size // 6 // PARTITION)
-    bits = min(64, max(LEAST_BITS, int(size).bit_length() + SPARE_BITS))
-    phases = _phases(order)
+    sums = (F.octet_length("text"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))
+    size, total = docs.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in sums)).first()
+    buckets = max(8, size // 8 // BUCKET)
 
-    def opened(rows: pa.RecordBatch, known: int) -> Iterator[tuple[int, pa.RecordBatch, Block]]:
+    def opened(rows: pa.RecordBatch, known: int, bits: int) -> Iterator[tuple[int, pa.RecordBatch, Block]]:
         for i, block in enumerate(rows.column(0).to_pylist()):
             batch = of_ipc(rows.column(1)[i].as_py())
-            own = Block(batch, order, bits)
-            for p in range(known):
-                parts = sorted(rows.column(2 + p)[i].as_py() or (), key=lambda x: x["partition"])
-                own.learn(phases[p], np.concatenate([np.zeros(0, np.int64), *(unpack_sparse(x["total"]) for x in parts)]))
+            own = Block(batch, order)
+            for k in range(1, known + 1):
+                own.learn(k, bits, rows.column(1 + k)[i].as_py(), buckets)
             yield block, batch, own
 
-    def send(phase: int):
+    def send(k: int, bits: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                for block, _, own in opened(rows, k - 1, bits):
+                    yield from own.send(k, bits, block, buckets)
+
+        return run
+
+    def score(bits: int, total: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for rows in batches:
-                for block, _, own in opened(rows, phase):
-                    name, n = own.sent(phases[phase])
-                    edges = [0, *bucket_edges(name, partitions), len(name)]
-                    out = [(k, block, pack(name[a:b], True), pack(n[a:b])) for k, (a, b) in enumerate(zip(edges, edges[1:])) if b > a]
-                    if out:
-                        columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))]
-                        yield pa.record_batch(columns, names=["partition", "block", "name", "n"])
+                for _, batch, own in opened(rows, order, bits):
+                    sums = np.bincount(own.text, own.scores(alpha, total), len(batch)) if len(own.text) else np.zeros(len(batch))
+                    yield pa.record_batch([batch.column("doc_id"), pa.array(own.words.count), pa.array(sums)], names=["doc_id", "n_words", "log_score"])
 
         return run
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for _, batch, own in opened(rows, len(phases)):
-                sums = np.bincount(own.text, own.scores(alpha), len(batch)) if len(own.text) else np.zeros(len(batch))
-                yield pa.record_batch([batch.column("doc_id"), pa.array(own.words.count), pa.array(sums)], names=["doc_id", "n_words", "log_score"])
-
-    asked = blocks
-    for p in range(len(phases)):
-        sums = asked.mapInArrow(send(p), "partition int, block long, name binary, n binary").groupBy("partition")
-        sums = sums.applyInArrow(_sum, "block long, partition int, total binary")
-        sums = sums.groupBy("block").agg(F.collect_list(F.struct("partition", "total")).alias(f"total{p}"))
-        asked = asked.join(sums, "block", "left").select(*asked.columns, f"total{p}")
-    return asked.mapInArrow(score, "doc_id long, n_words long, log_score double")
+    asked, bits = blocks, 1
+    for k in range(1, order + 1):
+        answer, most = told(asked.mapInArrow(send(k, bits), SENT), buckets, f"told{k}", spelt=k == 1)
+        if k == 1:
+            bits = max(1, most.bit_length())
+        asked = asked.join(answer, "block", "left")
+    return asked.mapInArrow(score(bits, total), "doc_id long, n_words long, log_score double")
 
 
 def op3_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,335 +1,304 @@
 """Repeated passages, found by recompression.
 
-Words get 64-bit names that are the same everywhere, since a name is a hash of
-what it stands for.  A first round names maximal runs of one word; each later
-round parts all names into lefts and rights by one bit of a hash and names every
-pair of a left before a right.  What a symbol is called depends only on the
-words in its extent: its own and the few beside it that decided its pairing.
-So equal passages carry equal symbols inside, and each window of `width` words
-elects one of the symbols whose extents it holds as its anchor, the widest first;
-an anchor is known by all words of its extent.  A window that holds none, as in a
-long run of one word, is its own anchor.
-
-Three stages follow, each with one exchange in which a block of documents sends
-a name once:
-
-1. anchors that two blocks share are found by bucket of names;
-2. only windows with such an anchor are named in full, by 96 bits, and the
-   buckets tell each block which of its windows start in an earlier document of
-   another block;
-3. each block adds the windows repeated within itself and drops their words.
-
-The topmost symbol of a text names all its words.  It goes along in both
-exchanges, and a text whose topmost symbol an earlier document has is a copy:
-all its windows go, and it needs to send none of them.
+Spark rounds name what blocks of documents share.  The first names words as they
+are spelt; the second, maximal runs of one word and pairs of them; each later
+one, pairs of the symbols so far.  A round parts all symbols into lefts and
+rights by one bit of a hash of their numbers and pairs every left with a right
+that follows it.  Equal keys get equal numbers wherever they stand (see
+_blocks), and a symbol that one document alone has gets none: it pairs with
+nothing any more, and no window that holds it repeats.  By induction equal
+numbers stand for equal words, however hashes fall.
+
+What a symbol is called depends only on the words in its extent: its own and the
+few beside it that decided its pairing.  So equal passages carry equal symbols
+inside.  Each window of `width` words whose symbols are all shared elects the
+highest symbol that it holds as its anchor.  The words around an anchor go to
+its bucket as numbers, and there windows are compared word by word; the bucket
+tells each block which of them an earlier document of another block has.  The
+block adds the windows repeated within itself and drops their words.
 
 A block is one row: some megabytes of whole documents, packed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._blocks import B1, B2, M1, SLICE, Words, bucket_edges, in_blocks, mix, of_ipc, pack, segments, unpack
-from ._shared import stash, table
+from ._blocks import B1, B2, SENT, Words, dealt, distinct, heard, in_blocks, in_order_sent, mix, of_ipc, pack, sent, several, told, unpack
+from ._shared import free_name, stash, table
 
 #: Bytes of text in a block, about; a longer document is a block of its own.
-BLOCK = 2 << 20
-#: Names that a task holds before it sends them on, and names that meet in a bucket, about.
-HELD, BUCKET = 1 << 20, 1 << 19
-#: Rounds of pairs.
-ROUNDS = 2
-def window_names(names: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    return segments(names, at, at + width, B2, SLICE + 1)
+BLOCK = 4 << 20
+#: Keys that meet in a bucket, about.
+BUCKET = 1 << 19
+#: Rounds that name pairs.  A symbol's extent, some four words wide after three of them, has to fit into a window.
+ROUNDS = 4
 
 
-def symbols(names: np.ndarray, text: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name, low, high) of the symbols left after all rounds, in order; words low to high-1 decide each of them.
+class Level:
+    """The symbols of a round, in order: number (0: one document alone has it), extent [low, high), text and run length.
 
-    A low or high outside its text says that the end of the text had a part in it.
+    Beside the end of a text, low or high lies outside of it, so that no window holds the symbol.
     """
-    n = len(names)
-    if not n:
-        return names, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    fresh = np.ones(n, bool)
-    fresh[1:] = (names[1:] != names[:-1]) | (text[1:] != text[:-1])
-    at = np.flatnonzero(fresh)
-    to = np.append(at[1:], n)
-    length = (to - at).astype(np.uint64)
-    name = np.where(length > 1, mix(names[at] + length * B2), names[at])
-    low, high, text = at - 1, to + 1, text[at]
-    for k in range(rounds):
-        right = mix(name ^ np.uint64(0x5851F42D4C957F2D * (k + 1) % (1 << 64))) >> np.uint64(63) == 1
-        first = np.zeros(len(name), bool)
-        first[:-1] = ~right[:-1] & right[1:] & (text[:-1] == text[1:])
-        second = np.zeros(len(name), bool)
-        second[1:] = first[:-1]
-        after = np.append(high[1:], n + 2)
-        before = np.insert(low[:-1], 0, -2)
-        high = np.where(first | ~right, after, high)  # a pair ends with its second; a lone left saw what comes after
-        low = np.where(right & ~second, before, low)
-        follower = np.append(name[1:], np.uint64(0))
-        name = np.where(first, mix((name * B1 ^ (name >> np.uint64(29))) + follower), name)
-        keep = ~second
-        name, low, high, text = name[keep], low[keep], high[keep], text[keep]
-    return name, low, high
-
-
-def anchors(words: Words, names: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(name of each anchor, a word of each, number of the anchor of each window)."""
-    name, low, high = symbols(names, words.text)
-    n = len(names)
-    below = np.concatenate([[0], np.cumsum(np.bincount(np.clip(low, 0, n), minlength=n + 1))])  # symbols with low < s
-    within = np.cumsum(np.bincount(np.clip(high, 0, n + 1), minlength=n + 2))  # symbols with high <= s
-    i, j = below[at], within[at + width]
-    i = np.maximum(i, np.searchsorted(low, 0)) if len(low) and low[0] < 0 else i
-    inside = np.flatnonzero((low >= 0) & (high <= n))
-    name = name.copy()
-    name[inside] = segments(names, low[inside], high[inside], B2, SLICE + 1)
-    spread = np.clip(high - low, 0, width).astype(np.uint64)
-    rank = (mix(name ^ B2) >> np.uint64(8)) | (np.uint64(255) - spread) << np.uint64(56)
-    best, least = np.full(len(at), -1), np.full(len(at), np.iinfo(np.uint64).max, np.uint64)
-    for k in range(int((j - i).max(initial=0))):
-        live = np.flatnonzero(i + k < j)
-        r = rank[i[live] + k]
-        better = r < least[live]
-        live = live[better]
-        best[live], least[live] = i[live] + k, r[better]
-    bare = np.flatnonzero(best < 0)
-    used, of = np.unique(best, return_inverse=True)
-    lone = int(len(bare) > 0)
-    used = used[lone:]
-    of = of - lone
-    of[bare] = len(used) + np.arange(len(bare))
-    own = window_names(names, at[bare], width) ^ B1
-    return np.concatenate([name[used], own]), np.concatenate([np.clip(low[used] + 1, 0, n - 1), at[bare]]), of
-
-
-def least_by(keys: tuple[np.ndarray, ...], value: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """(distinct keys sorted, the least value of each, number of the key of each row)."""
-    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
-    fresh = np.zeros(len(order), bool)
-    fresh[:1] = True
-    for k in keys:
-        s = k[order]
-        fresh[1:] |= s[1:] != s[:-1]
-    at = np.flatnonzero(fresh)
-    least = np.minimum.reduceat(value[order], at) if len(at) else value[:0]
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(fresh) - 1
-    return [k[order][at] for k in keys], least, of
-
-
-class Outbox:
-    """Names of some blocks, sent on as one row for each bucket."""
-
-    schema = "bucket int, name binary, extra binary, first binary, block binary"
-
-    def __init__(self, buckets: int):
-        self.buckets, self.held, self.n = buckets, [], 0
-
-    def add(self, block: int, name: np.ndarray, extra: np.ndarray, first: np.ndarray) -> None:
-        self.held.append((name, extra, first, np.full(len(name), block)))
-        self.n += len(name)
-
-    def add_tops(self, block: int, tops) -> None:
-        (name, extra), first, _ = least_by(tops[1:3], tops[3])
-        self.add(block, name, extra, first)
-
-    def rows(self) -> pa.RecordBatch:
-        name, extra, first, block = map(np.concatenate, zip(*self.held))
-        order = np.argsort(name, kind="stable")
-        edges = [0, *bucket_edges(name[order], self.buckets), len(order)]
-        out = []
-        for k in range(self.buckets):
-            at = order[edges[k] : edges[k + 1]]
-            if len(at):
-                out.append((k, pack(name[at], True), pack(extra[at]), pack(first[at]), pack(block[at])))
-        self.held, self.n = [], 0
-        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), *[pa.binary()] * 4))], names=["bucket", "name", "extra", "first", "block"])
 
+    def __init__(self, number: np.ndarray, low: np.ndarray, high: np.ndarray, text: np.ndarray, run: np.ndarray | None = None):
+        self.number, self.low, self.high, self.text = number, low, high, text
+        self.run = np.ones(len(number), np.int64) if run is None else run
+
+    def runs(self) -> Level:
+        """Maximal runs of one word; each saw the words beside it.  A word without number decides nothing."""
+        fresh = np.ones(len(self.number), bool)
+        fresh[1:] = (self.number[1:] != self.number[:-1]) | (self.text[1:] != self.text[:-1]) | (self.number[1:] == 0)
+        at = np.flatnonzero(fresh)
+        to = np.append(at, len(fresh))[1:]
+        seen = self.number[at] > 0
+        return Level(self.number[at], self.low[at] - seen, self.high[to - 1] + seen, self.text[at], to - at)
+
+    def pairs(self, turn: int) -> tuple[np.ndarray, list[np.ndarray], Level]:
+        """(symbols of the next round that need a number, their keys, that round with the numbers of the others)."""
+        number, run = self.number.astype(np.uint64), self.run.astype(np.uint64)
+        live = self.number > 0
+        right = mix(number * B1 + run * B2 + np.uint64(turn)) >> np.uint64(63) == 1
+        same = self.text[1:] == self.text[:-1]
+        left, right = live & ~right, live & right
+        meet = left[:-1] & right[1:] & same
+        low, high = self.low.copy(), self.high.copy()
+        low[1:] = np.where(right[1:] & same, np.minimum(low[1:], self.low[:-1]), low[1:])  # a right saw what stands before it
+        high[:-1] = np.where(left[:-1] & same, np.maximum(high[:-1], self.high[1:]), high[:-1])
+        follower, spans = np.zeros(len(number), np.uint64), run << np.uint64(32)
+        follower[:-1][meet] = number[1:][meet]
+        spans[:-1][meet] |= run[1:][meet]
+        keep = ~np.insert(meet, 0, False)[: len(number)]
+        new = np.flatnonzero((live & ((follower > 0) | (self.run > 1)))[keep])
+        keys = [c[keep][new] for c in (number, follower, spans)]
+        return new, keys, Level(self.number[keep], low[keep], high[keep], self.text[keep])
+
+
+class Block:
+    """The symbols of a block, named round by round."""
+
+    def __init__(self, batch: pa.RecordBatch, width: int):
+        self.words, self.width = Words(batch.column("text")), width
+        judged = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) & (self.words.count >= width)
+        self.at = np.flatnonzero(judged[self.words.text])  # the words that windows cover
+        self.text = self.words.text[self.at]
+        self.owner = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[self.text]
+        self.levels: list[Level] = []
+
+    def _keys(self):
+        """(text of each symbol to name, what to send for them, which of that each is), for the round that comes next."""
+        if not self.levels:
+            used, of = np.unique(self.words.ids[self.at], return_inverse=True)
+            return self.text, self.words.vocabulary.take(pa.array(used)), of
+        last = self.levels[-1]
+        self.new, keys, self.next = (last.runs() if len(self.levels) == 1 else last).pairs(len(self.levels))
+        first, of = distinct(keys)
+        return self.next.text[self.new], [k[first] for k in keys], of
+
+    def send(self, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        text, keys, of = self._keys()
+        yield from sent(block, keys, several(of, text, len(keys) if isinstance(keys, pa.Array) else len(keys[0])).astype(np.int64), buckets)
+
+    def learn(self, told_: list | None, buckets: int) -> None:
+        _, keys, of = self._keys()
+        number = heard(told_, in_order_sent(keys, buckets))[0][of]
+        if not self.levels:
+            n = np.arange(len(self.at))
+            self.levels.append(Level(number, n, n + 1, self.text))
+        else:
+            self.next.number[self.new] = number
+            self.levels.append(self.next)
+
+    def anchored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(windows all of whose symbols are shared, the number of each one's anchor, where that stands)."""
+        n, width = len(self.at), self.width
+        whole = self.text[: max(0, n - width + 1)] == self.text[width - 1 :]
+        dead = np.zeros(n + 2, np.int64)
+        for level in self.levels:  # a symbol without number is in no window that repeats
+            alone = (level.number == 0) & (level.low >= 0) & (level.high <= n) & (level.high - level.low <= width)
+            dead += np.bincount(np.maximum(level.high[alone] - width, 0), minlength=n + 2) - np.bincount(level.low[alone] + 1, minlength=n + 2)
+        at = np.flatnonzero(whole & (np.cumsum(dead)[: len(whole)] == 0))
+        symbol, place, before = np.zeros(len(at), np.uint64), np.full(len(at), -1), 0
+        for level in reversed(self.levels):
+            free = np.flatnonzero(place < 0)
+            i, j = np.searchsorted(level.low, at[free]), np.searchsorted(level.high, at[free] + width, "right")
+            rank = mix(level.number.astype(np.uint64) ^ B2)
+            best, least = np.full(len(free), -1), np.full(len(free), np.iinfo(np.uint64).max)
+            for k in range(int((j - i).max(initial=0))):
+                some = np.flatnonzero(i + k < j)
+                r = rank[i[some] + k]
+                better = (best[some] < 0) | (r < least[some])
+                some = some[better]
+                best[some], least[some] = i[some] + k, r[better]
+            got = best >= 0
+            symbol[free[got]], place[free[got]] = level.number[best[got]].astype(np.uint64), before + best[got]
+            before += len(level.number)
+        return at, symbol, place
+
+    def passages(self) -> Passages:
+        return Passages(self)
+
+
+class Passages:
+    """What a block asks of the buckets: stretches of words whose windows have one anchor, each distinct one once."""
+
+    def __init__(self, block: Block):
+        self.at, symbol, place = block.anchored()
+        n, width = len(self.at), block.width
+        fresh = np.ones(n, bool)
+        fresh[1:] = (self.at[1:] != self.at[:-1] + 1) | (place[1:] != place[:-1])
+        start = np.flatnonzero(fresh)
+        windows = np.diff(np.append(start, n))
+        length = windows + width - 1
+        flat = np.repeat(self.at[start] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        spelt = block.levels[0].number[flat].astype("<u8") if len(flat) else np.zeros(0, "<u8")
+        ends = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
+        known = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends * 8), pa.py_buffer(spelt)]).dictionary_encode()
+        of = known.indices.to_numpy().astype(np.int64)
+        self.n = len(known.dictionary)
+        head = np.zeros(self.n, np.int64)
+        head[of[::-1]] = np.arange(len(of))[::-1]  # the first place of each distinct passage
+        self.first = np.full(self.n, np.iinfo(np.int64).max)
+        np.minimum.at(self.first, of, block.owner[self.at[start]])
+        self.windows, self.symbol = windows[head], symbol[start[head]]
+        self.spelt, self.ends, self.head = spelt, ends, head
+        # for each window: its passage, and its number among the windows of all distinct passages
+        self.of = np.repeat(of, windows)
+        base = np.cumsum(self.windows) - self.windows
+        self.number = np.repeat(base[of] - start, windows) + np.arange(n)
+        self.owner = block.owner[self.at]
+
+    def _dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+        return dealt(mix(self.symbol) % np.uint64(buckets), buckets)
+
+    def send(self, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        order, edges = self._dealt(buckets)
+        rows = []
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            own = order[edges[k] : edges[k + 1]]
+            words = np.concatenate([self.spelt[self.ends[h] : self.ends[h + 1]] for h in self.head[own].tolist()])
+            rows.append((k, block, pack(words), pack(self.windows[own]), pack(self.first[own])))
+        if rows:
+            types = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "block", "words", "windows", "first"])
+
+    def repeated(self, told_: list | None, buckets: int) -> np.ndarray:
+        """The windows whose words an earlier document has, of those in self.at."""
+        order, edges = self._dealt(buckets)
+        elsewhere = np.zeros(int(self.windows.sum()), bool)
+        base = np.cumsum(self.windows) - self.windows
+        bits = [np.unpackbits(np.frombuffer(x["earlier"], np.uint8)) for x in sorted(told_ or (), key=lambda x: x["bucket"])]
+        for k, got in zip(np.flatnonzero(np.diff(edges)).tolist(), bits, strict=True):
+            own = order[edges[k] : edges[k + 1]]
+            n = self.windows[own]
+            elsewhere[np.repeat(base[own] - np.cumsum(n) + n, n) + np.arange(n.sum())] = got[: n.sum()]
+        return self.at[elsewhere[self.number] | (self.owner > self.first[self.of])]
+
+
+def same_windows(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The number of the distinct window at each of `at`: a hash puts them in order, the words themselves are compared."""
+    h = np.zeros(len(at), np.uint64)
+    for j in range(width):
+        h = mix(h * B1 + words[at + j])
+    order = np.argsort(h, kind="stable")
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = h[order][1:] != h[order][:-1]
+    unlike = np.zeros(len(at), bool)
+    for j in range(width):
+        w = words[at + j][order]
+        unlike[1:] |= w[1:] != w[:-1]
+    if (unlike & ~fresh).any():  # one hash for two windows
+        return distinct([words[at + j] for j in range(width)])[1]
+    of = np.empty(len(at), np.int64)
+    of[order] = np.cumsum(fresh) - 1
+    return of
 
-def _meet(earlier: bool):
-    """For a bucket: tells each block its names that another block has in an earlier document.
 
-    Without `earlier`, that holds for topmost symbols alone; of anchors it tells all that another block has too.
-    """
+def _earlier(width: int):
+    """For a bucket: which windows of a block an earlier document of another block has."""
 
     def run(batch: pa.Table) -> pa.Table:
-        name = np.concatenate([unpack(x, np.uint64, True) for x in batch["name"].to_pylist()])
-        extra = np.concatenate([unpack(x, np.uint32) for x in batch["extra"].to_pylist()])
-        first, block = (np.concatenate([unpack(x, np.int64) for x in batch[c].to_pylist()]) for c in ("first", "block"))
-        _, least, of = least_by((name, extra), first)
-        told = first > least[of]
-        if not earlier:
-            told = np.where(extra > 0, told, (np.bincount(of) > 1)[of])
-        name, extra, block = name[told], extra[told], block[told]
-        order = np.lexsort((name, block))
-        edges = [0, *(np.flatnonzero(np.diff(block[order])) + 1), len(order)] if len(order) else [0]
-        parts = [order[a:b] for a, b in zip(edges, edges[1:])]
-        return pa.table(
-            [
-                pa.array([int(block[p[0]]) for p in parts], pa.int64()),
-                pa.array([pack(name[p], True) for p in parts], pa.binary()),
-                pa.array([pack(extra[p]) for p in parts], pa.binary()),
-            ],
-            names=["block", "name", "extra"],
-        )
+        words = [unpack(x, np.uint64) for x in batch["words"].to_pylist()]
+        windows = [unpack(x, np.int64) for x in batch["windows"].to_pylist()]
+        first = np.concatenate([unpack(x, np.int64) for x in batch["first"].to_pylist()])
+        n = np.concatenate(windows)
+        length = n + width - 1
+        at = np.repeat(np.cumsum(length) - length - np.cumsum(n) + n, n) + np.arange(n.sum())
+        of = same_windows(np.concatenate(words), at, width)
+        owner = np.repeat(first, n)
+        least = np.full(int(of.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, of, owner)
+        told_ = least[of] < owner
+        ends = np.cumsum([x.sum() for x in windows])
+        bits = [np.packbits(told_[e - x.sum() : e]).tobytes() for x, e in zip(windows, ends)]
+        return pa.table([batch["bucket"], batch["block"], pa.array(bits, pa.binary())], names=["bucket", "block", "earlier"])
 
     return run
 
 
-def _told(sent: DataFrame, earlier: bool) -> DataFrame:
-    """block, told: what the buckets tell each block."""
-    met = sent.groupBy("bucket").applyInArrow(_meet(earlier), "block long, name binary, extra binary")
-    return met.groupBy("block").agg(F.collect_list(F.struct("name", "extra")).alias("told"))
-
-
-def _read(told: list | None) -> tuple[np.ndarray, np.ndarray]:
-    name = [unpack(x["name"], np.uint64, True) for x in told or ()]
-    extra = [unpack(x["extra"], np.uint32) for x in told or ()]
-    return (np.concatenate(name), np.concatenate(extra)) if name else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
-
-
-def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
-    known = np.sort(known)
-    at = np.searchsorted(known, x)
-    return known[np.minimum(at, len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
-
-
-def _both_among(name: np.ndarray, extra: np.ndarray, known_name: np.ndarray, known_extra: np.ndarray) -> np.ndarray:
-    """Which pairs (name, extra) are among the known ones."""
-    out = _among(name, known_name)
-    at = np.flatnonzero(out)
-    if len(at):
-        out[at] = pa.compute.is_in(_pairs(name[at], extra[at]), _pairs(known_name, known_extra)).to_numpy(zero_copy_only=False)
-    return out
-
-
-def _full_names(names: tuple[np.ndarray, np.ndarray], at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    return window_names(names[0], at, width), window_names(names[1], at, width).astype(np.uint32)
-
-
-def _owners(batch: pa.RecordBatch, words: Words, at: np.ndarray) -> np.ndarray:
-    """doc_id of each window; -1 windows of rows without doc_id are left out by the caller."""
-    ids = batch.column("doc_id")
-    return ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[words.text[at]]
-
-
-def _tops(batch: pa.RecordBatch, words: Words, names: tuple[np.ndarray, np.ndarray], width: int):
-    """(text, name, extra, doc_id) of the texts that have a doc_id and a window: their topmost symbols."""
-    known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-    text = np.flatnonzero(known & (words.count >= width))
-    name, extra = (segments(n, words.first[text], words.first[text + 1], B2, SLICE + 1) for n in names)
-    ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-    return text, name ^ M1, extra.astype(np.uint32) | np.uint32(1), ids[text]
-
-
-def _copies(tops, told: tuple[np.ndarray, np.ndarray], n: int) -> np.ndarray:
-    """Which of n texts an earlier document has word for word."""
-    text, name, extra, ids = tops
-    _, least, of = least_by((name, extra), ids)
-    out = np.zeros(n, bool)
-    out[text] = (ids > least[of]) | _both_among(name, extra, *told)
-    return out
-
-
-def _judged(batch: pa.RecordBatch, words: Words, width: int) -> np.ndarray:
-    """Windows of rows that have a doc_id."""
-    at = words.windows(width)
-    known = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
-    return at if known.all() else at[known[words.text[at]]]
-
-
 def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     """All columns of docs, text without its repeated words, then n_words and n_removed.
 
     A word goes if a window of `width` consecutive words covers it whose words also start in a document with a
     smaller doc_id; kept words are joined by one space.  A null text has no words and becomes empty.  A row without
     doc_id is kept whole and makes no other row lose words.  Rows that repeat a doc_id are judged alike and do not
-    judge each other.  Columns of docs named n_words or n_removed are replaced.
+    judge each other.  Where docs has a column n_words or n_removed it stays, and the new one gets underscores after
+    its name.
     """
-    docs = docs.drop("n_words", "n_removed")
     where = docs.columns.index("text")
     blocks = stash(in_blocks(docs, BLOCK), "blocks")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(8, size // 24 // BUCKET)  # about one anchor in 24 bytes
-
-    def send_anchors(batches):
-        box = Outbox(buckets)
-        for rows in batches:
-            for block, data in zip(rows.column(0).to_pylist(), rows.column(1)):
-                batch = of_ipc(data.as_py())
-                words = Words(batch.column("text"))
-                names = words.names(), words.names(1)
-                at = _judged(batch, words, width)
-                name, word, _ = anchors(words, names[0], at, width)
-                (name,), first, _ = least_by((name,), _owners(batch, words, word))
-                box.add(block, name, np.zeros(len(name), np.uint32), first)
-                box.add_tops(block, _tops(batch, words, names, width))
-                if box.n >= HELD:
-                    yield box.rows()
-        if box.n:
-            yield box.rows()
-
-    def send_windows(batches):
-        box = Outbox(buckets)
+    buckets = max(8, size // 8 // BUCKET)
+    counts = [free_name(c, docs.columns) for c in ("n_words", "n_removed")]
+
+    def opened(rows: pa.RecordBatch, known: int) -> Iterator[tuple[int, int, pa.RecordBatch, Block]]:
+        for i, block in enumerate(rows.column(0).to_pylist()):
+            batch = of_ipc(rows.column(1)[i].as_py())
+            own = Block(batch, width)
+            for k in range(known):
+                own.learn(rows.column(2 + k)[i].as_py(), buckets)
+            yield i, block, batch, own
+
+    def send(known: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                for _, block, _, own in opened(rows, known):
+                    yield from own.send(block, buckets)
+
+        return run
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for block, data, told in zip(rows.column(0).to_pylist(), rows.column(1), rows.column(2)):
-                batch, told = of_ipc(data.as_py()), _read(told.as_py())
-                words = Words(batch.column("text"))
-                names = words.names(), words.names(1)
-                tops = _tops(batch, words, names, width)
-                at = _judged(batch, words, width)
-                at = at[~_copies(tops, told, len(batch))[words.text[at]]]
-                name, _, of = anchors(words, names[0], at, width)
-                at = at[_among(name, told[0])[of]]
-                keys, first, _ = least_by(_full_names(names, at, width), _owners(batch, words, at))
-                box.add(block, *keys, first)
-                box.add_tops(block, tops)
-                if box.n >= HELD:
-                    yield box.rows()
-        if box.n:
-            yield box.rows()
-
-    def drop(batches):
+            for _, block, _, own in opened(rows, ROUNDS + 1):
+                yield from own.passages().send(block, buckets)
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for data, told in zip(rows.column(1), rows.column(2)):
-                batch, told = of_ipc(data.as_py()), _read(told.as_py())
-                words = Words(batch.column("text"))
-                names = words.names(), words.names(1)
-                copy = _copies(_tops(batch, words, names, width), told, len(batch))
-                at = _judged(batch, words, width)
-                at = at[~copy[words.text[at]]]
-                name, extra = _full_names(names, at, width)
-                owner = _owners(batch, words, at)
-                _, least, of = least_by((name, extra), owner)
-                gone = at[(owner > least[of]) | _both_among(name, extra, *told)]
-                edge = np.bincount(gone, minlength=len(words.text) + 1) - np.bincount(gone + width, minlength=len(words.text) + 1)
-                removed = (np.cumsum(edge[: len(words.text)]) > 0) | copy[words.text]
+            for i, _, batch, own in opened(rows, ROUNDS + 1):
+                words, n = own.words, len(own.at)
+                gone = own.passages().repeated(rows.column(ROUNDS + 3)[i].as_py(), buckets)
+                edge = np.bincount(gone, minlength=n + 1) - np.bincount(gone + width, minlength=n + 1)
+                removed = np.zeros(len(words.text), bool)
+                removed[own.at] = np.cumsum(edge[:n]) > 0
                 n_removed = np.bincount(words.text[removed], minlength=len(batch))
-                texts = [_kept(words, k, removed if n else None) for k, n in enumerate(n_removed.tolist())]
                 columns = list(batch.columns)
-                columns[where] = pa.array(texts, pa.string())
-                yield pa.record_batch([*columns, pa.array(words.count), pa.array(n_removed)], names=[*batch.schema.names, "n_words", "n_removed"])
-
-    told = _told(blocks.mapInArrow(send_anchors, Outbox.schema), False)
-    asked = blocks.join(told, "block", "left").select("block", "docs", "told")
-    told = _told(asked.mapInArrow(send_windows, Outbox.schema), True)
-    asked = blocks.join(told, "block", "left").select("block", "docs", "told")
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return asked.mapInArrow(drop, schema)
-
-
-def _pairs(name: np.ndarray, extra: np.ndarray) -> pa.Array:
-    both = np.empty((len(name), 12), np.uint8)
-    both[:, :8], both[:, 8:] = name.view(np.uint8).reshape(-1, 8), extra.view(np.uint8).reshape(-1, 4)
-    return pa.Array.from_buffers(pa.binary(12), len(name), [None, pa.py_buffer(both.tobytes())])
+                columns[where] = pa.array([_kept(words, k, removed if m else None) for k, m in enumerate(n_removed.tolist())], pa.string())
+                yield pa.record_batch([*columns, pa.array(words.count), pa.array(n_removed)], names=[*batch.schema.names, *counts])
+
+    asked, most = blocks, 0
+    for k in range(ROUNDS + 1):
+        answer, most = told(asked.mapInArrow(send(k), SENT), buckets, f"told{k}", spelt=k == 0, base=most)
+        asked = asked.join(answer, "block", "left")
+    met = asked.mapInArrow(ask, "bucket int, block long, words binary, windows binary, first binary")
+    met = met.groupBy("bucket").applyInArrow(_earlier(width), "bucket int, block long, earlier binary")
+    asked = asked.join(met.groupBy("block").agg(F.collect_list(F.struct("bucket", "earlier")).alias("earlier")), "block", "left")
+    return asked.mapInArrow(drop, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)]))
 
 
 def _kept(words: Words, k: int, removed: np.ndarray | None) -> str:

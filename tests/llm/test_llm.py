@@ -10,11 +10,12 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from ontoloom.llm import bpe, chat, matroska, ngrams, nndescent, packing, quality, recompression, simhash, toxicity
+from ontoloom.llm import _blocks, bpe, chat, matroska, ngrams, nndescent, packing, quality, recompression, simhash, toxicity
 from ontoloom.llm._blocks import pack, unpack
 from ontoloom.llm._graph import components
 from ontoloom.llm._shared import table
@@ -262,6 +263,66 @@ def test_recompression_awkward(spark, awkward, none):
     assert recompression.remove_repeats(none).count() == 0
 
 
+def thue_morse():
+    """A word over a and b of 1,024 letters, and the one with all letters swapped: unlike, but alike to many hashes."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_only_hash_alike_stay_apart(spark):
+    one, two = thue_morse()
+    same = "the same twelve words stand before two words that are not one"
+    docs = spark.createDataFrame([(1, f"{same} {one}"), (2, f"{same} {two}")], "doc_id long, text string")
+    assert {r["n_removed"] for r in recompression.remove_repeats(docs).collect()} == {0}
+    lone = spark.createDataFrame([(1, one), (2, two)], "doc_id long, text string")
+    assert [r["log_score"] for r in ngrams.backoff_scores(lone).collect()] == pytest.approx([math.log(0.4) - math.log(2)] * 2)
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_recompression_if_all_hashes_are_alike(monkeypatch, alike):
+    """The rounds, without Spark: hashes decide where keys meet, never which are equal."""
+    if alike:
+        monkeypatch.setattr(_blocks, "mix", np.zeros_like)
+        monkeypatch.setattr(recompression, "mix", np.zeros_like)
+    rng = random.Random(6)
+    passages = [" ".join(rng.choice("abcd") + str(rng.randrange(40)) for _ in range(30)) for _ in range(3)]
+    rows = [(k, " ".join(rng.choice([*passages, "x y", f"u{k}", "a a a a a a a"]) for _ in range(6))) for k in range(24)]
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in part], "text": [r[1] for r in part]}) for part in (rows[::3], rows[1::3], rows[2::3])]
+    own, buckets, most = [recompression.Block(b, 13) for b in batches], 3, 0
+
+    def meet(sends, answer):
+        parts = [b for s in sends for b in s]
+        if not parts:
+            return []
+        sent_ = pa.Table.from_batches(parts)
+        groups = [sent_.filter(pc.equal(sent_["bucket"], k)) for k in set(sent_["bucket"].to_pylist())]
+        return [r for g in groups for r in answer(g).to_pylist()]
+
+    for k in range(recompression.ROUNDS + 1):
+        got = meet((b.send(i, buckets) for i, b in enumerate(own)), _blocks._met(k == 0, buckets, most))
+        most = max([most, *(r["most"] for r in got)])
+        for i, b in enumerate(own):
+            b.learn([r for r in got if r["block"] == i], buckets)
+    asked = [b.passages() for b in own]
+    got = meet((p.send(i, buckets) for i, p in enumerate(asked)), recompression._earlier(13))
+    for i, (b, p) in enumerate(zip(own, asked)):
+        gone = p.repeated([r for r in got if r["block"] == i], buckets)
+        removed = {int(b.at[g + j]) for g in gone for j in range(13)}
+        n = np.bincount(b.words.text[sorted(removed)], minlength=len(batches[i])) if removed else [0] * len(batches[i])
+        want = {(d, m) for d, _, m, _ in without_repeats(rows)}
+        assert {(d, int(m)) for d, m in zip(batches[i]["doc_id"].to_pylist(), n)} <= want
+    assert sum(len(p.at) for p in asked) > 0
+
+
+def test_recompression_keeps_columns_of_its_names(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "x"), (2, None, 8, "y")], "doc_id long, text string, n_words long, N_removed string")
+    out = recompression.remove_repeats(docs)
+    assert out.columns == ["doc_id", "text", "n_words", "N_removed", "n_words_", "n_removed_"]
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "a b", 7, "x", 2, 0), (2, "", 8, "y", 0, 0)]
+
+
 # Packing
 
 
