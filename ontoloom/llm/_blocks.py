@@ -15,7 +15,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -68,10 +67,14 @@ class Words:
         self.first = np.searchsorted(self.start, offsets)  # the first word of each text
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(len(texts)), self.count)
-        packed = self.bytes[~gap]
+        self.gap = gap
+
+    def spelt(self) -> tuple[np.ndarray, pa.Array]:
+        """(number of the distinct word at each place, distinct words)."""
+        packed = self.bytes[~self.gap]
         ends = np.concatenate([[0], np.cumsum(self.end - self.start)]).astype(np.int64)
-        spelt = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(packed)]).dictionary_encode()
-        self.ids, self.vocabulary = spelt.indices.to_numpy().astype(np.int64), spelt.dictionary
+        found = pa.Array.from_buffers(pa.large_binary(), len(self.start), [None, pa.py_buffer(ends), pa.py_buffer(packed)]).dictionary_encode()
+        return found.indices.to_numpy().astype(np.int64), found.dictionary
 
     def windows(self, width: int) -> np.ndarray:
         """The first words of all windows: `width` consecutive words of one text."""
@@ -116,7 +119,7 @@ def unpack(data: bytes, dtype, ascending: bool = False) -> np.ndarray:
 
 def as_ipc(batch: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 6))) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -127,7 +130,8 @@ def of_ipc(data: bytes) -> pa.RecordBatch:
 
 
 def in_blocks(docs: DataFrame, target: int) -> DataFrame:
-    """block, docs: all columns of docs, about `target` bytes of text to a row; a longer document is a block of its own."""
+    """block, docs, size, words: all columns of docs, about `target` bytes of text to a row; a longer document is a block
+    of its own.  size and words count the bytes and words of its texts."""
     where = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,7 +140,9 @@ def in_blocks(docs: DataFrame, target: int) -> DataFrame:
 
         def hand_on() -> pa.RecordBatch:
             whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            return pa.record_batch([pa.array([block]), pa.array([as_ipc(whole)], pa.binary())], names=["block", "docs"])
+            words = Words(whole.column(where))
+            columns = [pa.array([block]), pa.array([as_ipc(whole)], pa.binary()), pa.array([len(words.bytes)]), pa.array([len(words.text)])]
+            return pa.record_batch(columns, names=["block", "docs", "size", "words"])
 
         for batch in batches:
             sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(where)), 0).to_numpy(zero_copy_only=False)
@@ -154,7 +160,7 @@ def in_blocks(docs: DataFrame, target: int) -> DataFrame:
         if held:
             yield hand_on()
 
-    return docs.mapInArrow(run, "block long, docs binary")
+    return docs.mapInArrow(run, "block long, docs binary, size long, words long")
 
 
 def pack_sparse(x: np.ndarray) -> bytes:
@@ -172,10 +178,16 @@ def unpack_sparse(data: bytes) -> np.ndarray:
 
 
 def distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(first row of each distinct key in their order, number of the key of each row); a key is a row of the columns."""
+    """(a row of each distinct key in their order, number of the key of each row); a key is a row of the columns."""
     n = len(columns[0])
     varied = [c for c in columns if n and (c != c[0]).any()] or columns[:1]
-    order = np.argsort(varied[0], kind="stable") if len(varied) == 1 else np.lexsort(varied[::-1])
+    bits = [int(c.max(initial=0)).bit_length() for c in varied]
+    if len(varied) > 1 and sum(bits) <= 64:
+        whole = varied[0]
+        for c, k in zip(varied[1:], bits[1:]):
+            whole = whole << np.uint64(k) | c
+        varied = [whole]
+    order = np.argsort(varied[0]) if len(varied) == 1 else np.lexsort(varied[::-1])
     fresh = np.zeros(n, bool)
     fresh[:1] = True
     for c in varied:
@@ -216,8 +228,19 @@ def dealt(bucket: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=bucket.dtype))
 
 
+def _spelling(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(where each word starts and the last ends, bytes) of distinct words."""
+    if not len(words):
+        return np.zeros(1, np.int64), np.zeros(0, np.uint8)
+    ends = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    return ends - ends[0], np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+
+
 def word_buckets(vocabulary: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    h = np.array([xxhash.xxh3_64_intdigest(w) for w in vocabulary.to_pylist()], np.uint64)
+    ends, letters = _spelling(vocabulary)
+    place = np.arange(1, len(letters) + 1) - np.repeat(ends[:-1], np.diff(ends))
+    h = mix(letters.astype(np.uint64) + B2 * place.astype(np.uint64))
+    h = mix(np.add.reduceat(h, ends[:-1], dtype=np.uint64)) if len(h) else h  # no word is empty
     return dealt(h % np.uint64(buckets), buckets)
 
 
@@ -229,12 +252,14 @@ def sent(block: int, keys: pa.Array | list[np.ndarray], n: np.ndarray, buckets:
     """The rows in which a block sends its keys, distinct words or rows of columns."""
     spelt = isinstance(keys, pa.Array)
     order, edges = word_buckets(keys, buckets) if spelt else in_buckets(keys, buckets)
-    words = keys.take(pa.array(order)).to_pylist() if spelt else None
-    squeeze = zstandard.ZstdCompressor(level=3).compress
+    if spelt:
+        ends, letters = _spelling(keys.take(pa.array(order)))
+    squeeze = zstandard.ZstdCompressor(level=1).compress
     rows = []
     for k in np.flatnonzero(np.diff(edges)).tolist():
-        at = order[edges[k] : edges[k + 1]]
-        packed = [squeeze(b"\n".join(words[edges[k] : edges[k + 1]]))] if spelt else [pack(c[at], j == 0) for j, c in enumerate(keys)]
+        a, b = edges[k], edges[k + 1]
+        at = order[a:b]
+        packed = [pack(np.diff(ends[a : b + 1])), squeeze(letters[ends[a] : ends[b]].tobytes())] if spelt else [pack(c[at], j == 0) for j, c in enumerate(keys)]
         rows.append((k, block, packed, pack(n[at])))
     if rows:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int64(), pa.list_(pa.binary()), pa.binary()))], names=["bucket", "block", "keys", "n"])
@@ -263,10 +288,11 @@ def _met(spelt: bool, buckets: int, base: int) -> Callable[[pa.Table], pa.Table]
         keys, ns = batch["keys"].to_pylist(), [unpack(x, np.int64) for x in batch["n"].to_pylist()]
         if spelt:
             expand = zstandard.ZstdDecompressor().decompress
-            words = pa.concat_arrays([pa.array(expand(k[0]).split(b"\n"), pa.large_binary()) for k in keys]).dictionary_encode()
-            rank = np.empty(len(words.dictionary), np.int64)
-            rank[pa.compute.sort_indices(words.dictionary).to_numpy()] = np.arange(len(rank))
-            of = rank[words.indices.to_numpy()]
+            size = np.concatenate([unpack(k[0], np.int64) for k in keys])
+            letters = b"".join(expand(k[1], max_output_size=int(unpack(k[0], np.int64).sum())) for k in keys)
+            ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+            words = pa.Array.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(letters)])
+            of = words.dictionary_encode().indices.to_numpy()
         else:
             _, of = distinct([np.concatenate([unpack(k[j], np.uint64, j == 0) for k in keys]) for j in range(len(keys[0]))])
         n = np.concatenate(ns)

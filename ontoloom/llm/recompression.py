@@ -11,11 +11,14 @@ numbers stand for equal words, however hashes fall.
 
 What a symbol is called depends only on the words in its extent: its own and the
 few beside it that decided its pairing.  So equal passages carry equal symbols
-inside.  Each window of `width` words whose symbols are all shared elects the
-highest symbol that it holds as its anchor.  The words around an anchor go to
-its bucket as numbers, and there windows are compared word by word; the bucket
-tells each block which of them an earlier document of another block has.  The
-block adds the windows repeated within itself and drops their words.
+inside.  After every round a block keeps only the stretches of words whose
+windows may still repeat; what stands beside a stretch is beyond any window in
+it, so a decision that would need it counts as made outside.  In the end each
+window of `width` words elects the highest symbol that it holds as its anchor.
+The words around an anchor go to its bucket as numbers, and there windows are
+compared word by word; the bucket tells each block which of them an earlier
+document of another block has.  The block adds the windows repeated within
+itself and drops their words.
 
 A block is one row: some megabytes of whole documents, packed.
 """
@@ -31,10 +34,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._blocks import B1, B2, SENT, Words, dealt, distinct, heard, in_blocks, in_order_sent, mix, of_ipc, pack, sent, several, told, unpack
-from ._shared import free_name, stash, table
+from ._shared import free_name, stash, table, unstash
 
 #: Bytes of text in a block, about; a longer document is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Keys that meet in a bucket, about.
 BUCKET = 1 << 19
 #: Rounds that name pairs.  A symbol's extent, some four words wide after three of them, has to fit into a window.
@@ -42,92 +45,171 @@ ROUNDS = 4
 
 
 class Level:
-    """The symbols of a round, in order: number (0: one document alone has it), extent [low, high), text and run length.
+    """The symbols of a round, in order: number (0: one document alone has it), the words [start, stop) that each stands
+    for, its extent [low, high) and its run length.
 
-    Beside the end of a text, low or high lies outside of it, so that no window holds the symbol.
+    Where the end of a stretch had a part in it, low or high lies outside, so that no window holds the symbol.
     """
 
-    def __init__(self, number: np.ndarray, low: np.ndarray, high: np.ndarray, text: np.ndarray, run: np.ndarray | None = None):
-        self.number, self.low, self.high, self.text = number, low, high, text
+    def __init__(self, number: np.ndarray, start: np.ndarray, stop: np.ndarray, low: np.ndarray, high: np.ndarray, run: np.ndarray | None = None):
+        self.number, self.start, self.stop, self.low, self.high = number, start, stop, low, high
         self.run = np.ones(len(number), np.int64) if run is None else run
 
-    def runs(self) -> Level:
+    def runs(self, stretch: np.ndarray) -> Level:
         """Maximal runs of one word; each saw the words beside it.  A word without number decides nothing."""
         fresh = np.ones(len(self.number), bool)
-        fresh[1:] = (self.number[1:] != self.number[:-1]) | (self.text[1:] != self.text[:-1]) | (self.number[1:] == 0)
+        fresh[1:] = (self.number[1:] != self.number[:-1]) | (stretch[1:] != stretch[:-1]) | (self.number[1:] == 0)
         at = np.flatnonzero(fresh)
         to = np.append(at, len(fresh))[1:]
         seen = self.number[at] > 0
-        return Level(self.number[at], self.low[at] - seen, self.high[to - 1] + seen, self.text[at], to - at)
+        return Level(self.number[at], at, to, at - seen, to + seen, to - at)
 
-    def pairs(self, turn: int) -> tuple[np.ndarray, list[np.ndarray], Level]:
-        """(symbols of the next round that need a number, their keys, that round with the numbers of the others)."""
+    def pairs(self, turn: int, stretch: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], Level]:
+        """(symbols of the next round that need a number, their keys, that round with the numbers of the others).
+
+        stretch: of each word; edges: where each stretch starts, and where the last ends.
+        """
         number, run = self.number.astype(np.uint64), self.run.astype(np.uint64)
         live = self.number > 0
         right = mix(number * B1 + run * B2 + np.uint64(turn)) >> np.uint64(63) == 1
-        same = self.text[1:] == self.text[:-1]
         left, right = live & ~right, live & right
-        meet = left[:-1] & right[1:] & same
-        low, high = self.low.copy(), self.high.copy()
-        low[1:] = np.where(right[1:] & same, np.minimum(low[1:], self.low[:-1]), low[1:])  # a right saw what stands before it
-        high[:-1] = np.where(left[:-1] & same, np.maximum(high[:-1], self.high[1:]), high[:-1])
-        follower, spans = np.zeros(len(number), np.uint64), run << np.uint64(32)
+        own = stretch[self.start]
+        beside = (self.stop[:-1] == self.start[1:]) & (own[:-1] == own[1:])
+        meet = left[:-1] & right[1:] & beside
+        low, high = edges[own] - 1, edges[own + 1] + 1  # what a right saw before it, and a left after it
+        low[1:] = np.where(beside, np.minimum(self.low[1:], self.low[:-1]), low[1:])
+        high[:-1] = np.where(beside, np.maximum(self.high[:-1], self.high[1:]), high[:-1])
+        low, high = np.where(right, low, self.low), np.where(left, high, self.high)
+        follower, spans, stop = np.zeros(len(number), np.uint64), run << np.uint64(32), self.stop.copy()
         follower[:-1][meet] = number[1:][meet]
         spans[:-1][meet] |= run[1:][meet]
+        stop[:-1][meet] = self.stop[1:][meet]
         keep = ~np.insert(meet, 0, False)[: len(number)]
         new = np.flatnonzero((live & ((follower > 0) | (self.run > 1)))[keep])
         keys = [c[keep][new] for c in (number, follower, spans)]
-        return new, keys, Level(self.number[keep], low[keep], high[keep], self.text[keep])
+        return new, keys, Level(self.number[keep], self.start[keep], stop[keep], low[keep], high[keep])
+
+    def within(self, kept: np.ndarray, edges: np.ndarray, of: np.ndarray, before: np.ndarray, after: np.ndarray) -> Level:
+        """The symbols whose words are all kept.  kept counts kept words before each; of, before and after give the new
+        stretch of each old word and where new stretches started and ended; edges are the new ones."""
+        some = kept[self.stop] - kept[self.start] == self.stop - self.start
+        start, stop, low, high = (x[some] for x in (self.start, self.stop, self.low, self.high))
+        s = of[start]
+        at, to = kept[start], kept[stop]
+        low = np.where(low >= before[s], at - (start - low), edges[s] - 1)
+        high = np.where(high <= after[s], to + (high - stop), edges[s + 1] + 1)
+        return Level(self.number[some], at, to, low, high, self.run[some])
 
 
-class Block:
-    """The symbols of a block, named round by round."""
+class Spelt:
+    """The words of a block, for the round that names words."""
 
     def __init__(self, batch: pa.RecordBatch, width: int):
-        self.words, self.width = Words(batch.column("text")), width
-        judged = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) & (self.words.count >= width)
-        self.at = np.flatnonzero(judged[self.words.text])  # the words that windows cover
-        self.text = self.words.text[self.at]
-        self.owner = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)[self.text]
-        self.levels: list[Level] = []
+        words, self.width = Words(batch.column("text")), width
+        judged = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) & (words.count >= width)
+        self.at = np.flatnonzero(judged[words.text])  # the words that windows cover
+        self.text = words.text[self.at]
+        self.owner = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ids, vocabulary = words.spelt()
+        used, self.of = np.unique(ids[self.at], return_inverse=True)
+        self.vocabulary = vocabulary.take(pa.array(used))
+
+    def send(self, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
+        yield from sent(block, self.vocabulary, several(self.of, self.text, len(self.vocabulary)).astype(np.int64), buckets)
+
+    def learn(self, told_: list | None, buckets: int) -> Symbols:
+        number = heard(told_, in_order_sent(self.vocabulary, buckets))[0][self.of]
+        edges = np.append(np.flatnonzero(np.diff(self.text, prepend=-1)), len(self.text))
+        out = Symbols(self.width, number, edges, self.at[edges[:-1]], self.owner[self.text[edges[:-1]]], [])
+        return out.pruned()
+
+
+class Symbols:
+    """The symbols of a block, round by round, in the stretches of words whose windows may repeat.
+
+    number: of each word; edges: where each stretch starts, and where the last ends; at, owner: the first word of each
+    stretch in the block, and its document.
+    """
+
+    def __init__(self, width: int, number: np.ndarray, edges: np.ndarray, at: np.ndarray, owner: np.ndarray, levels: list[Level]):
+        self.width, self.edges, self.at, self.owner = width, edges, at, owner
+        self.stretch = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        n = np.arange(len(number))
+        self.levels = levels or [Level(number, n, n + 1, n, n + 1)]
+
+    def dump(self) -> bytes:
+        """As bytes: all but the first level as it is, of that the numbers alone."""
+        arrays = [self.levels[0].number, self.edges, self.at, self.owner]
+        for x in self.levels[1:]:
+            arrays += [x.number, x.start, x.stop - x.start, x.start - x.low, x.high - x.stop]
+        packed = [pack(a.astype(np.int64)) for a in arrays]
+        return b"".join(len(x).to_bytes(4, "little") + x for x in packed)
+
+    @classmethod
+    def load(cls, data: bytes, width: int) -> Symbols:
+        arrays, at = [], 0
+        while at < len(data):
+            n = int.from_bytes(data[at : at + 4], "little")
+            arrays.append(unpack(data[at + 4 : at + 4 + n], np.int64))
+            at += 4 + n
+        out = cls(width, *arrays[:4], [])
+        for number, start, size, before, after in zip(*(arrays[4 + k :: 5] for k in range(5))):
+            out.levels.append(Level(number, start, start + size, start - before, start + size + after))
+        return out
 
     def _keys(self):
-        """(text of each symbol to name, what to send for them, which of that each is), for the round that comes next."""
-        if not self.levels:
-            used, of = np.unique(self.words.ids[self.at], return_inverse=True)
-            return self.text, self.words.vocabulary.take(pa.array(used)), of
+        """(symbols to name, what to send for them, which of that each is, their round) of the round that comes next."""
         last = self.levels[-1]
-        self.new, keys, self.next = (last.runs() if len(self.levels) == 1 else last).pairs(len(self.levels))
+        if len(self.levels) == 1:
+            last = last.runs(self.stretch)
+        new, keys, level = last.pairs(len(self.levels), self.stretch, self.edges)
         first, of = distinct(keys)
-        return self.next.text[self.new], [k[first] for k in keys], of
+        return new, [k[first] for k in keys], of, level
 
     def send(self, block: int, buckets: int) -> Iterator[pa.RecordBatch]:
-        text, keys, of = self._keys()
-        yield from sent(block, keys, several(of, text, len(keys) if isinstance(keys, pa.Array) else len(keys[0])).astype(np.int64), buckets)
-
-    def learn(self, told_: list | None, buckets: int) -> None:
-        _, keys, of = self._keys()
-        number = heard(told_, in_order_sent(keys, buckets))[0][of]
-        if not self.levels:
-            n = np.arange(len(self.at))
-            self.levels.append(Level(number, n, n + 1, self.text))
-        else:
-            self.next.number[self.new] = number
-            self.levels.append(self.next)
+        new, keys, of, level = self._keys()
+        yield from sent(block, keys, several(of, self.owner_text()[self.stretch[level.start[new]]], len(keys[0])).astype(np.int64), buckets)
+
+    def owner_text(self) -> np.ndarray:
+        """A number for the document of each stretch."""
+        return np.unique(self.owner, return_inverse=True)[1]
+
+    def learn(self, told_: list | None, buckets: int) -> Symbols:
+        new, keys, of, level = self._keys()
+        level.number[new] = heard(told_, in_order_sent(keys, buckets))[0][of]
+        self.levels.append(level)
+        return self.pruned()
+
+    def _dead(self, levels: list[Level]) -> np.ndarray:
+        """Whether each window is across stretches or holds the extent of a symbol without number."""
+        n, width = len(self.stretch), self.width
+        held = np.zeros(n + 2, np.int64)
+        for x in levels:
+            alone = (x.number == 0) & (x.low >= 0) & (x.high <= n) & (x.high - x.low <= width)
+            held += np.bincount(np.maximum(x.high[alone] - width, 0), minlength=n + 2) - np.bincount(x.low[alone] + 1, minlength=n + 2)
+        m = max(0, n - width + 1)
+        return (np.cumsum(held)[:m] > 0) | (self.stretch[:m] != self.stretch[width - 1 :])
+
+    def pruned(self) -> Symbols:
+        """Without the words that no window covers whose symbols all have numbers."""
+        n, live = len(self.stretch), np.flatnonzero(~self._dead(self.levels[-1:]))
+        keep = np.cumsum((np.bincount(live, minlength=n + 1) - np.bincount(live + self.width, minlength=n + 1))[:n]) > 0
+        fresh = keep.copy()
+        fresh[1:] &= ~keep[:-1] | (self.stretch[1:] != self.stretch[:-1])
+        of, kept = np.cumsum(fresh) - 1, np.concatenate([[0], np.cumsum(keep)])
+        before = np.flatnonzero(fresh)
+        size = np.bincount(of[keep], minlength=len(before))
+        edges, old = np.concatenate([[0], np.cumsum(size)]), self.stretch[before]
+        levels = [x.within(kept, edges, of, before, before + size) for x in self.levels]
+        return Symbols(self.width, levels[0].number, edges, self.at[old] + before - self.edges[old], self.owner[old], levels)
 
     def anchored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(windows all of whose symbols are shared, the number of each one's anchor, where that stands)."""
-        n, width = len(self.at), self.width
-        whole = self.text[: max(0, n - width + 1)] == self.text[width - 1 :]
-        dead = np.zeros(n + 2, np.int64)
-        for level in self.levels:  # a symbol without number is in no window that repeats
-            alone = (level.number == 0) & (level.low >= 0) & (level.high <= n) & (level.high - level.low <= width)
-            dead += np.bincount(np.maximum(level.high[alone] - width, 0), minlength=n + 2) - np.bincount(level.low[alone] + 1, minlength=n + 2)
-        at = np.flatnonzero(whole & (np.cumsum(dead)[: len(whole)] == 0))
+        at = np.flatnonzero(~self._dead(self.levels))
         symbol, place, before = np.zeros(len(at), np.uint64), np.full(len(at), -1), 0
         for level in reversed(self.levels):
             free = np.flatnonzero(place < 0)
-            i, j = np.searchsorted(level.low, at[free]), np.searchsorted(level.high, at[free] + width, "right")
+            i, j = np.searchsorted(level.low, at[free]), np.searchsorted(level.high, at[free] + self.width, "right")
             rank = mix(level.number.astype(np.uint64) ^ B2)
             best, least = np.full(len(free), -1), np.full(len(free), np.iinfo(np.uint64).max)
             for k in range(int((j - i).max(initial=0))):
@@ -141,14 +223,11 @@ class Block:
             before += len(level.number)
         return at, symbol, place
 
-    def passages(self) -> Passages:
-        return Passages(self)
-
 
 class Passages:
     """What a block asks of the buckets: stretches of words whose windows have one anchor, each distinct one once."""
 
-    def __init__(self, block: Block):
+    def __init__(self, block: Symbols):
         self.at, symbol, place = block.anchored()
         n, width = len(self.at), block.width
         fresh = np.ones(n, bool)
@@ -165,14 +244,15 @@ class Passages:
         head = np.zeros(self.n, np.int64)
         head[of[::-1]] = np.arange(len(of))[::-1]  # the first place of each distinct passage
         self.first = np.full(self.n, np.iinfo(np.int64).max)
-        np.minimum.at(self.first, of, block.owner[self.at[start]])
+        np.minimum.at(self.first, of, block.owner[block.stretch[self.at[start]]])
         self.windows, self.symbol = windows[head], symbol[start[head]]
         self.spelt, self.ends, self.head = spelt, ends, head
         # for each window: its passage, and its number among the windows of all distinct passages
         self.of = np.repeat(of, windows)
         base = np.cumsum(self.windows) - self.windows
         self.number = np.repeat(base[of] - start, windows) + np.arange(n)
-        self.owner = block.owner[self.at]
+        own = block.stretch[self.at]
+        self.owner, self.place = block.owner[own], block.at[own] + self.at - block.edges[own]
 
     def _dealt(self, buckets: int) -> tuple[np.ndarray, np.ndarray]:
         return dealt(mix(self.symbol) % np.uint64(buckets), buckets)
@@ -189,7 +269,7 @@ class Passages:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["bucket", "block", "words", "windows", "first"])
 
     def repeated(self, told_: list | None, buckets: int) -> np.ndarray:
-        """The windows whose words an earlier document has, of those in self.at."""
+        """The first words, in the block, of the windows whose words an earlier document has."""
         order, edges = self._dealt(buckets)
         elsewhere = np.zeros(int(self.windows.sum()), bool)
         base = np.cumsum(self.windows) - self.windows
@@ -198,7 +278,7 @@ class Passages:
             own = order[edges[k] : edges[k + 1]]
             n = self.windows[own]
             elsewhere[np.repeat(base[own] - np.cumsum(n) + n, n) + np.arange(n.sum())] = got[: n.sum()]
-        return self.at[elsewhere[self.number] | (self.owner > self.first[self.of])]
+        return self.place[elsewhere[self.number] | (self.owner > self.first[self.of])]
 
 
 def same_windows(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
@@ -252,53 +332,55 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     its name.
     """
     where = docs.columns.index("text")
-    blocks = stash(in_blocks(docs, BLOCK), "blocks")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(8, size // 8 // BUCKET)
     counts = [free_name(c, docs.columns) for c in ("n_words", "n_removed")]
+    blocks = stash(in_blocks(docs, BLOCK), "blocks")
+    size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    blocks, buckets = blocks.select("block", "docs"), max(8, size // 8 // BUCKET)
 
-    def opened(rows: pa.RecordBatch, known: int) -> Iterator[tuple[int, int, pa.RecordBatch, Block]]:
-        for i, block in enumerate(rows.column(0).to_pylist()):
-            batch = of_ipc(rows.column(1)[i].as_py())
-            own = Block(batch, width)
-            for k in range(known):
-                own.learn(rows.column(2 + k)[i].as_py(), buckets)
-            yield i, block, batch, own
+    def over(rows: DataFrame, schema: str, f) -> DataFrame:
+        """What f(block, packed, told) gives for every row of rows(block, packed, told or nothing)."""
 
-    def send(known: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for rows in batches:
-                for _, block, _, own in opened(rows, known):
-                    yield from own.send(block, buckets)
-
-        return run
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for _, block, _, own in opened(rows, ROUNDS + 1):
-                yield from own.passages().send(block, buckets)
-
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for i, _, batch, own in opened(rows, ROUNDS + 1):
-                words, n = own.words, len(own.at)
-                gone = own.passages().repeated(rows.column(ROUNDS + 3)[i].as_py(), buckets)
-                edge = np.bincount(gone, minlength=n + 1) - np.bincount(gone + width, minlength=n + 1)
-                removed = np.zeros(len(words.text), bool)
-                removed[own.at] = np.cumsum(edge[:n]) > 0
-                n_removed = np.bincount(words.text[removed], minlength=len(batch))
-                columns = list(batch.columns)
-                columns[where] = pa.array([_kept(words, k, removed if m else None) for k, m in enumerate(n_removed.tolist())], pa.string())
-                yield pa.record_batch([*columns, pa.array(words.count), pa.array(n_removed)], names=[*batch.schema.names, *counts])
-
-    asked, most = blocks, 0
-    for k in range(ROUNDS + 1):
-        answer, most = told(asked.mapInArrow(send(k), SENT), buckets, f"told{k}", spelt=k == 0, base=most)
-        asked = asked.join(answer, "block", "left")
-    met = asked.mapInArrow(ask, "bucket int, block long, words binary, windows binary, first binary")
+            for batch in batches:
+                for row in zip(batch.column(0).to_pylist(), batch.column(1), *(c for c in batch.columns[2:])):
+                    yield from f(row[0], row[1].as_py(), *(x.as_py() for x in row[2:]))
+
+        return rows.mapInArrow(run, schema)
+
+    def state(block: int, symbols: Symbols) -> Iterator[pa.RecordBatch]:
+        if len(symbols.stretch):
+            yield pa.record_batch([pa.array([block]), pa.array([symbols.dump()], pa.binary())], names=["block", "state"])
+
+    def drop(block: int, data: bytes, gone: bytes | None) -> Iterator[pa.RecordBatch]:
+        batch, gone = of_ipc(data), unpack(gone, np.int64) if gone else np.zeros(0, np.int64)
+        words = Words(batch.column("text"))
+        n = len(words.text)
+        removed = np.cumsum(np.bincount(gone, minlength=n + 1) - np.bincount(gone + width, minlength=n + 1))[:n] > 0
+        n_removed = np.bincount(words.text[removed], minlength=len(batch))
+        columns = list(batch.columns)
+        columns[where] = pa.array([_kept(words, k, removed if m else None) for k, m in enumerate(n_removed.tolist())], pa.string())
+        yield pa.record_batch([*columns, pa.array(words.count), pa.array(n_removed)], names=[*batch.schema.names, *counts])
+
+    spelt = lambda data: Spelt(of_ipc(data), width)
+    answer, most = told(over(blocks, SENT, lambda k, data: spelt(data).send(k, buckets)), buckets, "words", spelt=True)
+    heard_ = blocks.join(answer, "block").select("block", "docs", "words")
+    states = stash(over(heard_, "block long, state binary", lambda k, data, t: state(k, spelt(data).learn(t, buckets))), "state")
+    for turn in range(ROUNDS):
+        keys = over(states, SENT, lambda k, data: Symbols.load(data, width).send(k, buckets))
+        answer, most = told(keys, buckets, f"round{turn}", base=most)
+        heard_, last = states.join(answer, "block", "left").select("block", "state", f"round{turn}"), states
+        learnt = lambda k, data, t: state(k, Symbols.load(data, width).learn(t, buckets))
+        states = stash(over(heard_, "block long, state binary", learnt), "state")
+        unstash(last)
+    passages = lambda data: Passages(Symbols.load(data, width))
+    met = over(states, "bucket int, block long, words binary, windows binary, first binary", lambda k, data: passages(data).send(k, buckets))
     met = met.groupBy("bucket").applyInArrow(_earlier(width), "bucket int, block long, earlier binary")
-    asked = asked.join(met.groupBy("block").agg(F.collect_list(F.struct("bucket", "earlier")).alias("earlier")), "block", "left")
-    return asked.mapInArrow(drop, T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)]))
+    answer = met.groupBy("block").agg(F.collect_list(F.struct("bucket", "earlier")).alias("earlier"))
+    heard_ = states.join(answer, "block").select("block", "state", "earlier")
+    as_row = lambda k, x: iter([pa.record_batch([pa.array([k]), pa.array([pack(x)], pa.binary())], names=["block", "gone"])])
+    gone = over(heard_, "block long, gone binary", lambda k, data, t: as_row(k, passages(data).repeated(t, buckets)))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
+    return over(blocks.join(gone, "block", "left").select("block", "docs", "gone"), schema, drop)
 
 
 def _kept(words: Words, k: int, removed: np.ndarray | None) -> str:
