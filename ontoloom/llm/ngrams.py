@@ -26,7 +26,7 @@ from ._blocks import SENT, Words, columns_of, distinct, heard, in_blocks, in_ord
 from ._shared import stash, table
 
 #: Bytes of text in a block, about; keys that meet in a bucket of a count table, about.
-BLOCK, BUCKET = 4 << 20, 1 << 19
+BLOCK, BUCKET = 2 << 20, 1 << 19
 #: What a step back costs.
 ALPHA = 0.4
 
@@ -37,12 +37,13 @@ class Block:
     def __init__(self, batch: pa.RecordBatch, order: int):
         self.words = Words(batch.column("text"), lower=True)
         self.text, self.order = self.words.text, order
+        self.ids, self.vocabulary = self.words.spelt()
         self.elsewhere: dict[int, np.ndarray] = {}  # by order: for each word, how often the k-gram ending there occurs elsewhere
 
     def grams(self, k: int, bits: int):
         """(last words of the k-grams that may occur elsewhere, what to send for them, which of that each is)."""
         if k == 1:
-            return np.arange(len(self.text)), self.words.vocabulary, self.words.ids
+            return np.arange(len(self.text)), self.vocabulary, self.ids
         shorter = self.elsewhere[k - 1]
         at = np.flatnonzero(self.text[: max(0, len(self.text) - k + 1)] == self.text[k - 1 :])
         at = at[(shorter[at + k - 2] > 0) & (shorter[at + k - 1] > 0)]
@@ -95,8 +96,8 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> Dat
     """
     docs = docs.select("doc_id", "text")
     blocks = stash(in_blocks(docs, BLOCK), "blocks")
-    sums = (F.octet_length("text"), F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))
-    size, total = docs.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in sums)).first()
+    size, total = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "words"))).first()
+    blocks = blocks.select("block", "docs")
     buckets = max(8, size // 8 // BUCKET)
 
     def opened(rows: pa.RecordBatch, known: int, bits: int) -> Iterator[tuple[int, pa.RecordBatch, Block]]:
