@@ -5,9 +5,11 @@ A shallow tree, fitted on a bounded sample, cuts the space into shards: at every
 node the distance to the vantage point decides the side.  A fingerprint lives
 in one shard and visits each later shard that its ball of `radius` may reach,
 by the triangle bound.  In a shard the tree goes on, with vantage points of its
-own, down to leaves that are compared in full.  A shard returns a spanning
-forest of its links instead of all pairs, so a large group of near copies stays
-small; the forests are joined by components().
+own, down to leaves that are compared in full.  A shard that the sample finds to
+be large is compared in parts: every part of those that live there with every
+part of those that live there or visit.  A task returns a spanning forest of its
+links instead of all pairs, so a large group of near copies stays small; the
+forests are joined by components().
 """
 
 from __future__ import annotations
@@ -23,13 +25,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ._blocks import mix
 from ._graph import components, spanning_forest
 from ._shared import stash, table
 
 #: Distinct fingerprints on which the shards are fitted, at most.
 SAMPLE = 65_536
-#: Distinct fingerprints that live in a shard, about, and the most shards.
-PER_SHARD, MOST_SHARDS = 2048, 512
+#: Distinct fingerprints that live in a shard, about, and that live in or visit a part of a shard, about.
+PER_SHARD, PER_PART = 8192, 1 << 18
+#: Points of the sample that a shard is fitted on, at least.
+FITTED = 16
 #: A leaf inside a shard; pairs held before they are thinned to a forest; cells compared at once.
 LEAF, PAIRS, CELLS = 256, 1 << 20, 1 << 18
 #: Shingles whose bits are counted at once.
@@ -146,13 +151,15 @@ def near_pairs(lives: np.ndarray, visits: np.ndarray, radius: int) -> Iterator[t
         todo += [(own[d_own <= at], asked[d <= at + radius]), (own[d_own > at], asked[d > at - radius])]
 
 
-def forest(lives: np.ndarray, visits: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links of a shard, as fingerprints."""
+def forest(lives: np.ndarray, visits: np.ndarray, radius: int, inner: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links between lives and visits, and among lives if `inner`, as fingerprints."""
     points = np.concatenate([lives, visits])
     held, n = [], 0
-    for pair in near_pairs(lives, visits, radius):
-        held.append(pair)
-        n += len(pair[0])
+    for a, b in near_pairs(lives, visits, radius):
+        if not inner:
+            a, b = a[b >= len(lives)], b[b >= len(lives)]
+        held.append((a, b))
+        n += len(a)
         if n > PAIRS:
             held = [spanning_forest(*map(np.concatenate, zip(*held)), len(points))]
             n = 0
@@ -163,24 +170,42 @@ def forest(lives: np.ndarray, visits: np.ndarray, radius: int) -> tuple[np.ndarr
 def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
     """a, b: links among the distinct fingerprints (fp) that connect exactly what lies within `radius`."""
     n = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp")).select("fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64)
-    tree = ShardTree(sample.view(np.uint64), min(MOST_SHARDS, -(-n // PER_SHARD)), radius)
+    sample = distinct.orderBy(F.xxhash64("fp")).select("fp").limit(SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    tree = ShardTree(sample, min(-(-n // PER_SHARD), max(1, len(sample) // FITTED)), radius)
+    parts = np.ones((tree.shards, 2), np.int64)  # of those that live in each shard, and of those that visit it
+    for shard, lives, visits in tree.route(sample):
+        parts[shard] = [max(1, -(-len(x) * n // (len(sample) * PER_PART))) for x in (lives, visits)]
+
+    def tasks(shard: int, lives: np.ndarray, visits: np.ndarray) -> Iterator[tuple[tuple[int, int, int], np.ndarray, np.ndarray]]:
+        """((shard, part of lives, part they meet), lives, visits): from 0 on for parts of visits, below 0 for parts of lives."""
+        m, k = parts[shard].tolist()
+        own, other = mix(lives) % np.uint64(m), mix(visits) % np.uint64(k)
+        none = lives[:0]
+        for p in range(m):
+            for q in range(k):
+                yield (shard, p, q), lives[own == p], visits[other == q]
+            for q in range(p + 1, m):
+                yield (shard, p, -q), lives[own == p], none
+                yield (shard, p, -q), none, lives[own == q]
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[list, list]] = defaultdict(lambda: ([], []))
+        held: dict[tuple[int, int, int], tuple[list, list]] = defaultdict(lambda: ([], []))
         n = 0
 
         def hand_on() -> pa.RecordBatch:
-            rows = [(k, *(b"".join(x.tobytes() for x in part) for part in v)) for k, v in held.items()]
-            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "lives", "visits"])
+            rows = [(*k, *(b"".join(x.tobytes() for x in part) for part in v)) for k, v in held.items()]
+            types = (*[pa.int32()] * 3, pa.binary(), pa.binary())
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["shard", "part", "met", "lives", "visits"])
 
         for batch in batches:
             points = batch.column(0).to_numpy().view(np.uint64)
             for k in range(0, len(points), 1 << 14):
-                for shard, lives, visits in tree.route(points[k : k + (1 << 14)]):
-                    held[shard][0].append(lives)
-                    held[shard][1].append(visits)
-                    n += len(lives) + len(visits)
+                for at in tree.route(points[k : k + (1 << 14)]):
+                    for key, lives, visits in tasks(*at):
+                        if len(lives) or len(visits):
+                            held[key][0].append(lives)
+                            held[key][1].append(visits)
+                            n += len(lives) + len(visits)
                 if n > HELD:
                     yield hand_on()
                     held.clear()
@@ -189,11 +214,11 @@ def links(distinct: DataFrame, radius: int = 4) -> DataFrame:
             yield hand_on()
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = forest(*(np.frombuffer(b"".join(pdf[c]), np.uint64) for c in ("lives", "visits")), radius)
+        a, b = forest(*(np.frombuffer(b"".join(pdf[c]), np.uint64) for c in ("lives", "visits")), radius, pdf["met"].iloc[0] == 0)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    routed = distinct.select("fp").mapInArrow(route, "shard int, lives binary, visits binary")
-    return routed.groupBy("shard").applyInPandas(compare, "a long, b long")
+    routed = distinct.select("fp").mapInArrow(route, "shard int, part int, met int, lives binary, visits binary")
+    return routed.groupBy("shard", "part", "met").applyInPandas(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFrame:
@@ -205,10 +230,16 @@ def near_duplicates(docs: DataFrame, width: int = 4, radius: int = 4) -> DataFra
     """
     rows = stash(fingerprints(docs, width), "simhash")
     distinct = stash(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    root = components(links(distinct, radius)).select(F.col("node").alias("fp"), "root")
-    member = stash(distinct.join(root, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "simhash-members")
-    least = member.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = member.join(least, "root").select("fp", "component_id")
+    # A fingerprint is known by its first doc_id, so that the smallest node of a component names it; one without any by
+    # a number after all of them.
+    last = distinct.agg(F.max("first")).first()[0] or 0
+    node = F.coalesce("first", F.monotonically_increasing_id() + F.lit(last + 1))
+    distinct = stash(distinct.select("fp", node.alias("node")), "simhash-nodes")
+    near = links(distinct, radius)
+    near = near.join(distinct.select(F.col("fp").alias("a"), F.col("node").alias("x")), "a").join(distinct.select(F.col("fp").alias("b"), F.col("node").alias("y")), "b")
+    root = components(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    of = distinct.join(root, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    of = of.withColumn("component_id", F.when(F.col("component_id") <= last, F.col("component_id")))
     return rows.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -229,6 +260,5 @@ def keep_least(docs: DataFrame, near: DataFrame) -> DataFrame:
     return known.select(docs.columns).union(docs.where("doc_id is null"))
 
 
-
 def op2_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
