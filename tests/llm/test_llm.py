@@ -123,6 +123,31 @@ def test_simhash_equals_brute_force(spark):
     assert bag(simhash.near_duplicates(docs).collect(), "doc_id", "fingerprint", "component_id") == linked(rows)
 
 
+def test_simhash_of_shards_in_parts(spark, monkeypatch):
+    """Many shards, each in several parts of those that live there and of those that visit."""
+    monkeypatch.setattr(simhash, "PER_SHARD", 150)
+    monkeypatch.setattr(simhash, "PER_PART", 60)
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 400, np.uint64)
+    near = [b ^ np.uint64(1 << int(i) | 1 << int(j)) for b in base[:200] for i, j in rng.integers(0, 64, (3, 2))]
+    points = np.unique(np.concatenate([base, np.array(near, np.uint64)]))
+    df = spark.createDataFrame([(int(x),) for x in points.view(np.int64)], "fp long").repartition(3)
+    got = [tuple(r) for r in simhash.links(df).collect()]
+    rows = [(int(x), int(np.int64(x).view(np.uint64))) for x in points.view(np.int64)]
+    root = {d: d for d, _ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in got:
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    want = linked(rows)
+    assert Counter((d, f"{h:016x}", find(d)) for d, h in rows) == want and len({c for _, _, c in want}) > 100
+
+
 def test_simhash_by_definition():
     import xxhash
 
@@ -290,7 +315,8 @@ def test_recompression_if_all_hashes_are_alike(monkeypatch, alike):
     passages = [" ".join(rng.choice("abcd") + str(rng.randrange(40)) for _ in range(30)) for _ in range(3)]
     rows = [(k, " ".join(rng.choice([*passages, "x y", f"u{k}", "a a a a a a a"]) for _ in range(6))) for k in range(24)]
     batches = [pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in part], "text": [r[1] for r in part]}) for part in (rows[::3], rows[1::3], rows[2::3])]
-    own, buckets, most = [recompression.Block(b, 13) for b in batches], 3, 0
+    own, buckets, most = [recompression.Spelt(b, 13) for b in batches], 3, 0
+    words = [_blocks.Words(b["text"]) for b in batches]
 
     def meet(sends, answer):
         parts = [b for s in sends for b in s]
@@ -303,17 +329,17 @@ def test_recompression_if_all_hashes_are_alike(monkeypatch, alike):
     for k in range(recompression.ROUNDS + 1):
         got = meet((b.send(i, buckets) for i, b in enumerate(own)), _blocks._met(k == 0, buckets, most))
         most = max([most, *(r["most"] for r in got)])
-        for i, b in enumerate(own):
-            b.learn([r for r in got if r["block"] == i], buckets)
-    asked = [b.passages() for b in own]
+        own = [b.learn([r for r in got if r["block"] == i], buckets) for i, b in enumerate(own)]
+        own = [recompression.Symbols.load(b.dump(), 13) for b in own]
+    asked = [recompression.Passages(b) for b in own]
     got = meet((p.send(i, buckets) for i, p in enumerate(asked)), recompression._earlier(13))
-    for i, (b, p) in enumerate(zip(own, asked)):
+    want = {d: m for d, _, m, _ in without_repeats(rows)}
+    for i, p in enumerate(asked):
         gone = p.repeated([r for r in got if r["block"] == i], buckets)
-        removed = {int(b.at[g + j]) for g in gone for j in range(13)}
-        n = np.bincount(b.words.text[sorted(removed)], minlength=len(batches[i])) if removed else [0] * len(batches[i])
-        want = {(d, m) for d, _, m, _ in without_repeats(rows)}
-        assert {(d, int(m)) for d, m in zip(batches[i]["doc_id"].to_pylist(), n)} <= want
-    assert sum(len(p.at) for p in asked) > 0
+        removed = sorted({int(g + j) for g in gone for j in range(13)})
+        n = np.bincount(words[i].text[removed], minlength=len(batches[i])) if removed else [0] * len(batches[i])
+        assert {d: want[d] for d in batches[i]["doc_id"].to_pylist()} == dict(zip(batches[i]["doc_id"].to_pylist(), map(int, n)))
+    assert sum(want.values()) > 0
 
 
 def test_recompression_keeps_columns_of_its_names(spark):
@@ -378,24 +404,44 @@ def test_encoder_gives_ids_of_tokenizers(tokenizer):
 # Chat
 
 
-def test_chat_reads_back(spark):
+def formatted(turns):
+    """(examples, digests) of the conversations, in plain Python."""
+    convs, rows, out = {}, [], Counter()
+    for k, t in enumerate(turns):
+        convs.setdefault((t[0], k if t[0] is None else None), []).append(t)
+    for (conv, _), own in convs.items():
+        own.sort(key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
+        text, loss, chars, n = "", "", 0, 0
+        for k, (_, _, role, said) in enumerate(own):
+            role, said = role or "", said or ""
+            before = text + "### " + re.sub(r"([\\\\#<:])", r"\\\1", role) + ":\n"
+            reply = re.sub(r"([\\\\#<])", r"\\\1", said)
+            text = before + reply + "</turn>\n"
+            target, last = role == "assistant", k == len(own) - 1
+            if target or last:
+                rows.append((conv, n if target else None, text, len(before) if target else None, len(before + reply) if target else None, last))
+                chars += len(text)
+            if target:
+                loss, n = loss + said, n + 1
+        said = "".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in own)
+        out[conv, len(own), hashlib.sha256(said.encode()).hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), chars] += 1
+    return Counter(rows), out
+
+
+def test_chat_expands_and_reads_back(spark, monkeypatch):
     turns = [
         (1, 0, "system", "a"), (1, 1, "user", "### user:\n</turn>\n\\"), (1, 2, "assistant", "\\### Assistant: </turn> ok"), (1, 3, "assistant", "b"), (1, 4, "user", ""),
-        (2, 1, None, None), (2, None, "user", "first"), (3, 0, "role:\n#<", "😀" * 3), (None, 0, "assistant", None), (4, 0, "user", "x"), (4, 0, "user", "x"),
+        (2, 1, None, None), (2, None, "user", "first"), (3, 0, "role:\n#<", "😀" * 3), (None, 0, "assistant", None), (None, 0, "user", "lone"), (4, 0, "user", "x"), (4, 0, "user", "x"),
+        *((5, k, ("user", "assistant")[k % 2], f"turn {k} " * 40) for k in range(300)), (6, 0, "assistant", "z" * 200_000), (6, 1, "assistant", "y"),
     ]
-    df = spark.createDataFrame([(*t, 1, "c") for t in turns], "conv_id long, turn long, role string, text string, seq int, piece string")
-    got = {r["conv_id"]: r for r in chat.read_back(chat.expand(df)).collect()}
-    assert set(got) == {1, 2, 3, 4, None}
-    for conv, r in got.items():
-        own = sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1] is not None, t[1] or 0, t[2] or "", t[3] or ""))
-        said = "".join(f"{t[2] or ''}\n{t[3] or ''}\n" for t in own)
-        loss = "".join(t[3] or "" for t in own if t[2] == "assistant")
-        assert (r["n_turns"], r["turns_sha256"]) == (len(own), hashlib.sha256(said.encode()).hexdigest())
-        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    examples = chat.whole(chat.expand(df)).where("conv_id = 1").orderBy("example").collect()
-    assert len(examples) == 2 and examples[1]["text"].startswith(examples[0]["text"])
-    assert [chat.ESCAPED.sub(r"\1", e["text"][e["loss_start"] : e["loss_end"]]) for e in examples] == [turns[2][3], "b"]
-    assert chat.read_back(chat.expand(df.where("false"))).count() == 0
+    df = spark.createDataFrame([(*t, 1, "c") for t in turns], "conv_id long, turn long, role string, text string, seq int, piece string").repartition(5)
+    rows, digests = formatted(turns)
+    got = chat.examples(df)
+    assert bag(got.collect(), "conv_id", "example", "text", "loss_start", "loss_end", "last") == rows
+    assert Counter(tuple(r) for r in chat.read_back(got).collect()) == digests
+    assert chat.examples(df.where("false")).count() == chat.read_back(chat.examples(df.where("false"))).count() == 0
+    with pytest.raises(ValueError):
+        chat.turns_of("### user:\nno end")
 
 
 # Classifiers
@@ -467,22 +513,37 @@ def test_nn_descent_equals_brute_force(spark):
     assert nndescent.near_duplicates(df.where("false")).count() == 0
 
 
+def test_nn_descent_of_a_dense_cluster(spark, monkeypatch):
+    """More vectors in reach of each other than a list or a block holds: as many links as brute force counts."""
+    monkeypatch.setattr(nndescent, "BLOCK", 200)
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.standard_normal(32) + 0.25 * rng.standard_normal((700, 32)), rng.standard_normal((50, 32))])
+    x = np.concatenate([x, x[:40], x[:20] + 0.01 * rng.standard_normal((20, 32))])
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = x @ x.T >= 0.93
+    assert 0.2 < hit[:700, :700].mean() < 0.9
+    got = {r["vec_id"]: r["n_links"] for r in nndescent.near_duplicates(df).collect()}
+    assert got == dict(enumerate((hit.sum(1) - 1).tolist()))
+
+
 def test_nn_descent_fails_if_links_stay_unseen(spark, monkeypatch):
     """A search that finds nothing of its own is not saved by what the audits add to its graph."""
     rng = np.random.default_rng(8)
-    x = np.repeat(rng.standard_normal((700, 64)), 2, axis=0) + 0.04 * rng.standard_normal((1400, 64))
-    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
-    none = spark.createDataFrame([], "id long, nbr long, sim double")
+    x = np.repeat(rng.standard_normal((7000, 16)), 2, axis=0) + 0.04 * rng.standard_normal((14000, 16))
+    df = spark.createDataFrame([(k, v.tolist(), 0) for k, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    none = lambda nodes, k, turn=0: nndescent.stash(spark.createDataFrame([], "id long, nbr long, sim double"), "none")
     monkeypatch.setattr(nndescent, "balls", lambda units, half_angle: units.select("rid", F.col("rid").alias("pid"), F.lit(0.0).alias("angle")))
-    monkeypatch.setattr(nndescent, "neighbour_graph", lambda nodes, k, graph=None, turn=0: none if graph is None else graph)
-    with pytest.raises(RuntimeError, match="neighbours in reach"):
+    monkeypatch.setattr(nndescent, "neighbour_graph", none)
+    monkeypatch.setattr(nndescent, "PASSES", 2)
+    with pytest.raises(RuntimeError, match="pairs in reach"):
         nndescent.near_duplicates(df)
 
 
 def test_nn_descent_introduces_long_lists():
     v = np.random.default_rng(9).standard_normal((600, 8)).astype(np.float32)
-    rows = [(1, k, x.tobytes(), -2.0, True, 100.0) for k, x in enumerate(v)]
-    batch = pa.RecordBatch.from_pylist([dict(zip(("c", "m", "v", "kth", "fresh", "reach"), r)) for r in rows])
+    rows = [(1, k, x.tobytes(), -2.0, True, k) for k, x in enumerate(v)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("c", "m", "v", "kth", "fresh", "group"), r)) for r in rows])
     got = {(r["id"], r["nbr"]) for b in nndescent._introduce(3)(iter([batch])) for r in b.to_pylist()}
     sim = v @ v.T
     np.fill_diagonal(sim, -np.inf)
@@ -491,10 +552,11 @@ def test_nn_descent_introduces_long_lists():
 
 def test_nn_descent_audits_other_nodes(spark):
     v = [np.array([1.0, k / 1e6], np.float32).tobytes() for k in range(2000)]
-    nodes = spark.createDataFrame([(k, f"g{k // 2}", x, 0.5) for k, x in enumerate(v)], "id long, grp string, v binary, reach double")
-    recall, missed = nndescent.audit(nodes, nodes.sparkSession.createDataFrame([], "id long, nbr long, sim double"))
+    nodes = spark.createDataFrame([(k, f"g{k // 2}", x, 0.0, k) for k, x in enumerate(v)], "id long, grp string, v binary, radius double, group long")
+    recall, missed = nndescent.audit(nodes, 0.3)
     assert recall == 0 and missed.count() == nndescent.AUDITED
-    assert nndescent.audit(nodes, missed, 1)[0] < nndescent.RECALL
+    joined = nodes.join(missed.select("id", "nbr"), "id", "left").withColumn("group", F.least("id", F.coalesce("nbr", "id")))
+    assert nndescent.audit(joined.drop("nbr"), 0.3, 1)[0] < nndescent.RECALL
 
 
 # Media
