@@ -32,16 +32,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import from_arrow_type
 
 from ._blocks import B1, B2, SENT, Words, dealt, distinct, heard, in_blocks, in_order_sent, mix, of_ipc, pack, sent, several, told, unpack
-from ._shared import free_name, stash, table, unstash
+from ._shared import free_name, stash, stash_by, table, unstash
 
 #: Bytes of text in a block, about; a longer document is a block of its own.
 BLOCK = 2 << 20
 #: Keys that meet in a bucket, about.
 BUCKET = 1 << 19
-#: Rounds that name pairs.  A symbol's extent, some four words wide after three of them, has to fit into a window.
-ROUNDS = 4
+#: Rounds that name pairs.  A symbol's extent, some four or five words wide after three of them, has to fit into a window.
+ROUNDS = 3
+
+
+#: What a row of a state holds for the next exchange, but the block: keys, or the passages around anchors.
+KEYS = pa.struct([("bucket", pa.int32()), ("keys", pa.list_(pa.binary())), ("n", pa.binary())])
+PASSAGES = pa.struct([("bucket", pa.int32()), *((c, pa.binary()) for c in ("words", "windows", "first"))])
 
 
 class Level:
@@ -333,11 +339,11 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
     """
     where = docs.columns.index("text")
     counts = [free_name(c, docs.columns) for c in ("n_words", "n_removed")]
-    blocks = stash(in_blocks(docs, BLOCK), "blocks")
+    blocks = stash_by(in_blocks(docs, BLOCK), "block", "blocks")
     size = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     blocks, buckets = blocks.select("block", "docs"), max(8, size // 8 // BUCKET)
 
-    def over(rows: DataFrame, schema: str, f) -> DataFrame:
+    def over(rows: DataFrame, schema: str | T.StructType, f) -> DataFrame:
         """What f(block, packed, told) gives for every row of rows(block, packed, told or nothing)."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,9 +353,13 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
 
         return rows.mapInArrow(run, schema)
 
-    def state(block: int, symbols: Symbols) -> Iterator[pa.RecordBatch]:
+    def state(block: int, symbols: Symbols, out: Iterator[pa.RecordBatch], fields: pa.StructType) -> Iterator[pa.RecordBatch]:
+        """The symbols of a block, and what it sends in the next exchange, as one row."""
+        sends = [pa.StructArray.from_arrays([x.column(f.name) for f in fields], fields=list(fields)) for x in out]
         if len(symbols.stretch):
-            yield pa.record_batch([pa.array([block]), pa.array([symbols.dump()], pa.binary())], names=["block", "state"])
+            rows = pa.concat_arrays([pa.array([], fields), *sends])
+            row = [pa.array([block]), pa.array([symbols.dump()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)]
+            yield pa.record_batch(row, names=["block", "state", "out"])
 
     def drop(block: int, data: bytes, gone: bytes | None) -> Iterator[pa.RecordBatch]:
         batch, gone = of_ipc(data), unpack(gone, np.int64) if gone else np.zeros(0, np.int64)
@@ -361,24 +371,35 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
         columns[where] = pa.array([_kept(words, k, removed if m else None) for k, m in enumerate(n_removed.tolist())], pa.string())
         yield pa.record_batch([*columns, pa.array(words.count), pa.array(n_removed)], names=[*batch.schema.names, *counts])
 
-    spelt = lambda data: Spelt(of_ipc(data), width)
-    answer, most = told(over(blocks, SENT, lambda k, data: spelt(data).send(k, buckets)), buckets, "words", spelt=True)
-    heard_ = blocks.join(answer, "block").select("block", "docs", "words")
-    states = stash(over(heard_, "block long, state binary", lambda k, data, t: state(k, spelt(data).learn(t, buckets))), "state")
-    for turn in range(ROUNDS):
-        keys = over(states, SENT, lambda k, data: Symbols.load(data, width).send(k, buckets))
-        answer, most = told(keys, buckets, f"round{turn}", base=most)
-        heard_, last = states.join(answer, "block", "left").select("block", "state", f"round{turn}"), states
-        learnt = lambda k, data, t: state(k, Symbols.load(data, width).learn(t, buckets))
-        states = stash(over(heard_, "block long, state binary", learnt), "state")
-        unstash(last)
-    passages = lambda data: Passages(Symbols.load(data, width))
-    met = over(states, "bucket int, block long, words binary, windows binary, first binary", lambda k, data: passages(data).send(k, buckets))
-    met = met.groupBy("bucket").applyInArrow(_earlier(width), "bucket int, block long, earlier binary")
+    def learnt(turn: int):
+        """A round: what the buckets told the block, and its symbols and keys after that; after the last, its passages."""
+
+        def run(block: int, data: bytes, told_: list | None) -> Iterator[pa.RecordBatch]:
+            before = Spelt(of_ipc(data), width) if not turn else Symbols.load(data, width)
+            symbols = before.learn(told_, buckets)
+            if turn == ROUNDS:
+                yield from state(block, symbols, Passages(symbols).send(block, buckets), PASSAGES)
+            else:
+                yield from state(block, symbols, symbols.send(block, buckets), KEYS)
+
+        return run
+
+    keys = over(blocks, SENT, lambda block, data: Spelt(of_ipc(data), width).send(block, buckets))
+    at, most, last = blocks.withColumnRenamed("docs", "state"), 0, None
+    for turn in range(ROUNDS + 1):
+        answer, most = told(keys, buckets, f"round{turn}", spelt=not turn, base=most)
+        fields = from_arrow_type(pa.list_(PASSAGES if turn == ROUNDS else KEYS))
+        schema = T.StructType().add("block", "long").add("state", "binary").add("out", fields)
+        rows = stash(over(at.join(answer, "block", "left").select("block", "state", f"round{turn}"), schema, learnt(turn)), "state")
+        if last:
+            unstash(last)
+        at, last = rows.select("block", "state"), rows
+        keys = rows.select("block", F.explode("out").alias("out")).select("block", "out.*")
+    met = keys.groupBy("bucket").applyInArrow(_earlier(width), "bucket int, block long, earlier binary")
     answer = met.groupBy("block").agg(F.collect_list(F.struct("bucket", "earlier")).alias("earlier"))
-    heard_ = states.join(answer, "block").select("block", "state", "earlier")
+    heard_ = at.join(answer, "block").select("block", "state", "earlier")
     as_row = lambda k, x: iter([pa.record_batch([pa.array([k]), pa.array([pack(x)], pa.binary())], names=["block", "gone"])])
-    gone = over(heard_, "block long, gone binary", lambda k, data, t: as_row(k, passages(data).repeated(t, buckets)))
+    gone = over(heard_, "block long, gone binary", lambda k, data, t: as_row(k, Passages(Symbols.load(data, width)).repeated(t, buckets)))
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
     return over(blocks.join(gone, "block", "left").select("block", "docs", "gone"), schema, drop)
 
