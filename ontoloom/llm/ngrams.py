@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._blocks import SENT, Words, columns_of, distinct, heard, in_blocks, in_order_sent, of_ipc, sent, several, told
-from ._shared import stash, table
+from ._shared import stash_by, table
 
 #: Bytes of text in a block, about; keys that meet in a bucket of a count table, about.
 BLOCK, BUCKET = 2 << 20, 1 << 19
@@ -95,7 +95,7 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> Dat
     over one word more than they hold.  Without words (null or empty text) it is zero.  Other columns are not read.
     """
     docs = docs.select("doc_id", "text")
-    blocks = stash(in_blocks(docs, BLOCK), "blocks")
+    blocks = stash_by(in_blocks(docs, BLOCK), "block", "blocks")
     size, total = blocks.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("size", "words"))).first()
     blocks = blocks.select("block", "docs")
     buckets = max(8, size // 8 // BUCKET)
