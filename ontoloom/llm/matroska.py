@@ -281,6 +281,16 @@ def parse(data: bytes) -> Media:
     return Media(packets, len(places), found, duration * scale / 1e6)
 
 
+def checked(data: bytes | None) -> tuple[Media | None, str | None]:
+    """(what parse() gives, null) or (null, what is wrong with the file)."""
+    if data is None:
+        return None, "no media"
+    try:
+        return parse(data), None
+    except (ValueError, IndexError, TypeError) as e:
+        return None, f"{type(e).__name__}: {e}"
+
+
 def payload_of(data: bytes, media: Media) -> bytes:
     return b"".join([data[p.offset : p.offset + p.size] for p in media.packets])
 
@@ -336,38 +346,49 @@ def store(docs: DataFrame, lacing: str = "fixed") -> DataFrame:
 
 
 def packets(stored: DataFrame) -> DataFrame:
-    """The packet table of all files in the column media: one row for each frame, in order of the file."""
+    """The packet table of all files in the column media: one row for each frame, in order of the file.
+
+    A null or broken file has one row, of nulls but for doc_id and error, which says what is wrong; error is null in all
+    other rows.  A file without packets has none.  Repeated rows stay repeated; other columns are not read.
+    """
 
     def run(batches):
         def rows():
             for batch in batches:
                 for doc, data in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    if (data := data.as_py()) is not None:
-                        yield from ((doc, k, *p) for k, p in enumerate(parse(data).packets))
+                    media, error = checked(data.as_py())
+                    if media is None:
+                        yield (doc, *[None] * (1 + len(Packet._fields)), error)
+                    else:
+                        yield from ((doc, k, *p, None) for k, p in enumerate(media.packets))
 
-        types = [pa.int64()] * 6 + [pa.bool_(), pa.string(), pa.int64()]
-        return _sliced(rows(), ["doc_id", "packet", *Packet._fields], types, lambda r: 80)
+        types = [pa.int64()] * 6 + [pa.bool_(), pa.string(), pa.int64(), pa.string()]
+        return _sliced(rows(), ["doc_id", "packet", *Packet._fields, "error"], types, lambda r: 80)
 
     return stored.select("doc_id", "media").mapInArrow(
-        run, "doc_id long, packet long, track long, timestamp_ms long, offset long, size long, keyframe boolean, lacing string, cluster long"
+        run, "doc_id long, packet long, track long, timestamp_ms long, offset long, size long, keyframe boolean, lacing string, cluster long, error string"
     )
 
 
 def read_back(stored: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media, payload, feature: the samples that the packets of each file hold."""
+    """doc_id, n_bytes, media, payload, feature, error: the samples that the packets of each file hold.
+
+    For a null or broken file payload and feature are null and error says what is wrong.
+    """
 
     def run(batches):
         def rows():
             for batch in batches:
                 for doc, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                    data = data.as_py()
-                    payload = payload_of(data, media := parse(data))
-                    yield doc, n, data, payload, features_of(media, payload)
+                    media, error = checked(data := data.as_py())
+                    payload = payload_of(data, media) if media else None
+                    yield doc, n, data, payload, features_of(media, payload) if media else None, error
 
-        names, types = ["doc_id", "n_bytes", "media", "payload", "feature"], [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
-        return _sliced(rows(), names, types, lambda r: len(r[2]) + len(r[3]))
+        names = ["doc_id", "n_bytes", "media", "payload", "feature", "error"]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.string(), pa.string()]
+        return _sliced(rows(), names, types, lambda r: len(r[2] or b"") + len(r[3] or b""))
 
-    return stored.mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, feature string")
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, feature string, error string")
 
 
 def digest(back: DataFrame) -> DataFrame:

@@ -378,6 +378,43 @@ def test_packing(spark, awkward, none, tokenizer):
     assert packing.pack_documents(none, PATH).count() == 0
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_packing_under_binding_capacities(spark, tokenizer, rule):
+    """Many short documents: the number of documents or the cost binds before the tokens do."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(rng.choice(["one", "two", "three"]) for _ in range(rng.randint(1, 12)))) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    most = packing.pack_documents(docs, PATH, rule=rule).groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("t")).collect()
+    assert max(r["n"] for r in most) == packing.DOCUMENTS and max(r["t"] for r in most) < 1024
+    cheap = packing.pack_documents(docs, PATH, documents=None, cost=2000, rule=rule).collect()
+    check_packing(cheap, rows, tokenizer)
+    costs = Counter()
+    for r in cheap:
+        costs[r["sequence_id"]] += r["length"] ** 2
+    assert max(costs.values()) <= 2000 and len(costs) <= 1.2 * sum(costs.values()) / 2000 + 1
+
+
+def first_fit(lengths, capacity):
+    """Bins of first-fit decreasing, one piece at a time."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        at = next((k for k, r in enumerate(rooms) if r >= n), None)
+        if at is None:
+            rooms.append(capacity)
+            at = len(rooms) - 1
+        rooms[at] -= n
+    return len(rooms)
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_fit_needs_no_more_bins_than_first_fit(rule):
+    rng = random.Random(5)
+    for k in range(6):
+        lengths = [min(1024, 1 + int(rng.lognormvariate(5, 1 + k / 6))) for _ in range(1500)]
+        bins = sum(c.bins for c in packing.fit(Counter(lengths), (1024, 1024, 1024**2), rule=rule))
+        assert -(-sum(lengths) // 1024) <= bins <= first_fit(lengths, 1024) * 1.01 + 1
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 @pytest.mark.parametrize("capacity", [(100, 100, 10_000), (100, 3, 10_000), (100, 100, 2_500)])
 def test_fit_keeps_every_capacity(rule, capacity):
@@ -603,3 +640,30 @@ def test_media_rows(spark, awkward, none):
     assert bag(got, "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32") == want
     assert matroska.packets(matroska.store(awkward.where("doc_id = 1"))).count() == 1
     assert matroska.digest(matroska.read_back(matroska.store(none))).count() == 0
+
+
+def test_null_and_broken_media(spark):
+    """Files cut at every length and files with a byte changed: a row with an error, or what the rest of it still says."""
+    whole = matroska.write(bytes(range(192)) * 2)
+    rng = random.Random(12)
+    broken = [whole[:n] for n in range(len(whole))]
+    for _ in range(400):
+        k = rng.randrange(len(whole))
+        broken.append(whole[:k] + bytes([rng.randrange(256)]) + whole[k + 1 :])
+    for data in broken:
+        media, error = matroska.checked(data)
+        assert (media is None) == (error is not None)
+    stored = spark.createDataFrame([(1, 384, whole), (2, 5, None), (3, 384, whole[:-7]), (4, None, b"")], "doc_id long, n_bytes long, media binary")
+    got = {r["doc_id"]: r for r in matroska.read_back(stored).collect()}
+    assert bytes(got[1]["payload"]) == bytes(range(192)) * 2 and got[1]["error"] is None
+    assert got[2]["error"] == "no media" and got[2]["payload"] is None and got[3]["error"] and got[3]["feature"] is None
+    frames = Counter((r["doc_id"], r["packet"] is None, r["error"] is None) for r in matroska.packets(stored).collect())
+    assert frames[1, False, True] == 2 and frames[2, True, False] == frames[3, True, False] == 1
+    assert {r["doc_id"] for r in matroska.digest(matroska.read_back(stored)).collect()} == {1, 2, 3, 4}
+
+
+def test_packing_of_clashing_columns(spark):
+    cut = packing.pieces(spark.createDataFrame([(1, "a b c"), (2, None)], "doc_id long, text string"), PATH)
+    more = cut.withColumn("rank", F.lit("x")).withColumn("before", F.lit(1)).withColumn("n", F.lit(None).cast("int"))
+    got = packing.pack(more).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 2] and {(r["rank"], r["before"], r["n"]) for r in got} == {("x", 1, None)}
