@@ -9,12 +9,11 @@ of one table entry for each feature and pair.
 
 from __future__ import annotations
 
-import re
 import zlib
-from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,9 +24,10 @@ from ._shared import split_of, table
 PER_CLASS = 10_000
 BINS, COARSE, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, LEAVES, LEAST = 48, 12, 240, 120, 6, 0.08, 4, 5
 
-_WORD = re.compile(r"\S+")
-_MARKED = re.compile(r"[^\w\s.,;:'’\-]")
-_TAIL = re.compile(r"[^\w\s]{2,}$")
+#: Punctuation that is no mark, and what ends sentences.
+MILD, STOPS = [ord(c) for c in ".,;:'’-"], [ord(c) for c in ".!?"]
+#: Bytes that are packed in one go.
+PIECE = 1 << 20
 
 FEATURES = [
     "log_words", "distinct", "top_share", "top3_share", "repeats", "longest_run", "repeated_pairs", "word_length", "length_spread",
@@ -36,89 +36,102 @@ FEATURES = [
 ]
 
 
-def features(text: str) -> list[float]:
-    """The features of one text, all zero without words."""
-    words: Counter[str] = Counter()
-    pairs: set[tuple[str, str]] = set()
-    lines: Counter[str] = Counter()
-    letters: set[str] = set()
-    n = run = longest = repeats = length = squares = short = caps = upper = marks = marked = tailed = digits = alpha = pipes = stops = chars = packed = 0
-    before = None
-    for piece in tr.pieces(text):
-        own = _WORD.findall(piece)
-        n += len(own)
-        low = [w.lower() for w in own]
-        words.update(low)
-        for w in low:
-            if w == before:
-                repeats += 1
-                run += 1
-                longest = max(longest, run)
-            else:
-                run = 1
-            before = w
-        pairs.update(zip(low, low[1:]))
-        sizes = np.array([len(w) for w in own], np.int64)
-        length, squares, short = length + int(sizes.sum()), squares + int((sizes * sizes).sum()), short + int((sizes <= 3).sum())
-        caps += sum(1 for w in own if len(w) > 1 and w.isupper())
-        tailed += sum(1 for w in own if _TAIL.search(w)) if _TAIL.search(piece) or _MARKED.search(piece) else 0
-        found = _MARKED.findall(piece)
-        marks += len(found)
-        marked += sum(1 for w in own if _MARKED.search(w)) if found else 0
-        pipes += piece.count("|")
-        lines.update(x.strip() for x in piece.splitlines() if x.strip())
-        code = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
-        chars += len(code)
-        digits += int(((code >= 48) & (code <= 57)).sum())
-        upper += int(((code >= 65) & (code <= 90) | (code >= 192) & (code <= 222)).sum())
-        alpha += int(((code | 32) >= 97).sum() - ((code | 32) > 122).sum() + (code >= 192).sum())
-        letters.update(map(int, np.unique(code)))
-        stops += piece.count(".") + piece.count("!") + piece.count("?")
-        raw = piece.encode()
-        packed += len(zlib.compress(raw, 1)) / max(1, len(raw)) * len(piece)
-    if not n:
-        return [0.0] * len(FEATURES)
-    top = words.most_common(3)
-    mean = length / n
-    n_lines = sum(lines.values())
-    return [
-        np.log1p(n), len(words) / n**0.9, top[0][1] / n, sum(k for _, k in top) / n, repeats / n, np.log1p(longest), 1 - len(pairs) / max(1, n - 1), mean,
-        max(0.0, squares / n - mean * mean) ** 0.5, short / n, upper / max(1, alpha), caps / n, marks / chars, marked / n, tailed / n, digits / chars, alpha / chars,
-        pipes / n, np.log1p(n_lines), 1 - len(lines) / max(1, n_lines), n / max(1, n_lines), n / (stops + 1), packed / chars, np.log1p(len(letters)),
-    ]
+def features(texts: pa.Array) -> np.ndarray:
+    """One row for each text, all zero without words.
+
+    Words are what white space separates, small letters for capitals where they are told apart; lines are stretches of
+    words without a line feed between them.  Marks are neither white space nor of words nor common punctuation.
+    """
+    t, k = tr.Letters(texts), tr.kinds()
+    n, m = np.maximum(t.count, 1), len(t.start)
+    chars = np.maximum(np.diff(t.ends), 1)
+    per_doc = lambda kind: t.per_doc(k[kind][t.codes])
+    words = t.strings(k["small"][t.codes], t.start, t.end).dictionary_encode().indices.to_numpy().astype(np.uint64)
+    doc = t.doc.astype(np.uint64)
+    kind, each = np.unique(doc << np.uint64(32) | words, return_counts=True)
+    owner = (kind >> np.uint64(32)).astype(np.int64)
+    order = np.lexsort((-each, owner))
+    rank = np.arange(len(order)) - np.searchsorted(owner, owner)  # owners are in order already
+    best = [np.bincount(owner[order][rank < j], each[order][rank < j], t.n) for j in (1, 3)]
+    same = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
+    start, length = tr.runs(words, doc)
+    longest = np.zeros(t.n)
+    np.maximum.at(longest, t.doc[start[length > 1]], length[length > 1])
+    beside = np.flatnonzero(doc[1:] == doc[:-1])
+    if m:
+        of = np.searchsorted(kind, doc << np.uint64(32) | words)  # the distinct words of each text
+        pairs = np.unique(of[beside].astype(np.uint64) << np.uint64(32) | words[beside + 1])
+        pairs = np.bincount(owner[(pairs >> np.uint64(32)).astype(np.int64)], minlength=t.n)
+    else:
+        pairs = np.zeros(t.n)
+    size = (t.end - t.start).astype(float)
+    mean = t.sums(size) / n
+    mark = ~k["word"][t.codes] & ~k["space"][t.codes] & ~np.isin(t.codes, MILD)
+    marks = t.per_word(mark)
+    outside = ~k["word"][t.codes]
+    last = t.end - 1
+    tailed = (size > 1) & outside[last] & outside[np.maximum(last - 1, 0)] if m else np.zeros(0, bool)
+    capitals = (size > 1) & (t.per_word(k["upper"][t.codes]) > 0) & (t.per_word(k["lower"][t.codes]) == 0)
+    alpha = np.maximum(per_doc("letter"), 1)
+    # lines: words of one text with no line feed between them
+    feeds = np.concatenate([[0], np.cumsum(t.codes == 10)])[t.start]
+    at, run = tr.runs(feeds, t.doc)
+    lines = t.strings(t.codes, t.start[at], t.end[at + run - 1]).dictionary_encode().indices.to_numpy().astype(np.uint64)
+    n_lines = np.bincount(t.doc[at], minlength=t.n)
+    kinds_of = np.bincount((np.unique(doc[at] << np.uint64(32) | lines) >> np.uint64(32)).astype(np.int64), minlength=t.n)
+    stops = t.per_doc(np.isin(t.codes, STOPS))
+    letters = np.zeros((t.n, 256), bool)
+    letters[np.repeat(np.arange(t.n), np.diff(t.at)), np.frombuffer(t.raw, np.uint8)] = True
+    packed = np.array([_deflated(t.raw[a:b]) for a, b in zip(t.at[:-1], t.at[1:])])
+    x = np.stack([
+        np.log1p(t.count), np.bincount(owner, minlength=t.n) / n**0.9, best[0] / n, best[1] / n, np.bincount(t.doc[1:][same], minlength=t.n) / n, np.log1p(longest),
+        1 - pairs / np.maximum(t.count - 1, 1), mean, np.sqrt(np.maximum(t.sums(size * size) / n - mean * mean, 0)), t.sums(size <= 3) / n,
+        per_doc("upper") / alpha, t.sums(capitals) / n, t.per_doc(mark) / chars, t.sums(marks > 0) / n, t.sums(tailed) / n, per_doc("digit") / chars,
+        per_doc("letter") / chars, t.per_doc(t.codes == 124) / n, np.log1p(n_lines), 1 - kinds_of / np.maximum(n_lines, 1), n / np.maximum(n_lines, 1),
+        n / (stops + 1), packed, np.log1p(letters.sum(1)),
+    ], 1).reshape(t.n, len(FEATURES))
+    x[t.count == 0] = 0
+    return x
+
+
+def _deflated(raw: memoryview) -> float:
+    """The size of a text when packed, relative to its own, piece by piece."""
+    sizes = [(len(zlib.compress(raw[k : k + PIECE], 1)), len(raw[k : k + PIECE])) for k in range(0, len(raw), PIECE)]
+    return sum(a for a, _ in sizes) / max(1, sum(b for _, b in sizes))
 
 
 class Gam:
     """Lookup tables over binned features and pairs of them."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None):
         d = x.shape[1]
         self.edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, BINS + 1)[1:-1])) if len(x) else np.zeros(0) for j in range(d)]
         self.coarse = [e[:: max(1, -(-len(e) // COARSE))] for e in self.edges]
         self.tables = [np.zeros(len(e) + 1) for e in self.edges]
         self.pairs: list[tuple[int, int]] = []
         self.pair_tables: list[np.ndarray] = []
-        n, ones = len(y), float(y.sum())
-        self.base = float(np.log((ones + 1) / (n - ones + 1)))
-        if not 0 < ones < n:
+        w = np.ones(len(y)) if w is None else w
+        ones, all_ = float((w * y).sum()), float(w.sum())
+        self.base = float(np.log((ones + 1) / (all_ - ones + 1)))
+        if not 0 < y.sum() < len(y):
             return
         cells = self._cells(x, self.edges)
-        f = np.full(n, self.base)
+        f = np.full(len(y), self.base)
         for _ in range(ROUNDS):
             for j in range(d):
                 p = 1 / (1 + np.exp(-f))
-                step = RATE * shallow(np.bincount(cells[j], y - p, len(self.tables[j])), np.bincount(cells[j], p * (1 - p), len(self.tables[j])), np.bincount(cells[j], minlength=len(self.tables[j])))
+                step = RATE * shallow(np.bincount(cells[j], w * (y - p), len(self.tables[j])), np.bincount(cells[j], w * p * (1 - p), len(self.tables[j])), np.bincount(cells[j], minlength=len(self.tables[j])))
                 self.tables[j] += step
                 f += step[cells[j]]
         cells = self._cells(x, self.coarse)
         p = 1 / (1 + np.exp(-f))
-        gains = sorted(((self._gain(cells, a, b, y - p, p * (1 - p)), a, b) for a, b in combinations(range(d), 2)), reverse=True)
+        gains = sorted(((self._gain(cells, a, b, w * (y - p), w * p * (1 - p)), a, b) for a, b in combinations(range(d), 2)), reverse=True)
         self.pairs = [(a, b) for _, a, b in gains[:PAIRS]]
         self.pair_tables = [np.zeros((len(self.coarse[a]) + 1, len(self.coarse[b]) + 1)) for a, b in self.pairs]
         for _ in range(PAIR_ROUNDS):
             for k, (a, b) in enumerate(self.pairs):
                 p = 1 / (1 + np.exp(-f))
-                step = RATE * self._quarters(cells, a, b, y - p, p * (1 - p))
+                step = RATE * self._quarters(cells, a, b, w * (y - p), w * p * (1 - p))
                 self.pair_tables[k] += step
                 f += step[cells[a], cells[b]]
 
@@ -195,8 +208,8 @@ def shallow(g: np.ndarray, h: np.ndarray, n: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int = PER_CLASS) -> Gam:
     """A model of labels.quality, learned from the labelled documents that `learnable` admits."""
     sample = tr.labelled(labels, "quality", learnable, per_class)
-    _, x, y = tr.matrix(tr.feature_rows(tr.with_labels(docs, sample), lambda: features), len(FEATURES))
-    return Gam(x, y)
+    _, x, y, w = tr.matrix(tr.feature_rows(tr.with_labels(docs, sample), lambda: features, len(FEATURES)), len(FEATURES))
+    return Gam(x, y, w)
 
 
 def classify(docs: DataFrame, model: Gam, threshold: float = 0.7) -> DataFrame:

@@ -11,11 +11,11 @@ the other half, so the trees see lexicon hits as they will be on new texts.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,8 +25,8 @@ from ._shared import split_of, stash, table
 #: Labelled rows of each class that the model is fitted on, at most, and entries of the lexicon, at most.
 PER_CLASS, ENTRIES = 10_000, 4096
 TREES, DEPTH, RATE, BINS, LEAST = 120, 3, 0.1, 64, 8
-#: Words from a hit to a word of the second person, at most; words kept looked up in a Python worker.
-NEAR, CACHE = 6, 200_000
+#: Words from a hit to a word of the second person, at most.
+NEAR = 6
 
 #: Words of the second person in the languages of the corpus.
 SECOND_PERSON = frozenset(
@@ -35,7 +35,9 @@ SECOND_PERSON = frozenset(
 #: Signs that stand for letters.
 DISGUISES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"})
 
-_TOKEN = re.compile(r"\S+")
+#: Signs that may stand between letters.
+SIGNS = [ord(c) for c in "@$!|€*#.-_"]
+
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DRAWN = re.compile(r"(.)\1{2,}")
 _INNER = re.compile(r"[^\W\d_][\d@$!|€*#.\-_]+[^\W\d_]")
@@ -53,14 +55,30 @@ def terms(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
 
 
-def bare(token: str) -> str:
+def bare_of(token: str) -> str:
     """The letters of a token as written, lower case."""
     return "".join(_LETTERS.findall(token)).lower()
 
 
 def undisguised(token: str) -> str:
     """The letters that a token stands for: signs read as letters, drawn-out letters once."""
-    return _DRAWN.sub(r"\1", bare(token.strip(".,;:!?\"'()").translate(DISGUISES)))
+    return _DRAWN.sub(r"\1", bare_of(token.strip(".,;:!?\"'()").translate(DISGUISES)))
+
+
+def spelt(word: str) -> bytes:
+    """A word as Letters.strings() gives it."""
+    return word.encode("utf-32-le")
+
+
+def bare_words(t: tr.Letters) -> pa.DictionaryArray:
+    """The letters of each word, small, as binary of four bytes each."""
+    k = tr.kinds()
+    return t.strings(k["small"][t.codes], t.start, t.end, k["letter"][t.codes]).dictionary_encode()
+
+
+def beginning(words: pa.Array, k: int) -> pa.Array:
+    """The first k letters of each word."""
+    return pa.compute.binary_slice(words, 0, 4 * k)
 
 
 class Features:
@@ -68,93 +86,133 @@ class Features:
 
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
-        self.known: dict[str, tuple] = {}
-
-    def _look(self, token: str) -> tuple:
-        """(word strength, stem strength, second person, disguised, hit only undisguised, word) of a token."""
-        get = self.lexicon.get
-        word = bare(token)
-        own = get(word, 0.0)
-        stem = max((get(t, 0.0) for t in terms(word)[1:]), default=0.0)
-        plain = undisguised(token)
-        odd = plain != word and bool(_INNER.search(token) or _DRAWN.search(token))
-        hidden = max((get(t, 0.0) for t in terms(plain)), default=0.0) if odd and not own and not stem else 0.0
-        out = (own, stem, word in SECOND_PERSON, odd, hidden, word)
-        if len(self.known) >= CACHE:
-            self.known.clear()
-        if len(token) < 64:
-            self.known[token] = out
-        return out
-
-    def __call__(self, text: str) -> list[float]:
-        n = caps = alpha = upper = marks = bangs = odd = hidden = drawn = spaced = second = near = length = chars = 0
-        hits = stems = 0
-        strength = stem_strength = strongest = 0.0
-        kinds: set[str] = set()
-        last_hit = last_you = -NEAR - 1
-        known, look = self.known.get, self._look
-        for piece in tr.pieces(text):
-            for k, token in enumerate(_TOKEN.findall(piece), n):
-                own, stem, you, is_odd, under, word = known(token) or look(token)
-                if you:
-                    second += 1
-                    last_you = k
-                    near += k - last_hit <= NEAR
-                if own or stem or under:
-                    best = max(own, stem, under)
-                    hits += own > 0
-                    stems += stem > 0
-                    hidden += under > 0
-                    strength += own
-                    stem_strength += max(stem, under)
-                    strongest = max(strongest, best)
-                    kinds.add(word[:5])
-                    near += k - last_you <= NEAR
-                    last_hit = k
-                odd += is_odd
-            else:
-                n = k + 1 if _TOKEN.search(piece) else n
-            code = np.frombuffer(piece.encode("utf-32-le"), np.uint32)
-            chars += len(code)
-            big = (code >= 65) & (code <= 90) | (code >= 192) & (code <= 222)
-            upper += int(big.sum())
-            alpha += int(((code | 32) >= 97).sum() - ((code | 32) > 122).sum() + (code >= 192).sum())
-            space = code <= 32
-            length += int((~space).sum())
-            caps += int((big[1:] & big[:-1]).sum())
-            marks += int(((code >= 33) & (code <= 47) | (code >= 58) & (code <= 64)).sum())
-            bangs += piece.count("!") + piece.count("?")
-            drawn += sum(1 for _ in _DRAWN.finditer(piece))
-            for m in _SPACED.finditer(piece):
-                word = bare(m[0].translate(DISGUISES))
-                got = max(self.lexicon.get(t, 0.0) for t in terms(word))
-                spaced += got > 0
-                strongest = max(strongest, got)
-        m = max(n, 1)
-        return [
-            np.log1p(n), float(hits), hits / m, float(len(kinds)), strongest, strength / m, float(stems), stems / m, stem_strength / m, near / m,
-            second / m, upper / max(1, alpha), caps / max(1, alpha), marks / max(1, chars), bangs / m, odd / m, float(hidden), float(spaced), drawn / m, length / m,
-        ]
+        self.tables = []  # for words and each length of beginnings: (terms, log odds and 0 for others)
+        for k in (0, *STEMS):
+            own = {t: v for t, v in lexicon.items() if (t.endswith("*") and len(t) == k + 1) == bool(k) and (k or not t.endswith("*"))}
+            self.tables.append((pa.array([spelt(t.rstrip("*")) for t in own], pa.large_binary()), np.array([*own.values(), 0.0])))
+        self.second = pa.array([spelt(w) for w in sorted(SECOND_PERSON)], pa.large_binary())
+
+    def _odds(self, words: pa.Array, table: int) -> np.ndarray:
+        terms, odds = self.tables[table]
+        at = pa.compute.index_in(words, terms).fill_null(len(odds) - 1).to_numpy(zero_copy_only=False)
+        return odds[at]
+
+    def __call__(self, texts: pa.Array) -> np.ndarray:
+        t, k = tr.Letters(texts), tr.kinds()
+        n, m = np.maximum(t.count, 1), len(t.start)
+        code, outer = t.codes, np.zeros(len(t.codes) + 1, bool)
+        outer[t.ends] = True  # a text starts here
+        bare = bare_words(t)
+        of, kinds_ = bare.indices.to_numpy().astype(np.int64), bare.dictionary
+        size = pa.compute.binary_length(kinds_).to_numpy(zero_copy_only=False) // 4
+        own = self._odds(kinds_, 0)
+        stem = np.zeros(len(size))
+        for j, length in enumerate(STEMS, 1):
+            stem = np.maximum(stem, np.where(size > length, self._odds(beginning(kinds_, length), j), 0))
+        own, stem = own[of], stem[of]
+        second = pa.compute.is_in(kinds_, self.second).to_numpy(zero_copy_only=False).astype(bool)[of]
+
+        # disguises: only words with a sign after a letter, or three of a kind, are looked at one by one
+        sign = np.isin(code, SIGNS) | k["digit"][code]
+        letter = k["letter"][code]
+        after = np.zeros(len(code), bool)
+        after[1:] = sign[1:] & letter[:-1] & ~outer[1:-1]
+        thrice = np.zeros(len(code), bool)
+        thrice[2:] = (t.full[2:] == t.full[1:-1]) & (t.full[1:-1] == t.full[:-2]) & ~outer[2:-1] & ~outer[1:-2] & (code[2:] != 10)
+        odd, hidden = np.zeros(m, bool), np.zeros(m)
+        for w in np.flatnonzero((t.per_word(after) > 0) | (t.per_word(thrice) > 0)).tolist():
+            token = t.full[t.start[w] : t.end[w]].tobytes().decode("utf-32-le")
+            plain = undisguised(token)
+            if plain != bare_of(token) and (_INNER.search(token) or _DRAWN.search(token)):
+                odd[w] = True
+                if not own[w] and not stem[w]:
+                    hidden[w] = max((self.lexicon.get(x, 0.0) for x in terms(plain)), default=0.0)
+
+        # hits, and how near the last one and the last word of the second person are
+        hit = (own > 0) | (stem > 0) | (hidden > 0)
+        place = np.arange(m)
+        head = t.first[:-1][t.doc]
+        near = np.zeros(t.n)
+        for asked, other, strict in ((second, hit, True), (hit, second, False)):
+            last = np.maximum.accumulate(np.where(other, place, -NEAR - 1)) if m else place
+            if strict:  # not the word itself
+                last = np.concatenate([[-NEAR - 1], last[:-1]])
+            close = asked & (last >= head) & (place - last <= NEAR)
+            near += t.sums(close)
+        start = np.flatnonzero(hit)
+        kind = beginning(kinds_, 5).dictionary_encode().indices.to_numpy().astype(np.uint64)[of[start]] if len(start) else np.zeros(0, np.uint64)
+        kind = np.unique(t.doc[start].astype(np.uint64) << np.uint64(32) | kind) >> np.uint64(32)
+        strongest = np.zeros(t.n)
+        best = np.maximum(np.maximum(own, stem), hidden)
+        np.maximum.at(strongest, t.doc[start], best[start])
+
+        # letters set apart: only texts where words of lone letters follow each other are searched
+        solid = np.zeros(len(code), bool)
+        character = k["word"][code] & (code != 95)
+        solid[1:] = character[1:] & character[:-1] & ~outer[1:-1]
+        lone = (t.per_word(solid) == 0) & (t.per_word(character) > 0)
+        at, length = tr.runs(lone, t.doc)
+        total = np.concatenate([[0], np.cumsum(t.per_word(character))])
+        some = lone[at] & (total[at + length] - total[at] >= 4)
+        spaced = np.zeros(t.n)
+        for a, run in zip(at[some].tolist(), length[some].tolist()):
+            d = t.doc[a]
+            for found in _SPACED.finditer(t.full[t.start[a] : t.end[a + run - 1]].tobytes().decode("utf-32-le")):
+                word = bare_of(found[0].translate(DISGUISES))
+                got = max(self.lexicon.get(x, 0.0) for x in terms(word))
+                spaced[d] += got > 0
+                strongest[d] = max(strongest[d], got)
+
+        big = k["upper"][code]
+        both = np.zeros(len(code), bool)
+        both[1:] = big[1:] & big[:-1] & ~outer[1:-1]
+        drawn = thrice.copy()
+        drawn[1:] &= ~thrice[:-1]
+        alpha, chars = np.maximum(t.per_doc(letter), 1), np.maximum(np.diff(t.ends), 1)
+        ascii_marks = (code >= 33) & (code <= 47) | (code >= 58) & (code <= 64)
+        hits, stems = t.sums(own > 0), t.sums(stem > 0)
+        return np.stack([
+            np.log1p(t.count), hits, hits / n, np.bincount(kind.astype(np.int64), minlength=t.n), strongest, t.sums(own) / n, stems, stems / n,
+            t.sums(np.where(hit, np.maximum(stem, hidden), 0)) / n, near / n, t.sums(second) / n, t.per_doc(big) / alpha, t.per_doc(both) / alpha,
+            t.per_doc(ascii_marks) / chars, t.per_doc((code == 33) | (code == 63)) / n, t.sums(odd) / n, t.sums(hidden > 0), spaced, t.per_doc(drawn) / n,
+            t.per_doc(~k["space"][code]) / n,
+        ], 1).reshape(t.n, len(FEATURES))
 
 
 def lexicons(rows: DataFrame) -> list[dict[str, float]]:
     """Lexicons of rows(doc_id, text, y): of each half by doc_id, and of all.
 
-    A document counts once for a term; at most ENTRIES terms with the highest weight stay.
+    A document counts once for a term; at most ENTRIES terms with the highest weight stay.  A term has 3 to 39
+    characters, the star of a beginning included.
     """
 
+    def found(texts: pa.Array, side: np.ndarray) -> pa.RecordBatch:
+        t = tr.Letters(texts)
+        bare = bare_words(t)
+        of, words = bare.indices.to_numpy().astype(np.int64), bare.dictionary
+        size = pa.compute.binary_length(words).to_numpy(zero_copy_only=False) // 4
+        out = []
+        for k in (0, *STEMS):
+            fits = (size > k) & (size < 39) if k else (size > 2) & (size < 40)
+            begun = (beginning(words, k) if k else words).dictionary_encode()
+            term = begun.indices.to_numpy().astype(np.int64)[of[fits[of]]]
+            both = np.unique(t.doc[fits[of]].astype(np.uint64) << np.uint64(32) | term.astype(np.uint64))
+            doc, term = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            key, n = np.unique(side[doc] * (1 << 32) + term, return_counts=True)
+            text = [w.decode("utf-32-le") + "*" * bool(k) for w in begun.dictionary.take(pa.array(key & 0xFFFFFFFF)).to_pylist()]
+            out += zip(text, (key >> 33).tolist(), (key >> 32 & 1).tolist(), n.tolist())
+        types = (pa.string(), pa.int32(), pa.int32(), pa.int64())
+        return pa.record_batch([pa.array(c, x) for c, x in zip(zip(*out) if out else [()] * 4, types)], names=["term", "half", "y", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            half, y = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            counts: Counter = Counter()
-            for h, text, label in zip(half, batch.column(1), y):
-                found = set()
-                for piece in tr.pieces(text.as_py() or ""):
-                    for token in set(_TOKEN.findall(piece)):
-                        found.update(t for t in terms(bare(token)) if 2 < len(t) < 40)
-                counts.update((t, h, label) for t in found)
-            columns = list(zip(*((*k, v) for k, v in counts.items()))) or [(), (), (), ()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64()))], names=["term", "half", "y", "n"])
+            side = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(2).to_numpy()
+            done = 0
+            size = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            while done < len(batch):
+                to = max(done + 1, int(np.searchsorted(size, (size[done - 1] if done else 0) + tr.PART, "right")))
+                yield found(batch.column(1).slice(done, to - done), side[done:to])
+                done = to
 
     halved = rows.select((F.abs(F.xxhash64(F.lit(1), "doc_id")) % 2).cast("int").alias("half"), "text", "y")
     sizes = {(r["half"], r["y"]): r["count"] for r in halved.groupBy("half", "y").count().collect()}
@@ -175,19 +233,20 @@ def lexicons(rows: DataFrame) -> list[dict[str, float]]:
 class Boosted:
     """Boosted trees of fixed depth on binned features: every node has a feature and a cut."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray):
-        n, ones = len(y), float(y.sum())
-        self.base = float(np.log((ones + 1) / (n - ones + 1)))
+    def __init__(self, x: np.ndarray, y: np.ndarray, w: np.ndarray | None = None):
+        n, w = len(y), np.ones(len(y)) if w is None else w
+        ones = float((w * y).sum())
+        self.base = float(np.log((ones + 1) / (w.sum() - ones + 1)))
         self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) if n else np.zeros(0) for c in x.T]
         self.edges = [np.unique(np.concatenate([e, [0.0]])) if len(e) else np.zeros(1) for e in self.edges]
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if not 0 < ones < n:
+        if not 0 < y.sum() < n:
             return
         bins = self._bins(x)
         f = np.full(n, self.base)
         for _ in range(TREES):
             p = 1 / (1 + np.exp(-f))
-            tree = self._grow(bins, y - p, p * (1 - p))
+            tree = self._grow(bins, w * (y - p), w * p * (1 - p))
             self.trees.append(tree)
             f += self._walk(tree, bins)
 
@@ -236,11 +295,12 @@ class Boosted:
 class Isotonic:
     """A rising step function from raw scores to shares of label 1, drawn out between the steps."""
 
-    def __init__(self, raw: np.ndarray, y: np.ndarray):
+    def __init__(self, raw: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None):
         order = np.argsort(raw, kind="stable")
+        weight = np.ones(len(y)) if weight is None else weight
         blocks: list[list[float]] = []
-        for r, v in zip(raw[order], y[order]):
-            blocks.append([v, 1.0, r, r])
+        for r, v, w in zip(raw[order], y[order], weight[order]):
+            blocks.append([v * w, w, r, r])
             while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
                 s, w, _, top = blocks.pop()
                 blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + w, blocks[-1][2], top]
@@ -256,13 +316,13 @@ class Isotonic:
 class Model:
     """Lexicon, trees and calibration."""
 
-    def __init__(self, lexicon: dict[str, float], ids: np.ndarray, x: np.ndarray, y: np.ndarray):
-        self.lexicon, self.trees = lexicon, Boosted(x, y)
+    def __init__(self, lexicon: dict[str, float], x: np.ndarray, y: np.ndarray, w: np.ndarray):
+        self.lexicon, self.trees = lexicon, Boosted(x, y, w)
         fold = np.arange(len(y)) % 2
         raw = np.zeros(len(y))
         for k in (0, 1):
-            raw[fold == k] = Boosted(x[fold != k], y[fold != k]).raw(x[fold == k])
-        self.calibration = Isotonic(raw, y) if 0 < y.sum() < len(y) else None
+            raw[fold == k] = Boosted(x[fold != k], y[fold != k], w[fold != k]).raw(x[fold == k])
+        self.calibration = Isotonic(raw, y, w) if 0 < y.sum() < len(y) else None
 
     def score(self, x: np.ndarray) -> np.ndarray:
         raw = self.trees.raw(x)
@@ -274,10 +334,10 @@ def fit(docs: DataFrame, labels: DataFrame, learnable: Column, per_class: int =
     rows = stash(tr.with_labels(docs, tr.labelled(labels, "toxic", learnable, per_class)), "labelled")
     first, second, whole = lexicons(rows)
     half = F.abs(F.xxhash64(F.lit(1), "doc_id")) % 2
-    parts = [tr.matrix(tr.feature_rows(rows.where(half == h), lambda o=other: Features(o)), len(FEATURES)) for h, other in ((0, second), (1, first))]
-    ids, x, y = (np.concatenate(p) for p in zip(*parts))
+    parts = [tr.matrix(tr.feature_rows(rows.where(half == h), lambda o=other: Features(o), len(FEATURES)), len(FEATURES)) for h, other in ((0, second), (1, first))]
+    ids, x, y, w = (np.concatenate(p) for p in zip(*parts))
     order = np.argsort(ids, kind="stable")
-    return Model(whole, ids[order], x[order], y[order])
+    return Model(whole, x[order], y[order], w[order])
 
 
 def classify(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:

@@ -15,7 +15,7 @@ import pytest
 import tokenizers
 from pyspark.sql import functions as F
 
-from ontoloom.llm import _blocks, bpe, chat, matroska, ngrams, nndescent, packing, quality, recompression, simhash, toxicity
+from ontoloom.llm import _blocks, _training, bpe, chat, matroska, ngrams, nndescent, packing, quality, recompression, simhash, toxicity
 from ontoloom.llm._blocks import pack, unpack
 from ontoloom.llm._graph import components
 from ontoloom.llm._shared import table
@@ -505,10 +505,192 @@ def test_classifiers_awkward(spark, awkward, none, module, label, keep):
     assert module.classify(none, model).count() == module.classify(none, module.fit(none, labels, F.lit(True))).count() == 0
 
 
+PIECES = ["idiot", "You", "1d10t", "i d i o t", "STUPID", "stupidity", "a", "b!!", "soooo", "été", "ÉTÉ", "x_y", "3.5", "$$", "|", "😀", "(ok).", "ß", "I.d.i", "o.t", "\x85", "\u3000", "the", "the"]
+
+
+def random_texts(n, seed):
+    rng = random.Random(seed)
+    gaps = [" ", " ", " ", "  ", "\n", "\t", "\r\n"]
+    return ["".join(rng.choice(PIECES) + rng.choice(gaps) for _ in range(rng.randint(0, 40))) for _ in range(n)] + [t or "" for t in TEXTS if len(t or "") < 6000] + ["", ""]
+
+
+def quality_by_hand(text):
+    words = text.split()
+    if not words:
+        return [0.0] * len(quality.FEATURES)
+    n, low = len(words), ["".join(c.lower() if len(c.lower()) == 1 else c for c in w) for w in words]
+    counts, lines, line = Counter(low), [], []
+    for piece in re.split("(\n)", text):
+        own = piece.split()
+        if own:
+            lines.append(piece.strip())
+    longest = run = 1
+    for x, y in zip(low, low[1:]):
+        run = run + 1 if x == y else 1
+        longest = max(longest, run)
+    sizes = [len(w) for w in words]
+    word = lambda c: c.isalnum() or c == "_"
+    mark = lambda c: not word(c) and not c.isspace() and c not in ".,;:'’-"
+    letters = sum(word(c) and c != "_" and not c.isdecimal() for c in text)
+    alpha, chars, raw = max(1, letters), len(text), text.encode()
+    top = [v for _, v in counts.most_common(3)]
+    return [
+        math.log1p(n), len(counts) / n**0.9, top[0] / n, sum(top) / n, sum(x == y for x, y in zip(low, low[1:])) / n, math.log1p(longest if longest > 1 else 0),
+        1 - len(set(zip(low, low[1:]))) / max(1, n - 1), sum(sizes) / n, max(0, sum(x * x for x in sizes) / n - (sum(sizes) / n) ** 2) ** 0.5, sum(x <= 3 for x in sizes) / n,
+        sum(c.isupper() for c in text) / alpha, sum(len(w) > 1 and any(c.isupper() for c in w) and not any(c.islower() for c in w) for w in words) / n,
+        sum(map(mark, text)) / chars, sum(any(map(mark, w)) for w in words) / n, sum(len(w) > 1 and not word(w[-1]) and not word(w[-2]) for w in words) / n,
+        sum(c.isdecimal() for c in text) / chars, letters / chars, text.count("|") / n, math.log1p(len(lines)), 1 - len(set(lines)) / max(1, len(lines)), n / max(1, len(lines)),
+        n / (sum(c in ".!?" for c in text) + 1), len(zlib.compress(raw, 1)) / max(1, len(raw)), math.log1p(len(set(raw))),
+    ]
+
+
+def toxicity_by_hand(text, lexicon):
+    m, get = toxicity, lambda t: lexicon.get(t, 0.0)
+    small = lambda c: c.lower() if len(c.lower()) == 1 else c
+    word = lambda c: c.isalnum() or c == "_"
+    letter = lambda c: word(c) and c != "_" and not c.isdecimal()
+    words, rows, kinds = text.split(), [], set()
+    n, last_hit, last_you, near, strongest = max(1, len(words)), -99, -99, 0, 0.0
+    for k, w in enumerate(words):
+        bare = "".join(small(c) for c in w if letter(c))
+        own, stem, you = get(bare), max(get(bare[:j] + "*") if len(bare) > j else 0.0 for j in m.STEMS), bare in m.SECOND_PERSON
+        plain = m.undisguised(w)
+        odd = plain != m.bare_of(w) and bool(m._INNER.search(w) or m._DRAWN.search(w))
+        under = max(map(get, m.terms(plain))) if odd and not own and not stem else 0.0
+        if you:
+            near += k - last_hit <= m.NEAR
+            last_you = k
+        if own or stem or under:
+            near += k - last_you <= m.NEAR
+            last_hit = k
+            kinds.add(bare[:5])
+            strongest = max(strongest, own, stem, under)
+        rows.append((own, stem, under, you, odd))
+    spaced = 0
+    for found in m._SPACED.finditer(text):
+        got = max(map(get, m.terms(m.bare_of(found[0].translate(m.DISGUISES)))))
+        spaced += got > 0
+        strongest = max(strongest, got)
+    hit = [r for r in rows if r[0] or r[1] or r[2]]
+    alpha, chars = max(1, sum(map(letter, text))), max(1, len(text))
+    hits, stems = sum(r[0] > 0 for r in rows), sum(r[1] > 0 for r in rows)
+    return [
+        math.log1p(len(words)), hits, hits / n, len(kinds), strongest, sum(r[0] for r in rows) / n, stems, stems / n, sum(max(r[1], r[2]) for r in hit) / n, near / n,
+        sum(r[3] for r in rows) / n, sum(c.isupper() for c in text) / alpha, sum(x.isupper() and y.isupper() for x, y in zip(text, text[1:])) / alpha,
+        sum(33 <= ord(c) <= 47 or 58 <= ord(c) <= 64 for c in text) / chars, (text.count("!") + text.count("?")) / n, sum(r[4] for r in rows) / n,
+        sum(r[2] > 0 for r in rows), spaced, len(re.findall(r"(.)\1{2,}", text)) / n, sum(not c.isspace() for c in text) / n,
+    ]
+
+
+LEXICON = {"idiot": 5.0, "stup*": 4.0, "you": 2.5, "so": 3.0, "idio*": 2.0}
+
+
+@pytest.mark.parametrize("size", [1 << 21, 300])
+def test_features_equal_those_by_hand(monkeypatch, size):
+    monkeypatch.setattr(_training, "PART", size)
+    texts = random_texts(400, 1)
+    array = pa.array([*texts, None])
+    got = _training.in_parts(quality.features, array, len(quality.FEATURES))
+    np.testing.assert_allclose(got, [quality_by_hand(t) for t in [*texts, ""]], rtol=1e-9, atol=1e-12)
+    got = _training.in_parts(toxicity.Features(LEXICON), array, len(toxicity.FEATURES))
+    np.testing.assert_allclose(got, [toxicity_by_hand(t, LEXICON) for t in [*texts, ""]], rtol=1e-9, atol=1e-12)
+    assert _training.in_parts(quality.features, array[:0], len(quality.FEATURES)).shape == (0, len(quality.FEATURES))
+
+
+def test_lexicons_count_documents(spark):
+    texts = [t for t in random_texts(120, 2) if len(t) < 1000]
+    rows = spark.createDataFrame([(k, t, k % 3 == 0 and 1 or 0, 1.0) for k, t in enumerate(texts)], "doc_id long, text string, y int, weight double").repartition(3)
+    got = toxicity.lexicons(rows)[2]
+    small = lambda c: c.lower() if len(c.lower()) == 1 else c
+    letter = lambda c: c.isalnum() and not c.isdecimal()
+    n = {0: Counter(), 1: Counter()}
+    for k, t in enumerate(texts):
+        bare = {"".join(small(c) for c in w if letter(c)) for w in t.split()}
+        n[k % 3 == 0].update({x for w in bare for x in toxicity.terms(w) if 2 < len(x) < 40})
+    total = [sum(k % 3 != 0 for k in range(len(texts))), sum(k % 3 == 0 for k in range(len(texts)))]
+    odds = {t: math.log((a + 0.5) / (total[1] + 1)) - math.log((n[0][t] + 0.5) / (total[0] + 1)) for t, a in n[1].items() if a + n[0][t] >= 3}
+    want = {t: v for t, v in odds.items() if v >= 2 and n[1][t] >= max(3, 0.004 * total[1]) and n[0][t] <= 0.5 * n[1][t]}
+    assert got == pytest.approx(want)
+
+
+def test_sample_keeps_the_shares_of_the_classes(spark):
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(1000)], "doc_id long, toxic int")
+    got = _training.labelled(labels, "toxic", F.lit(True), 100).collect()
+    weight = {y: sum(r["weight"] for r in got if r["y"] == y) for y in (0, 1)}
+    assert Counter(r["y"] for r in got) == {0: 100, 1: 100} and weight[1] / (weight[0] + weight[1]) == pytest.approx(0.2) and sum(weight.values()) == pytest.approx(200)
+
+
+def weighted_sample(seed, n=300, d=4):
+    rng = np.random.default_rng(seed)
+    x = rng.integers(0, 12, (n, d)) / 3.0
+    return x, (rng.random(n) < 1 / (1 + np.exp(2 - x[:, 0] - x[:, 1] * (x[:, 2] > 2)))).astype(float), rng.choice([0.5, 1.0, 3.0], n)
+
+
+def test_gam_scores_by_bin_additions():
+    x, y, w = weighted_sample(1)
+    model = quality.Gam(x, y, w)
+    assert len(model.pairs) == quality.PAIRS
+    for row, got in zip(x, model.score(x)):
+        f = model.base
+        for t, edges, v in zip(model.tables, model.edges, row):
+            f += t[sum(v >= e for e in edges)]
+        for t, (a, b) in zip(model.pair_tables, model.pairs):
+            f += t[sum(row[a] >= e for e in model.coarse[a]), sum(row[b] >= e for e in model.coarse[b])]
+        assert got == pytest.approx(1 / (1 + math.exp(-f)))
+    twice = quality.Gam(np.concatenate([x, x[w == 3], x[w == 3]]), np.concatenate([y, y[w == 3], y[w == 3]]))
+    assert np.corrcoef(twice.score(x), quality.Gam(x, y, np.where(w == 3, 3.0, 1.0)).score(x))[0, 1] > 0.97
+
+
+def test_shallow_tree_takes_the_best_cuts(monkeypatch):
+    rng = np.random.default_rng(2)
+    for k in range(30):
+        g, h, n = rng.standard_normal(9), rng.random(9) + 0.1, rng.integers(1, 9, 9)
+        monkeypatch.setattr(quality, "LEAVES", 2)
+        gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)  # noqa: E731, B023
+        fits = [c for c in range(1, 9) if min(n[:c].sum(), n[c:].sum()) >= quality.LEAST]  # noqa: B023
+        best = max(fits, key=lambda c: gain(0, c) + gain(c, 9), default=None)
+        got = quality.shallow(g, h, n)
+        if best is None or gain(0, best) + gain(best, 9) - gain(0, 9) <= 1e-9:
+            assert len(set(got)) == 1
+        else:
+            want = [g[:best].sum() / (h[:best].sum() + 1)] * best + [g[best:].sum() / (h[best:].sum() + 1)] * (9 - best)
+            assert got == pytest.approx(want)
+
+
+def test_boosting_step_takes_the_best_cut(monkeypatch):
+    x, y, w = weighted_sample(3)
+    model = toxicity.Boosted(x, y, w)
+    bins = model._bins(x)
+    g, h = w * (y - 0.3), w * 0.21
+    feature, cut, leaf = model._grow(bins, g, h)
+    score = lambda s: g[s].sum() ** 2 / (h[s].sum() + 1)
+    splits = [(score(bins[:, j] <= c) + score(bins[:, j] > c), j, c) for j in range(4) for c in range(bins[:, j].max()) if min((bins[:, j] <= c).sum(), (bins[:, j] > c).sum()) >= toxicity.LEAST]
+    assert score(bins[:, feature[0]] <= cut[0]) + score(bins[:, feature[0]] > cut[0]) == pytest.approx(max(splits)[0])
+    for row in range(0, 300, 7):
+        node = 0
+        for _ in range(toxicity.DEPTH):
+            node = 2 * node + 1 + int(bins[row, feature[node]] > cut[node])
+        assert model._walk((feature, cut, leaf), bins[row : row + 1])[0] == leaf[node - len(feature)]
+
+
+def test_isotonic_equals_the_min_max_formula():
+    rng = np.random.default_rng(4)
+    raw, y, w = np.sort(rng.random(60)), rng.integers(0, 2, 60).astype(float), rng.choice([1.0, 2.0, 5.0], 60)
+    mean = lambda a, b: (w[a:b] * y[a:b]).sum() / w[a:b].sum()
+    want = [max(min(mean(a, b) for b in range(k + 1, 61)) for a in range(k + 1)) for k in range(60)]
+    fitted = toxicity.Isotonic(raw, y, w)
+    blocks = dict(zip(fitted.at, fitted.share))
+    sums = {v: w[np.isclose(want, v)].sum() for v in set(np.round(want, 12))}
+    for r, v in zip(raw, want):
+        if r in blocks:
+            total = next(s for k, s in sums.items() if abs(k - v) < 1e-9)
+            assert blocks[r] == pytest.approx((v * total + 0.05) / (total + 0.1))
+    assert (np.diff(fitted(np.linspace(0, 1, 200))) >= 0).all()
+
+
 def test_disguised_words():
     f = toxicity.Features({"idiot": 5.0, "stup*": 4.0})
-    names = toxicity.FEATURES
-    of = lambda t: dict(zip(names, f(t)))
+    of = lambda t: dict(zip(toxicity.FEATURES, f(pa.array([t]))[0]))
     assert of("you idiot")["hits"] == 1 and of("you idiot")["near_second_person"] > 0
     assert of("an 1d10t here")["disguised_hits"] == 1 and of("i d i o t now")["spaced_hits"] == 1
     assert of("stupidity")["stem_hits"] == 1 and of("")["hits"] == 0
