@@ -1,7 +1,9 @@
 """The stages of the corpus pipeline, one after the other and on awkward documents."""
 
 import random
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,8 +42,10 @@ def test_awkward_documents(spark, name, stage):
     assert stage(spark, extra, FOLDER).count() >= 0
 
 
-def test_near_duplicates_of_five_words_and_four_fifths(spark):
+@pytest.mark.parametrize("part", [1 << 22, 700])
+def test_near_duplicates_of_five_words_and_four_fifths(spark, monkeypatch, part):
     """The stage keeps what brute force over the sets of shingles keeps, among groups of edited copies."""
+    monkeypatch.setattr(shingles, "PART", part)
     rng, rows = random.Random(4), []
     for k in range(40):
         words = [f"w{rng.randrange(900)}" for _ in range(rng.choice((60, 150, 400)))]
@@ -64,3 +68,17 @@ def test_near_duplicates_of_five_words_and_four_fifths(spark):
 def test_similar_links_connect_all():
     sets = [shingles.shingles(" ".join(f"w{k}" for k in range(n, n + 100))) for n in (0, 500, 9, 18, 509, 900)]
     assert sorted(tuple(sorted(x)) for x in shingles.similar_links(sets)) == [(0, 2), (1, 4), (2, 3)]
+
+
+def test_crossing_links_are_all_pairs():
+    rng = random.Random(5)
+    sets = [np.array(sorted(rng.sample(range(60), rng.randint(1, 40))), np.uint64) for _ in range(120)]
+    some = sets[::3]
+    want = {(i, j) for i, a in enumerate(some) for j, b in enumerate(sets) if len(set(a) & set(b)) >= 0.5 * len(set(a) | set(b))}
+    assert set(shingles.crossing_links(some, sets, 0.5)) == want and len(want) > len(some)
+
+
+def test_near_duplicates_without_ids_or_words(spark):
+    rows = [(3, "a b c d e f"), (None, "a b c d e f"), (5, None), (4, ""), (None, None), (9, "x"), (9, "x"), (None, "lone y")]
+    got = shingles.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(tuple(r) for r in got) == Counter([(3, 3), (None, 3), (5, 4), (4, 4), (None, 4), (9, 9), (9, 9), (None, None)])
