@@ -134,20 +134,21 @@ class Symbols:
     """The symbols of a block, round by round, in the stretches of words whose windows may repeat.
 
     number: of each word; edges: where each stretch starts, and where the last ends; at, owner: the first word of each
-    stretch in the block, and its document.
+    stretch in the block, and its document.  levels: the words, and the symbols of the last of `turn` rounds; what
+    earlier rounds ruled out is gone with the stretches, or is ruled out when windows are compared.
     """
 
-    def __init__(self, width: int, number: np.ndarray, edges: np.ndarray, at: np.ndarray, owner: np.ndarray, levels: list[Level]):
-        self.width, self.edges, self.at, self.owner = width, edges, at, owner
+    def __init__(self, width: int, number: np.ndarray, edges: np.ndarray, at: np.ndarray, owner: np.ndarray, levels: list[Level], turn: int = 0):
+        self.width, self.edges, self.at, self.owner, self.turn = width, edges, at, owner, turn
         self.stretch = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
         n = np.arange(len(number))
         self.levels = levels or [Level(number, n, n + 1, n, n + 1)]
 
     def dump(self) -> bytes:
-        """As bytes: all but the first level as it is, of that the numbers alone."""
-        arrays = [self.levels[0].number, self.edges, self.at, self.owner]
+        """As bytes: of the words their numbers alone."""
+        arrays = [np.array([self.turn]), self.levels[0].number, np.diff(self.edges), np.diff(self.at, prepend=0), self.owner]
         for x in self.levels[1:]:
-            arrays += [x.number, x.start, x.stop - x.start, x.start - x.low, x.high - x.stop]
+            arrays += [x.number, np.diff(x.start, prepend=0), x.stop - x.start, x.start - x.low, x.high - x.stop]
         packed = [pack(a.astype(np.int64)) for a in arrays]
         return b"".join(len(x).to_bytes(4, "little") + x for x in packed)
 
@@ -158,17 +159,18 @@ class Symbols:
             n = int.from_bytes(data[at : at + 4], "little")
             arrays.append(unpack(data[at + 4 : at + 4 + n], np.int64))
             at += 4 + n
-        out = cls(width, *arrays[:4], [])
-        for number, start, size, before, after in zip(*(arrays[4 + k :: 5] for k in range(5))):
+        turn, number, size, gap, owner = arrays[:5]
+        out = cls(width, number, np.concatenate([[0], np.cumsum(size)]), np.cumsum(gap), owner, [], int(turn[0]))
+        if len(arrays) > 5:
+            number, gap, size, before, after = arrays[5:]
+            start = np.cumsum(gap)
             out.levels.append(Level(number, start, start + size, start - before, start + size + after))
         return out
 
     def _keys(self):
         """(symbols to name, what to send for them, which of that each is, their round) of the round that comes next."""
-        last = self.levels[-1]
-        if len(self.levels) == 1:
-            last = last.runs(self.stretch)
-        new, keys, level = last.pairs(len(self.levels), self.stretch, self.edges)
+        last = self.levels[-1] if self.turn else self.levels[0].runs(self.stretch)
+        new, keys, level = last.pairs(self.turn, self.stretch, self.edges)
         first, of = distinct(keys)
         return new, [k[first] for k in keys], of, level
 
@@ -183,7 +185,7 @@ class Symbols:
     def learn(self, told_: list | None, buckets: int) -> Symbols:
         new, keys, of, level = self._keys()
         level.number[new] = heard(told_, in_order_sent(keys, buckets))[0][of]
-        self.levels.append(level)
+        self.levels, self.turn = [self.levels[0], level], self.turn + 1
         return self.pruned()
 
     def _dead(self, levels: list[Level]) -> np.ndarray:
@@ -207,7 +209,7 @@ class Symbols:
         size = np.bincount(of[keep], minlength=len(before))
         edges, old = np.concatenate([[0], np.cumsum(size)]), self.stretch[before]
         levels = [x.within(kept, edges, of, before, before + size) for x in self.levels]
-        return Symbols(self.width, levels[0].number, edges, self.at[old] + before - self.edges[old], self.owner[old], levels)
+        return Symbols(self.width, levels[0].number, edges, self.at[old] + before - self.edges[old], self.owner[old], levels, self.turn)
 
     def anchored(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(windows all of whose symbols are shared, the number of each one's anchor, where that stands)."""
