@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stash
+from ._shared import stash_by
 
 M1, M2, B1, B2 = (np.uint64(x) for x in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93))
 S33 = np.uint64(33)
@@ -315,6 +315,7 @@ def told(keys: DataFrame, buckets: int, tag: str, spelt: bool = False, base: int
     Numbers start beyond `base`.
     """
     met = keys.groupBy("bucket").applyInArrow(_met(spelt, buckets, base), "bucket int, block long, id binary, others binary, most long")
-    met = stash(met, tag)
-    most = met.agg(F.max("most")).first()[0] or base
-    return met.groupBy("block").agg(F.collect_list(F.struct("bucket", "id", "others")).alias(tag)), max(most, base)
+    answer = met.groupBy("block").agg(F.collect_list(F.struct("bucket", "id", "others")).alias(tag), F.max("most").alias("most"))
+    answer = stash_by(answer, "block", tag, dealt=True)
+    most = answer.agg(F.max("most")).first()[0] or base
+    return answer.select("block", tag), max(most, base)

@@ -39,12 +39,15 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stash_by(df: DataFrame, key: str, tag: str) -> DataFrame:
-    """stash() as a table bucketed by key: joins by it don't shuffle the table again.  Its name leaves with the session."""
+def stash_by(df: DataFrame, key: str, tag: str, dealt: bool = False) -> DataFrame:
+    """stash() as a table bucketed by key: joins by it don't shuffle the table again.  Its name leaves with the session.
+
+    dealt: the rows of df lie by key already, so that each task writes few buckets.
+    """
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
     path, n = f"{shared_dir(spark)}/{name}", n_partitions(spark)
-    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    (df if dealt else df.repartition(n, key)).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     return spark.table(name)

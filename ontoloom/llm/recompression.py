@@ -35,7 +35,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_type
 
 from ._blocks import B1, B2, SENT, Words, dealt, distinct, heard, in_blocks, in_order_sent, mix, of_ipc, pack, sent, several, told, unpack
-from ._shared import free_name, stash, stash_by, table, unstash
+from ._shared import free_name, stash_by, table, unstash
 
 #: Bytes of text in a block, about; a longer document is a block of its own.
 BLOCK = 2 << 20
@@ -392,7 +392,8 @@ def remove_repeats(docs: DataFrame, width: int = 13) -> DataFrame:
         answer, most = told(keys, buckets, f"round{turn}", spelt=not turn, base=most)
         fields = from_arrow_type(pa.list_(PASSAGES if turn == ROUNDS else KEYS))
         schema = T.StructType().add("block", "long").add("state", "binary").add("out", fields)
-        rows = stash(over(at.join(answer, "block", "left").select("block", "state", f"round{turn}"), schema, learnt(turn)), "state")
+        rows = over(at.join(answer, "block", "left").select("block", "state", f"round{turn}"), schema, learnt(turn))
+        rows = stash_by(rows, "block", "state", dealt=True)
         if last:
             unstash(last)
         at, last = rows.select("block", "state"), rows
