@@ -19,14 +19,15 @@ WINDOWS, BASE, MODULUS, KEPT = (1, 4, 10, 20, 50), 10, 256, 32
 def text_fingerprint(text: str | None) -> str | None:
     """32 rolling hashes of the letters and digits of a text as hex, with the window and the width of a hash.
 
-    Longer texts have wider windows, of which the least hash stands for each (winnowing).  Fewer hashes than 32 are
-    filled up with zeros; of more, 31 spread evenly and the last are taken.
+    The window is the widest that is no wider than a 32nd of the text, all its characters counted; an empty text has the
+    widest.  In a window the least hash stands for all (winnowing).  Fewer hashes than 32 are filled up with zeros; of
+    more, 31 spread evenly from the first on and the last are taken.
     """
     if text is None:
         return None
     letters = [ord(c) for c in text if c.isalnum()]
-    want = -(-len(letters) // KEPT)
-    window = next((w for w in WINDOWS if w >= want), WINDOWS[-1])
+    want = -(-len(text) // KEPT)
+    window = max((w for w in WINDOWS if w <= want), default=WINDOWS[-1])
     k = -(-window // 2)
     hashes, h = [], 0
     for i, c in enumerate(letters):
@@ -45,7 +46,7 @@ def text_fingerprint(text: str | None) -> str | None:
                 last = at
         hashes = chosen
     if len(hashes) > KEPT:
-        step = len(hashes) / (KEPT - 1)
+        step = (len(hashes) - 1) / (KEPT - 1)
         hashes = [hashes[int(i * step)] for i in range(KEPT - 1)] + [hashes[-1]]
     hashes += [0] * (KEPT - len(hashes))
     return "".join(f"{x:02x}" for x in hashes) + f"_{window:02d}_{k:02d}"

@@ -10,8 +10,8 @@ from ..operators import graph as G
 from ..operators import ontology as O
 from ..operators import relational as R
 from ..operators import wikify as K
+from ..sources.store import stash
 from .derived import Tables, sql
-from .graphs import NEAR, _near
 from .investment import r6
 
 Q, S = {}, {}
@@ -29,8 +29,8 @@ def query(text: str | None = None):
     return add
 
 
-GRAPH = "select src, dst, sum(score) score from (select src, dst, score from near union all select dst, src, score from near) group by 1, 2"
-BASE = {"near": NEAR, "graph": GRAPH}
+GRAPH = "select src, dst, score from part_edges union all select dst, src, score from part_edges"
+BASE = {"graph": GRAPH}
 #: Groups: anchors of categories, members of categories through clusters, members of clusters.
 GROUPS = BASE | {
     "inside": "select distinct src concept from graph",
@@ -44,7 +44,8 @@ NAMES = ("part_edges", "anchors", "members", "clusters", "tree")
 
 class Onto:
     def __init__(self, t: Tables):
-        self.graph = G.both_ways(_near(t))
+        # read for members, sizes and sums: written aside once
+        self.graph = stash(G.both_ways(t.part_edges()), "graph")
         self.anchors = O.present(t.anchors().withColumnRenamed("category", "group"), self.graph)
         self.of = t.members().join(t.clusters(), "cluster")
         self.members = O.present(self.of.select(F.col("category").alias("group"), "concept"), self.graph)
@@ -132,7 +133,7 @@ def cluster_closest_category(t: Tables) -> DataFrame:
 @query(sql("select src, dst, round(score, 6) score, k as rank from (select *, row_number() over (partition by src order by score desc, dst) k from graph) where k <= 3", "part_edges", **BASE))
 def closest_concept(t: Tables) -> DataFrame:
     best = R.Window.partitionBy("src").orderBy(F.desc("score"), "dst")
-    g = G.both_ways(_near(t)).withColumn("rank", F.row_number().over(best))
+    g = G.both_ways(t.part_edges()).withColumn("rank", F.row_number().over(best))
     return g.where("rank <= 3").select("src", "dst", *r6("score"), "rank")
 
 
@@ -167,16 +168,16 @@ def embedding_fallback(t: Tables) -> DataFrame:
     return out.groupBy("src", "category").agg(F.round(F.sum("score"), 6).alias("total"))
 
 
-# Concept detection.  Keywords are names of some parts; they find parts that share a word.
+# Concept detection.  Keywords are the names of parts; they find parts that share a word.
 
-FOUND = "select k.p_name || ' ' || k.p_partkey keywords, c.p_partkey concept_id, c.p_name concept_name, (case when split_part(k.p_name, ' ', 1) = split_part(c.p_name, ' ', 1) then 1 else 0 end) + (case when split_part(k.p_name, ' ', 2) = split_part(c.p_name, ' ', 2) then 1 else 0 end) + 1.0 / (1 + c.p_size) relevance from part k join part c on split_part(k.p_name, ' ', 1) = split_part(c.p_name, ' ', 1) or split_part(k.p_name, ' ', 2) = split_part(c.p_name, ' ', 2) where k.p_retailprice < 905 and c.p_partkey < 400 and k.p_partkey < 60"
+FOUND = "select k.p_name keywords, c.p_partkey concept_id, c.p_name concept_name, (case when split_part(k.p_name, ' ', 1) = split_part(c.p_name, ' ', 1) then 1 else 0 end) + (case when split_part(k.p_name, ' ', 2) = split_part(c.p_name, ' ', 2) then 1 else 0 end) + 1.0 / (1 + c.p_size) relevance from (select distinct p_name from part) k join part c on split_part(k.p_name, ' ', 1) = split_part(c.p_name, ' ', 1) or split_part(k.p_name, ' ', 2) = split_part(c.p_name, ' ', 2)"
 RESULTS = "select keywords, concept_id, concept_name, k searchrank, 1 - (k - 1) / cast(count(*) over (partition by keywords) as double) search_score from (select *, row_number() over (partition by keywords order by relevance desc, concept_id) k from found) where k <= 10"
 
 
 def _results(t: Tables) -> DataFrame:
     p = t("part").withColumn("w1", F.split("p_name", " ")[0]).withColumn("w2", F.split("p_name", " ")[1])
-    k = p.where("p_retailprice < 905 and p_partkey < 60").select(F.concat_ws(" ", "p_name", "p_partkey").alias("keywords"), F.col("w1").alias("k1"), F.col("w2").alias("k2"))
-    c = p.where("p_partkey < 400").select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("concept_name"), "w1", "w2", "p_size")
+    k = p.select(F.col("p_name").alias("keywords"), F.col("w1").alias("k1"), F.col("w2").alias("k2")).distinct()
+    c = p.select(F.col("p_partkey").alias("concept_id"), F.col("p_name").alias("concept_name"), "w1", "w2", "p_size")
     words = lambda df, a, b, keep: df.select(*keep, F.explode(F.array(F.concat(F.lit("1"), a), F.concat(F.lit("2"), b))).alias("word"))
     hits = words(k, "k1", "k2", ["keywords"]).join(words(c, "w1", "w2", ["concept_id", "concept_name", "p_size"]), "word")
     hits = hits.groupBy("keywords", "concept_id", "concept_name", "p_size").agg(F.count("*").alias("n"))
@@ -212,12 +213,13 @@ def embedding_scores(t: Tables) -> DataFrame:
 
 
 def _categories(t: Tables) -> DataFrame:
-    """Types of depth 4 and 3 of the parts that have any: those with an even key."""
-    of = t.members().where("concept % 2 = 0").join(t.clusters(), "cluster").withColumnRenamed("category", "level_4")
+    """Types of depth 4 and 3 of the parts that have any: the small ones."""
+    small = t("part").where("p_size <= 25").select(F.col("p_partkey").alias("concept"))
+    of = t.members().join(small, "concept", "left_semi").join(t.clusters(), "cluster").withColumnRenamed("category", "level_4")
     return of.join(F.broadcast(t.tree().select(F.col("child").alias("level_4"), F.col("parent").alias("level_3"))), "level_4").select("concept", "level_4", "level_3")
 
 
-_CAT = "select concept, category level_4, parent level_3 from members join clusters using (cluster) join tree on child = category where concept % 2 = 0"
+_CAT = "select concept, category level_4, parent level_3 from members join clusters using (cluster) join tree on child = category where concept in (select p_partkey from part where p_size <= 25)"
 _H = lambda x, n, d: f"case when {x} / {n} <= greatest(0.5, least(3, {n} - 0.5)) / {n} then pow({x} / {n}, {d}) / pow(greatest(0.5, least(3, {n} - 0.5)) / {n}, {d - 1}) else 1 - pow(1 - {x} / {n}, {d}) / pow(1 - greatest(0.5, least(3, {n} - 0.5)) / {n}, {d - 1}) end"
 _ONT = {
     "known": "select c.* from cat c where concept in (select concept_id from results)",
@@ -272,12 +274,12 @@ def ontology_move_cluster(t: Tables) -> DataFrame:
     return O.move_clusters(t.clusters(), moves)
 
 
-@query(sql("select case when cluster = 'Brand#2' and concept % 2 = 1 then 'Brand#2b' else cluster end cluster, concept from members", "members"))
+@query(sql("select case when cluster = 'Brand#2' and concept in (select p_partkey from part where p_size > 25) then 'Brand#2b' else cluster end cluster, concept from members", "members"))
 def ontology_split_cluster(t: Tables) -> DataFrame:
-    return O.split_cluster(t.members(), "Brand#2", t.members().where("concept % 2 = 1").select("concept").distinct(), "Brand#2b")
+    return O.split_cluster(t.members(), "Brand#2", t("part").where("p_size > 25").select(F.col("p_partkey").alias("concept")), "Brand#2b")
 
 
-@query(sql("select cluster, concept, cluster in (select cluster from members) and concept not in (select concept from members) processed from (select 'Brand#' || (o_orderkey % 40) cluster, o_orderkey concept from orders where o_orderkey % 500 = 0)", "members"))
+@query(sql("select cluster, concept, cluster in (select cluster from members) and concept not in (select concept from members) processed from (select 'Brand#' || (o_custkey % 40) cluster, o_orderkey concept from orders)", "members"))
 def ontology_insert_concepts(t: Tables) -> DataFrame:
-    new = t("orders").where("o_orderkey % 500 = 0").select(F.concat(F.lit("Brand#"), F.col("o_orderkey") % 40).alias("cluster"), F.col("o_orderkey").alias("concept"))
+    new = t("orders").select(F.concat(F.lit("Brand#"), F.col("o_custkey") % 40).alias("cluster"), F.col("o_orderkey").alias("concept"))
     return O.insert_concepts(t.members(), new)[1]

@@ -26,53 +26,46 @@ def query(text: str | None = None):
     return add
 
 
-#: The strongest five edges of every part: a graph of bounded degree in one direction.
-def _near(t: Tables) -> DataFrame:
-    pp = t.part_edges()
-    return R.top_n(pp.union(pp.select("dst", "src", "score")), 5, ["src"], F.desc("score"), F.col("dst"))
-
-
-NEAR = "select src, dst, score from (select src, dst, score, row_number() over (partition by src order by score desc, dst) k from (select src, dst, score from part_edges union all select dst, src, score from part_edges)) where k <= 5"
-LOOSE = "select src, dst, score from near where score > 0.5"
-NORMALISED = "select src, dst, avg(score) score from (select src, dst, score from near union all select dst, src, score from near) group by 1, 2 union all select distinct id, id, 1.0 from (select src id from near union all select dst from near)"
+NORMALISED = "select src, dst, avg(score) score from (select src, dst, score from part_edges union all select dst, src, score from part_edges) group by 1, 2 union all select distinct id, id, 1.0 from (select src id from part_edges union all select dst from part_edges)"
 MIX = "select s, dst concept, sum(x.score * e.score / size) score from x join (select *, count(*) over (partition by dst) size from normal) e on concept = src group by 1, 2"
 PRUNED = "select s, concept, score from (select *, max(score) over (partition by s) top from mix) where score >= 0.05 * top"
-X = "select src s, dst concept, score from (select *, row_number() over (partition by src order by score desc, dst) k from holdings) where k <= 5"
+X = "select src s, dst concept, score from holdings"
 
 
-@query(sql("select src, dst, round(score, 6) score from normal", "part_edges", near=NEAR, normal=NORMALISED))
+@query(sql("select src, dst, round(score, 6) score from normal", "part_edges", normal=NORMALISED))
 def normalise_graph(t: Tables) -> DataFrame:
     """Mean of both directions, with loops."""
-    return G.normalised(_near(t)).select("src", "dst", *r6("score"))
+    return G.normalised(t.part_edges()).select("src", "dst", *r6("score"))
 
 
 def _held(t: Tables) -> DataFrame:
-    return R.top_n(t.holdings(), 5, ["src"], F.desc("score"), F.col("dst")).select(F.col("src").alias("s"), F.col("dst").alias("concept"), "score")
+    return t.holdings().select(F.col("src").alias("s"), F.col("dst").alias("concept"), "score")
 
 
-@query(sql("select s, concept, round(score, 6) score from pruned", "part_edges", "holdings", near=NEAR, normal=NORMALISED, x=X, mix=MIX, pruned=PRUNED))
+@query(sql("select s, concept, round(score + 1e-9, 6) score from pruned", "part_edges", "holdings", normal=NORMALISED, x=X, mix=MIX, pruned=PRUNED))
 def mix(t: Tables) -> DataFrame:
     """The parts of a supplier spread over their neighbours."""
-    return C.mixed(_held(t), G.normalised(_near(t))).select("s", "concept", *r6("score"))
+    out = C.mixed(_held(t), G.normalised(t.part_edges()))
+    return out.select("s", "concept", F.round(F.col("score") + 1e-9, 6).alias("score"))  # sums of quotients often end on a five: none is left to chance
 
 
 def _pairs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     x = _held(t)
-    y = t("part").select(F.col("p_brand").alias("u"), F.col("p_partkey").alias("concept"), (1 / (1 + F.col("p_size"))).alias("score")).where("concept % 7 = 0")
+    y = t("part").select(F.col("p_brand").alias("u"), F.col("p_partkey").alias("concept"), (1 / (1 + F.col("p_size"))).alias("score"))
     return x, y, x.select("s").distinct().crossJoin(F.broadcast(y.select("u").distinct()))
 
 
-_Y = "select p_brand u, p_partkey concept, 1 / (1.0 + p_size) score from part where p_partkey % 7 = 0"
+_Y = "select p_brand u, p_partkey concept, 1 / (1.0 + p_size) score from part"
 _AFF = """select s, u, round({0}, 6) score from (select distinct s from x) cross join (select distinct u from y)
 left join (select s, u, sum(a.score * b.score) d from {1} a join y b using (concept) group by 1, 2) using (s, u)
 left join (select s, sum(score * score) nx from {1} group by 1) using (s) left join (select u, sum(score * score) ny from y group by 1) using (u)"""
 
 
-@query(sql(_AFF.format("coalesce(d / nullif(sqrt(nx) * sqrt(ny), 0), 0)", "pruned"), "part_edges", "holdings", near=NEAR, normal=NORMALISED, x=X, mix=MIX, pruned=PRUNED, y=_Y))
+@query(sql(_AFF.format("coalesce(d / nullif(sqrt(nx) * sqrt(ny), 0), 0)", "pruned"), "part_edges", "holdings", normal=NORMALISED, x=X, mix=MIX, pruned=PRUNED, y=_Y))
 def affinity_cosine(t: Tables) -> DataFrame:
     """How alike suppliers, spread over the graph, and brands are."""
     x, y, pairs = _pairs(t)
-    return C.affinities(x, y, pairs, _near(t), mix_x=True).select("s", "u", *r6("score"))
+    return C.affinities(x, y, pairs, t.part_edges(), mix_x=True).select("s", "u", *r6("score"))
 
 
 @query(sql(_AFF.format("2 / (1 + exp(2 * sqrt(greatest(0, coalesce(nx, 0) + coalesce(ny, 0) - 2 * coalesce(d, 0)))))", "x"), "holdings", x=X, y=_Y))
@@ -87,30 +80,28 @@ def degree(t: Tables) -> DataFrame:
     return G.degrees(t.part_edges()).select("id", "degree", *r6("strength"))
 
 
-@query(sql("select p_partkey id, case when o is null and i is null then 'isolated' when i is null then 'source' else 'sink' end kind from part left join (select distinct src o from near) on o = p_partkey left join (select distinct dst i from near) on i = p_partkey where o is null or i is null", "part_edges", near=NEAR))
+@query(sql("select p_partkey id, case when o is null and i is null then 'isolated' when i is null then 'source' else 'sink' end kind from part left join (select distinct src o from part_edges) on o = p_partkey left join (select distinct dst i from part_edges) on i = p_partkey where o is null or i is null", "part_edges"))
 def sources_sinks(t: Tables) -> DataFrame:
     """Parts without an edge in or out."""
-    return G.sources_and_sinks(_near(t), t("part").select(F.col("p_partkey").alias("id")))
+    return G.sources_and_sinks(t.part_edges(), t("part").select(F.col("p_partkey").alias("id")))
 
 
-@query(sql("select id, min(d) distance from (select 0 id, 0 d union all select dst, 1 from near where src = 0 union all select b.dst, 2 from near a join near b on a.dst = b.src where a.src = 0 union all select c.dst, 3 from near a join near b on a.dst = b.src join near c on b.dst = c.src where a.src = 0) group by id", "part_edges", near=NEAR))
+@query(sql("select id, min(d) distance from (select 0 id, 0 d union all select dst, 1 from part_edges where src = 0 union all select b.dst, 2 from part_edges a join part_edges b on a.dst = b.src where a.src = 0 union all select c.dst, 3 from part_edges a join part_edges b on a.dst = b.src join part_edges c on b.dst = c.src where a.src = 0) group by id", "part_edges"))
 def balls(t: Tables) -> DataFrame:
     """Parts within three steps of part 0."""
-    return G.ball(_near(t), t.spark.range(1), 3)
+    return G.ball(t.part_edges(), t.spark.range(1), 3)
 
 
-@query(sql("select start, id, min(d) distance from (select start, id, 0 d from (select p_partkey start, p_partkey id from part where p_partkey < 3) union all select a.src, a.dst, 1 from near a where src < 3 union all select a.src, b.dst, 2 from near a join near b on a.dst = b.src where a.src < 3 union all select a.src, c.dst, 3 from near a join near b on a.dst = b.src join near c on b.dst = c.src where a.src < 3) group by 1, 2", "part_edges", near=NEAR))
+@query(sql("select start, id, min(d) distance from (select start, id, 0 d from (select p_partkey start, p_partkey id from part where p_partkey < 3) union all select a.src, a.dst, 1 from part_edges a where src < 3 union all select a.src, b.dst, 2 from part_edges a join part_edges b on a.dst = b.src where a.src < 3 union all select a.src, c.dst, 3 from part_edges a join part_edges b on a.dst = b.src join part_edges c on b.dst = c.src where a.src < 3) group by 1, 2", "part_edges"))
 def shortest_distance(t: Tables) -> DataFrame:
     """Steps from three parts to all within three."""
-    return G.distances(_near(t), t("part").where("p_partkey < 3").select(F.col("p_partkey").alias("id")), 3)
+    return G.distances(t.part_edges(), t("part").where("p_partkey < 3").select(F.col("p_partkey").alias("id")), 3)
 
 
-@query("with recursive e as (select c_custkey a, s_suppkey + 1000000 b from customer join supplier on c_nationkey = s_nationkey and c_custkey % 7 = s_suppkey % 7), both_ as (select a, b from e union select b, a from e), reach as (select a id, a spot from both_ union select reach.id, b from reach join both_ on spot = a) select id, min(spot) component from reach group by id having count(*) >= 3")
+@query(sql("select id, min(spot) component from reach group by id having count(*) >= 3", "bought", recursive=True, both_="select src a, dst b from bought where n >= 2 union select dst, src from bought where n >= 2", reach="select a id, a spot from both_ union select reach.id, b from reach join both_ on spot = a"))
 def connected_components(t: Tables) -> DataFrame:
-    """Customers and suppliers of one nation and residue, in components of three or more."""
-    c, s = t("customer"), t("supplier")
-    e = c.join(s, (F.col("c_nationkey") == F.col("s_nationkey")) & (F.col("c_custkey") % 7 == F.col("s_suppkey") % 7))
-    comp = G.components(e.select(F.col("c_custkey").alias("src"), (F.col("s_suppkey") + 1000000).alias("dst")))
+    """Parts that go together in two orders or more, in components of three or more."""
+    comp = G.components(t.bought().where("n >= 2").select("src", "dst"))
     big = comp.groupBy("component").agg(F.count("*").alias("n")).where("n >= 3")
     return comp.join(big, "component").select("id", "component")
 
@@ -131,10 +122,10 @@ def tree_structure(t: Tables) -> DataFrame:
     return G.paths(t.tree(), 4)
 
 
-@query(sql("select src, dst, round(score, 6) score from (select src, dst, sum(score) score from (select src, dst, score from near union all select dst, src, score from near) group by 1, 2)", "part_edges", near=NEAR))
+@query(sql("select src, dst, round(score, 6) score from (select src, dst, sum(score) score from (select src, dst, score from part_edges union all select dst, src, score from part_edges) group by 1, 2)", "part_edges"))
 def symmetric_sum(t: Tables) -> DataFrame:
     """Both directions, scores added."""
-    return G.both_ways(_near(t)).select("src", "dst", *r6("score"))
+    return G.both_ways(t.part_edges()).select("src", "dst", *r6("score"))
 
 
 @query(sql("select a.p_name src_name, b.p_name dst_name, src, dst, round(score, 6) score from part_edges join part a on src = a.p_partkey join part b on dst = b.p_partkey where score >= 0.6", "part_edges"))

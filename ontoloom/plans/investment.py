@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import links, moments
 from ..operators import relational as R
+from ..sources.store import stash
 from .derived import Tables, sql
 
 Q, S = {}, {}
@@ -30,25 +31,24 @@ def r6(*columns: str):
     return [F.round(c, 6).alias(c) for c in columns]
 
 
-_PRUNED = {
+_WEIGHTED = {
     "w_s": "select s id, count(distinct o) / (count(distinct o) + 10.0) weight from facts group by s",
     "w_p": "select p id, count(distinct o) / (count(distinct o) + 10.0) weight from facts group by p",
-    "sp": "select src, dst, score from (select *, row_number() over (partition by src order by score desc, dst) k from holdings) where k <= 10",
-    "ss": "select src, dst, score from (select src, dst, score, row_number() over (partition by src order by score desc, dst) k from (select a.s src, b.s dst, count(*) / (count(*) + 1.0) score from (select distinct o, s from facts) a join (select distinct o, s from facts) b on a.o = b.o and a.s <> b.s group by a.s, b.s)) where k <= 10",
-    "pp": "select src, dst, score from (select src, dst, score, row_number() over (partition by src order by score desc, dst) k from (select src, dst, score from part_edges union all select dst, src, score from part_edges)) where k <= 5",
+    "sp": "select src, dst, score from holdings",
+    "ss": "select a.s src, b.s dst, count(*) / (count(*) + 1.0) score from (select distinct o, s from facts) a join (select distinct o, s from facts) b on a.o = b.o and a.s <> b.s group by a.s, b.s",
+    "pp": "select src, dst, score from part_edges union all select dst, src, score from part_edges",
 }
 
 
-def pruned(t: Tables) -> tuple[DataFrame, ...]:
-    """Weights of suppliers and parts, and the strongest edges among and between them."""
+def weighted(t: Tables) -> tuple[DataFrame, ...]:
+    """Weights of suppliers and parts, and the edges among and between them."""
     facts = t.facts()
     weight = lambda c: facts.groupBy(F.col(c).alias("id")).agg((F.countDistinct("o") / (F.countDistinct("o") + 10.0)).alias("weight"))
-    best = lambda e, n: R.top_n(e, n, ["src"], F.desc("score"), F.col("dst"))
     suppliers = facts.select("o", "s").distinct()
     ss = suppliers.withColumnRenamed("s", "src").join(suppliers.withColumnRenamed("s", "dst"), "o").where("src <> dst")
     ss = ss.groupBy("src", "dst").agg((F.count("*") / (F.count("*") + 1.0)).alias("score"))
     pp = t.part_edges()
-    return weight("s"), weight("p"), best(ss, 10), best(t.holdings(), 10), best(pp.union(pp.select("dst", "src", "score")), 5)
+    return weight("s"), weight("p"), ss, t.holdings(), pp.union(pp.select("dst", "src", "score"))
 
 
 _PATHS = """
@@ -70,12 +70,12 @@ scored as (select src, dst, coalesce(inner_ / nullif(inner_ + outer_, 0), 0) j00
 @query(
     sql(
         "select src, dst, round(j000, 6) jaccard_000, round(j000 * nodes, 6) jaccard_100, round(j000 * known, 6) jaccard_010, round(j000 * nodes * known, 6) jaccard_110 from scored where j000 * nodes * known >= 0.01",
-        "facts", "holdings", "bought", "part_edges", **_PRUNED,
+        "facts", "holdings", "bought", "part_edges", **_WEIGHTED,
     ).replace(" select src, dst, round(j000", "," + _PATHS + " select src, dst, round(j000", 1)
 )
 def jaccard_link_prediction(t: Tables) -> DataFrame:
     """Suppliers and the parts that they are likely to take up."""
-    return links.jaccard(*pruned(t)).select("src", "dst", *r6("jaccard_000", "jaccard_100", "jaccard_010", "jaccard_110"))
+    return links.jaccard(*(stash(x, "edges") for x in weighted(t))).select("src", "dst", *r6("jaccard_000", "jaccard_100", "jaccard_010", "jaccard_110"))
 
 
 _YEARLY = """select s, year(day) as year, count(amount) count_amount, min(amount) min_amount, max(amount) max_amount, median(amount) median_amount, sum(amount) sum_amount,
@@ -181,14 +181,15 @@ def densify_years(t: Tables) -> DataFrame:
 
 @query(
     sql(
-        "select src, dst, round(coalesce(a.score, 0), 6) score_1, round(coalesce(b.score, 0), 6) score_2, round(pow(greatest(coalesce(a.score, 0), 0.9 * coalesce(a.score, 0) + 0.1 * coalesce(b.score, 0)), 1 - coalesce(b.score, 0) / 2), 6) blend from (select * from holdings where dst % 2 = 0) a full join (select * from holdings where src % 3 <> 0) b using (src, dst)",
+        "select src, dst, round(coalesce(a.score, 0), 6) score_1, round(coalesce(b.score, 0), 6) score_2, round(pow(greatest(coalesce(a.score, 0), 0.9 * coalesce(a.score, 0) + 0.1 * coalesce(b.score, 0)), 1 - coalesce(b.score, 0) / 2), 6) blend from (select * from holdings where dst in (select p_partkey from part where p_size > 15)) a full join (select * from holdings where dst in (select p_partkey from part where p_size < 35)) b using (src, dst)",
         "holdings",
     )
 )
 def full_outer_blend(t: Tables) -> DataFrame:
     """Two scored edge tables that overlap in part, blended."""
     h = t.holdings()
-    both = R.both_scored(h.where("dst % 2 = 0"), h.where("src % 3 <> 0"), ["src", "dst"])
+    sized = lambda test: h.join(t("part").where(test).select(F.col("p_partkey").alias("dst")), "dst", "left_semi")
+    both = R.both_scored(sized("p_size > 15"), sized("p_size < 35"), ["src", "dst"])
     return both.withColumn("blend", X.manual_blend(F.col("score_1"), F.col("score_2"))).select("src", "dst", *r6("score_1", "score_2", "blend"))
 
 

@@ -12,7 +12,6 @@ from ..operators import ontology as O
 from ..streaming import events as ST
 from .concepts import _ADAPT, _DEG, _PAIRS, BASE, GROUPS, NAMES, Onto
 from .derived import Tables, sql
-from .graphs import _near
 from .investment import r6
 
 Q, S = {}, {}
@@ -42,14 +41,14 @@ _LAP = "select i, j, v from (select g.src i, g.dst j, -score / ((sqrt(a.d) + 1e-
 
 @query(sql("select i, j, round(v, 6) v from lap", "part_edges", **BASE, deg="select src, sum(score) d from graph where src <> dst group by 1", lap=_LAP))
 def laplacian(t: Tables) -> DataFrame:
-    return CL.laplacian(G.both_ways(_near(t))).select("i", "j", *r6("v"))
+    return CL.laplacian(G.both_ways(t.part_edges())).select("i", "j", *r6("v"))
 
 
 @query(sql("select a.p_type i, b.p_type j, round(avg(v), 6) v from lap join part a on i = a.p_partkey join part b on j = b.p_partkey group by 1, 2", "part_edges", **BASE, deg="select src, sum(score) d from graph where src <> dst group by 1", lap=_LAP))
 def grouped_matrix(t: Tables) -> DataFrame:
     """Mean entries by type of row and column."""
     labels = t("part").select(F.col("p_partkey").alias("id"), F.col("p_type").alias("label"))
-    return CL.grouped(CL.laplacian(G.both_ways(_near(t))), labels).select("i", "j", *r6("v"))
+    return CL.grouped(CL.laplacian(G.both_ways(t.part_edges())), labels).select("i", "j", *r6("v"))
 
 
 def _vectors(t: Tables) -> DataFrame:
