@@ -103,3 +103,85 @@ def cached(asked: DataFrame, store: DataFrame, closest: DataFrame, key: str, val
     near = store.select(F.col(key).alias("closest"), F.col(value).alias("near"))
     out = asked.join(own, key, "left").join(closest.select(key, "closest"), key, "left").join(near, "closest", "left")
     return out.select(key, F.coalesce("own", "near").alias(value), F.col("own").isNull().alias("through_closest"))
+
+
+def mismatched(stored: DataFrame, key: str, fingerprint: str, date: str) -> DataFrame:
+    """key, closest of stored(key, fingerprint, date, closest) whose closest row differs in fingerprint or is younger."""
+    other = stored.select(F.col(key).alias("closest"), F.col(fingerprint).alias("_fp"), F.col(date).alias("_date"))
+    both = stored.where(F.col("closest") != F.col(key)).join(other, "closest")
+    return both.where(~F.col(fingerprint).eqNullSafe(F.col("_fp")) | (F.col("_date") > F.col(date))).select(key, "closest")
+
+
+def repaired(stored: DataFrame, key: str, fingerprint: str, date: str) -> DataFrame:
+    """key, closest: what is stored, but for mismatched rows, which get the first row with their fingerprint."""
+    right = earliest(stored, key, fingerprint, date).select(key, F.col("closest").alias("right"))
+    wrong = mismatched(stored, key, fingerprint, date).select(key, F.lit(True).alias("wrong"))
+    both = stored.join(right, key).join(wrong, key, "left")
+    return both.select(key, F.when(F.coalesce("wrong", F.lit(False)), F.col("right")).otherwise(F.col("closest")).alias("closest"))
+
+
+def written_through(results: DataFrame, closest: DataFrame, key: str, value: str, date: str) -> DataFrame:
+    """key, value, date: results(key, value, date) stored under their own key and under that of their closest row.
+
+    What is asked of a key itself goes before what came through another; of several the latest counts, then the least.
+    """
+    own = results.select(key, value, date, F.lit(0).alias("through"))
+    near = results.join(closest.select(key, "closest"), key).select(F.col("closest").alias(key), value, date, F.lit(1).alias("through"))
+    w = Window.partitionBy(key).orderBy("through", F.desc(date), value)
+    return own.union(near).withColumn("_k", F.row_number().over(w)).where("_k = 1").select(key, value, date)
+
+
+def outcomes(results: DataFrame, value: str) -> DataFrame:
+    """results with successful, and status as a reader of results sees it."""
+    done = F.col(value).isNotNull()
+    return results.withColumn("successful", done).withColumn("status", F.when(done, "SUCCESS").otherwise("FAILURE"))
+
+
+def settled(store: DataFrame, results: DataFrame, key: str, value: str) -> DataFrame:
+    """store after a batch: successes replace rows or are added, failures (null values) delete theirs."""
+    kept = store.join(results.select(key), key, "left_anti")
+    return kept.unionByName(results.where(F.col(value).isNotNull()).select(store.columns))
+
+
+def same_source(df: DataFrame, key: str, source: str, length: str, date: str, decimals: int = 2) -> DataFrame:
+    """key, closest: the first row of the same source and length, rounded; itself if it is the first."""
+    w = Window.partitionBy(source, F.round(length, decimals)).orderBy(date, key)
+    return df.select(key, F.first(key).over(w).alias("closest"))
+
+
+def batches(df: DataFrame, group: str, order: str, size: str, budget: int, span: int = 10_000) -> DataFrame:
+    """df with batch: rows of a group in order, as many to a batch as the sum of their sizes stays within budget.
+
+    A row larger than the budget is a batch alone.  Batches also end where the order passes a multiple of `span`, so that
+    one large group is the work of many tasks; batch is that multiple and a number from 0.
+    """
+    columns = [df.columns.index(c) for c in (group, order, size)]
+    part = F.floor(F.col(order) / span).cast("long")
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, full, number = object(), 0, 0
+        for batch in rows:
+            out = []
+            for g, k, n in zip(*(batch.column(c).to_pylist() for c in columns)):
+                if (g, k // span) != at:
+                    at, full, number = (g, k // span), 0, 0
+                elif full + n > budget:
+                    full, number = 0, number + 1
+                full += n
+                out.append(number)
+            yield pa.record_batch([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "batch"])
+
+    dealt = df.repartition(F.col(group), part).sortWithinPartitions(group, part, order)
+    return dealt.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).withColumn("span", part)
+
+
+def stale(roots: DataFrame, parts: DataFrame, uses: DataFrame, date: str, cutoff) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(roots, parts, leaves) that an old root takes along: its parts, and the leaves that only such parts use.
+
+    roots(root, date), parts(part, root), uses(part, leaf).
+    """
+    old = roots.where(F.col(date) < cutoff).select("root")
+    gone = parts.join(old, "root", "left_semi").select("part").distinct()
+    used = uses.join(gone, "part", "left_anti").select("leaf").distinct()
+    leaves = uses.join(gone, "part", "left_semi").select("leaf").distinct().join(used, "leaf", "left_anti")
+    return old, gone, leaves

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,19 @@ def allowed(users: DataFrame, grants: DataFrame, aliases: DataFrame) -> DataFram
     through = grants.select("user", F.col("index").alias("alias")).join(aliases, "alias").select("user", "index")
     anything = grants.where("index = 'ANY'").select("user").distinct().crossJoin(F.broadcast(indexes))
     return direct.union(through).union(anything).distinct().join(users.select("user"), "user", "left_semi")
+
+
+def over_rounds(df: DataFrame, category: str, round_: str, wrong: str) -> DataFrame:
+    """category, rounds, mean, deviation: the share of wrong rows of each category, over rounds."""
+    each = df.groupBy(category, round_).agg(F.avg(F.col(wrong).cast("double")).alias("error"))
+    return each.groupBy(category).agg(F.count("*").alias("rounds"), F.round(F.avg("error"), 6).alias("mean"), F.round(F.stddev_pop("error"), 6).alias("deviation"))
+
+
+def scopes(text: Column) -> Column:
+    """The scopes that a text lists between commas, each once; a null text lists none."""
+    return F.array_distinct(F.filter(F.split(F.coalesce(text, F.lit("")), " *, *"), lambda s: F.length(s) > 0))
+
+
+def overridden(base: Column, own: Column) -> Column:
+    """Limits by name: own ones, which have to be in the base, in place of those of all."""
+    return F.map_from_entries(F.transform(F.map_entries(base), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.try_element_at(own, e["key"]), e["value"]).alias("value"))))

@@ -89,7 +89,7 @@ def score_of(sums: DataFrame, mode: str) -> DataFrame:
 
 def move_clusters(clusters: DataFrame, moves: DataFrame) -> DataFrame:
     """clusters(cluster, category) after moves(cluster, target)."""
-    return clusters.join(F.broadcast(moves), "cluster", "left").select("cluster", F.coalesce("target", "category").alias("category"))
+    return clusters.join(moves, "cluster", "left").select("cluster", F.coalesce("target", "category").alias("category"))
 
 
 def split_cluster(members: DataFrame, cluster: str, concepts: DataFrame, new_cluster: str) -> DataFrame:
@@ -108,3 +108,64 @@ def insert_concepts(members: DataFrame, new: DataFrame) -> tuple[DataFrame, Data
     judged = judged.withColumn("processed", F.coalesce("has_cluster", F.lit(False)) & F.col("has_concept").isNull())
     accepted = judged.where("processed").select("cluster", "concept")
     return members.select("cluster", "concept").unionByName(accepted), judged.select("cluster", "concept", "processed")
+
+
+def closest_clusters(graph: DataFrame, of: DataFrame, n: int = 3, mode: str = "linear") -> DataFrame:
+    """concept, category, cluster, score, rank: the n clusters of each category that are closest to each concept.
+
+    of is (cluster, category, concept).  Clusters without an edge to the concept are not among them.
+    """
+    sums = score_of(to_groups(graph, of.select(F.col("cluster").alias("group"), "concept")), mode)
+    sums = sums.join(of.select(F.col("cluster").alias("group"), "category").distinct(), "group").select("concept", "category", F.col("group").alias("cluster"), "score")
+    best = Window.partitionBy("concept", "category").orderBy(F.desc(F.round("score", 9)), "cluster")
+    return sums.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
+
+
+def similarity(graph: DataFrame, groups: dict[str, DataFrame], source: str, target: str, mode: str = "linear") -> DataFrame:
+    """first, second, score between entities of two kinds: "concept" or any name in groups(group, concept).
+
+    A concept is a group of itself, so one rule serves all pairs of kinds.
+    """
+    alone = graph.select(F.col("src").alias("group"), F.col("src").alias("concept")).distinct()
+    of = lambda kind: alone if kind == "concept" else groups[kind]
+    named = lambda g: g.select(F.col("group").cast("string").alias("group"), "concept")
+    return score_of(between(graph, named(of(source)), named(of(target))), mode).select("first", "second", "score")
+
+
+def aligned(topics: DataFrame) -> DataFrame:
+    """category, topic, score, rank: the topics of each category, the best first; a leading T of a topic's id goes."""
+    t = topics.withColumn("topic", F.regexp_replace("topic", "^T", "").cast("long"))
+    return t.withColumn("rank", F.row_number().over(Window.partitionBy("category").orderBy(F.desc("score"), "topic")))
+
+
+def add_category(tree: DataFrame, anchors: DataFrame, clusters: DataFrame, name: str, parent: str, concepts: DataFrame, moved: DataFrame) -> tuple[DataFrame, ...]:
+    """(tree, anchors, clusters) with a new category under a parent, anchored to concepts(concept).
+
+    moved(cluster) are clusters that it takes over from other categories.
+    """
+    spark = tree.sparkSession
+    tree = tree.unionByName(spark.createDataFrame([(name, parent)], "child string, parent string")).distinct()
+    anchors = anchors.unionByName(concepts.select(F.lit(name).alias("category"), "concept")).distinct()
+    taken = moved.select("cluster", F.lit(name).alias("target"))
+    return tree, anchors, move_clusters(clusters, taken)
+
+
+def new_cluster(members: DataFrame, clusters: DataFrame, concepts: DataFrame, category: str) -> tuple[DataFrame, DataFrame]:
+    """(members, clusters) with the concepts that no cluster has yet in a new one, whose number follows the greatest.
+
+    members(cluster, concept), clusters(cluster, category), with numbers for clusters.
+    """
+    number = clusters.agg((F.coalesce(F.max("cluster"), F.lit(-1)) + 1).alias("cluster"))
+    free = concepts.select("concept").distinct().join(members, "concept", "left_anti")
+    added = free.crossJoin(F.broadcast(number)).select("cluster", "concept")
+    row = number.select("cluster", F.lit(category).alias("category"))
+    return members.select("cluster", "concept").unionByName(added), clusters.select("cluster", "category").unionByName(row)
+
+
+def statistics(tree: DataFrame, clusters: DataFrame, members: DataFrame, width: int = 20) -> tuple[DataFrame, DataFrame]:
+    """(category, clusters, concepts; bin, clusters): sizes of all leaf categories, empty ones included, and a histogram of
+    the sizes of clusters in bins of a width."""
+    leaves = tree.select(F.col("child").alias("category")).join(tree.select(F.col("parent").alias("category")).distinct(), "category", "left_anti")
+    n = members.groupBy("cluster").agg(F.count("*").alias("n"))
+    of = clusters.join(n, "cluster", "left").groupBy("category").agg(F.count("*").alias("clusters"), F.coalesce(F.sum("n"), F.lit(0)).alias("concepts"))
+    return leaves.join(of, "category", "left").fillna(0, ["clusters", "concepts"]), n.groupBy(F.floor(F.col("n") / width).alias("bin")).agg(F.count("*").alias("clusters"))

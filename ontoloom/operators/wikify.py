@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..functions.udf import lcs_ratio
+from ..functions.strings import common_letters
 from ..sources.store import stash
 from .graph import graph_score
 from .relational import induced, of_greatest
@@ -37,7 +37,8 @@ def levenshtein_scores(results: DataFrame) -> DataFrame:
     """How alike keywords and concept name read.  Each pair of strings is compared once."""
     plain = lambda c: F.lower(F.translate(c, "_", " "))
     pairs = results.select("keywords", "concept_name").distinct()
-    ratio = lcs_ratio(plain("keywords"), plain("concept_name"))
+    a, b = plain("keywords"), plain("concept_name")
+    ratio = F.coalesce(F.try_divide(2 * common_letters(a, b), F.length(a) + F.length(b)), F.lit(1.0))
     pairs = pairs.withColumn("levenshtein_score", X.ratio_s_curve(ratio))
     return results.join(pairs, ["keywords", "concept_name"])
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import concepts, graphs, investment, models, texts
+from . import concepts, graphs, investment, models, scalars, services, texts
 
-MODULES = [investment, graphs, concepts, texts, models]
+MODULES = [investment, graphs, concepts, texts, models, scalars, services]
 
 
 def queries() -> dict:

@@ -192,10 +192,14 @@ def search_top10(t: Tables) -> DataFrame:
 _LCS = "list_extract(list_reduce(list_transform(string_split(lower(keywords), ''), lambda c: [unicode(c)]), lambda prev, c: list_reduce(list_transform(range(1, length(concept_name) + 1), lambda j: [cast(j as integer)]), lambda st, j: list_append(st, case when unicode(substr(lower(concept_name), j[1], 1)) = c[1] then prev[j[1]] + 1 else greatest(prev[j[1] + 1], st[j[1]]) end), [0]), list_transform(range(length(concept_name) + 1), lambda z: 0)), -1)"
 
 
-@query()
+_RATIO = f"select keywords, concept_id, 2.0 * {_LCS} / (length(keywords) + length(concept_name)) x from results"
+
+
+@query(sql("select keywords, concept_id, round(x * x / (x * x + (1 - x) * (1 - x)) + 1e-9, 6) levenshtein_score from ratio", found=FOUND, results=RESULTS, ratio=_RATIO))
 def levenshtein_score(t: Tables) -> DataFrame:
-    """How alike keywords and names read; SQL has no fold of the needed kind, so the tests compare with plain Python."""
-    return K.levenshtein_scores(_results(t)).select("keywords", "concept_id", *r6("levenshtein_score"))
+    """How alike keywords and names read."""
+    score = F.round(F.col("levenshtein_score") + 1e-9, 6).alias("levenshtein_score")
+    return K.levenshtein_scores(_results(t)).select("keywords", "concept_id", score)
 
 
 _V = "select concept_id, embedding from (select distinct concept_id from results) join embeddings on vec_id = concept_id"
