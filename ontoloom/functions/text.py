@@ -15,6 +15,52 @@ STOP_WORDS = {
 }
 #: Page types by what a URL contains; the first that matches counts.
 PAGE_TYPES = [("page=", "list"), ("/fr/", "french"), ("/de/", "german"), ("/es/", "spanish"), ("/en/", "english"), ("#", "section"), ("blog", "blog")]
+#: Kinds of pages by what a URL contains; the first that matches counts.
+PAGE_KINDS = {
+    "homepage": "homepage",
+    "home": "homepage",
+    "about": "about",
+    "about-us": "about",
+    "alumni": "people",
+    "alumni-interns": "people",
+    "completed-projects": "research",
+    "contact": "contacts",
+    "contacts": "contacts",
+    "current-projects": "research",
+    "education": "teaching",
+    "events": "activities",
+    "facilities": "facilities",
+    "former-members": "people",
+    "funding": "funding",
+    "group": "people",
+    "lab-members": "people",
+    "lectures": "teaching",
+    "members": "people",
+    "news": "news",
+    "open-positions": "jobs",
+    "openings": "jobs",
+    "openpositions": "jobs",
+    "our-research": "research",
+    "outreach": "activities",
+    "past-members": "people",
+    "past-research": "research",
+    "people": "people",
+    "previousresearch": "research",
+    "projects": "research",
+    "publications": "publications",
+    "research": "research",
+    "research-projects": "research",
+    "resources": "resources",
+    "scientific-activities": "activities",
+    "seminars": "activities",
+    "student-projects": "student projects",
+    "student_projects": "student projects",
+    "studentprojects": "student projects",
+    "teaching": "teaching",
+    "teaching-projects": "teaching",
+    "team": "people",
+    "technical-reports": "publications",
+}
 ACCENTS = ("àâäáãåéèêëíîïìóôöòõúùûüçñÀÂÄÁÉÈÊËÍÎÏÓÔÖÚÙÛÜÇÑ", "aaaaaaeeeeiiiiooooouuuucnAAAAEEEEIIIOOOUUUUCN")
 
 
@@ -110,3 +156,17 @@ def language(tokens: Column) -> Column:
     for k in reversed(votes):
         best = F.when(votes[k] == top, k).otherwise(best)
     return F.when(top > 0, best)
+
+
+def page_kind(url: Column, base: Column) -> Column:
+    """What kind of page an address tells of: the homepage if it is the base, null if nothing in it tells."""
+    kind = F.lit(None).cast("string")
+    for mark, name in reversed(PAGE_KINDS.items()):
+        kind = F.when(F.contains(url, F.lit(mark)), name).otherwise(kind)
+    return F.when(url == base, "homepage").otherwise(kind)
+
+
+def main_part(html: Column) -> Column:
+    """What the first main element holds, or else the body, or else all."""
+    part = lambda tag, rest: F.nullif(F.regexp_extract(html, rf"(?is)<{tag}[^>]*>({rest})</{tag}>", 1), F.lit(""))
+    return F.coalesce(part("main", ".*?"), part("body", ".*"), html)

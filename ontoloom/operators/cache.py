@@ -185,3 +185,22 @@ def stale(roots: DataFrame, parts: DataFrame, uses: DataFrame, date: str, cutoff
     used = uses.join(gone, "part", "left_anti").select("leaf").distinct()
     leaves = uses.join(gone, "part", "left_semi").select("leaf").distinct().join(used, "leaf", "left_anti")
     return old, gone, leaves
+
+
+def under_flags(asked: DataFrame, store: DataFrame, key: str, **flags: bool) -> DataFrame:
+    """asked with origin: "stored" where the store has the key under all the flags, else "made".  A null flag is none."""
+    match = store.where(" and ".join(f"`{c}` <=> {str(v).lower()}" for c, v in flags.items()) or "true").select(key).distinct()
+    found = match.withColumn("origin", F.lit("stored"))
+    return asked.join(found, key, "left").withColumn("origin", F.coalesce("origin", F.lit("made")))
+
+
+def closest(df: DataFrame, key: str, fingerprint: str, date: str, block: str, least: float) -> DataFrame:
+    """key, closest, score: by equality where `least` is one, else by similarity within a block, or equality where nothing
+    is similar enough.  Which of the two it is, is decided before anything is read."""
+    exact = earliest(df, key, fingerprint, date)
+    if least >= 1:
+        return exact
+    near = similar(df, key, fingerprint, block, least).toDF(key, "_closest", "_score")
+    both = exact.join(near, key, "left")
+    own = (F.col("score") < 0) & F.col("_closest").isNotNull()
+    return both.select(key, F.when(own, F.col("_closest")).otherwise(F.col("closest")).alias("closest"), F.when(own, F.col("_score")).otherwise(F.col("score")).alias("score"))

@@ -55,7 +55,7 @@ def quality(vectors: DataFrame) -> DataFrame:
     """davies_bouldin, calinski_harabasz of a clustering: one pass for the centroids, one for the scatter."""
     c = centroids(vectors)
     square = lambda x, y: F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, z: s + z)
-    d = vectors.join(F.broadcast(c), "label").withColumn("q", square("vector", "centroid"))
+    d = vectors.join(c, "label").withColumn("q", square("vector", "centroid"))
     scatter = d.groupBy("label").agg(F.avg(F.sqrt("q")).alias("s"), F.sum("q").alias("within"))
     c = c.join(scatter, "label")
     a, b = (c.select(*(F.col(x).alias(f"{x}_{k}") for x in c.columns)) for k in (1, 2))
@@ -78,9 +78,9 @@ def reassigned(vectors: DataFrame, least: int) -> DataFrame:
     pairs = small.select(F.col("label").alias("a"), F.col("vector").alias("x")).crossJoin(large.select(F.col("label").alias("b"), F.col("vector").alias("y")))
     near = pairs.groupBy("a", "b").agg(F.round(F.median(dot(F.col("x"), F.col("y"))), 9).alias("m"))
     to = near.groupBy("a").agg(F.max(F.struct("m", (-F.col("b")).alias("b"))).alias("best")).select(F.col("a").alias("label"), (-F.col("best.b")).alias("to"))
-    out = vectors.select("id", "label").join(F.broadcast(to), "label", "left").withColumn("kept", F.coalesce("to", "label"))
+    out = vectors.select("id", "label").join(to, "label", "left").withColumn("kept", F.coalesce("to", "label"))
     number = out.select("kept").distinct().withColumn("new_label", F.row_number().over(Window.orderBy("kept")) - 1)
-    return out.join(F.broadcast(number), "kept").select("id", "label", "new_label")
+    return out.join(number, "kept").select("id", "label", "new_label")
 
 
 def majority(labels: DataFrame, known: DataFrame) -> DataFrame:

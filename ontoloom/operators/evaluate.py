@@ -40,7 +40,7 @@ def allowed(users: DataFrame, grants: DataFrame, aliases: DataFrame) -> DataFram
     indexes = aliases.select("index").distinct()
     direct = grants.join(indexes, "index", "left_semi").select("user", "index")
     through = grants.select("user", F.col("index").alias("alias")).join(aliases, "alias").select("user", "index")
-    anything = grants.where("index = 'ANY'").select("user").distinct().crossJoin(F.broadcast(indexes))
+    anything = grants.where("index = 'ANY'").select("user").distinct().crossJoin(indexes)
     return direct.union(through).union(anything).distinct().join(users.select("user"), "user", "left_semi")
 
 

@@ -42,10 +42,10 @@ def with_both(concepts: DataFrame, categories: DataFrame, anchors: DataFrame, me
 
     concepts has one column, entity; categories has category; the sums are (entity, category, total, size).
     """
-    every = concepts.crossJoin(F.broadcast(categories))
+    every = concepts.crossJoin(categories)
     for k, sums in ((1, anchors), (2, members)):
         n = sums.groupBy("category").agg(F.max("size").alias(f"n{k}"))
-        every = every.join(sums.select("entity", "category", F.col("total").alias(f"s{k}")), ["entity", "category"], "left").join(F.broadcast(n), "category", "left")
+        every = every.join(sums.select("entity", "category", F.col("total").alias(f"s{k}")), ["entity", "category"], "left").join(n, "category", "left")
     return every.fillna(0, ["s1", "s2", "n1", "n2"])
 
 
@@ -67,7 +67,7 @@ def closest(scores: DataFrame, n: int) -> DataFrame:
 
 def closest_through_parent(scores: DataFrame, tree: DataFrame, n: int) -> DataFrame:
     """The same, but children of the parent with the best mean come first; the scores are left as they are."""
-    of = scores.join(F.broadcast(tree.select(F.col("child").alias("category"), "parent")), "category")
+    of = scores.join(tree.select(F.col("child").alias("category"), "parent"), "category")
     mean = of.groupBy("entity", "parent").agg(F.avg("score").alias("mean"))
     chosen = top_n(mean, 1, ["entity"], F.desc("mean"), F.col("parent")).select("entity", F.col("parent").alias("chosen"))
     of = of.join(chosen, "entity")
@@ -80,7 +80,7 @@ def inherited(anchors: DataFrame, tree: DataFrame, depth: int = 4) -> DataFrame:
     from .graph import ancestors
 
     up = ancestors(tree, depth).select(F.col("node").alias("category"), "ancestor")
-    return anchors.join(F.broadcast(up), "category").select(F.col("ancestor").alias("category"), "concept").distinct()
+    return anchors.join(up, "category").select(F.col("ancestor").alias("category"), "concept").distinct()
 
 
 def score_of(sums: DataFrame, mode: str) -> DataFrame:

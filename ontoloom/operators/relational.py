@@ -105,9 +105,21 @@ def runs(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
 
 
 def top_share(df: DataFrame, ratio: float, *order: Column) -> DataFrame:
-    """The first floor(ratio * rows) rows, by a distributed sort and the sizes of its partitions."""
-    n = int(df.count() * ratio)
-    return df.orderBy(*order).limit(n)
+    """The first floor(ratio * rows) rows: sorted by ranges, each cut where the sizes of those before it say."""
+    from ..sources.store import stash
+
+    at, place = (name for name in ("_range", "_place"))
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = stash(sorted_.withColumn(at, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
+    sizes = {r[at]: r["count"] for r in placed.groupBy(at).count().collect()}  # one row for each partition
+    left, quota = int(sum(sizes.values()) * ratio), []
+    for k in sorted(sizes):
+        quota.append((k, min(left, sizes[k])))
+        left -= quota[-1][1]
+    if not quota:
+        return df.limit(0)
+    cut = F.create_map(*(F.lit(x) for pair in quota for x in pair))
+    return placed.where(F.col(place) < cut[F.col(at)]).select(df.columns)
 
 
 def of_greatest(df: DataFrame, *values: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +11,7 @@ from ..functions.strings import common_letters
 from ..sources.store import stash
 from .graph import graph_score
 from .relational import induced, of_greatest
+from .vectors import sums
 
 #: Weights of the mixed score, which sum to one.
 WEIGHTS = {
@@ -43,25 +45,29 @@ def levenshtein_scores(results: DataFrame) -> DataFrame:
     return results.join(pairs, ["keywords", "concept_name"])
 
 
+def _curve(x: np.ndarray, pivot: float = 0.3) -> np.ndarray:
+    """X.power_s_curve() of degree 2 over numbers from 0 to 1."""
+    return np.where(x <= pivot, x * x / pivot, 1 - (1 - x) ** 2 / (1 - pivot))
+
+
 def embedding_scores(results: DataFrame, vectors: DataFrame) -> DataFrame:
     """Mean similarity to the other concepts of the keywords, and to all others; concepts without vector count as zero.
 
-    vectors is (concept_id, vector).  The local means come from pairs within keywords.  For the global means every pair of
-    concepts of one query is needed, since negative products become zero before they are averaged.
+    vectors is (concept_id, vector).  The local means come from pairs within keywords, of which each has the ten best at
+    most.  For the global means every concept meets all others, since negative products become zero before they are
+    averaged: in blocks, without a row for a pair.
     """
     results = stash(results, "results")
     ids = results.select("concept_id").distinct()
-    v = ids.join(vectors, "concept_id")
-    pairs = v.select(F.col("concept_id").alias("a"), F.col("vector").alias("x")).join(
-        v.select(F.col("concept_id").alias("b"), F.col("vector").alias("y")), F.col("a") < F.col("b")
-    )
-    pairs = stash(pairs.select("a", "b", X.power_s_curve(F.greatest(F.lit(0.0), X.dot(F.col("x"), F.col("y")))).alias("sim")).where("sim > 0"), "similar")
-    pairs = pairs.union(pairs.select("b", "a", "sim"))
+    v = stash(ids.join(vectors, "concept_id"), "vectors")
+    curve = lambda x: np.where(x > 0, _curve(np.clip(x, 0, 1)), 0.0)
+    overall = sums(v.select(F.lit(0).alias("group"), F.col("concept_id").alias("id"), "vector"), curve).toDF("concept_id", "total")
     n = ids.agg((F.count("*") - 1).alias("n"))
-    overall = pairs.groupBy(F.col("a").alias("concept_id")).agg(F.sum("sim").alias("total"))
     kc = results.select("keywords", "concept_id").distinct()
-    local = kc.withColumnRenamed("concept_id", "a").join(kc.withColumnRenamed("concept_id", "b"), "keywords").join(pairs, ["a", "b"])
-    local = local.groupBy("keywords", F.col("a").alias("concept_id")).agg(F.sum("sim").alias("near"))
+    of = kc.join(v, "concept_id")
+    near = of.select("keywords", F.col("concept_id").alias("a"), F.col("vector").alias("x")).join(of.select("keywords", F.col("concept_id").alias("b"), F.col("vector").alias("y")), "keywords")
+    sim = X.power_s_curve(F.greatest(F.lit(0.0), X.dot(F.col("x"), F.col("y"))))
+    local = near.where("a <> b").groupBy("keywords", F.col("a").alias("concept_id")).agg(F.sum(sim).alias("near"))
     mates = (F.count("*").over(Window.partitionBy("keywords")) - 1).alias("mates")
     own = kc.select("keywords", "concept_id", mates).join(local, ["keywords", "concept_id"], "left").join(overall, "concept_id", "left").crossJoin(F.broadcast(n))
     own = own.fillna(0, ["near", "total"]).select(

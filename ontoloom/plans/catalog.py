@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import concepts, graphs, investment, models, scalars, services, texts
+from . import concepts, graphs, investment, models, reports, scalars, services, texts
 
-MODULES = [investment, graphs, concepts, texts, models, scalars, services]
+MODULES = [investment, graphs, concepts, texts, models, scalars, services, reports]
 
 
 def queries() -> dict:

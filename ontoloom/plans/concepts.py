@@ -9,6 +9,7 @@ from ..functions import expr as X
 from ..operators import graph as G
 from ..operators import ontology as O
 from ..operators import relational as R
+from ..operators import vectors as V
 from ..operators import wikify as K
 from ..sources.store import stash
 from .derived import Tables, sql
@@ -160,10 +161,7 @@ _SIM = "select src, dst, score from (select a.vec_id src, b.vec_id dst, list_inn
 @query(sql("select src, category, round(total, 6) total from (select src, category, sum(score) total from sim join members on dst = concept join clusters using (cluster) group by 1, 2)", "members", "clusters", vec=_VEC, sim=_SIM))
 def embedding_fallback(t: Tables) -> DataFrame:
     """Types of the nearest vectors of every vector: neighbours, their brands, their types."""
-    v = t("embeddings")
-    a, b = (v.select(F.col("vec_id").alias(i), F.col("embedding").alias(e), "label") for i, e in (("src", "x"), ("dst", "y")))
-    sim = a.join(b, "label").where("src <> dst").select("src", "dst", X.dot(F.col("x"), F.col("y")).alias("score"))
-    sim = R.top_n(sim, 5, ["src"], F.desc(F.round("score", 9)), F.col("dst"))
+    sim = V.nearest(t("embeddings").select(F.col("label").alias("group"), F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 5)
     out = sim.join(t.members().withColumnRenamed("concept", "dst"), "dst").join(t.clusters(), "cluster")
     return out.groupBy("src", "category").agg(F.round(F.sum("score"), 6).alias("total"))
 

@@ -52,7 +52,7 @@ def mix(t: Tables) -> DataFrame:
 def _pairs(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     x = _held(t)
     y = t("part").select(F.col("p_brand").alias("u"), F.col("p_partkey").alias("concept"), (1 / (1 + F.col("p_size"))).alias("score"))
-    return x, y, x.select("s").distinct().crossJoin(F.broadcast(y.select("u").distinct()))
+    return x, y, x.select("s").distinct().crossJoin(y.select("u").distinct())
 
 
 _Y = "select p_brand u, p_partkey concept, 1 / (1.0 + p_size) score from part"

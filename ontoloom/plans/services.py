@@ -428,7 +428,7 @@ def fundraiser_units(t: Tables) -> DataFrame:
     detected = F.when(F.col("p_size") < 20, 1.0 / F.col("p_size")).otherwise(0.0)
     x = h.select(F.col("src").alias("s"), F.col("dst").alias("concept"), X.manual_blend(F.col("score"), detected).alias("score"))
     y = _units(t)
-    pairs = x.select("s").distinct().crossJoin(F.broadcast(y.select("u").distinct()))
+    pairs = x.select("s").distinct().crossJoin(y.select("u").distinct())
     scored = C.affinities(stash(x, "merged"), y, pairs, t.part_edges(), mix_x=True).where("score > 0")
     best = R.top_n(scored, 10, ["s"], F.desc(F.round("score", 9)), F.col("u"))
     return best.select("s", "u", F.round(R.unit("score", "s"), 6).alias("score"))
@@ -441,7 +441,7 @@ def investor_units(t: Tables) -> DataFrame:
     w = t.holdings().join(n, "dst").select(F.col("src").alias("s"), F.col("dst").alias("concept"), (F.col("score") * X.rarity(F.col("n"))).alias("score"))
     x = w.withColumn("score", R.share("score", "s"))
     y = _units(t)
-    pairs = x.select("s").distinct().crossJoin(F.broadcast(y.select("u").distinct()))
+    pairs = x.select("s").distinct().crossJoin(y.select("u").distinct())
     scored = C.affinities(stash(x, "weighed"), y, pairs).where("score > 0")
     best = R.top_n(scored, 10, ["s"], F.desc(F.round("score", 9)), F.col("u"))
     return best.select("s", "u", F.round(R.unit("score", "s"), 6).alias("score"))
