@@ -60,10 +60,11 @@ def ball(edges: DataFrame, start: DataFrame, radius: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """id, component: the smallest node that each node reaches.
 
-    Each round hooks a node to its smallest neighbour and follows the hooks; edges are contracted until none is left.
-    Labels stay in tables throughout.
+    Each round hooks a node to its smallest neighbour and follows the hooks twice; edges are contracted until none is
+    left.  Edges between two nodes count once, so a hub costs a row for each neighbour.  Labels stay in tables throughout;
+    lone nodes are absent.
     """
-    labels, k = None, 0
+    labels = None
     edges = edges.where("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     while True:
         edges = stash(edges, "edges")
@@ -72,6 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
         sides = edges.union(edges.select("dst", "src"))
         hook = stash(sides.groupBy("src").agg(F.min("dst").alias("low")).select(F.col("src").alias("id"), F.least("src", "low").alias("up")), "hooks")
         follow = hook.select(F.col("id").alias("up"), F.col("up").alias("next"))
+        hook = hook.join(follow, "up").select("id", F.col("next").alias("up"))
         hook = stash(hook.join(follow, "up").select("id", F.col("next").alias("up")), "hooks")
         if labels is None:
             labels = hook.select("id", F.col("up").alias("component"))
@@ -81,7 +83,6 @@ def components(edges: DataFrame) -> DataFrame:
         ends = [hook.select(F.col("id").alias(c), F.col("up").alias(f"{c}_up")) for c in ("src", "dst")]
         edges = edges.join(ends[0], "src").join(ends[1], "dst").where("src_up <> dst_up")
         edges = edges.select(F.least("src_up", "dst_up").alias("src"), F.greatest("src_up", "dst_up").alias("dst")).distinct()
-        k += 1
 
 
 def distances(edges: DataFrame, start: DataFrame, limit: int = 6) -> DataFrame:
