@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import count
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import stash
+from ..operators import graph
 
 
 def spanning_forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -28,31 +26,5 @@ def spanning_forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 
 def components(links: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) for every node of links(a, b); lone nodes are absent.
-
-    Every round hooks each node to its smallest neighbour, jumps along the hooks and contracts the links, until
-    none is left.  Links between two nodes count once, so a hub costs one row for each neighbour.
-    """
-    labels = None
-    links = links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    for k in count():
-        links = stash(links, f"links{k}")
-        if k and links.isEmpty():
-            return labels
-        both = links.union(links.select("b", "a"))
-        hook = stash(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")), f"hooks{k}")
-        up = hook.select(F.col("node").alias("up"), F.col("up").alias("up2"))
-        jumped = hook.join(up, "up").select("node", F.col("up2").alias("up"))
-        jumped = stash(jumped.join(up, "up").select("node", F.col("up2").alias("up")), f"jumps{k}")
-        links = (
-            links.join(jumped.select(F.col("node").alias("a"), F.col("up").alias("x")), "a")
-            .join(jumped.select(F.col("node").alias("b"), F.col("up").alias("y")), "b")
-            .where("x != y")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-            .distinct()
-        )
-        if labels is None:
-            labels = jumped.select("node", F.col("up").alias("root"))
-        else:
-            after = jumped.select(F.col("node").alias("root"), F.col("up"))
-            labels = labels.join(after, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    """node, root (the smallest node reachable) for every node of links(a, b); lone nodes are absent."""
+    return graph.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).toDF("node", "root")

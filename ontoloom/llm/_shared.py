@@ -2,43 +2,18 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: White space that separates words in the contracts: bytes.split() breaks at exactly these.
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+from ..sources.store import shared_folder, stash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or a default where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = "/tmp/checkpoints/ontoloom"
-        spark.conf.set("spark.checkpoint.dir", at)
-        spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
-def stash(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage and survives lost executors.
-
-    The folder is deleted when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def stash_by(df: DataFrame, key: str, tag: str, dealt: bool = False) -> DataFrame:
     """stash() as a table bucketed by key: joins by it don't shuffle the table again.  Its name leaves with the session.
 
@@ -46,7 +21,7 @@ def stash_by(df: DataFrame, key: str, tag: str, dealt: bool = False) -> DataFram
     """
     spark = df.sparkSession
     name = f"{tag}_{uuid.uuid4().hex}"
-    path, n = f"{shared_dir(spark)}/{name}", n_partitions(spark)
+    path, n = f"{shared_folder(spark)}/{name}", n_partitions(spark)
     (df if dealt else df.repartition(n, key)).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)

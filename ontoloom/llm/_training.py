@@ -44,17 +44,25 @@ def with_labels(docs: DataFrame, sample: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
 
 
+#: Kinds of code points, as bits: white space, of a word, a letter, a capital, a small letter, a digit, common punctuation,
+#: what ends sentences.
+SPACE, WORD, LETTER, UPPER, LOWER, DIGIT, MILD, STOP = (1 << k for k in range(8))
+
+
 @lru_cache(maxsize=1)
-def kinds() -> dict[str, np.ndarray]:
-    """By code point: whether it is white space, of a word, a letter, a capital, a small letter; and its small letter."""
-    chars = [chr(k) for k in range(POINTS)]
-    of = lambda f: np.array([f(c) for c in chars], bool)
-    low = [c.lower() for c in chars]
-    out = {"space": of(str.isspace), "upper": of(str.isupper), "lower": of(str.islower), "digit": of(str.isdecimal)}
-    out["word"] = of(lambda c: c.isalnum() or c == "_")
-    out["letter"] = out["word"] & ~out["digit"] & of(lambda c: c != "_")
-    out["small"] = np.array([ord(s) if len(s) == 1 and ord(s) < POINTS else k for k, s in enumerate(low)], np.uint32)
-    return out
+def kinds() -> tuple[np.ndarray, np.ndarray]:
+    """(bits, small letter) of every code point that is told apart."""
+    bits = np.zeros(POINTS, np.uint8)
+    small = np.arange(POINTS, dtype=np.uint32)
+    for k, c in enumerate(map(chr, range(POINTS))):
+        word, digit = c.isalnum() or c == "_", c.isdecimal()
+        bits[k] = SPACE * c.isspace() | WORD * word | LETTER * (word and not digit and c != "_") | UPPER * c.isupper() | LOWER * c.islower() | DIGIT * digit
+        low = c.lower()
+        if len(low) == 1 and ord(low) < POINTS:
+            small[k] = ord(low)
+    bits[[ord(c) for c in ".,;:'’-"]] |= MILD
+    bits[[ord(c) for c in ".!?"]] |= STOP
+    return bits, small
 
 
 class Letters:
@@ -70,7 +78,8 @@ class Letters:
         self.at, self.raw = at - at[0], memoryview(raw)[at[0] : at[-1]] if raw is not None else memoryview(b"")
         self.full = np.frombuffer(bytes(self.raw).decode().encode("utf-32-le"), np.uint32)
         self.codes = np.minimum(self.full, POINTS - 1)
-        gap = kinds()["space"][self.codes]
+        self.bits = kinds()[0][self.codes]
+        gap = self.bits & SPACE > 0
         edge = np.zeros(len(gap) + 1, bool)
         edge[self.ends] = True
         opens, closes = ~gap, ~gap
@@ -81,14 +90,22 @@ class Letters:
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(self.n), self.count)
 
-    def per_doc(self, flag: np.ndarray) -> np.ndarray:
-        """How many code points of each text have a flag."""
-        total = np.concatenate([[0], np.cumsum(flag)])
-        return total[self.ends[1:]] - total[self.ends[:-1]]
+    def counts(self) -> np.ndarray:
+        """How many code points of each text have which bits: a row of 256 for each."""
+        text = np.repeat(np.arange(self.n) << 8, np.diff(self.ends))
+        return np.bincount(text | self.bits, minlength=self.n << 8).reshape(self.n, 256)
+
+    def texts_at(self, places: np.ndarray) -> np.ndarray:
+        """How many of some places, in order, are in each text."""
+        return np.diff(np.searchsorted(places, self.ends))
+
+    def words_at(self, places: np.ndarray) -> np.ndarray:
+        """The words that hold some places, none of them white space."""
+        return np.searchsorted(self.start, places, "right") - 1
 
-    def per_word(self, flag: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(flag)])
-        return total[self.end] - total[self.start]
+    def word_bits(self) -> np.ndarray:
+        """All bits of the code points of each word, but for those of white space."""
+        return np.bitwise_or.reduceat(self.bits, self.start) if len(self.start) else self.bits[:0]
 
     def sums(self, values: np.ndarray) -> np.ndarray:
         """The sum of a value of words over each text."""
@@ -107,6 +124,20 @@ class Letters:
         return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(codes[inside].astype("<u4"))])
 
 
+def with_bits(counts: np.ndarray, bits: int, without: int = 0) -> np.ndarray:
+    """Of Letters.counts(), the code points of each text that have some of the bits, and none of others."""
+    every = np.arange(256)
+    return counts[:, (every & bits > 0) & (every & without == 0)].sum(axis=1)
+
+
+def sorted_kinds(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order."""
+    x = np.sort(x)
+    fresh = np.ones(len(x), bool)
+    fresh[1:] = x[1:] != x[:-1]
+    return x[fresh]
+
+
 def runs(values: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, length) of the maximal runs of one value in one part."""
     fresh = np.ones(len(values), bool)

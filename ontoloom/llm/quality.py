@@ -24,8 +24,6 @@ from ._shared import split_of, table
 PER_CLASS = 10_000
 BINS, COARSE, ROUNDS, PAIR_ROUNDS, PAIRS, RATE, LEAVES, LEAST = 48, 12, 240, 120, 6, 0.08, 4, 5
 
-#: Punctuation that is no mark, and what ends sentences.
-MILD, STOPS = [ord(c) for c in ".,;:'’-"], [ord(c) for c in ".!?"]
 #: Bytes that are packed in one go.
 PIECE = 1 << 20
 
@@ -42,53 +40,52 @@ def features(texts: pa.Array) -> np.ndarray:
     Words are what white space separates, small letters for capitals where they are told apart; lines are stretches of
     words without a line feed between them.  Marks are neither white space nor of words nor common punctuation.
     """
-    t, k = tr.Letters(texts), tr.kinds()
+    t = tr.Letters(texts)
     n, m = np.maximum(t.count, 1), len(t.start)
     chars = np.maximum(np.diff(t.ends), 1)
-    per_doc = lambda kind: t.per_doc(k[kind][t.codes])
-    words = t.strings(k["small"][t.codes], t.start, t.end).dictionary_encode().indices.to_numpy().astype(np.uint64)
+    counts = t.counts()
+    words = t.strings(tr.kinds()[1][t.codes], t.start, t.end).dictionary_encode().indices.to_numpy().astype(np.uint64)
     doc = t.doc.astype(np.uint64)
-    kind, each = np.unique(doc << np.uint64(32) | words, return_counts=True)
+    own = doc << np.uint64(32) | words
+    kind = tr.sorted_kinds(own)
+    place = np.searchsorted(kind, own)  # the distinct words of each text
+    each = np.bincount(place, minlength=len(kind))
     owner = (kind >> np.uint64(32)).astype(np.int64)
     order = np.lexsort((-each, owner))
     rank = np.arange(len(order)) - np.searchsorted(owner, owner)  # owners are in order already
     best = [np.bincount(owner[order][rank < j], each[order][rank < j], t.n) for j in (1, 3)]
-    same = (words[1:] == words[:-1]) & (doc[1:] == doc[:-1])
+    beside = doc[1:] == doc[:-1]
+    same = (words[1:] == words[:-1]) & beside
     start, length = tr.runs(words, doc)
     longest = np.zeros(t.n)
     np.maximum.at(longest, t.doc[start[length > 1]], length[length > 1])
-    beside = np.flatnonzero(doc[1:] == doc[:-1])
-    if m:
-        of = np.searchsorted(kind, doc << np.uint64(32) | words)  # the distinct words of each text
-        pairs = np.unique(of[beside].astype(np.uint64) << np.uint64(32) | words[beside + 1])
-        pairs = np.bincount(owner[(pairs >> np.uint64(32)).astype(np.int64)], minlength=t.n)
-    else:
-        pairs = np.zeros(t.n)
+    pairs = tr.sorted_kinds(place[:-1][beside].astype(np.uint64) << np.uint64(32) | words[1:][beside])
+    pairs = np.bincount(owner[(pairs >> np.uint64(32)).astype(np.int64)], minlength=t.n)
     size = (t.end - t.start).astype(float)
     mean = t.sums(size) / n
-    mark = ~k["word"][t.codes] & ~k["space"][t.codes] & ~np.isin(t.codes, MILD)
-    marks = t.per_word(mark)
-    outside = ~k["word"][t.codes]
+    marks = np.flatnonzero(t.bits & (tr.WORD | tr.SPACE | tr.MILD) == 0)
+    marked = np.zeros(m, bool)
+    marked[t.words_at(marks)] = True
+    outside = t.bits & tr.WORD == 0
     last = t.end - 1
     tailed = (size > 1) & outside[last] & outside[np.maximum(last - 1, 0)] if m else np.zeros(0, bool)
-    capitals = (size > 1) & (t.per_word(k["upper"][t.codes]) > 0) & (t.per_word(k["lower"][t.codes]) == 0)
-    alpha = np.maximum(per_doc("letter"), 1)
+    capitals = (size > 1) & (t.word_bits() & (tr.UPPER | tr.LOWER) == tr.UPPER)
+    letters = tr.with_bits(counts, tr.LETTER)
     # lines: words of one text with no line feed between them
-    feeds = np.concatenate([[0], np.cumsum(t.codes == 10)])[t.start]
+    feeds = np.searchsorted(np.flatnonzero(t.codes == 10), t.start)
     at, run = tr.runs(feeds, t.doc)
     lines = t.strings(t.codes, t.start[at], t.end[at + run - 1]).dictionary_encode().indices.to_numpy().astype(np.uint64)
     n_lines = np.bincount(t.doc[at], minlength=t.n)
-    kinds_of = np.bincount((np.unique(doc[at] << np.uint64(32) | lines) >> np.uint64(32)).astype(np.int64), minlength=t.n)
-    stops = t.per_doc(np.isin(t.codes, STOPS))
-    letters = np.zeros((t.n, 256), bool)
-    letters[np.repeat(np.arange(t.n), np.diff(t.at)), np.frombuffer(t.raw, np.uint8)] = True
+    kinds_of = np.bincount((tr.sorted_kinds(doc[at] << np.uint64(32) | lines) >> np.uint64(32)).astype(np.int64), minlength=t.n)
+    stops = tr.with_bits(counts, tr.STOP)
+    seen = np.bincount(np.repeat(np.arange(t.n) << 8, np.diff(t.at)) | np.frombuffer(t.raw, np.uint8), minlength=t.n << 8).reshape(t.n, 256) > 0
     packed = np.array([_deflated(t.raw[a:b]) for a, b in zip(t.at[:-1], t.at[1:])])
     x = np.stack([
         np.log1p(t.count), np.bincount(owner, minlength=t.n) / n**0.9, best[0] / n, best[1] / n, np.bincount(t.doc[1:][same], minlength=t.n) / n, np.log1p(longest),
         1 - pairs / np.maximum(t.count - 1, 1), mean, np.sqrt(np.maximum(t.sums(size * size) / n - mean * mean, 0)), t.sums(size <= 3) / n,
-        per_doc("upper") / alpha, t.sums(capitals) / n, t.per_doc(mark) / chars, t.sums(marks > 0) / n, t.sums(tailed) / n, per_doc("digit") / chars,
-        per_doc("letter") / chars, t.per_doc(t.codes == 124) / n, np.log1p(n_lines), 1 - kinds_of / np.maximum(n_lines, 1), n / np.maximum(n_lines, 1),
-        n / (stops + 1), packed, np.log1p(letters.sum(1)),
+        tr.with_bits(counts, tr.UPPER) / np.maximum(letters, 1), t.sums(capitals) / n, t.texts_at(marks) / chars, t.sums(marked) / n, t.sums(tailed) / n,
+        tr.with_bits(counts, tr.DIGIT) / chars, letters / chars, t.texts_at(np.flatnonzero(t.codes == 124)) / n, np.log1p(n_lines),
+        1 - kinds_of / np.maximum(n_lines, 1), n / np.maximum(n_lines, 1), n / (stops + 1), packed, np.log1p(seen.sum(1)),
     ], 1).reshape(t.n, len(FEATURES))
     x[t.count == 0] = 0
     return x

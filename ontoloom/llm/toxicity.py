@@ -36,7 +36,9 @@ SECOND_PERSON = frozenset(
 DISGUISES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i", "€": "e"})
 
 #: Signs that may stand between letters.
-SIGNS = [ord(c) for c in "@$!|€*#.-_"]
+SIGNS = "@$!|€*#.-_"
+_SIGNS = np.zeros(tr.POINTS, bool)
+_SIGNS[[ord(c) for c in SIGNS]] = True
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _DRAWN = re.compile(r"(.)\1{2,}")
@@ -72,8 +74,7 @@ def spelt(word: str) -> bytes:
 
 def bare_words(t: tr.Letters) -> pa.DictionaryArray:
     """The letters of each word, small, as binary of four bytes each."""
-    k = tr.kinds()
-    return t.strings(k["small"][t.codes], t.start, t.end, k["letter"][t.codes]).dictionary_encode()
+    return t.strings(tr.kinds()[1][t.codes], t.start, t.end, t.bits & tr.LETTER > 0).dictionary_encode()
 
 
 def beginning(words: pa.Array, k: int) -> pa.Array:
@@ -98,7 +99,7 @@ class Features:
         return odds[at]
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        t, k = tr.Letters(texts), tr.kinds()
+        t = tr.Letters(texts)
         n, m = np.maximum(t.count, 1), len(t.start)
         code, outer = t.codes, np.zeros(len(t.codes) + 1, bool)
         outer[t.ends] = True  # a text starts here
@@ -112,15 +113,18 @@ class Features:
         own, stem = own[of], stem[of]
         second = pa.compute.is_in(kinds_, self.second).to_numpy(zero_copy_only=False).astype(bool)[of]
 
-        # disguises: only words with a sign after a letter, or three of a kind, are looked at one by one
-        sign = np.isin(code, SIGNS) | k["digit"][code]
-        letter = k["letter"][code]
-        after = np.zeros(len(code), bool)
-        after[1:] = sign[1:] & letter[:-1] & ~outer[1:-1]
+        # disguises: only words with signs between letters, or three of a kind, are looked at one by one
+        sign = _SIGNS[code] | (t.bits & tr.DIGIT > 0)
+        letter = t.bits & tr.LETTER > 0
+        a = np.flatnonzero(sign & ~np.insert(sign[:-1] & ~outer[1:-1], 0, False)[: len(sign)])
+        b = np.flatnonzero(sign & ~np.append(sign[1:] & ~outer[1:-1], False)[: len(sign)])
+        fits = (a > 0) & (b + 1 < len(code))
+        a, b = a[fits], b[fits]
+        a = a[letter[a - 1] & letter[b + 1] & ~outer[a] & ~outer[b + 1]]
         thrice = np.zeros(len(code), bool)
         thrice[2:] = (t.full[2:] == t.full[1:-1]) & (t.full[1:-1] == t.full[:-2]) & ~outer[2:-1] & ~outer[1:-2] & (code[2:] != 10)
         odd, hidden = np.zeros(m, bool), np.zeros(m)
-        for w in np.flatnonzero((t.per_word(after) > 0) | (t.per_word(thrice) > 0)).tolist():
+        for w in np.union1d(t.words_at(a), t.words_at(np.flatnonzero(thrice & (t.bits & tr.SPACE == 0)))).tolist():
             token = t.full[t.start[w] : t.end[w]].tobytes().decode("utf-32-le")
             plain = undisguised(token)
             if plain != bare_of(token) and (_INNER.search(token) or _DRAWN.search(token)):
@@ -141,19 +145,23 @@ class Features:
             near += t.sums(close)
         start = np.flatnonzero(hit)
         kind = beginning(kinds_, 5).dictionary_encode().indices.to_numpy().astype(np.uint64)[of[start]] if len(start) else np.zeros(0, np.uint64)
-        kind = np.unique(t.doc[start].astype(np.uint64) << np.uint64(32) | kind) >> np.uint64(32)
+        kind = tr.sorted_kinds(t.doc[start].astype(np.uint64) << np.uint64(32) | kind) >> np.uint64(32)
         strongest = np.zeros(t.n)
         best = np.maximum(np.maximum(own, stem), hidden)
         np.maximum.at(strongest, t.doc[start], best[start])
 
         # letters set apart: only texts where words of lone letters follow each other are searched
-        solid = np.zeros(len(code), bool)
-        character = k["word"][code] & (code != 95)
-        solid[1:] = character[1:] & character[:-1] & ~outer[1:-1]
-        lone = (t.per_word(solid) == 0) & (t.per_word(character) > 0)
+        character = (t.bits & tr.WORD > 0) & (code != 95)
+        solid = np.flatnonzero(character[1:] & character[:-1] & ~outer[1:-1])
+        lone = np.zeros(m, bool)
+        lone[t.words_at(np.flatnonzero(character))] = True
+        lone[t.words_at(solid)] = False
         at, length = tr.runs(lone, t.doc)
-        total = np.concatenate([[0], np.cumsum(t.per_word(character))])
-        some = lone[at] & (total[at + length] - total[at] >= 4)
+        some = np.flatnonzero(lone[at])
+        at, length = at[some], length[some]
+        total = np.concatenate([[0], np.cumsum(character)])
+        total = total[t.end[at + length - 1]] - total[t.start[at]] if len(at) else np.zeros(0)
+        some = total >= 4
         spaced = np.zeros(t.n)
         for a, run in zip(at[some].tolist(), length[some].tolist()):
             d = t.doc[a]
@@ -163,19 +171,20 @@ class Features:
                 spaced[d] += got > 0
                 strongest[d] = max(strongest[d], got)
 
-        big = k["upper"][code]
-        both = np.zeros(len(code), bool)
-        both[1:] = big[1:] & big[:-1] & ~outer[1:-1]
+        big = t.bits & tr.UPPER > 0
+        both = np.flatnonzero(big[1:] & big[:-1] & ~outer[1:-1]) + 1
         drawn = thrice.copy()
         drawn[1:] &= ~thrice[:-1]
-        alpha, chars = np.maximum(t.per_doc(letter), 1), np.maximum(np.diff(t.ends), 1)
-        ascii_marks = (code >= 33) & (code <= 47) | (code >= 58) & (code <= 64)
+        counts = t.counts()
+        alpha, chars = np.maximum(tr.with_bits(counts, tr.LETTER), 1), np.maximum(np.diff(t.ends), 1)
+        found = lambda flag: t.texts_at(np.flatnonzero(flag))
+        ascii_marks = found((code >= 33) & (code <= 47) | (code >= 58) & (code <= 64))
         hits, stems = t.sums(own > 0), t.sums(stem > 0)
         return np.stack([
             np.log1p(t.count), hits, hits / n, np.bincount(kind.astype(np.int64), minlength=t.n), strongest, t.sums(own) / n, stems, stems / n,
-            t.sums(np.where(hit, np.maximum(stem, hidden), 0)) / n, near / n, t.sums(second) / n, t.per_doc(big) / alpha, t.per_doc(both) / alpha,
-            t.per_doc(ascii_marks) / chars, t.per_doc((code == 33) | (code == 63)) / n, t.sums(odd) / n, t.sums(hidden > 0), spaced, t.per_doc(drawn) / n,
-            t.per_doc(~k["space"][code]) / n,
+            t.sums(np.where(hit, np.maximum(stem, hidden), 0)) / n, near / n, t.sums(second) / n, tr.with_bits(counts, tr.UPPER) / alpha, t.texts_at(both) / alpha,
+            ascii_marks / chars, found((code == 33) | (code == 63)) / n, t.sums(odd) / n, t.sums(hidden > 0), spaced, found(drawn) / n,
+            (np.diff(t.ends) - tr.with_bits(counts, tr.SPACE)) / n,
         ], 1).reshape(t.n, len(FEATURES))
 
 
@@ -196,7 +205,7 @@ def lexicons(rows: DataFrame) -> list[dict[str, float]]:
             fits = (size > k) & (size < 39) if k else (size > 2) & (size < 40)
             begun = (beginning(words, k) if k else words).dictionary_encode()
             term = begun.indices.to_numpy().astype(np.int64)[of[fits[of]]]
-            both = np.unique(t.doc[fits[of]].astype(np.uint64) << np.uint64(32) | term.astype(np.uint64))
+            both = tr.sorted_kinds(t.doc[fits[of]].astype(np.uint64) << np.uint64(32) | term.astype(np.uint64))
             doc, term = (both >> np.uint64(32)).astype(np.int64), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
             key, n = np.unique(side[doc] * (1 << 32) + term, return_counts=True)
             text = [w.decode("utf-32-le") + "*" * bool(k) for w in begun.dictionary.take(pa.array(key & 0xFFFFFFFF)).to_pylist()]
