@@ -35,17 +35,18 @@ _WEIGHTED = {
     "w_s": "select s id, count(distinct o) / (count(distinct o) + 10.0) weight from facts group by s",
     "w_p": "select p id, count(distinct o) / (count(distinct o) + 10.0) weight from facts group by p",
     "sp": "select src, dst, score from holdings",
-    "ss": "select a.s src, b.s dst, count(*) / (count(*) + 1.0) score from (select distinct o, s from facts) a join (select distinct o, s from facts) b on a.o = b.o and a.s <> b.s group by a.s, b.s",
+    "branded": "select distinct o, s, p_brand b from facts join part on p = p_partkey",
+    "ss": "select a.s src, b.s dst, count(*) / (count(*) + 1.0) score from branded a join branded b on a.o = b.o and a.b = b.b and a.s <> b.s group by a.s, b.s",
     "pp": "select src, dst, score from part_edges union all select dst, src, score from part_edges",
 }
 
 
 def weighted(t: Tables) -> tuple[DataFrame, ...]:
-    """Weights of suppliers and parts, and the edges among and between them."""
+    """Weights of suppliers and parts, and the edges among and between them; suppliers that bring one brand to an order are tied."""
     facts = t.facts()
     weight = lambda c: facts.groupBy(F.col(c).alias("id")).agg((F.countDistinct("o") / (F.countDistinct("o") + 10.0)).alias("weight"))
-    suppliers = facts.select("o", "s").distinct()
-    ss = suppliers.withColumnRenamed("s", "src").join(suppliers.withColumnRenamed("s", "dst"), "o").where("src <> dst")
+    branded = facts.join(t("part").select(F.col("p_partkey").alias("p"), F.col("p_brand").alias("b")), "p").select("o", "b", "s").distinct()
+    ss = branded.withColumnRenamed("s", "src").join(branded.withColumnRenamed("s", "dst"), ["o", "b"]).where("src <> dst")
     ss = ss.groupBy("src", "dst").agg((F.count("*") / (F.count("*") + 1.0)).alias("score"))
     pp = t.part_edges()
     return weight("s"), weight("p"), ss, t.holdings(), pp.union(pp.select("dst", "src", "score"))
