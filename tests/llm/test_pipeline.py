@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,19 @@ def test_near_duplicates_without_ids_or_words(spark):
     rows = [(3, "a b c d e f"), (None, "a b c d e f"), (5, None), (4, ""), (None, None), (9, "x"), (9, "x"), (None, "lone y")]
     got = shingles.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert Counter(tuple(r) for r in got) == Counter([(3, 3), (None, 3), (5, 4), (4, 4), (None, 4), (9, 9), (9, 9), (None, None)])
+
+
+def test_promising_rows():
+    rng = np.random.default_rng(6)
+    bucket = np.repeat([3, 5, 6, 9], [1, 2, 7, 40])
+    sketches = rng.integers(0, 256, (50, shingles.SKETCH)).astype(np.uint8)
+    for a, b, n in ((1, 2, 29), (3, 8, 30), (4, 9, 60), (12, 49, 45), (9, 10, 60)):
+        sketches[b, :n] = sketches[a, :n]
+    agree = lambda i, j: bucket[i] == bucket[j] and (sketches[i] == sketches[j]).sum() >= shingles.AGREE
+    want = [any(agree(i, j) for j in range(50) if j != i) for i in range(50)]
+    assert shingles.promising(bucket, sketches).tolist() == want and 3 in np.flatnonzero(want)
+    rows = pa.table({"n": np.bincount(bucket)[bucket], "key": np.arange(50), "size": np.ones(50, int), "turn": np.zeros(50, int), "band": bucket, "sketch": [x.tobytes() for x in sketches]})
+    for size in (1, 3, 50):
+        got = [k for b in shingles._promising(iter(rows.to_batches(max_chunksize=size))) for k in b["key"].to_pylist()]
+        assert got == np.flatnonzero(want).tolist()
+    assert shingles.promising(bucket[:0], sketches[:0]).tolist() == [] and list(shingles._promising(iter([]))) == []
