@@ -95,18 +95,17 @@ def ontology_scores(results: DataFrame, edges: DataFrame, categories: DataFrame,
     votes = votes.withColumn("coef", coef).groupBy(F.col("src").alias("concept"), "level_4", "level_3").agg(F.sum("coef").alias("coef"))
     rows = known.select("concept", "level_4", "level_3").withColumn("coef", F.lit(1.0)).unionByName(votes)
     rows = kc.join(rows.withColumnRenamed("concept", "concept_id"), "concept_id")
-    over = lambda *by: F.sum("coef").over(Window.partitionBy(*by))
-    counts = {
-        "local_4": (over("keywords", "level_4"), over("keywords"), 2),
-        "local_3": (over("keywords", "level_3"), over("keywords"), 2),
-        "global_4": (over("level_4"), F.col("total"), 8),
-        "global_3": (over("level_3"), F.col("total"), 8),
-    }
     rows = stash(rows, "categories")
-    rows = rows.crossJoin(F.broadcast(rows.agg(F.sum("coef").alias("total"))))
-    rows = rows.select("*", *(x.alias(f"{k}_x") for k, (x, _, _) in counts.items()), *(n.alias(f"{k}_n") for k, (_, n, _) in counts.items()))
-    for k, (_, _, degree) in counts.items():
-        x, n = F.col(f"{k}_x"), F.col(f"{k}_n")
+    # sums by group are joined back: no window has to hold a category that most rows fall into
+    groups = {"local_4": ["keywords", "level_4"], "local_3": ["keywords", "level_3"], "global_4": ["level_4"], "global_3": ["level_3"], "local": ["keywords"]}
+    sums = {k: rows.groupBy(*by).agg(F.sum("coef").alias(k)) for k, by in groups.items()}
+    total = rows.agg(F.sum("coef").alias("global"))
+    for k, by in groups.items():
+        rows = rows.join(sums[k].withColumnRenamed(k, f"{k}_x"), by)
+    rows = rows.crossJoin(F.broadcast(total))
+    counts = {"local_4": ("local_x", 2), "local_3": ("local_x", 2), "global_4": ("global", 8), "global_3": ("global", 8)}
+    for k, (size, degree) in counts.items():
+        x, n = F.col(f"{k}_x"), F.col(size)
         rows = rows.withColumn(k, X.count_s_curve(x, n, 3, degree) if smoothing else x / n)
     rows = of_greatest(rows.select("keywords", "concept_id", "coef", *counts), *counts)
     mixed = lambda kind: F.sum(F.col("coef") * (0.75 * F.col(f"{kind}_4") + 0.25 * F.col(f"{kind}_3"))).alias(f"ontology_{kind}_score")
