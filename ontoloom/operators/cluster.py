@@ -136,3 +136,13 @@ def set_cover(pdf: pd.DataFrame, coverage: float = 1.0) -> pd.DataFrame:
         taken.append((best, len(sets[best] - covered)))
         covered |= sets.pop(best)
     return pd.DataFrame({"set_id": [t[0] for t in taken], "step": range(len(taken)), "gain": [t[1] for t in taken]})
+
+
+def broken_up(vectors: DataFrame, group: str, ks: tuple[int, ...]) -> DataFrame:
+    """k, id, cluster: every group of vectors parted into k clusters, for several k, each group in one task."""
+    rows = vectors.select(F.col(group).alias("_group"), "id", "vector")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([linkage(pdf, k).assign(k=k)[["k", "id", "cluster"]] for k in ks])
+
+    return rows.groupBy("_group").applyInPandas(run, "k long, id long, cluster long")

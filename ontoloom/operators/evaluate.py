@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +61,43 @@ def scopes(text: Column) -> Column:
 def overridden(base: Column, own: Column) -> Column:
     """Limits by name: own ones, which have to be in the base, in place of those of all."""
     return F.map_from_entries(F.transform(F.map_entries(base), lambda e: F.struct(e["key"].alias("key"), F.coalesce(F.try_element_at(own, e["key"]), e["value"]).alias("value"))))
+
+
+def weight_errors(scores: DataFrame, columns: list[str], target: str, steps: int) -> DataFrame:
+    """weight_<column>..., error: the sum of squared differences from a target under every mix of the columns whose weights
+    are multiples of 1 / steps and sum to one.  The mixes are few; each row meets all of them before anything is shuffled."""
+    mixes = [[]]
+    for k in range(len(columns)):
+        mixes = [[*m, n] for m in mixes for n in (range(steps - sum(m) + 1) if k + 1 < len(columns) else [steps - sum(m)])]
+    each = F.array(*(F.struct(*(F.lit(n / steps).alias(f"weight_{c}") for c, n in zip(columns, m))) for m in mixes))
+    rows = scores.withColumn("w", F.explode(each))
+    mixed = sum((F.col(f"w.weight_{c}") * F.col(c) for c in columns), F.lit(0.0))
+    return rows.groupBy("w").agg(F.sum((mixed - F.col(target)) * (mixed - F.col(target))).alias("error")).select("w.*", "error")
+
+
+def tree_features(trees: DataFrame, least: int = 0) -> DataFrame:
+    """feature, uses, trees; of trees(id, tree) that are JSON splits {feature, left, right} down to leaves {value}.
+
+    A split of which a side is a leaf and that lies deeper than `least` levels, if there is such a limit, is pruned away.
+    A null or broken tree has no features.
+    """
+    import json
+
+    def splits(node: object, depth: int = 1) -> Iterator[str]:
+        if isinstance(node, dict) and "feature" in node and (not least or depth <= least):
+            yield str(node["feature"])
+            yield from splits(node.get("left"), depth + 1)
+            yield from splits(node.get("right"), depth + 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                try:
+                    out += [(i, f) for f in splits(json.loads(text or "null"))]
+                except ValueError:
+                    continue
+            yield pa.record_batch([pa.array([i for i, _ in out], pa.int64()), pa.array([f for _, f in out], pa.string())], names=["id", "feature"])
+
+    used = trees.select(F.col("id").cast("long"), F.col("tree").cast("string")).mapInArrow(run, "id long, feature string")
+    return used.groupBy("feature").agg(F.count("*").alias("uses"), F.countDistinct("id").alias("trees"))

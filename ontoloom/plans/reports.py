@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..functions import text as TX
 from ..operators import cache as CA
+from ..operators import cluster as CL
+from ..operators import evaluate as EV
 from ..operators import links, moments, slots
 from ..operators import ontology as O
 from ..operators import relational as R
 from ..operators import vectors as V
+from ..sources import web as WEB
 from ..sources.log import Stages
 from ..sources.store import replace_table, stash
 from .concepts import _BEST, BASE, GROUPS, NAMES, Onto
@@ -161,6 +164,44 @@ def precalculated_sizes(t: Tables) -> DataFrame:
     return out
 
 
+@query(sql("select a.w weight_score, 1 - a.w weight_part, round(sum(pow(a.w * score + (1 - a.w) * p - c, 2)), 4) error from (select score, 1.0 / p_size p, 1 - p_size / 50.0 c from holdings join part on dst = p_partkey), (select unnest(range(9)) / 8.0 w) a group by 1, 2", "holdings"))
+def weight_grid(t: Tables) -> DataFrame:
+    """How far mixes of two scores are from a third, for nine weights."""
+    h = t.holdings().join(t("part"), F.col("dst") == F.col("p_partkey"))
+    h = h.select("score", (1.0 / F.col("p_size")).alias("part"), (1 - F.col("p_size") / 50.0).alias("target"))
+    return EV.weight_errors(h, ["score", "part"], "target", 8).withColumn("error", F.round("error", 4))
+
+
+@query(sql("select a, b, kind, round(score, 6) score from (select *, count(*) over (partition by a) na from e) where na >= 2", "holdings", "members", e="select 's' || src a, 'p' || dst b, 'holds' kind, score from (select *, row_number() over (partition by src order by score desc, dst) k from holdings) where k <= 10 union all select 'c' || cluster, 'p' || concept, 'has', 1.0 from members semi join (select p_partkey concept from part where p_size <= 5) using (concept)"))
+def startup_graph(t: Tables) -> DataFrame:
+    """What is drawn of suppliers, brands and parts: the ten strongest holdings, small parts, and nodes with two edges."""
+    h = R.top_n(t.holdings(), 10, ["src"], F.desc("score"), F.col("dst"))
+    held = h.select(F.concat(F.lit("s"), "src").alias("a"), F.concat(F.lit("p"), "dst").alias("b"), F.lit("holds").alias("kind"), "score")
+    small = t("part").where("p_size <= 5").select(F.col("p_partkey").alias("concept"))
+    has = t.members().join(small, "concept", "left_semi")
+    has = has.select(F.concat(F.lit("c"), "cluster").alias("a"), F.concat(F.lit("p"), "concept").alias("b"), F.lit("has").alias("kind"), F.lit(1.0).alias("score"))
+    e = held.union(has)
+    drawn = e.groupBy("a").agg(F.count("*").alias("n")).where("n >= 2")
+    return e.join(drawn, "a", "left_semi").select("a", "b", "kind", *r6("score"))
+
+
+@query(r"with b as (select distinct regexp_replace(regexp_extract(url, '^(https?://[^/?#]+)', 1), '^https?://(www\.)?', '') site from pages), v as (select site, unnest(['https://www.' || site, 'https://' || site, 'http://www.' || site, 'http://' || site]) address, unnest([0, 1, 2, 3]) k from b), k as (select distinct regexp_extract(url, '^(https?://[^/?#]+)', 1) address from pages) select site, address from (select site, address, row_number() over (partition by site order by k) j from v semi join k using (address)) where j = 1")
+def url_probing(t: Tables) -> DataFrame:
+    """The first of four addresses at which each site is known to answer."""
+    start = F.regexp_extract("url", "^(https?://[^/?#]+)", 1)
+    known = t("pages").select(start.alias("address")).distinct()
+    site = F.regexp_replace("address", r"^https?://(www\.)?", "")
+    asked = known.select(site.alias("site")).distinct().select("site", F.posexplode(WEB.variants(F.col("site"))).alias("k", "address"))
+    return R.latest(asked.join(known, "address", "left_semi"), ["site"], F.col("k")).select("site", "address")
+
+
+@query()
+def broken_up_clusters(t: Tables) -> DataFrame:
+    """Labels parted into two and into three; compared with plain Python in the tests."""
+    v = t("embeddings").select("label", F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
+    return CL.broken_up(v, "label", (2, 3))
+
+
 # Caches.
 
 

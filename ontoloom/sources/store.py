@@ -79,3 +79,31 @@ def write_gexf(nodes: DataFrame, edges: DataFrame, path: str) -> None:
         for k, e in enumerate(edges.select("src", "dst", "score").toLocalIterator()):
             out.write(f'<edge id="{k}" source={q(str(e["src"]))} target={q(str(e["dst"]))} weight="{e["score"]}"/>\n')
         out.write("</edges>\n</graph></gexf>\n")
+
+
+def write_svg(nodes: DataFrame, edges: DataFrame, path: str, size: int = 800) -> None:
+    """nodes(id, label, level) and edges(src, dst) as an SVG drawing: a ring for each level, in order of labels.
+
+    A drawing is for eyes, so it is made on the driver; nodes and edges of more than a few thousand are no drawing.
+    """
+    import math
+    from xml.sax.saxutils import escape
+
+    rings: dict[int, list] = {}
+    for n in nodes.orderBy("level", "label", "id").toLocalIterator():
+        rings.setdefault(n["level"], []).append((n["id"], n["label"]))
+    middle, step, at = size / 2, size / 2 / (len(rings) + 0.5), {}
+    for r, level in enumerate(sorted(rings)):
+        for k, (i, _) in enumerate(rings[level]):
+            turn = 2 * math.pi * k / len(rings[level])
+            at[i] = middle + (r + 0.5) * step * math.cos(turn), middle + (r + 0.5) * step * math.sin(turn)
+    with open(path, "w", encoding="utf-8") as out:
+        out.write(f'<svg xmlns="http://www.w3.org/2000/svg" width="{size}" height="{size}">\n')
+        for e in edges.select("src", "dst").toLocalIterator():
+            if e["src"] in at and e["dst"] in at:
+                (x, y), (u, v) = at[e["src"]], at[e["dst"]]
+                out.write(f'<line x1="{x:.1f}" y1="{y:.1f}" x2="{u:.1f}" y2="{v:.1f}" stroke="gray"/>\n')
+        for ring in rings.values():
+            for i, label in ring:
+                out.write(f'<text x="{at[i][0]:.1f}" y="{at[i][1]:.1f}">{escape(str(label))}</text>\n')
+        out.write("</svg>\n")

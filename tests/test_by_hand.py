@@ -11,10 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ontoloom import api
 from ontoloom.functions import strings
 from ontoloom.operators import cache, cluster, evaluate, ontology, relational, scrape, search, slides, slots, vectors, wikify
 from ontoloom.plans import catalog, reports
-from ontoloom.sources import files, log, schemas
+from ontoloom.sources import files, log, schemas, store, web
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -113,9 +114,9 @@ def test_greedy_cover(spark):
     assert Counter((r["p_brand"], r["set_id"], r["step"], r["gain"]) for r in got(spark, "greedy_cover")) == want
 
 
-def test_agglomerative_clusters(spark):
+def linked(ks):
     """Average linkage from the definition: mean distance between all members of two clusters."""
-    vecs, want = defaultdict(dict), set()
+    vecs, want = defaultdict(dict), {k: set() for k in ks}
     for r in rows("embeddings"):
         x = np.array(r["embedding"], float)
         vecs[r["label"]][r["vec_id"]] = x / np.linalg.norm(x)
@@ -123,10 +124,23 @@ def test_agglomerative_clusters(spark):
         ids = sorted(own)
         d = 1 - np.array([own[i] for i in ids]) @ np.array([own[i] for i in ids]).T
         parts = [[k] for k in range(len(ids))]
-        while len(parts) > 5:
+        while len(parts) > min(ks):
             a, b = min(itertools.combinations(range(len(parts)), 2), key=lambda p: d[np.ix_(parts[p[0]], parts[p[1]])].mean())
             parts[a] += parts.pop(b)
-        want |= {frozenset(ids[k] for k in p) for p in parts}
+            if len(parts) in ks:
+                want[len(parts)] |= {frozenset(ids[k] for k in p) for p in parts}
+    return want
+
+
+def test_broken_up_clusters(spark):
+    label, found = {r["vec_id"]: r["label"] for r in rows("embeddings")}, defaultdict(lambda: defaultdict(set))
+    for r in got(spark, "broken_up_clusters"):
+        found[r["k"]][label[r["id"]], r["cluster"]].add(r["id"])
+    assert {k: {frozenset(v) for v in of.values()} for k, of in found.items()} == linked((2, 3))
+
+
+def test_agglomerative_clusters(spark):
+    want = linked((5,))[5]
     label, found = {r["vec_id"]: r["label"] for r in rows("embeddings")}, defaultdict(set)
     for r in got(spark, "agglomerative_clusters"):
         found[label[r["id"]], r["cluster"]].add(r["id"])
@@ -472,6 +486,34 @@ def test_files(spark, tmp_path):
     assert not files.table_exists(spark, "no_such_table")
 
 
+def test_web_trees_and_drawings(spark, tmp_path):
+    def get():
+        def fetch(url):
+            if "bad" in url:
+                raise OSError("no answer")
+            return 200, url + "/", "<p>"
+
+        return fetch
+
+    df = spark.createDataFrame([(1, "https://a"), (2, "https://bad"), (3, None)], "k long, url string")
+    assert {tuple(r)[2:] for r in web.fetched(df, get).collect()} == {(200, "https://a/", "<p>", None), (None, None, None, "OSError: no answer"), (None, None, None, "no url")}
+    assert web.fetched(df.where("false"), get).count() == 0
+    tree = '{"feature": "a", "left": {"feature": "b", "left": {"value": 1}, "right": {"feature": "a"}}, "right": {"value": 2}}'
+    trees = spark.createDataFrame([(1, tree), (2, '{"feature": "b"}'), (3, None), (4, "{"), (5, "7")], "id long, tree string")
+    assert {tuple(r) for r in evaluate.tree_features(trees).collect()} == {("a", 2, 1), ("b", 2, 2)}
+    assert {tuple(r) for r in evaluate.tree_features(trees, 1).collect()} == {("a", 1, 1), ("b", 1, 1)}
+    nodes = spark.createDataFrame([(1, "r<", 0), (2, "a", 1), (3, "b", 1)], "id long, label string, level int")
+    store.write_svg(nodes, spark.createDataFrame([(1, 2), (1, 9)], "src long, dst long"), str(tmp_path / "g.svg"))
+    drawn = (tmp_path / "g.svg").read_text()
+    assert drawn.count("<text") == 3 and drawn.count("<line") == 1 and "r&lt;" in drawn
+
+
+def test_api(spark):
+    assert set(api.names()) == set(catalog.queries()) and api.sql("degree") and api.sql("greedy_cover") is None
+    answer = api.call(spark, FOLDER, "tree_lookups", 3)
+    assert answer["successful"] and answer["n_results"] == 3 and not api.call(spark, FOLDER, "no such query")["successful"]
+
+
 def test_schemas(spark, tmp_path):
     made = schemas.create_missing(spark, str(tmp_path), ["cache_text", "auth_users"])
     assert made == ["cache_text", "auth_users"] and schemas.create_missing(spark, str(tmp_path), ["cache_text"]) == []
