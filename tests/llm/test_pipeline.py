@@ -99,3 +99,42 @@ def test_promising_rows():
         got = [k for b in shingles._promising(iter(rows.to_batches(max_chunksize=size))) for k in b["key"].to_pylist()]
         assert got == np.flatnonzero(want).tolist()
     assert shingles.promising(bucket[:0], sketches[:0]).tolist() == [] and list(shingles._promising(iter([]))) == []
+
+
+def test_run_by_hand(spark):
+    """All stages in plain Python, but for what the models learn: what run() packs are their documents."""
+    import numpy as np
+    import public_tokenizers
+    import tokenizers
+    from test_llm import check_packing, quality_by_hand, toxicity_by_hand
+
+    from ontoloom.llm import quality, toxicity
+    from ontoloom.llm._shared import split_of
+
+    docs, labels = (table(spark, FOLDER, n) for n in ("documents", "labels"))
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    bad = toxicity.fit(docs, labels, split_of(F.col("doc_id"), 5) != 0)
+    rows = [r for r in rows if bad.score(np.array([toxicity_by_hand(r[1], bad.lexicon)]))[0] < 0.5]
+    good = quality.fit(docs, labels, split_of(F.col("doc_id"), 4) != 2)
+    rows = [r for r in rows if good.score(np.array([quality_by_hand(r[1])]))[0] >= 0.7]
+    low = [[w for w in "".join(c.lower() if c.isascii() else c for c in t).translate(str.maketrans("\t\n\v\f\r", "     ")).split(" ") if w] for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in low]
+    root = [d for d, _ in rows]
+    for a in range(len(rows)):
+        for b in range(a):
+            if root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9:
+                least, most = sorted((root[a], root[b]))
+                root = [least if r == most else r for r in root]
+    rows = [r for r, k in zip(rows, root) if r[0] == k]
+    words = {d: [w for w in t.translate(str.maketrans("\t\n\v\f\r", "     ")).split(" ") if w] for d, t in rows}
+    first = {}
+    for d, w in words.items():
+        for i in range(len(w) - 12):
+            first[tuple(w[i : i + 13])] = min(d, first.get(tuple(w[i : i + 13]), d))
+    kept = []
+    for d, w in words.items():
+        gone = {i + j for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for j in range(13)}
+        kept.append((d, " ".join(x for i, x in enumerate(w) if i not in gone)))
+    assert 50 < len(kept) < docs.count() and any(len(words[d]) > len(t.split()) for d, t in kept)
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    check_packing(corpus_pipeline.run(spark, FOLDER).collect(), kept, tokenizer)
