@@ -38,7 +38,7 @@ class Tables:
         """src (supplier), dst (part), score: orders they share, out of one more."""
         return self.facts().groupBy(F.col("s").alias("src"), F.col("p").alias("dst")).agg((F.count("*") / (F.count("*") + 1.0)).alias("score"))
 
-    def bought(self, most: int | None = None) -> DataFrame:
+    def bought(self) -> DataFrame:
         """src < dst, n: pairs of parts in one order, with the number of orders."""
         items = self.facts().select("o", "p").distinct()
         pairs = items.withColumnRenamed("p", "src").join(items.withColumnRenamed("p", "dst"), "o").where("src < dst")
