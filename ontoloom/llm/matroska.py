@@ -27,8 +27,6 @@ TRACKS, TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID, DEFAULT_DURA
 AUDIO, SAMPLING_FREQUENCY, CHANNELS, BIT_DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
 CLUSTER, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
 CUES, CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER_POSITION = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
-#: Elements that hold elements.
-MASTERS = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
 LACINGS = ("none", "xiph", "fixed", "ebml")
 
 #: Samples to a frame, frames to a block, blocks to a cluster, samples a second.
@@ -169,7 +167,7 @@ def read_vint(data: bytes, at: int, keep_mark: bool = False) -> tuple[int, int,
     return (raw if keep_mark else value), at + size, value == (1 << 7 * size) - 1
 
 
-def elements(data: bytes, at: int, end: int, parent: int = 0) -> Iterator[tuple[int, int, int, int]]:
+def elements(data: bytes, at: int, end: int) -> Iterator[tuple[int, int, int, int]]:
     """(id, place, start of content, end of content) of the elements from at to end, one level deep.
 
     An element of unknown size lasts until one that can't be its child.
@@ -243,7 +241,7 @@ def parse(data: bytes) -> Media:
     for top, _, start, stop in elements(data, 0, len(data)):
         if top != SEGMENT:
             continue
-        for ident, place, a, b in elements(data, start, stop, SEGMENT):
+        for ident, place, a, b in elements(data, start, stop):
             if ident == INFO:
                 for i, _, x, y in elements(data, a, b):
                     if i == TIMESTAMP_SCALE:
@@ -258,7 +256,7 @@ def parse(data: bytes) -> Media:
             elif ident == CLUSTER:
                 cluster, time = len(places), 0
                 places[place - start] = cluster
-                for i, _, x, y in elements(data, a, b, CLUSTER):
+                for i, _, x, y in elements(data, a, b):
                     if i == TIMESTAMP:
                         time = number(x, y)
                         continue
