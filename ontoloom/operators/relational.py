@@ -77,10 +77,34 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return drop(old, new, *key).unionByName(new)
 
 
+def in_ranges(df: DataFrame, *order: Column) -> tuple[DataFrame, dict[int, int]]:
+    """(df with _range and _place, rows in each range): sorted by ranges, the place of a row within its own counted from 0.
+
+    Written aside, since the bounds of ranges are sampled; the second has one entry for each partition.
+    """
+    from ..sources.store import stash
+
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    placed = stash(sorted_.withColumn("_range", F.spark_partition_id()).withColumn("_place", place), "ranges")
+    return placed, {r["_range"]: r["count"] for r in placed.groupBy("_range").count().collect()}
+
+
+def median(df: DataFrame, value: str) -> DataFrame:
+    """_median: one row with the exact median of a column, null without values; no task sees all values."""
+    placed, sizes = in_ranges(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v")), F.col("_v"))
+    n, before, middle = sum(sizes.values()), 0, F.lit(False)
+    for k in sorted(sizes):
+        for rank in {(n - 1) // 2, n // 2}:
+            if before <= rank < before + sizes[k]:
+                middle = middle | ((F.col("_range") == k) & (F.col("_place") == rank - before))
+        before += sizes[k]
+    return placed.where(middle).agg(F.avg("_v").alias("_median"))
+
+
 def tanh_normalised(df: DataFrame, value: str, name: str = "score", epsilon: float = 0.01) -> DataFrame:
     """df with tanh-scaled values; rows that score zero or less go.  The median is one row, joined by broadcast."""
-    median = df.agg(F.median(value).alias("_median"))
-    scaled = df.crossJoin(F.broadcast(median)).withColumn(name, tanh_scale(F.col(value), F.col("_median"), epsilon))
+    scaled = df.crossJoin(F.broadcast(median(df, value))).withColumn(name, tanh_scale(F.col(value), F.col("_median"), epsilon))
     return scaled.drop("_median").where(F.col(name) > 0)
 
 
@@ -106,12 +130,7 @@ def runs(df: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
 
 def top_share(df: DataFrame, ratio: float, *order: Column) -> DataFrame:
     """The first floor(ratio * rows) rows: sorted by ranges, each cut where the sizes of those before it say."""
-    from ..sources.store import stash
-
-    at, place = (name for name in ("_range", "_place"))
-    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    placed = stash(sorted_.withColumn(at, F.spark_partition_id()).withColumn(place, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))), "ranges")
-    sizes = {r[at]: r["count"] for r in placed.groupBy(at).count().collect()}  # one row for each partition
+    placed, sizes = in_ranges(df, *order)
     left, quota = int(sum(sizes.values()) * ratio), []
     for k in sorted(sizes):
         quota.append((k, min(left, sizes[k])))
@@ -119,7 +138,7 @@ def top_share(df: DataFrame, ratio: float, *order: Column) -> DataFrame:
     if not quota:
         return df.limit(0)
     cut = F.create_map(*(F.lit(x) for pair in quota for x in pair))
-    return placed.where(F.col(place) < cut[F.col(at)]).select(df.columns)
+    return placed.where(F.col("_place") < cut[F.col("_range")]).select(df.columns)
 
 
 def of_greatest(df: DataFrame, *values: str) -> DataFrame:

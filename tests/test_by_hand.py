@@ -422,6 +422,15 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert vectors.nearest(df.where("false"), 2).count() == 0
 
 
+def test_exact_median(spark):
+    rng = random.Random(7)
+    for n in (0, 1, 2, 7, 100, 501):
+        data = [(rng.choice([None, float(rng.randrange(9)), rng.random()]),) for _ in range(n)]
+        known = [v for (v,) in data if v is not None]
+        found = relational.median(spark.createDataFrame(data, "v double").repartition(4), "v").first()["_median"]
+        assert found == (pytest.approx(float(np.median(known))) if known else None)
+
+
 def test_top_share(spark):
     rng = random.Random(6)
     data = [(rng.randrange(20), k) for k in range(997)]
