@@ -110,3 +110,8 @@ def parse_bool(x: Column) -> Column:
         .when(low.isin("n", "no", "f", "false", "off", "0"), False)
         .when(low.isNotNull(), F.raise_error(F.concat(F.lit("not a truth value: "), low)).cast("boolean"))
     )
+
+
+def year_of_text(text: Column, least: int = 1900) -> Column:
+    """The year of a date written year first; what is no date, and null, counts as the least year."""
+    return F.coalesce(F.year(F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))), F.lit(least))

@@ -113,6 +113,20 @@ def ngrams(tokens: Column, n: int) -> Column:
     return F.when(last >= 1, many).otherwise(F.array().cast("array<string>"))
 
 
+def all_ngrams(tokens: Column) -> Column:
+    """Sequences of words of every length, short ones first, in order."""
+    n = F.size(tokens)
+    of = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice(tokens, i, k), " "))
+    return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), of))).otherwise(F.array().cast("array<string>"))
+
+
+def same_site_links(html: Column, url: Column) -> Column:
+    """links() that stay on the site of the page: relative ones resolved against its root, in order."""
+    root = F.regexp_extract(url, "^(https?://[^/?#]+)", 1)
+    whole = F.transform(links(html), lambda u: F.when(F.startswith(u, F.lit("/")) & ~F.startswith(u, F.lit("//")), F.concat(root, u)).otherwise(u))
+    return F.array_sort(F.array_distinct(F.filter(whole, lambda u: host(u) == host(url))))
+
+
 def chunks(tokens: Column, size: int = 400, overlap: int = 100) -> Column:
     """Windows of `size` words that start `size - overlap` apart and cover all of them."""
     step = size - overlap

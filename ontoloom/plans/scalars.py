@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import expr as X
 from ..functions import strings as ST
+from ..functions import text as TX
 from ..sources import files
 from .derived import Tables, sql
 from .investment import r6
@@ -207,3 +209,67 @@ def document_hashes(t: Tables) -> DataFrame:
     bits = F.array_join(F.transform(ST.difference_hash(F.col("embedding"), 8), lambda b: b.cast("string")), "")
     pages = t("embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", F.md5(bits).alias("h")))).alias("p"))
     return pages.select("label", F.md5(F.array_join(F.transform("p", lambda x: x["h"]), "")).alias("token"), F.size("p").cast("long").alias("pages"))
+
+
+_NAME = "string_split(lower(p_name || ' ' || p_type || ' ' || p_brand), ' ')"
+
+
+@query(f"select p_partkey, md5(array_to_string(flatten(list_transform(range(1, len(w) + 1), lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))), '|')) grams, cast(len(w) * (len(w) + 1) // 2 as bigint) n from (select p_partkey, {_NAME} w from part)")
+def all_ngrams(t: Tables) -> DataFrame:
+    """Word n-grams of every length of what names a part."""
+    g = TX.all_ngrams(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type", "p_brand")), " "))
+    return t("part").select("p_partkey", F.md5(F.array_join(g, "|")).alias("grams"), F.size(g).cast("long").alias("n"))
+
+
+_BW = "list_filter(regexp_split_to_array(lower(coalesce(text, '')), '" + TX.WORDS + "'), lambda w: length(w) > 0)"
+
+
+@query(f"select item_id, cast(len(w) + greatest(len(w) - 1, 0) + greatest(len(w) - 2, 0) as bigint) n, md5(array_to_string(flatten(list_transform([1, 2, 3], lambda k: list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')))), '|')) shingles from (select item_id, {_BW} w from benchmark)")
+def suggest_shingles(t: Tables) -> DataFrame:
+    """Words of passages, with their pairs and triples."""
+    w = TX.words(F.col("text"))
+    g = F.concat(w, TX.ngrams(w, 2), TX.ngrams(w, 3))
+    return t("benchmark").select("item_id", F.size(g).cast("long").alias("n"), F.md5(F.array_join(g, "|")).alias("shingles"))
+
+
+@query("select p_brand, array_to_string(list_sort(list_distinct(flatten(list([p_type, 'size ' || p_size // 10])))), ',') merged from part group by 1")
+def merged_lists(t: Tables) -> DataFrame:
+    """The distinct entries of all lists of a brand."""
+    own = F.array("p_type", F.concat(F.lit("size "), F.floor(F.col("p_size") / 10).cast("string")))
+    p = t("part").groupBy("p_brand").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(own)))).alias("m"))
+    return p.select("p_brand", F.array_join("m", ",").alias("merged"))
+
+
+@query("with s as (select distinct p_brand b, p_name x from part), n as (select b, count(*) n from s group by 1) select a.b first, c.b as second, count(*) common, max(n.n) + max(m.n) - count(*) either from s a join s c on a.x = c.x and a.b < c.b join n on n.b = a.b join n m on m.b = c.b group by 1, 2")
+def set_overlaps(t: Tables) -> DataFrame:
+    """How many names two brands have in common, and how many either has."""
+    s = t("part").select(F.col("p_brand").alias("first"), F.col("p_name").alias("x")).distinct()
+    n = s.groupBy("first").agg(F.count("*").alias("n"))
+    both = s.join(s.withColumnRenamed("first", "second"), "x").where("first < second").groupBy("first", "second").agg(F.count("*").alias("common"))
+    both = both.join(n, "first").join(n.toDF("second", "m"), "second")
+    return both.select("first", "second", "common", (F.col("n") + F.col("m") - F.col("common")).alias("either"))
+
+
+_HREF = r"""list_distinct(list_transform(list_filter(regexp_extract_all(html, 'href="([^"]+)"', 1), lambda u: not regexp_matches(lower(u), '\.(pdf|png|jpg|mp3|mp4)$') and not contains(u, 'wp-admin')), lambda u: regexp_replace(u, '/$', '')))"""
+_HOST = r"regexp_extract({0}, '^https?://(?:www\.)?([^/?#]+)', 1)"
+
+
+@query(rf"select page_id, cast(len(l) as bigint) n, array_to_string(l, ' ') links from (select page_id, list_sort(list_distinct(list_filter(list_transform({_HREF}, lambda u: case when starts_with(u, '/') and not starts_with(u, '//') then regexp_extract(url, '^(https?://[^/?#]+)', 1) || u else u end), lambda u: {_HOST.format('u')} = {_HOST.format('url')}))) l from pages)")
+def sublinks(t: Tables) -> DataFrame:
+    """Links of pages that stay on their site."""
+    found = TX.same_site_links(F.col("html"), F.col("url"))
+    return t("pages").select("page_id", F.size(found).cast("long").alias("n"), F.array_join(found, " ").alias("links"))
+
+
+@query("select o_orderkey, case when o_orderstatus = 'F' then 1900 else year(o_orderdate) end as year from orders")
+def years_of_texts(t: Tables) -> DataFrame:
+    """Years of dates written as text, some of which are none."""
+    text = F.when(F.col("o_orderstatus") == "F", "not a date").otherwise(F.date_format("o_orderdate", "yyyy-MM-dd"))
+    return t("orders").select("o_orderkey", X.year_of_text(text).cast("long").alias("year"))
+
+
+@query("select doc_id, quality = 1 good from labels where quality is not null")
+def truth_values(t: Tables) -> DataFrame:
+    """Labels written out and read as truth values."""
+    text = F.when(F.col("quality") == 1, "Yes").when(F.col("quality") == 0, " OFF")
+    return t("labels").where("quality is not null").select("doc_id", X.parse_bool(text).alias("good"))

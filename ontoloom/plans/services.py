@@ -56,6 +56,25 @@ def hybrid_search(t: Tables) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(best)).where("rank <= 10").select("query", "doc_id", "score", "rank")
 
 
+@query(
+    f"with p as ({_POST}), q as ({_ASK}), n as (select count(distinct doc_id) docs from p), d as (select term, count(*) df, sum(tf) ttf from p group by 1), x as (select query, doc_id, tf, length, ttf, ln((docs + 1) / (df + 1.0)) + 1 idf from p join q using (term) join d using (term), n) select query, doc_id, count(*) matched, max(length) length, round(min(idf), 6) min_idf, round(max(idf), 6) max_idf, round(avg(idf), 6) avg_idf, round(sum(idf), 6) sum_idf, round(stddev_pop(idf), 6) dev_idf, cast(min(ttf) as bigint) min_ttf, cast(max(ttf) as bigint) max_ttf, round(avg(ttf), 4) avg_ttf, cast(sum(ttf) as bigint) sum_ttf, round(stddev_pop(ttf), 4) dev_ttf from x group by 1, 2"
+)
+def ranking_features(t: Tables) -> DataFrame:
+    """All moments of idf and ttf that a learnt ranking sees."""
+    f = SE.rank_features(_index(t), _asked(t), "doc_id")
+    idf = r6("min_idf", "max_idf", "avg_idf", "sum_idf", "dev_idf")
+    return f.select("query", "doc_id", "matched", F.col("length").cast("long").alias("length"), *idf, "min_ttf", "max_ttf", "sum_ttf", *(F.round(c, 4).alias(c) for c in ("avg_ttf", "dev_ttf")))
+
+
+@query(sql("select keywords, cast(count(*) filter (b.s is null) as bigint) \"old\", cast(count(*) filter (a.s is null) as bigint) \"new\", cast(count(*) filter (a.s is not null and b.s is not null) as bigint) both_ from (select keywords, concept_id, search_score s from results where searchrank <= 7) a full join (select keywords, concept_id, search_score s from results where search_score < 0.9) b using (keywords, concept_id) group by 1", found=FOUND, results=RESULTS))
+def old_new_counts(t: Tables) -> DataFrame:
+    """How many concepts of each keyword only one detection has, or both."""
+    r = stash(_results(t), "results")
+    both = SE.compared(r.where("searchrank <= 7"), r.where("search_score < 0.9"), ["keywords", "concept_id"], "search_score")
+    n = lambda k: F.count(F.when(F.col("kind") == k, 1))
+    return both.groupBy("keywords").agg(n("old").alias("old"), n("new").alias("new"), n("both").alias("both_"))
+
+
 _PW = "list_filter(regexp_split_to_array(lower({0}), '" + TX.WORDS + "'), lambda w: length(w) > 0)"
 
 
