@@ -60,8 +60,8 @@ def category_scores(both: DataFrame, mode: str, coefficients: tuple[float, float
 
 
 def closest(scores: DataFrame, n: int) -> DataFrame:
-    """entity, category, score, rank: the n best categories of each entity."""
-    best = Window.partitionBy("entity").orderBy(F.desc("score"), "category")
+    """entity, category, score, rank: the n best categories of each entity; scores that agree in nine decimals are equal."""
+    best = Window.partitionBy("entity").orderBy(F.desc(F.round("score", 9)), "category")
     return scores.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= n)
 
 

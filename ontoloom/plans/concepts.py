@@ -77,7 +77,7 @@ def concept_category_similarity(t: Tables) -> DataFrame:
     return both.select("entity", "category", *(F.round(X.blended(*parts, m, (1, 4)), 6).alias(m) for m in ("none", "linear", "log")))
 
 
-_BEST = "select entity, category, round(score, 6) score, k as rank from (select *, row_number() over (partition by entity order by score desc, category) k from scores) where k <= 3"
+_BEST = "select entity, category, round(score, 6) score, k as rank from (select *, row_number() over (partition by entity order by round(score, 9) desc, category) k from scores) where k <= 3"
 _DEG = "select src entity, count(*) degree from graph group by src"
 _ADAPT = f"select entity, category, case when degree > 20 then {_LIN.format(1, 10)} else {_LOG.format(1, 10)} end score from pairs join deg using (entity)"
 
@@ -124,7 +124,7 @@ def category_category_similarity(t: Tables) -> DataFrame:
 _CPAIRS = "select e entity, c category, coalesce(a.s, 0) s1, coalesce(a.n, 0) * 1.0 n1_, coalesce(m.s, 0) s2 from (select distinct g e from gc) cross join (select distinct category c from (select category from clusters union select category from anchors)) left join (select p.g e, q.g c, sum(score) s, 0 n from graph join gc p on src = p.concept join ga q on dst = q.concept group by 1, 2) a using (e, c) left join (select p.g e, q.g c, sum(score) s from graph join gc p on src = p.concept join gm q on dst = q.concept group by 1, 2) m using (e, c)"
 
 
-@query(sql("select entity, category, round(s, 6) score, k as rank from (select entity, category, (s1 + 10 * s2) / 11 s, row_number() over (partition by entity order by (s1 + 10 * s2) / 11 desc, category) k from pairs) where k <= 2", *NAMES, **GROUPS, pairs=_CPAIRS))
+@query(sql("select entity, category, round(s, 6) score, k as rank from (select entity, category, (s1 + 10 * s2) / 11 s, row_number() over (partition by entity order by round((s1 + 10 * s2) / 11, 9) desc, category) k from pairs) where k <= 2", *NAMES, **GROUPS, pairs=_CPAIRS))
 def cluster_closest_category(t: Tables) -> DataFrame:
     """The two closest types of every brand, without averaging."""
     o = Onto(t)
