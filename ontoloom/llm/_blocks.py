@@ -281,7 +281,7 @@ def heard(told: list | None, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out[0], out[1]
 
 
-def _met(spelt: bool, buckets: int, base: int) -> Callable[[pa.Table], pa.Table]:
+def _met(spelt: bool, buckets: int, base: int, named: bool = True) -> Callable[[pa.Table], pa.Table]:
     """What a bucket tells the blocks of their keys."""
 
     def run(batch: pa.Table) -> pa.Table:
@@ -297,7 +297,7 @@ def _met(spelt: bool, buckets: int, base: int) -> Callable[[pa.Table], pa.Table]
             _, of = distinct([np.concatenate([unpack(k[j], np.uint64, j == 0) for k in keys]) for j in range(len(keys[0]))])
         n = np.concatenate(ns)
         total = np.bincount(of, n >> 1).astype(np.int64)
-        shared = (np.bincount(of) > 1) | (np.bincount(of, n & 1) > 0)
+        shared = (np.bincount(of) > 1) | (np.bincount(of, n & 1) > 0) if named else np.zeros(len(total), bool)
         bucket = batch["bucket"][0].as_py()
         number = np.where(shared, 1 + base + bucket + buckets * (np.cumsum(shared) - 1), 0)[of]
         others, ends = total[of] - (n >> 1), np.cumsum([len(x) for x in ns])
@@ -309,12 +309,12 @@ def _met(spelt: bool, buckets: int, base: int) -> Callable[[pa.Table], pa.Table]
     return run
 
 
-def told(keys: DataFrame, buckets: int, tag: str, spelt: bool = False, base: int = 0) -> tuple[DataFrame, int]:
+def told(keys: DataFrame, buckets: int, tag: str, spelt: bool = False, base: int = 0, named: bool = True) -> tuple[DataFrame, int]:
     """(block, told: what heard() takes; the greatest number given): the exchange of the keys that blocks sent.
 
-    Numbers start beyond `base`.
+    Numbers start beyond `base`; without `named` none are given, and only counts are told.
     """
-    met = keys.groupBy("bucket").applyInArrow(_met(spelt, buckets, base), "bucket int, block long, id binary, others binary, most long")
+    met = keys.groupBy("bucket").applyInArrow(_met(spelt, buckets, base, named), "bucket int, block long, id binary, others binary, most long")
     answer = met.groupBy("block").agg(F.collect_list(F.struct("bucket", "id", "others")).alias(tag), F.max("most").alias("most"))
     answer = stash_by(answer, "block", tag, dealt=True)
     most = answer.agg(F.max("most")).first()[0] or base

@@ -127,7 +127,7 @@ def backoff_scores(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> Dat
 
     asked, bits = blocks, 1
     for k in range(1, order + 1):
-        answer, most = told(asked.mapInArrow(send(k, bits), SENT), buckets, f"told{k}", spelt=k == 1)
+        answer, most = told(asked.mapInArrow(send(k, bits), SENT), buckets, f"told{k}", spelt=k == 1, named=k == 1)
         if k == 1:
             bits = max(1, most.bit_length())
         asked = asked.join(answer, "block", "left")
