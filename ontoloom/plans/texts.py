@@ -169,7 +169,7 @@ def _asked(t: Tables) -> DataFrame:
 )
 def bm25_search(t: Tables) -> DataFrame:
     """The ten best documents for every benchmark passage."""
-    return SE.bm25(_index(t), _asked(t), "doc_id")
+    return SE.bm25(_index(t), _asked(t), "doc_id", sizes=SE.sizes(t("documents")))
 
 
 @query(

@@ -364,6 +364,18 @@ def test_bm25_on_awkward_rows(spark):
     assert set(near) == {(r["query"], r["doc_id"]) for r in out}
 
 
+def test_stored_index(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    search.write_index(docs, "doc_id", str(tmp_path))
+    index, sizes = search.read_index(spark, str(tmp_path))
+    assert tuple(sizes.first()) == (4, 3.0) and index.count() == search.postings(docs, "doc_id").count()  # rows of one id count apart
+    empty = search.sizes(docs.where("false")).first()
+    assert empty["docs"] == 0 and empty["mean"] is None
+    ask = spark.createDataFrame([(1, "red"), (1, "bolt")], "query long, term string")
+    one = docs.where("doc_id < 5")
+    assert search.bm25(search.postings(one, "doc_id"), ask, "doc_id", sizes=search.sizes(one)).collect() == search.bm25(search.postings(one, "doc_id"), ask, "doc_id").collect()
+
+
 def test_filters_of_an_index(spark):
     docs = spark.createDataFrame([(1, "en", 5, None), (2, "fr", 6, 9), (3, "de", 7, 9)], "id long, lang string, from_date int, until_date int")
     assert search.filtered(docs, "documents", {"lang": ["en", "de"], "id": 2}).count() == 2  # id may not be filtered on
