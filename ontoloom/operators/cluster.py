@@ -146,3 +146,47 @@ def broken_up(vectors: DataFrame, group: str, ks: tuple[int, ...]) -> DataFrame:
         return pd.concat([linkage(pdf, k).assign(k=k)[["k", "id", "cluster"]] for k in ks])
 
     return rows.groupBy("_group").applyInPandas(run, "k long, id long, cluster long")
+
+
+def spectral_vectors(pdf: pd.DataFrame, dims: int) -> pd.DataFrame:
+    """id, vector: each node of one group's edges (src, dst, score) in the least eigenvectors of the normalised Laplacian.
+
+    The greatest entry of an eigenvector is positive; rows are scaled to length one.
+    """
+    ids = np.unique(pdf[["src", "dst"]].to_numpy())
+    i, j = (np.searchsorted(ids, pdf[c].to_numpy()) for c in ("src", "dst"))
+    w = np.zeros((len(ids), len(ids)))
+    off = i != j
+    w[i[off], j[off]] = w[j[off], i[off]] = pdf["score"].to_numpy()[off]
+    d = np.sqrt(w.sum(1)) + 1e-10
+    _, vectors = np.linalg.eigh(np.eye(len(ids)) - w / d[:, None] / d)
+    vectors = vectors[:, :dims]
+    vectors = vectors * np.sign(vectors[np.abs(np.round(vectors, 9)).argmax(0), np.arange(vectors.shape[1])])
+    vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+    return pd.DataFrame({"id": ids, "vector": list(vectors)})
+
+
+def recomputed(edges: DataFrame, clusters: int, least: int = 3) -> DataFrame:
+    """id, label: the nodes of a graph (src, dst, score) clustered anew.
+
+    Every component is embedded by its spectrum and parted by average linkage, in one task; clusters of fewer than
+    `least` nodes join the large one of their component that they are most alike, if there is one, and labels are the
+    least nodes of their clusters.
+    """
+    from .graph import components
+
+    of = components(edges.where("src <> dst")).withColumnRenamed("id", "src")
+    grouped_ = edges.where("src <> dst").join(of, "src")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        embedded = spectral_vectors(pdf[["src", "dst", "score"]], min(clusters, 100))
+        label = linkage(embedded, clusters)["cluster"].to_numpy()
+        x, n = np.stack(embedded["vector"].to_numpy()), np.bincount(label)
+        large = np.flatnonzero(n >= least)
+        for k in np.flatnonzero(n < least) if len(large) else ():
+            near = [np.median(x[label == k] @ x[label == b].T) for b in large]
+            label[label == k] = large[int(np.argmax(np.round(near, 9)))]
+        ids = embedded["id"].to_numpy()
+        return pd.DataFrame({"id": ids, "label": [ids[label == k].min() for k in label]})
+
+    return grouped_.groupBy("component").applyInPandas(run, "id long, label long")

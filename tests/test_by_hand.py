@@ -415,6 +415,23 @@ def test_clusters_on_awkward_rows(spark):
     assert best == {0: ("a", 1, 1), 1: ("b", 1, 0)}  # ties go to the first name
 
 
+def test_clusters_of_a_graph(spark):
+    """Two cliques held by one weak edge, and a lone pair: the spectrum parts them."""
+    import pandas as pd
+
+    cliques = [(a, b, 1.0) for own in (range(6), range(10, 15)) for a, b in itertools.combinations(own, 2)]
+    data = [*cliques, (5, 10, 0.01), (20, 21, 1.0), (3, 3, 5.0)]
+    df = spark.createDataFrame(data, "src long, dst long, score double")
+    out = {r["id"]: r["label"] for r in cluster.recomputed(df, 2).collect()}
+    assert out == {**{k: 0 for k in range(6)}, **{k: 10 for k in range(10, 15)}, 20: 20, 21: 21}
+    assert cluster.recomputed(df.where("false"), 2).count() == 0
+    v = cluster.spectral_vectors(pd.DataFrame(cliques[:15], columns=["src", "dst", "score"]), 3)
+    assert len(v) == 6 and np.linalg.norm(np.stack(v["vector"]), axis=1) == pytest.approx([1] * 6)
+    w = np.ones((6, 6)) - np.eye(6)
+    lap = np.eye(6) - w / 5
+    assert np.linalg.eigvalsh(lap)[0] == pytest.approx(0, abs=1e-9)
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     rng = np.random.default_rng(5)
     x = np.round(rng.standard_normal((60, 4)), 1)
