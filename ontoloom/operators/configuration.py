@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import distance_affinity, safe_div
+from ..sources.store import stash
 from .graph import normalised
 from .relational import strong, unit
+from .spread import measured
 
 
 def key_of(x: DataFrame) -> list[str]:
@@ -41,6 +43,11 @@ def affinities(
     common concept is 0; "euclidean" maps their distance d to 1 - tanh(d / k).
     """
     kx, ky = key_of(x), key_of(y)
+    whole = all(x.schema[c].dataType.simpleString() in ("int", "bigint") for c in [*kx, "concept"])
+    if mix_x and not mix_y and not normalise_before and whole and len(kx) == len(ky) == 1:
+        found = stash(measured(x, kx[0], y, ky[0], edges), "measured")  # the spread scores are many: they stay in tasks
+        dot = found.where("dot is not null").select(*kx, *ky, "dot")
+        return _compared(pairs, dot, found.where("norm is not null").select(*kx, F.col("norm").alias("norm_x")), norms(y).withColumnRenamed("norm", "norm_y"), kx, ky, method, k)
     graph = normalised(edges) if edges is not None else None
     x = mixed(x, graph) if mix_x else x
     y = mixed(y, graph) if mix_y else y
@@ -49,6 +56,10 @@ def affinities(
     nx, ny = norms(x).withColumnRenamed("norm", "norm_x"), norms(y).withColumnRenamed("norm", "norm_y")
     both = pairs.join(x.withColumnRenamed("score", "score_x"), kx).join(y.withColumnRenamed("score", "score_y"), [*ky, "concept"])
     dot = both.groupBy(*kx, *ky).agg(F.sum(F.col("score_x") * F.col("score_y")).alias("dot"))
+    return _compared(pairs, dot, nx, ny, kx, ky, method, k)
+
+
+def _compared(pairs: DataFrame, dot: DataFrame, nx: DataFrame, ny: DataFrame, kx: list[str], ky: list[str], method: str, k: float) -> DataFrame:
     out = pairs.join(dot, [*kx, *ky], "left").join(nx, kx, "left").join(ny, ky, "left").fillna(0, ["dot", "norm_x", "norm_y"])
     if method == "cosine":
         score = safe_div(F.col("dot"), F.col("norm_x") * F.col("norm_y"))

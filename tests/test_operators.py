@@ -259,3 +259,21 @@ def test_cover_of_many_sets():
     began = time.process_time()
     assert cluster.set_cover(sets, 0.9)["set_id"].tolist() == list(range(n * 9 // 10))
     assert time.process_time() - began < 4  # looking at all sets again at each step takes several times as long
+
+
+def test_spread_scores_stay_in_blocks(spark, monkeypatch):
+    from ontoloom.operators import spread
+
+    monkeypatch.setattr(spread, "KEYS", 3)
+    monkeypatch.setattr(spread, "TILE", 7)
+    rng = random.Random(5)
+    edges = spark.createDataFrame([(rng.randrange(40), rng.randrange(40), rng.random()) for _ in range(150)], "src long, dst long, score double")
+    x = spark.createDataFrame([(rng.randrange(-4, 10), rng.randrange(60), 0.01 ** rng.random()) for _ in range(60)], "s long, concept long, score double")
+    y = spark.createDataFrame([(rng.choice("abc"), rng.randrange(45), rng.random()) for _ in range(60)], "u string, concept long, score double")
+    got = spread.measured(x, "s", y, "u", edges).collect()
+    m = configuration.mixed(x, graph.normalised(edges))
+    norms = {r["s"]: r["norm"] for r in configuration.norms(m).collect()}
+    dots = m.withColumnRenamed("score", "v").join(y, "concept").groupBy("s", "u").agg(F.sum(F.col("v") * F.col("score")).alias("d")).collect()
+    assert {r["s"]: r["norm"] for r in got if r["norm"] is not None} == pytest.approx(norms)
+    assert {(r["s"], r["u"]): r["dot"] for r in got if r["dot"] is not None} == pytest.approx({(r["s"], r["u"]): r["d"] for r in dots})
+    assert len(norms) > 6 and len(dots) > 6
