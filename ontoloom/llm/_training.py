@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from ._shared import split_of
 
 #: Bytes of text looked at in one go, about; a longer text is looked at alone.
-PART = 1 << 21
+PART = 1 << 19
 #: Code points told apart by kind; all beyond count as the last.
 POINTS = 1 << 16
 

@@ -849,3 +849,21 @@ def test_packing_of_clashing_columns(spark):
     more = cut.withColumn("rank", F.lit("x")).withColumn("before", F.lit(1)).withColumn("n", F.lit(None).cast("int"))
     got = packing.pack(more).collect()
     assert sorted(r["doc_id"] for r in got) == [1, 2] and {(r["rank"], r["before"], r["n"]) for r in got} == {("x", 1, None)}
+
+
+def test_features_of_many_texts_hold_little():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from ontoloom.llm import _training, quality
+
+    texts = pa.array(["some words of a text, and more of them. " * 25] * 4000)
+    quality.features(texts[:1])
+    tracemalloc.start()
+    try:
+        x = _training.in_parts(quality.features, texts, len(quality.FEATURES))
+        assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    finally:
+        tracemalloc.stop()
+    assert len(x) == len(texts) and (x == x[0]).all()
