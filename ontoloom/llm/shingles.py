@@ -1,13 +1,16 @@
 """Near-duplicates by the Jaccard similarity of word shingles.
 
-Equal sets of shingles count once.  MinHash signatures, cut into bands, propose
-candidates: sets that share a band meet in its bucket.  There sketches, a byte of
-each of some hashes, sort out the many that share a passage and no more; the
-sets of the others are compared, and those whose true similarity is high enough
-are linked.  A bucket is searched breadth first, so a
+Equal sets of shingles count once.  Each gets a SimHash, and the vantage-point
+tree of simhash finds which of these lie within a radius: what they join is a
+bucket of candidates.  Their sets are compared, and those whose true similarity
+is high enough are linked.  At a similarity of 0.8 many SimHashes differ in more
+bits than a tree can search for, so MinHash signatures, cut into bands, give the
+rest: sets that share a band meet in its bucket too, where sketches, a byte of
+each of some hashes, sort out the many that share a passage and no more.  A
+bucket is searched breadth first, so a
 large group of near copies costs about one comparison a member and gives a
-spanning tree instead of all pairs; the trees are joined by components().  A few
-bands go first: they join most groups, and of the others only buckets whose
+spanning tree instead of all pairs; the trees are joined by components().  The
+SimHashes go first; of the bands only buckets whose
 members are not yet in one component are searched.  A
 bucket of more than some megabytes is searched in parts first; then those of its
 members that are not in its greatest component by now meet all others, again
@@ -27,7 +30,8 @@ from pyspark.sql import functions as F
 
 from ._graph import components
 from ._shared import stash
-from .simhash import keep_least
+from .simhash import fingerprint_of, keep_least
+from .simhash import links as within
 
 #: Words to a shingle, and the similarity of near copies.
 WIDTH, SIMILAR = 5, 0.8
@@ -36,10 +40,10 @@ BANDS, HASHES = 20, 5
 #: Hashes of which a sketch has a byte, and bytes that have to agree: of sets of similarity 0.8 one pair in 100 million has
 #: fewer.  Buckets of more members go on without a look at their sketches.
 SKETCH, AGREE, SKETCHED = 60, 30, 2000
-#: Bands that are searched before the others.
-FIRST = 3
+#: Bits in which the SimHashes of candidates may differ.
+RADIUS = 8
 #: Shingles hashed at once; shingles to a part of a bucket, about.
-BLOCK, PART = 1 << 13, 1 << 22
+BLOCK, PART = 1 << 13, 1 << 21
 
 _RNG = np.random.default_rng(5)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -182,10 +186,10 @@ def _members(docs: DataFrame, width: int, similar: float) -> tuple[DataFrame, Da
             for t in batch.column(1):
                 one = shingles(t.as_py(), width)
                 least = signature(one)
-                out.append((_key(one), len(one), bands(least) if len(one) else [], sketch(least)))
-            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, types)]
-            yield pa.record_batch([batch.column(0), batch.column(2), *columns], names=["doc_id", "h", "key", "size", "bands", "sketch"])
+                out.append((_key(one), len(one), bands(least) if len(one) else [], sketch(least), np.array(fingerprint_of(one), np.uint64).view(np.int64).item()))
+            types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.int64())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)]
+            yield pa.record_batch([batch.column(0), batch.column(2), *columns], names=["doc_id", "h", "key", "size", "bands", "sketch", "fp"])
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,15 +210,16 @@ def _members(docs: DataFrame, width: int, similar: float) -> tuple[DataFrame, Da
         return frame(keys[0], list(crossing_links(*sets, similar)) if all(sets) else [], keys[1])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
-    rows = stash(texts.mapInArrow(sign, "doc_id long, h long, key long, size long, bands array<long>, sketch binary"), "shingles")
+    rows = stash(texts.mapInArrow(sign, "doc_id long, h long, key long, size long, bands array<long>, sketch binary, fp long"), "shingles")
     first = rows.groupBy("key").agg(F.min("doc_id").alias("first"))
-    every = rows.groupBy("key", "size").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    every = rows.groupBy("key", "size").agg(F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("fp").alias("fp"))
     every = stash(every, "signatures")
     band = every.select("key", "size", F.posexplode("bands").alias("turn", "band"))
     shared = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     band = band.join(shared, "band").join(every.select("key", "sketch"), "key").select("n", "key", "size", "turn", "band", "sketch")
     band = stash(band.repartition("band").sortWithinPartitions("band").mapInArrow(_promising, "key long, size long, turn int, band long"), "bands")
-    met = band.select("key").distinct()
+    near = stash(_near(every.where("size > 0")), "near")
+    met = band.select("key").union(near.select("key")).distinct()
     some = texts.join(rows.select("key", "h").distinct().join(met, "key", "left_semi").select("h").distinct(), "h", "left_semi")
     sets = some.select("text").mapInArrow(sets_of, "key long, found binary").join(met, "key", "left_semi")
     found = stash(sets.groupBy("key").agg(F.first("found").alias("found")), "shingle-sets")
@@ -227,12 +232,20 @@ def _members(docs: DataFrame, width: int, similar: float) -> tuple[DataFrame, Da
         large = bucket.where("parts > 1")
         return links if large.isEmpty() else links.union(stash(_crossing(large, found, components(links), cross), "crossing-links"))
 
-    links = searched(_buckets(band.where(f"turn < {FIRST}")), None)
-    links = searched(_buckets(band.where(f"turn >= {FIRST}"), components(links)), links)
+    links = searched(_buckets(near), None)
+    links = searched(_buckets(band, components(links)), links)
     root = components(links).select(F.col("node").alias("key"), "root")
     return rows, stash(first.join(root, "key", "left").withColumn("root", F.coalesce("root", "key")), "shingle-members")
 
 
+def _near(every: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """key, size, band of the sets every(key, size, fp) that are not alone: a band is what links of `radius` bits join."""
+    root = components(within(every.select("fp").distinct(), radius)).withColumnRenamed("node", "fp")
+    band = every.join(root, "fp", "left").select("key", "size", F.coalesce("root", "fp").alias("band"))
+    shared = band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    return band.join(shared.select("band"), "band")
+
+
 def _buckets(band: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """bucket, key, parts of the band(key, size, band) that two keys share; buckets of the same members count once.
 

@@ -61,6 +61,14 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash of a set of shingles, given as their hashes; zero of none."""
+    ones = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), BLOCK):
+        ones += np.unpackbits(hashes[k : k + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long) of every row of docs."""
 

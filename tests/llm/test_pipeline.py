@@ -138,3 +138,12 @@ def test_run_by_hand(spark):
     assert 50 < len(kept) < docs.count() and any(len(words[d]) > len(t.split()) for d, t in kept)
     tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     check_packing(corpus_pipeline.run(spark, FOLDER).collect(), kept, tokenizer)
+
+
+def test_simhash_tree_gives_candidates(spark):
+    rows = [(1, 9, 0), (2, 9, 0b1011), (3, 9, -1), (4, 9, -1), (5, 9, 0x0F0F0F0F0F0F0F0F)]
+    near = shingles._near(spark.createDataFrame(rows, "key long, size long, fp long")).collect()
+    found = {}
+    for r in near:
+        found.setdefault(r["band"], set()).add(r["key"])
+    assert sorted(map(sorted, found.values())) == [[1, 2], [3, 4]]
