@@ -9,7 +9,7 @@ from ..functions.expr import distance_affinity, safe_div
 from ..sources.store import stash
 from .graph import normalised
 from .relational import strong, unit
-from .spread import measured
+from .spread import measured, spread
 
 
 def key_of(x: DataFrame) -> list[str]:
@@ -29,10 +29,28 @@ def mixed(x: DataFrame, graph: DataFrame, ratio: float = 0.05) -> DataFrame:
     return strong(out, "score", key, ratio) if ratio else out
 
 
+def _whole(x: DataFrame) -> bool:
+    return all(x.schema[c].dataType.simpleString() in ("int", "bigint") for c in [*key_of(x), "concept"])
+
+
+def mixed_over(x: DataFrame, edges: DataFrame, ratio: float = 0.05) -> DataFrame:
+    """mixed() over the normalised graph of edges(src, dst, score), or of groups(own); see spread.tiles().
+
+    Each score is a sum in the order of concepts, so what is at the limit does not hang on how rows lie.
+    """
+    return spread(x, key_of(x)[0], edges, ratio)
+
+
 def norms(x: DataFrame) -> DataFrame:
     return x.groupBy(*key_of(x)).agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("norm"))
 
 
+def counted(groups: DataFrame) -> DataFrame:
+    """src < dst, score: n / (n + 1) for the n groups(own) that two share."""
+    pairs = groups.select(F.explode("own").alias("src"), "own").select("src", F.explode("own").alias("dst")).where("src < dst")
+    return pairs.groupBy("src", "dst").agg((F.count("*") / (F.count("*") + 1.0)).alias("score"))
+
+
 def affinities(
     x: DataFrame, y: DataFrame, pairs: DataFrame, edges: DataFrame | None = None, mix_x: bool = False, mix_y: bool = False,
     normalise_before: bool = False, method: str = "cosine", k: float = 1.0,
@@ -40,14 +58,15 @@ def affinities(
     """pairs with score: how alike two configurations are.
 
     pairs has the key columns of x and of y, which have to differ in name.  The cosine of configurations without a
-    common concept is 0; "euclidean" maps their distance d to 1 - tanh(d / k).
+    common concept is 0; edges may be groups(own); "euclidean" maps their distance d to 1 - tanh(d / k).
     """
     kx, ky = key_of(x), key_of(y)
-    whole = all(x.schema[c].dataType.simpleString() in ("int", "bigint") for c in [*kx, "concept"])
-    if mix_x and not mix_y and not normalise_before and whole and len(kx) == len(ky) == 1:
+    if mix_x and not mix_y and not normalise_before and _whole(x) and len(kx) == len(ky) == 1:
         found = stash(measured(x, kx[0], y, ky[0], edges), "measured")  # the spread scores are many: they stay in tasks
         dot = found.where("dot is not null").select(*kx, *ky, "dot")
         return _compared(pairs, dot, found.where("norm is not null").select(*kx, F.col("norm").alias("norm_x")), norms(y).withColumnRenamed("norm", "norm_y"), kx, ky, method, k)
+    if edges is not None and edges.columns == ["own"]:
+        edges = counted(edges)
     graph = normalised(edges) if edges is not None else None
     x = mixed(x, graph) if mix_x else x
     y = mixed(y, graph) if mix_y else y

@@ -1,46 +1,140 @@
-"""Scores spread over a graph in blocks, for measures of the result that need not hold all of it.
+"""Scores spread over a graph in blocks, for results that need not hold all of the paths.
 
 A configuration that is spread over a dense graph has a score for nearly every
-concept.  As rows of a join these are many times the graph; here a task takes a
-block of keys and the tiles of the graph that their concepts reach, one after
-the other, and gives only what is asked of each key.  Keys and concepts are
-dealt by ranges, so that what lies together is sent to few tasks.
+concept, over several paths each.  As rows of a join these are many times the
+graph; here a task takes a block of keys and the tiles of the graph that their
+concepts reach, one after the other, and gives only what is asked of each key.
+Keys and concepts are dealt by ranges, so that what lies together is sent to few
+tasks.  Sums are in order of concepts, however rows come.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.store import stash
 
-#: Keys to a block, and concepts to a tile, about.
-KEYS, TILE = 512, 1024
+#: Keys to a block, and to a unit, which no block parts; concepts to a tile; about so many rows are packed, and paths added, at once.
+KEYS, UNIT, TILE, ROWS, PATHS = 1024, 64, 1024, 1 << 20, 1 << 21
+#: Where a row of a block holds keys, and no tile; the key of rows without one.
+OWN, NONE = -1 << 62, -1 << 61
 
 
-def _packed(**columns: np.ndarray) -> bytes:
-    batch = pa.record_batch([pa.array(c) for c in columns.values()], names=list(columns))
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the smallest type that holds them."""
+    if x.dtype.kind == "f" or not len(x):
+        return x
+    least, most = int(x.min()), int(x.max())
+    return x.astype(next(t for t in (np.uint8, np.uint16, np.int32, np.int64) if np.iinfo(t).min <= least and most <= np.iinfo(t).max))
+
+
+def packed(**columns: np.ndarray) -> bytes:
+    batch = pa.record_batch([pa.array(_narrow(c)) for c in columns.values()], names=list(columns))
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 1))) as out:
         out.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(data: bytes) -> list:
+def unpacked(data: bytes) -> dict[str, np.ndarray]:
     table = pa.ipc.open_stream(data).read_all().combine_chunks()
-    return [c.to_numpy(zero_copy_only=False) for c in table.itercolumns()]
+    wide = {n: c.to_numpy(zero_copy_only=False) for n, c in zip(table.column_names, table.itercolumns())}
+    return {n: c if c.dtype.kind == "f" else c.astype(np.int64) for n, c in wide.items()}
+
+
+def in_order(*columns: np.ndarray) -> np.ndarray:
+    """The order of rows by their columns, the first one first."""
+    if len(columns) == 2 and len(columns[0]) and all(0 <= c.min() and c.max() < 1 << 31 for c in columns):
+        return np.argsort(columns[0] << 32 | columns[1], kind="stable")
+    return np.lexsort(columns[::-1])
+
+
+def opens(*columns: np.ndarray) -> np.ndarray:
+    """Where rows in order differ from the row before."""
+    fresh = np.ones(len(columns[0]), bool)
+    fresh[1:] = False
+    for c in columns:
+        fresh[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(fresh)
+
+
+def _added(a: np.ndarray, b: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, sum of n), each pair once, in order of b and a."""
+    order = in_order(b, a)
+    a, b, n = a[order], b[order], n[order]
+    at = opens(b, a)
+    return a[at], b[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def in_slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[list[np.ndarray]]:
+    """The columns of the batches, about so many rows at once."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield [c.to_numpy() for c in pa.Table.from_batches(held).itercolumns()]
+            held, n = [], 0
+    if n:
+        yield [c.to_numpy() for c in pa.Table.from_batches(held).itercolumns()]
+
+
+def _pairs(values: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All (a, b) of one group, both ways and with itself, some paths at once."""
+    first = np.repeat(np.cumsum(length) - length, length)  # of the group of each value
+    of = np.repeat(length, length)
+    total = np.cumsum(of)
+    at = 0
+    while at < len(values):
+        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PATHS, "right")))
+        n = of[at:to]
+        yield values[np.repeat(first[at:to] - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(values[at:to], n)
+        at = to
+
+
+def _dealt_pairs(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """tile, data: how often each two concepts share a group, by tiles of one of them."""
+
+    def hand_on(held: list) -> pa.RecordBatch:
+        a, b, n = _added(*(np.concatenate([h[j] for h in held]) for j in range(3)))
+        at = opens(b // width)
+        data = [packed(a=a[i:j], b=b[i:j] % width, n=n[i:j]) for i, j in zip(at, [*at[1:], len(b)])]
+        return pa.record_batch([pa.array(b[at] // width), pa.array(data, pa.binary())], names=["tile", "data"])
+
+    held, n = [], 0
+    for batch in batches:
+        own = batch.column("own").drop_null()
+        values = own.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in _pairs(values, own.value_lengths().to_numpy().astype(np.int64)):
+            held.append(_added(a, b, np.ones(len(a), np.int64)))
+            n += len(held[-1][0])
+            if n >= 4 * ROWS:
+                yield hand_on(held)
+                held, n = [], 0
+    if n:
+        yield hand_on(held)
 
 
 def tiles(edges: DataFrame) -> DataFrame:
     """tile, reached, graph: the normalised graph of edges(src, dst, score) by ranges of one end, with the ranges of the others.
 
-    A tile has for each edge of its concepts the other end, the concept, the mean score and how many edges the concept
-    has, loops of score 1 included.
+    Instead of edges there may be groups(own), arrays of distinct concepts: two that share n groups have an edge of
+    n / (n + 1).  See graph_of() for what a tile holds.
     """
+    width = TILE
+    if edges.columns == ["own"]:
+
+        def count(t: pa.Table) -> pa.Table:
+            parts = [unpacked(x.as_py()) for x in t["data"]]
+            a, b, n = _added(*(np.concatenate([p[c] for p in parts]) for c in "abn"))
+            return row(t, width, a, b, n=n)
+
+        return edges.mapInArrow(lambda batches: _dealt_pairs(batches, width), "tile long, data binary").groupBy("tile").applyInArrow(count, "tile long, reached array<long>, graph binary")
     e = edges.where("src <> dst")  # none without an end
     both = e.select(F.col("src").alias("a"), F.col("dst").alias("b"), "score").union(e.select("dst", "src", "score"))
     both = both.withColumn("tile", F.floor(F.col("b") / TILE).cast("long")).repartition("tile").groupBy("tile", "b", "a").agg(F.avg("score").alias("score"))
@@ -49,116 +143,221 @@ def tiles(edges: DataFrame) -> DataFrame:
         b, a, score = (t[c].to_numpy() for c in ("b", "a", "score"))
         own = np.unique(b)
         a, b, score = np.concatenate([a, own]), np.concatenate([b, own]), np.concatenate([score, np.ones(len(own))])
-        order = np.lexsort((a, b))
-        a, b, score = a[order], b[order], score[order]
-        size = np.bincount(np.searchsorted(own, b))[np.searchsorted(own, b)]
-        reached = pa.array([np.unique(a // TILE).tolist()], pa.list_(pa.int64()))
-        return pa.table([t["tile"].slice(0, 1), reached, pa.array([_packed(a=a, b=b, score=score, size=size)], pa.binary())], names=["tile", "reached", "graph"])
+        order = in_order(b, a)
+        return row(t, width, a[order], b[order] % width, score=score[order])
 
     return both.groupBy("tile").applyInArrow(pack, "tile long, reached array<long>, graph binary")
 
 
+def row(t: pa.Table, width: int, a: np.ndarray, b: np.ndarray, **more: np.ndarray) -> pa.Table:
+    reached = pa.array([np.unique(a // width).tolist()], pa.list_(pa.int64()))
+    return pa.table([t["tile"].slice(0, 1), reached, pa.array([packed(a=a, b=b, **more)], pa.binary())], names=["tile", "reached", "graph"])
+
+
+def graph_of(tile: int, data: bytes, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, score, size) of a tile: for each edge of its concepts the other end, the concept, the mean score, and how
+    many edges the concept has; loops of score 1 are included, concepts without other edges are not."""
+    x = unpacked(data)
+    a, local = x["a"], x["b"]
+    b = local + tile * width
+    size = np.bincount(local, minlength=width)[local]
+    score = x["score"] if "score" in x else np.where(a == b, 1.0, x["n"] / (x["n"] + 1.0))
+    some = size > 1
+    return a[some], b[some], score[some], size[some]
+
+
+def seats(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of n partitions that repartition() by a long column puts there."""
+    found: dict[int, int] = {}
+    many = 16 * n
+    while len(found) < n:
+        rows = spark.range(many).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("at")).groupBy("at").agg(F.min("id").alias("id")).collect()
+        found, many = {r["at"]: r["id"] for r in rows}, many * 4
+    return [found[i] for i in range(n)]
+
+
+def units(x: DataFrame) -> DataFrame:
+    """unit, ks, ats, data: rows of x(k, concept, ...) packed by ranges of keys, with their keys and the tiles of their concepts."""
+    names, width = x.columns, TILE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in in_slices(batches, ROWS):
+            order = in_order(*cols[:2])
+            cols = [c[order] for c in cols]
+            unit = cols[0] // UNIT
+            at = opens(unit)
+            parts = [[c[i:j] for c in cols] for i, j in zip(at, [*at[1:], len(unit)])]
+            ids = [pa.array([np.unique(p[c] // d).tolist() for p in parts], pa.list_(pa.int64())) for c, d in ((0, 1), (1, width))]
+            data = pa.array([packed(**dict(zip(names, p))) for p in parts], pa.binary())
+            yield pa.record_batch([pa.array(unit[at]), *ids, data], names=["unit", "ks", "ats", "data"])
+
+    return x.mapInArrow(run, "unit long, ks array<long>, ats array<long>, data binary")
+
+
+def in_blocks(own: DataFrame) -> tuple[DataFrame, int]:
+    """(units with the block of each, how many blocks); a block stands in a partition of its own."""
+    keys = own.select(F.explode("ks").alias("k")).distinct().select(F.floor(F.col("k") / UNIT).cast("long").alias("unit"))
+    n = max(1, -(-keys.count() // KEYS))
+    cuts = sorted(set(keys.approxQuantile("unit", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
+    n = len(cuts) + 1
+    at = F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("unit"))) if cuts else F.lit(0)
+    return own.withColumn("block", F.get(F.array(*(F.lit(i).cast("long") for i in seats(own.sparkSession, n))), at)), n
+
+
+class Block:
+    """Keys with their scores of concepts, and what they are spread over so far, tile by tile."""
+
+    def __init__(self, parts: list[dict[str, np.ndarray]], ratio: float, width: int):
+        k, concept, score = (np.concatenate([p[c] for p in parts]) for c in ("k", "concept", "score"))
+        order = in_order(k, concept)
+        k, concept, self.score = k[order], concept[order], score[order]
+        starts = opens(k)
+        self.keys, self.starts = k[starts], np.append(starts, len(k))
+        self.row = np.repeat(np.arange(len(starts)), np.diff(self.starts))
+        self.kinds, self.place = np.unique(concept, return_inverse=True)
+        self.width, self.ratio, self.top, self.tiles = width, ratio, np.full(len(starts), -np.inf), []
+
+    def near(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(edges whose end `a` the block holds, in order of it; where those of each kind start, and the last end)."""
+        at = np.searchsorted(self.kinds, a)
+        at[at == len(self.kinds)] = 0
+        some = np.flatnonzero(self.kinds[at] == a)
+        some = some[np.argsort(at[some], kind="stable")]
+        return some, np.searchsorted(at[some], np.arange(len(self.kinds) + 1))
+
+    def paths(self, near: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first key, last and one, x of each path, edge of each path) for some keys at once."""
+        n = near[self.place + 1] - near[self.place]
+        total = np.concatenate([[0], np.cumsum(n)])
+        by_key, lo = total[self.starts], 0
+        while lo < len(self.keys):
+            hi = int(np.searchsorted(by_key, by_key[lo] + PATHS, "right")) - 1
+            hi = min(max(lo + 1, hi), lo + max(1, 2 * PATHS // width), len(self.keys))
+            i, j = self.starts[lo], self.starts[hi]
+            if total[j] > total[i]:
+                x = np.repeat(np.arange(i, j), n[i:j])
+                yield lo, hi, x, np.arange(len(x)) + (near[self.place[i:j]] - total[i:j] + total[i])[x - i]
+            lo = hi
+
+    def add(self, tile: int, data: bytes, y: list | None) -> None:
+        a, b, e, size = graph_of(tile, data, self.width)
+        some, near = self.near(a)
+        if not len(some):
+            return
+        e, size = e[some], size[some]
+        ends, local = np.unique(b[some], return_inverse=True)
+        positive = (self.score > 0).all() and (e > 0).all()
+        rows, cols, scores = [], [], []
+        for lo, hi, x, edge in self.paths(near, len(ends)):
+            at = (self.row[x] - lo) * len(ends) + local[edge]
+            v = np.bincount(at, self.score[x] * e[edge] / size[edge], (hi - lo) * len(ends))
+            seen = v > 0 if positive else np.bincount(at, minlength=len(v)) > 0
+            v, seen = v.reshape(hi - lo, -1), seen.reshape(hi - lo, -1)
+            self.top[lo:hi] = np.maximum(self.top[lo:hi], np.where(seen, v, -np.inf).max(axis=1))
+            r, c = np.nonzero(seen & (v >= self.ratio * self.top[lo:hi, None]))  # the greatest only grows
+            rows.append((r + lo).astype(np.int32)), cols.append(c.astype(np.uint16)), scores.append(v[r, c])
+        if rows:
+            rows = np.concatenate(rows)
+            self.tiles.append((np.searchsorted(rows, np.arange(len(self.keys) + 1)), np.concatenate(cols), np.concatenate(scores), ends, y))
+
+    def found(self, lo: int, hi: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list | None]]:
+        """(key less lo, which end, score, ends, y) of the strong scores of some keys, tile by tile."""
+        for starts, cols, scores, ends, y in self.tiles:
+            r = np.repeat(np.arange(hi - lo), np.diff(starts[lo : hi + 1]))
+            c, v = cols[starts[lo] : starts[hi]], scores[starts[lo] : starts[hi]]
+            strong = v >= self.ratio * self.top[lo:hi][r]
+            yield r[strong], c[strong], v[strong], ends, y
+
+
+def _spread(x: DataFrame, key: str, edges: DataFrame, ratio: float, schema: str, result: Callable[[Block], Iterator[pa.RecordBatch]], y: DataFrame | None = None) -> DataFrame:
+    """What `result` gives of each block of x(key, concept, score) when it was spread over the graph of edges.
+
+    y(tile, y) goes with the tiles.
+    """
+    x = x.select(F.coalesce(F.col(key).cast("long"), F.lit(NONE)).alias("k"), F.col("concept").cast("long").alias("concept"), F.col("score").cast("double").alias("score")).na.drop()
+    graph = stash(tiles(edges), "spread-tiles")
+    own, n = in_blocks(stash(units(x), "spread-x"))
+    meets = graph.select("tile", F.explode("reached").alias("at")).join(own.select("block", F.explode("ats").alias("at")).distinct(), "at").select("block", "tile").distinct()
+    if y is not None:
+        graph = graph.join(y, "tile", "left")
+    graph = graph if y is not None else graph.withColumn("y", F.lit(None).cast("int"))
+    sent = meets.join(graph, "tile").select("block", "tile", F.col("graph").alias("data"), "y")
+    rows = own.select("block", F.lit(OWN).cast("long").alias("tile"), "data", F.lit(None).cast(sent.schema["y"].dataType).alias("y")).union(sent)
+    width = TILE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, block = None, [], None
+        for batch in batches:
+            for b, t, data, y in zip(*(batch.column(c) for c in ("block", "tile", "data", "y"))):
+                if b.as_py() != at:
+                    if block:
+                        yield from result(block)
+                    at, parts, block = b.as_py(), [], None
+                if t.as_py() == OWN:
+                    parts.append(unpacked(data.as_py()))
+                    continue
+                block = block or Block(parts, ratio, width)
+                block.add(t.as_py(), data.as_py(), y.as_py())
+        if block:
+            yield from result(block)
+
+    return rows.repartition(n, "block").sortWithinPartitions("block", "tile").mapInArrow(run, schema)
+
+
+def spread(x: DataFrame, key: str, edges: DataFrame, ratio: float = 0.05) -> DataFrame:
+    """key, concept, score: x(key, concept, score) spread over the graph of edges, or of groups; see tiles().
+
+    Scores under `ratio` of the greatest of their key go.  Keys and concepts are whole numbers.
+    """
+
+    def result(block: Block) -> Iterator[pa.RecordBatch]:
+        step = 64
+        for lo in range(0, len(block.keys), step):
+            for r, c, v, ends, _ in block.found(lo, min(lo + step, len(block.keys))):
+                yield pa.record_batch([pa.array(block.keys[lo + r]), pa.array(ends[c]), pa.array(v)], names=["k", "concept", "score"])
+
+    out = _spread(x, key, edges, ratio, "k long, concept long, score double", result)
+    return out.select(_keyed(x, key), F.col("concept").cast(x.schema["concept"].dataType), "score")
+
+
+def _keyed(x: DataFrame, key: str) -> Column:
+    return F.when(F.col("k") != NONE, F.col("k")).cast(x.schema[key].dataType).alias(key)
+
+
 def measured(x: DataFrame, key: str, y: DataFrame, other: str, edges: DataFrame, ratio: float = 0.05) -> DataFrame:
     """key, other, dot, norm of x(key, concept, score) spread over the graph of edges and of y(other, concept, score).
 
     Spread scores under `ratio` of the greatest of their key go.  dot is the product of what the two have in common; a
     row without `other` has the norm of a key.  Keys and concepts are whole numbers.
     """
-    x = stash(x.select(F.col(key).cast("long").alias("k"), F.col("concept").cast("long").alias("concept"), F.col("score").cast("double").alias("score")).na.drop(), "spread-x")
-    n = -(-x.select("k").distinct().count() // KEYS)
-    cuts = sorted(set(x.approxQuantile("k", [i / n for i in range(1, n)], 0.1 / n))) if n > 1 else []
-    x = x.withColumn("block", F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("k"))) if cuts else F.lit(0))
+    from pyspark.sql.pandas.types import to_arrow_type
+
     codes = [r[0] for r in y.select(other).distinct().orderBy(other).collect()]
-    kind = y.schema[other].dataType.simpleString()
-    graph = stash(tiles(edges), "spread-tiles")
+    kind, utype = y.schema[other].dataType.simpleString(), to_arrow_type(y.schema[other].dataType)
+    code = {u: i for i, u in enumerate(codes)}
     yt = y.select(F.floor(F.col("concept") / TILE).cast("long").alias("tile"), F.struct(F.col("concept").cast("long").alias("c"), F.col(other).alias("u"), F.col("score").cast("double").alias("w")).alias("y"))
     yt = yt.groupBy("tile").agg(F.sort_array(F.collect_list("y")).alias("y"))
-    graph = graph.join(yt, "tile", "left")
-    has = x.select("block", F.floor(F.col("concept") / TILE).cast("long").alias("at")).distinct()
-    meets = graph.select("tile", F.explode("reached").alias("at")).join(has, "at").select("block", "tile").distinct()
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    ytype = f"array<struct<c:bigint,u:{kind},w:double>>"
-    sent = meets.join(graph, "tile").select("block", "tile", "graph", "y", none("k", "long"), none("concept", "long"), none("score", "double"))
-    rows = x.select("block", F.lit(-1 << 62).cast("long").alias("tile"), none("graph", "binary"), none("y", ytype), "k", "concept", "score").union(sent)
-    rows = rows.repartition(max(n, 1), "block").sortWithinPartitions("block", "tile", "k", "concept")
-
-    def result(found: dict, y: list) -> Iterator[pa.RecordBatch]:
-        yc, yu, yw = (np.concatenate([p[k] for p in y]) if y else np.zeros(0, t) for k, t in enumerate((np.int64, np.int64, float)))
-        order = np.argsort(yc, kind="stable")
-        yc, yu, yw = yc[order], yu[order], yw[order]
-        out = [[], [], [], []]
-        for k, (top, cells) in found.items():
-            if not cells:
-                continue
-            b, v = (np.concatenate([c[j] for c in cells]) for j in (0, 1))
-            b, v = b[v >= ratio * top], v[v >= ratio * top]
-            lo, hi = np.searchsorted(yc, b), np.searchsorted(yc, b, "right")
-            n = hi - lo
-            at = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            dot, seen = np.bincount(yu[at], np.repeat(v, n) * yw[at], len(codes)), np.bincount(yu[at], minlength=len(codes))
-            some = np.flatnonzero(seen)
-            out[0] += [k] * (len(some) + 1)
-            out[1] += [codes[i] for i in some] + [None]
-            out[2] += [*dot[some].tolist(), None]
-            out[3] += [None] * len(some) + [float(np.sqrt((v * v).sum()))]
-        yield pa.record_batch([pa.array(out[0], pa.int64()), pa.array(out[1], types[1]), pa.array(out[2], pa.float64()), pa.array(out[3], pa.float64())], names=["k", "u", "dot", "norm"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
 
-    types = [None, to_arrow_type(y.schema[other].dataType)]
-    code = {u: i for i, u in enumerate(codes)}
+    def result(block: Block) -> Iterator[pa.RecordBatch]:
+        step = max(1, PATHS // max(1, len(codes)))
+        for lo in range(0, len(block.keys), step):
+            hi = min(lo + step, len(block.keys))
+            dot, seen, norm = np.zeros((hi - lo) * len(codes)), np.zeros((hi - lo) * len(codes), np.int64), np.zeros(hi - lo)
+            for r, c, v, ends, y in block.found(lo, hi):
+                yc, yu, yw = np.array([z["c"] for z in y or ()], np.int64), np.array([code[z["u"]] for z in y or ()], np.int64), np.array([z["w"] for z in y or ()], float)
+                norm += np.bincount(r, v * v, hi - lo)
+                first, last = np.searchsorted(yc, ends), np.searchsorted(yc, ends, "right")
+                n = (last - first)[c]
+                at = np.repeat(first[c] - np.cumsum(n) + n, n) + np.arange(n.sum())
+                cell = np.repeat(r * len(codes), n) + yu[at]
+                dot += np.bincount(cell, np.repeat(v, n) * yw[at], len(dot))
+                seen += np.bincount(cell, minlength=len(dot))
+            some = np.flatnonzero(seen)
+            has = np.flatnonzero(block.top[lo:hi] > -np.inf)
+            k = block.keys[lo + np.concatenate([some // max(1, len(codes)), has])]
+            u = pa.array([codes[i] for i in (some % max(1, len(codes))).tolist()] + [None] * len(has), utype)
+            none = lambda m: pa.nulls(m, pa.float64())
+            yield pa.record_batch([pa.array(k), u, pa.concat_arrays([pa.array(dot[some]), none(len(has))]), pa.concat_arrays([none(len(some)), pa.array(np.sqrt(norm[has]))])], names=["k", "u", "dot", "norm"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, own, found, ys, starts = None, [], {}, [], None
-        for batch in batches:
-            cols = {c: batch.column(c) for c in batch.schema.names}
-            blocks, tile = cols["block"].to_numpy(), cols["tile"].to_numpy()
-            first = tile == -1 << 62
-            for r in np.flatnonzero(np.concatenate([[True], (blocks[1:] != blocks[:-1]) | ~first[1:] | ~first[:-1]])) if len(blocks) else ():
-                if blocks[r] != block:
-                    if found:
-                        yield from result(found, ys)
-                    block, own, found, ys, starts = blocks[r], [], {}, [], None
-                if first[r]:
-                    end = r + 1
-                    while end < len(blocks) and first[end] and blocks[end] == block:
-                        end += 1
-                    own.append([cols[c].slice(r, end - r).to_numpy() for c in ("k", "concept", "score")])
-                    continue
-                if starts is None:
-                    k, concept, score = (np.concatenate([o[j] for o in own]) for j in range(3))
-                    order = np.lexsort((concept, k))
-                    k, concept, score = k[order], concept[order], score[order]
-                    keys, starts = np.unique(k, return_index=True)
-                    starts = [*starts.tolist(), len(k)]
-                    found = {int(i): (0.0, []) for i in keys}
-                    kinds = np.unique(concept)
-                    place = np.searchsorted(kinds, concept)
-                a, b, e, size = _unpacked(cols["graph"][int(r)].as_py())
-                y_here = cols["y"][int(r)].as_py() or []
-                ys.append((np.array([z["c"] for z in y_here], np.int64), np.array([code[z["u"]] for z in y_here], np.int64), np.array([z["w"] for z in y_here], float)))
-                at = np.searchsorted(kinds, a)
-                at[at == len(kinds)] = 0
-                some = kinds[at] == a
-                at, b, e, size = at[some], b[some], e[some], size[some]
-                order = np.argsort(at, kind="stable")
-                at, b, e, size = at[order], b[order], e[order], size[order]
-                near = np.searchsorted(at, np.arange(len(kinds) + 1))
-                ends, local = np.unique(b, return_inverse=True)
-                for i, k in enumerate(keys.tolist()):
-                    p, s = place[starts[i] : starts[i + 1]], score[starts[i] : starts[i + 1]]
-                    n = near[p + 1] - near[p]
-                    hit = np.repeat(near[p] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    if not len(hit):
-                        continue
-                    v = np.bincount(local[hit], np.repeat(s, n) * e[hit] / size[hit], len(ends))
-                    seen = np.bincount(local[hit], minlength=len(ends)) > 0
-                    top, cells = found[k]
-                    top = max(top, float(v[seen].max())) if cells else float(v[seen].max())
-                    keep = seen & (v >= ratio * top)  # the greatest only grows
-                    cells.append((ends[keep], v[keep]))
-                    found[k] = top, cells
-        if found:
-            yield from result(found, ys)
-
-    return rows.mapInArrow(run, f"k long, u {kind}, dot double, norm double").select(F.col("k").alias(key), F.col("u").alias(other), "dot", "norm")
+    out = _spread(x, key, edges, ratio, f"k long, u {kind}, dot double, norm double", result, yt)
+    return out.select(_keyed(x, key), F.col("u").alias(other), "dot", "norm")

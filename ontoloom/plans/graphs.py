@@ -45,7 +45,7 @@ def _held(t: Tables) -> DataFrame:
 @query(sql("select s, concept, round(score + 1e-9, 6) score from pruned", "part_edges", "holdings", normal=NORMALISED, x=X, mix=MIX, pruned=PRUNED))
 def mix(t: Tables) -> DataFrame:
     """The parts of a supplier spread over their neighbours."""
-    out = C.mixed(_held(t), G.normalised(t.part_edges()))
+    out = C.mixed_over(_held(t), t.together())
     return out.select("s", "concept", F.round(F.col("score") + 1e-9, 6).alias("score"))  # sums of quotients often end on a five: none is left to chance
 
 
@@ -65,7 +65,7 @@ left join (select s, sum(score * score) nx from {1} group by 1) using (s) left j
 def affinity_cosine(t: Tables) -> DataFrame:
     """How alike suppliers, spread over the graph, and brands are."""
     x, y, pairs = _pairs(t)
-    return C.affinities(x, y, pairs, t.part_edges(), mix_x=True).select("s", "u", *r6("score"))
+    return C.affinities(x, y, pairs, t.together(), mix_x=True).select("s", "u", *r6("score"))
 
 
 @query(sql(_AFF.format("2 / (1 + exp(2 * sqrt(greatest(0, coalesce(nx, 0) + coalesce(ny, 0) - 2 * coalesce(d, 0)))))", "x"), "holdings", x=X, y=_Y))

@@ -261,6 +261,38 @@ def test_cover_of_many_sets():
     assert time.process_time() - began < 4  # looking at all sets again at each step takes several times as long
 
 
+def test_spread_scores_do_not_hang_on_how_rows_lie(spark, monkeypatch):
+    from ontoloom.operators import spread
+
+    monkeypatch.setattr(spread, "KEYS", 2)
+    monkeypatch.setattr(spread, "TILE", 8)
+    rng = random.Random(3)
+    groups = [rng.sample(range(30), rng.randrange(1, 6)) for _ in range(60)] + [[40]]
+    shared = {}
+    for g in groups:
+        for a in g:
+            for b in g:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    edge = {(a, b): 1.0 if a == b else n / (n + 1) for (a, b), n in shared.items() if a != 40}
+    rows = list({(rng.choice([None, *range(7)]), rng.randrange(30)): rng.random() for _ in range(80)}.items())
+    want = {}
+    for (s, c), v in sorted(rows, key=lambda r: r[0][1]):  # sums in order of concepts, to the last bit
+        for b in range(30):
+            if (c, b) in edge:
+                want[s, b] = want.get((s, b), 0.0) + v * edge[c, b] / sum(x[1] == b for x in edge)
+    top = {s: max(v for (t, _), v in want.items() if t == s) for s, _ in want}
+    want = {k: v for k, v in want.items() if v >= 0.3 * top[k[0]]}
+    for _ in range(2):
+        rng.shuffle(rows)
+        rng.shuffle(groups)
+        x = spark.createDataFrame([(s, c, v) for (s, c), v in rows], "s int, concept int, score double").repartition(3)
+        own = spark.createDataFrame([(g,) for g in groups], "own array<int>").repartition(3)
+        got = configuration.mixed_over(x, own, 0.3)
+        assert got.schema.simpleString() == "struct<s:int,concept:int,score:double>"
+        assert {(r["s"], r["concept"]): r["score"] for r in got.collect()} == want
+    assert None in top and len(want) > 40
+
+
 def test_spread_scores_stay_in_blocks(spark, monkeypatch):
     from ontoloom.operators import spread
 
