@@ -293,6 +293,21 @@ def test_spread_scores_do_not_hang_on_how_rows_lie(spark, monkeypatch):
     assert None in top and len(want) > 40
 
 
+def test_pairs_of_groups_are_packed_before_they_are_sent(spark, monkeypatch):
+    from ontoloom.operators import spread
+
+    monkeypatch.setattr(spread, "TILE", 16)
+    monkeypatch.setattr(spread, "PATHS", 50)
+    rng = random.Random(4)
+    own = spark.createDataFrame([(rng.sample(range(60), rng.randrange(7)),) for _ in range(80)] + [(None,), (list(range(30)),)], "own array<long>").repartition(3)
+    packed = spread.tiles(own)
+    assert "Generate" not in packed._jdf.queryExecution().executedPlan().toString()
+    graphs = [{r["tile"]: [c.tolist() for c in spread.graph_of(r["tile"], bytes(r["graph"]), 16)] for r in t.collect()} for t in (packed, spread.tiles(configuration.counted(own)))]
+    assert graphs[0] == graphs[1] and set(graphs[0]) == {0, 1, 2, 3}
+    exchanged = own.mapInArrow(lambda batches: spread._dealt_pairs(batches, 16), "tile long, data binary").count()
+    assert exchanged <= 4 * 3 * 2
+
+
 def test_spread_scores_stay_in_blocks(spark, monkeypatch):
     from ontoloom.operators import spread
 
