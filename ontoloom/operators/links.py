@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import safe_div
+from ..sources.store import stash
+from . import spread
+from .configuration import counted
 
 
 def _mass(edges: DataFrame, weights: DataFrame, end: str, by: str, name: str) -> DataFrame:
@@ -54,3 +61,198 @@ def jaccard(left_weights: DataFrame, right_weights: DataFrame, left_left: DataFr
     pairs = pairs.withColumn("jaccard_000", safe_div(inner, inner + outer))
     pairs = pairs.withColumn("jaccard_100", F.col("jaccard_000") * nodes).withColumn("jaccard_010", F.col("jaccard_000") * known)
     return pairs.withColumn("jaccard_110", F.col("jaccard_100") * known).where(F.col("jaccard_110") >= least)
+
+
+def _dealt(df: DataFrame, width: int) -> DataFrame:
+    """tile, data: rows of df(b, ...) packed by tiles of b."""
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols in spread.in_slices(batches, spread.ROWS):
+            order = spread.in_order(*cols[:2])
+            cols = [c[order] for c in cols]
+            tile = cols[0] // width
+            at = spread.opens(tile)
+            data = [spread.packed(**{n: c[i:j] for n, c in zip(names, cols)}) for i, j in zip(at, [*at[1:], len(tile)])]
+            yield pa.record_batch([pa.array(tile[at]), pa.array(data, pa.binary())], names=["tile", "data"])
+
+    return df.mapInArrow(run, "tile long, data binary")
+
+
+def _masses(by: np.ndarray, weight: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(by, np.sqrt(weight * score), n)
+
+
+#: What a block gets of its own besides the links: edges among the left, and their weights.
+LEFT, WEIGHTS = spread.OWN + 1, spread.OWN + 2
+
+
+class Side:
+    """The keys of a block: what they are linked to on the right and on the left."""
+
+    def __init__(self, parts: dict[int, list[dict[str, np.ndarray]]]):
+        keys = np.unique(np.concatenate([p["k"] for kind in (spread.OWN, LEFT) for p in parts[kind]]))
+        columns = ("k", "concept", "score", "weight")
+        self.keys, self.right, self.left = keys, spread.Held(parts[spread.OWN], keys, columns), spread.Held(parts[LEFT], keys, columns)
+        self.weight = np.zeros(len(keys))
+        for p in parts[WEIGHTS]:
+            known = np.flatnonzero(np.isin(p["k"], keys))
+            self.weight[np.searchsorted(keys, p["k"][known])] = p["weight"][known]
+        self.mass = [_masses(h.row, h.weight, h.score, len(keys)) for h in (self.left, self.right)]
+
+    def links(self, tile: int, width: int, data: bytes, held: bytes, weight: bytes, mass: bytes | None, least: float) -> Iterator[pa.RecordBatch]:
+        """The scored links of the keys to a tile, some keys at once."""
+        graph, links = spread.unpacked(data), spread.unpacked(held)
+        a, b = graph["a"], graph["b"]
+        some = a != b + tile * width
+        graph = (a[some], b[some], (graph["n"] / (graph["n"] + 1.0))[some])
+        right_weight, reached = spread.unpacked(weight)["weight"], np.zeros(width)
+        if mass:
+            m = spread.unpacked(mass)
+            reached[m["a"] % width] = m["m"]
+        holders = _masses(links["b"], links["weight"], links["score"], width)
+        ways = []
+        for h, (a, b, e) in ((self.left, (links["a"], links["b"], links["score"])), (self.right, graph)):
+            at, near = h.near(a)
+            ways.append((h, near, b[at], e[at]))
+        here = np.flatnonzero(self.right.concept // width == tile)
+        step = max(1, spread.PATHS // 4 // width)
+        for lo in range(0, len(self.keys), step):
+            hi = min(lo + step, len(self.keys))
+            size, seen, terms = (hi - lo) * width, np.zeros((hi - lo) * width, bool), []
+            for h, near, b, e in ways:
+                first, second = np.zeros(size), np.zeros(size)
+                for _, _, x, edge in h.paths(near, width, lo, hi):
+                    cell = (h.row[x] - lo) * width + b[edge]
+                    first += np.bincount(cell, np.sqrt(h.weight * h.score)[x], size)
+                    second += np.bincount(cell, np.sqrt(h.weight[x] * e[edge]), size)
+                    seen[cell] = True
+                terms += [first, second]
+            cell = np.flatnonzero(seen)
+            if not len(cell):
+                continue
+            link = np.zeros(size)
+            own = here[(self.right.row[here] >= lo) & (self.right.row[here] < hi)]
+            link[(self.right.row[own] - lo) * width + self.right.concept[own] - tile * width] = self.right.score[own]
+            r, c = cell // width + lo, cell % width
+            terms = [t[cell] for t in terms]
+            inner = (terms[0] + terms[1] + terms[2] + terms[3]) / 2
+            outer = sum(np.maximum(0.0, m - t) for m, t in zip((self.mass[0][r], holders[c], self.mass[1][r], reached[c]), terms))
+            both = inner + outer
+            j000 = np.divide(inner, both, out=np.zeros(len(cell)), where=both != 0)
+            nodes, known = np.sqrt(self.weight[r] * right_weight[c]), (link[cell] + 1) / 2
+            j110 = j000 * nodes * known
+            k = np.flatnonzero(j110 >= least)
+            columns = [self.keys[r[k]], c[k] + tile * width, j000[k], (j000 * nodes)[k], (j000 * known)[k], j110[k]]
+            yield pa.record_batch([pa.array(x) for x in columns], names=["src", "dst", "jaccard_000", "jaccard_100", "jaccard_010", "jaccard_110"])
+
+
+def jaccard_of_groups(left_weights: DataFrame, right_weights: DataFrame, left_left: DataFrame, left_right: DataFrame, groups: DataFrame, least: float = 0.01) -> DataFrame:
+    """jaccard() over the edges that groups(own) of right nodes make, n / (n + 1) for n groups."""
+    edges = stash(counted(groups), "edges")
+    own = (stash(x, "edges") for x in (left_weights, right_weights, left_left, left_right))
+    return jaccard(*own, edges.union(edges.select("dst", "src", "score")), least)
+
+
+def jaccard_in_blocks(left_weights: DataFrame, right_weights: DataFrame, left_left: DataFrame, left_right: DataFrame, groups: DataFrame, least: float = 0.01) -> DataFrame:
+    """The ends and scores of jaccard_of_groups(), without rows of paths.
+
+    A task takes a block of left nodes and the tiles of right nodes that they reach.  Nodes are whole numbers; a link
+    without one of its ends has no weight and goes, but where least is not over 0.  No pair stands twice in left_right.
+    """
+    if least <= 0:  # all candidates are wanted, those without a weight too
+        return jaccard_of_groups(left_weights, right_weights, left_left, left_right, groups, least)
+    width = spread.TILE
+    number = lambda df, **columns: df.select(*(F.col(c).cast(t).alias(n) for n, (c, t) in columns.items())).na.drop()
+    lw = number(left_weights, id=("id", "long"), weight=("weight", "double"))
+    by = lambda df, end: df.join(lw.withColumnRenamed("id", end), end, "left").fillna(0.0, ["weight"])
+    links = by(number(left_right, a=("src", "long"), b=("dst", "long"), score=("score", "double")), "a").select("b", "a", "score", "weight")
+    rw = number(right_weights, b=("id", "long"), weight=("weight", "double")).select("b", F.lit(0).cast("long").alias("a"), "weight")
+    pairs = groups.mapInArrow(lambda batches: spread._dealt_pairs(batches, width), "tile long, data binary")
+    rows = None
+    for kind, df in enumerate((pairs, _dealt(links, width), _dealt(rw, width))):
+        df = df.select("tile", F.lit(kind).alias("kind"), "data")
+        rows = df if rows is None else rows.union(df)
+
+    def build(t: pa.Table) -> pa.Table:
+        parts = [[], [], []]
+        for kind, data in zip(t["kind"].to_pylist(), t["data"]):
+            parts[kind].append(spread.unpacked(data.as_py()))
+        joined = lambda kind, c, none: np.concatenate([np.zeros(0, none), *(p[c] for p in parts[kind])])
+        a, b, n = spread._added(*(joined(0, c, np.int64) for c in "abn"))
+        weight = np.zeros(width)
+        weight[joined(2, "b", np.int64) % width] = joined(2, "weight", float)
+        order = spread.in_order(joined(1, "b", np.int64), joined(1, "a", np.int64))
+        lb, la, score, w = (joined(1, c, none)[order] for c, none in (("b", np.int64), ("a", np.int64), ("score", float), ("weight", float)))
+        blobs = [spread.packed(a=a, b=b, n=n), spread.packed(b=lb % width, a=la, score=score, weight=w), spread.packed(weight=weight)]
+        lists = [pa.array([np.unique(x // width).tolist()], pa.list_(pa.int64())) for x in (a, la)]
+        return pa.table([t["tile"].slice(0, 1), *lists, *(pa.array([x], pa.binary()) for x in blobs)], names=["tile", "reached", "lefts", "data", "held", "weight"])
+
+    tiles = stash(rows.groupBy("tile").applyInArrow(build, "tile long, reached array<long>, lefts array<long>, data binary, held binary, weight binary"), "jaccard-tiles")
+
+    def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """For the other ends of the edges of a tile what its nodes weigh for them."""
+        for batch in batches:
+            for tile, data, weight in zip(*batch.columns):
+                x, weight = spread.unpacked(data.as_py()), spread.unpacked(weight.as_py())["weight"]
+                some = x["a"] != x["b"] + tile.as_py() * width
+                ends, at = np.unique(x["a"][some], return_inverse=True)
+                m = _masses(at, weight[x["b"][some]], (x["n"] / (x["n"] + 1.0))[some], len(ends))
+                first = spread.opens(ends // width)
+                data = [spread.packed(a=ends[i:j], m=m[i:j]) for i, j in zip(first, [*first[1:], len(ends)])]
+                yield pa.record_batch([pa.array(ends[first] // width), pa.array([tile.as_py()] * len(first), pa.int64()), pa.array(data, pa.binary())], names=["tile", "by", "data"])
+
+    def added(t: pa.Table) -> pa.Table:
+        parts = [spread.unpacked(x.as_py()) for x in t.sort_by("by")["data"]]
+        ends, at = np.unique(np.concatenate([p["a"] for p in parts]), return_inverse=True)
+        m = np.bincount(at, np.concatenate([p["m"] for p in parts]), len(ends))
+        return pa.table([t["tile"].slice(0, 1), pa.array([spread.packed(a=ends, m=m)], pa.binary())], names=["tile", "mass"])
+
+    mass = tiles.select("tile", "data", "weight").mapInArrow(masses, "tile long, by long, data binary").groupBy("tile").applyInArrow(added, "tile long, mass binary")
+    unit = spread.UNIT
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The links of a tile by units of left nodes, with the weights of right ones."""
+        for batch in batches:
+            for tile, data, weight in zip(*batch.columns):
+                x, weight = spread.unpacked(data.as_py()), spread.unpacked(weight.as_py())["weight"]
+                order = spread.in_order(x["a"], x["b"])
+                k, b, score = x["a"][order], x["b"][order], x["score"][order]
+                first = spread.opens(k // unit)
+                cuts = [slice(i, j) for i, j in zip(first, [*first[1:], len(k)])]
+                data = [spread.packed(k=k[c], concept=b[c] + tile.as_py() * width, score=score[c], weight=weight[b[c]]) for c in cuts]
+                ids = [pa.array([np.unique(k[c]).tolist() for c in cuts], pa.list_(pa.int64())), pa.array([[tile.as_py()]] * len(cuts), pa.list_(pa.int64()))]
+                yield pa.record_batch([pa.array(k[first] // unit), *ids, pa.array(data, pa.binary())], names=["unit", "ks", "ats", "data"])
+
+    own = tiles.select("tile", "held", "weight").mapInArrow(held, "unit long, ks array<long>, ats array<long>, data binary")
+    left = by(number(left_left, k=("src", "long"), concept=("dst", "long"), score=("score", "double")), "concept").select("k", "concept", "score", "weight")
+    kinds = ((spread.OWN, own), (LEFT, spread.units(left)), (WEIGHTS, spread.units(lw.select(F.col("id").alias("k"), F.lit(0).cast("long").alias("concept"), "weight"))))
+    mine = None
+    for kind, df in kinds:
+        df = df.select("unit", "ks", "ats", "data", F.lit(kind).cast("long").alias("kind"))
+        mine = df if mine is None else mine.union(df)
+    mine, n = spread.in_blocks(stash(mine, "jaccard-own"))
+    meets = None
+    for kind, ends in ((spread.OWN, "reached"), (LEFT, "lefts")):
+        at = mine.where(F.col("kind") == kind).select("block", F.explode("ats").alias("at")).distinct()
+        met = tiles.select("tile", F.explode(ends).alias("at")).join(at, "at").select("block", "tile")
+        meets = met if meets is None else meets.union(met)
+    columns = ["held", "weight", "mass"]
+    sent = meets.distinct().join(tiles.join(mass, "tile", "left"), "tile").select("block", "tile", "data", *columns)
+    sent = mine.select("block", F.col("kind").alias("tile"), "data", *(F.lit(None).cast("binary").alias(c) for c in columns)).union(sent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, parts, side = None, {}, None
+        for batch in batches:
+            for b, tile, *data in zip(*batch.columns):
+                if b.as_py() != at:
+                    at, parts, side = b.as_py(), {spread.OWN: [], LEFT: [], WEIGHTS: []}, None
+                if tile.as_py() in parts:
+                    parts[tile.as_py()].append(spread.unpacked(data[0].as_py()))
+                    continue
+                side = side or Side(parts)
+                yield from side.links(tile.as_py(), width, *(x.as_py() for x in data), least)
+
+    schema = "src long, dst long, jaccard_000 double, jaccard_100 double, jaccard_010 double, jaccard_110 double"
+    out = sent.repartition(n, "block").sortWithinPartitions("block", "tile").mapInArrow(run, schema)
+    return out.withColumn("src", F.col("src").cast(left_right.schema["src"].dataType)).withColumn("dst", F.col("dst").cast(left_right.schema["dst"].dataType))

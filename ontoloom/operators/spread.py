@@ -204,41 +204,51 @@ def in_blocks(own: DataFrame) -> tuple[DataFrame, int]:
     return own.withColumn("block", F.get(F.array(*(F.lit(i).cast("long") for i in seats(own.sparkSession, n))), at)), n
 
 
-class Block:
-    """Keys with their scores of concepts, and what they are spread over so far, tile by tile."""
-
-    def __init__(self, parts: list[dict[str, np.ndarray]], ratio: float, width: int):
-        k, concept, score = (np.concatenate([p[c] for p in parts]) for c in ("k", "concept", "score"))
-        order = in_order(k, concept)
-        k, concept, self.score = k[order], concept[order], score[order]
-        starts = opens(k)
-        self.keys, self.starts = k[starts], np.append(starts, len(k))
-        self.row = np.repeat(np.arange(len(starts)), np.diff(self.starts))
-        self.kinds, self.place = np.unique(concept, return_inverse=True)
-        self.width, self.ratio, self.top, self.tiles = width, ratio, np.full(len(starts), -np.inf), []
+class Held:
+    """Keys, some given or all that occur, with what they hold, in order."""
+
+    def __init__(self, parts: list[dict[str, np.ndarray]], keys: np.ndarray | None = None, columns: tuple[str, ...] = ("k", "concept", "score")):
+        cols = {c: np.concatenate([np.zeros(0, np.int64), *(p[c] for p in parts)]) if c in ("k", "concept") else np.concatenate([np.zeros(0), *(p[c] for p in parts)]) for c in columns}
+        order = in_order(cols["k"], cols["concept"])
+        cols = {c: x[order] for c, x in cols.items()}
+        k, self.concept, self.score, self.weight = cols["k"], cols["concept"], cols["score"], cols.get("weight")
+        self.keys = k[opens(k)] if keys is None else keys
+        self.starts = np.append(np.searchsorted(k, self.keys), len(k))
+        self.row = np.repeat(np.arange(len(self.keys)), np.diff(self.starts))
+        self.kinds, self.place = np.unique(self.concept, return_inverse=True)
 
     def near(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(edges whose end `a` the block holds, in order of it; where those of each kind start, and the last end)."""
+        if not len(self.kinds):
+            return np.zeros(0, np.int64), np.zeros(1, np.int64)
         at = np.searchsorted(self.kinds, a)
         at[at == len(self.kinds)] = 0
         some = np.flatnonzero(self.kinds[at] == a)
         some = some[np.argsort(at[some], kind="stable")]
         return some, np.searchsorted(at[some], np.arange(len(self.kinds) + 1))
 
-    def paths(self, near: np.ndarray, width: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    def paths(self, near: np.ndarray, width: int, lo: int = 0, last: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(first key, last and one, x of each path, edge of each path) for some keys at once."""
         n = near[self.place + 1] - near[self.place]
         total = np.concatenate([[0], np.cumsum(n)])
-        by_key, lo = total[self.starts], 0
-        while lo < len(self.keys):
+        by_key, last = total[self.starts], len(self.keys) if last is None else last
+        while lo < last:
             hi = int(np.searchsorted(by_key, by_key[lo] + PATHS, "right")) - 1
-            hi = min(max(lo + 1, hi), lo + max(1, 2 * PATHS // width), len(self.keys))
+            hi = min(max(lo + 1, hi), lo + max(1, 2 * PATHS // width), last)
             i, j = self.starts[lo], self.starts[hi]
             if total[j] > total[i]:
                 x = np.repeat(np.arange(i, j), n[i:j])
                 yield lo, hi, x, np.arange(len(x)) + (near[self.place[i:j]] - total[i:j] + total[i])[x - i]
             lo = hi
 
+
+class Block(Held):
+    """Keys with their scores of concepts, and what they are spread over so far, tile by tile."""
+
+    def __init__(self, parts: list[dict[str, np.ndarray]], ratio: float, width: int):
+        super().__init__(parts)
+        self.width, self.ratio, self.top, self.tiles = width, ratio, np.full(len(self.keys), -np.inf), []
+
     def add(self, tile: int, data: bytes, y: list | None) -> None:
         a, b, e, size = graph_of(tile, data, self.width)
         some, near = self.near(a)

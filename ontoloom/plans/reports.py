@@ -19,7 +19,7 @@ from ..operators import relational as R
 from ..operators import vectors as V
 from ..sources import web as WEB
 from ..sources.log import Stages
-from ..sources.store import replace_table, stash
+from ..sources.store import replace_table
 from .concepts import _BEST, BASE, GROUPS, NAMES, Onto
 from .concepts import _ADAPT, _DEG, _PAIRS
 from .derived import Tables, sql
@@ -268,7 +268,7 @@ def run_stages(spark: SparkSession, folder: str, out: str, parameters: Parameter
             recent = moments.over_years(moments.rescaled(df, parameters.first, parameters.last), key)
             write(name, R.tanh_normalised(recent, "sum_amount"), *key)
     with log.stage("jaccard") as told:
-        predicted = links.jaccard(*(stash(x, "edges") for x in weighted(t)), parameters.least_jaccard)
+        predicted = links.jaccard_of_groups(*weighted(t), parameters.least_jaccard)
         told["rows"] = write("jaccard", predicted, "src", "dst").count()
     with log.stage("units"):
         recent = spark.read.parquet(paths["supplier_part_recent"])

@@ -308,6 +308,32 @@ def test_pairs_of_groups_are_packed_before_they_are_sent(spark, monkeypatch):
     assert exchanged <= 4 * 3 * 2
 
 
+def test_links_in_blocks_equal_links_by_rows_of_paths(spark, monkeypatch):
+    from ontoloom.operators import links, spread
+
+    for name, n in (("KEYS", 4), ("UNIT", 2), ("TILE", 8)):
+        monkeypatch.setattr(spread, name, n)
+    rng = random.Random(6)
+    own = spark.createDataFrame([(rng.sample(range(40), rng.randrange(5)),) for _ in range(60)], "own array<int>")
+    table = lambda pairs, kind: spark.createDataFrame([(*k, rng.random()) for k in pairs], kind)
+    edge = "src int, dst int, score double"
+    left = table({(rng.randrange(20), rng.randrange(20)) for _ in range(30)}, edge).where("src <> dst")
+    both = table({(rng.choice([None, *range(20)]), rng.choice([None, *range(45)])) for _ in range(60)}, edge)
+    lw, rw = table([(i,) for i in range(1, 20)], "id int, weight double"), table([(i,) for i in range(2, 45)], "id int, weight double")
+    edges = configuration.counted(own)
+    columns = ["src", "dst", "jaccard_000", "jaccard_100", "jaccard_010", "jaccard_110"]
+    for least in (0.001, 0.05):
+        want = links.jaccard(lw, rw, left, both, edges.union(edges.select("dst", "src", "score")), least).select(columns)
+        got = links.jaccard_in_blocks(lw, rw, left, both, own, least)
+        assert got.columns == columns and [t for _, t in got.dtypes] == [t for _, t in want.dtypes]
+        assert "Join" not in str(got._jdf.queryExecution().optimizedPlan()).split("MapInArrow")[0]
+        rows = [{(r[0], r[1]): tuple(r[2:]) for r in x.collect()} for x in (got, want)]
+        assert set(rows[0]) == set(rows[1]) and len(rows[1]) > 20
+        assert all(rows[0][k] == pytest.approx(rows[1][k]) for k in rows[1])
+    every = links.jaccard_in_blocks(lw, rw, left, both, own, 0.0)
+    assert every.count() == links.jaccard(lw, rw, left, both, edges.union(edges.select("dst", "src", "score")), 0.0).count()
+
+
 def test_spread_scores_stay_in_blocks(spark, monkeypatch):
     from ontoloom.operators import spread
 
