@@ -10,6 +10,7 @@ hashes decide only where keys meet.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -83,6 +84,19 @@ class Words:
         return np.flatnonzero(self.text[: len(self.text) - width + 1] == self.text[width - 1 :])
 
 
+class _Zstd(threading.local):
+    """What packs and unpacks small arrays: made once for a thread, as making it costs more than using it."""
+
+    def __init__(self):
+        self.squeeze = zstandard.ZstdCompressor(level=1, write_content_size=False, write_checksum=False).compress
+        self.expand = zstandard.ZstdDecompressor().decompress
+
+
+ZSTD = _Zstd()
+#: Shorter planes are kept as they are.
+SHORT = 48
+
+
 def pack(x: np.ndarray, ascending: bool = False) -> bytes:
     """An array of integers, its bytes by significance: empty planes cost nothing, others what their values vary.
 
@@ -91,13 +105,14 @@ def pack(x: np.ndarray, ascending: bool = False) -> bytes:
     if ascending and len(x):
         x = np.concatenate([x[:1], np.diff(x)])
     out = [len(x).to_bytes(4, "little")]
-    squeeze = zstandard.ZstdCompressor(level=1, write_content_size=False, write_checksum=False).compress
-    for plane in x.view(np.uint8).reshape(-1, x.itemsize).T:
-        if not plane.any():
+    squeeze = ZSTD.squeeze
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T)
+    for plane, some in zip(planes, planes.any(axis=1).tolist()):
+        if not some:
             out.append(bytes(4))
             continue
         raw = plane.tobytes()
-        small = squeeze(raw)
+        small = squeeze(raw) if len(raw) >= SHORT else raw
         kept = small if len(small) < len(raw) else raw
         out += [len(kept).to_bytes(4, "little"), kept]
     return b"".join(out)
@@ -106,7 +121,7 @@ def pack(x: np.ndarray, ascending: bool = False) -> bytes:
 def unpack(data: bytes, dtype, ascending: bool = False) -> np.ndarray:
     n, at, size = int.from_bytes(data[:4], "little"), 4, np.dtype(dtype).itemsize
     planes = np.zeros((n, size), np.uint8)
-    expand = zstandard.ZstdDecompressor().decompress
+    expand = ZSTD.expand
     for k in range(size):
         length = int.from_bytes(data[at : at + 4], "little")
         kept = data[at + 4 : at + 4 + length]

@@ -38,9 +38,10 @@ from ._blocks import B1, B2, SENT, Words, dealt, distinct, heard, in_blocks, in_
 from ._shared import free_name, stash_by, table, unstash
 
 #: Bytes of text in a block, about; a longer document is a block of its own.
-BLOCK = 2 << 20
-#: Keys that meet in a bucket, about.
-BUCKET = 1 << 19
+BLOCK = 4 << 20
+#: Keys that meet in a bucket, about.  Every block sends to every bucket, so messages grow with the square of the input
+#: over the sizes of both.
+BUCKET = 1 << 21
 #: Rounds that name pairs.  A symbol's extent, some four or five words wide after three of them, has to fit into a window.
 ROUNDS = 3
 

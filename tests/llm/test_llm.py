@@ -867,3 +867,20 @@ def test_features_of_many_texts_hold_little():
     finally:
         tracemalloc.stop()
     assert len(x) == len(texts) and (x == x[0]).all()
+
+
+def test_small_arrays_are_packed_without_new_compressors(monkeypatch):
+    rng = np.random.default_rng(7)
+    arrays = [rng.integers(0, 1 << bits, n).astype(np.int64) for n in (0, 1, 47, 48, 49, 300) for bits in (1, 8, 40)]
+    _blocks.unpack(_blocks.pack(arrays[-1]), np.int64)  # this thread has its own by now
+
+    def made(*_, **__):
+        raise AssertionError("made anew")
+
+    monkeypatch.setattr(_blocks.zstandard, "ZstdCompressor", made)
+    monkeypatch.setattr(_blocks.zstandard, "ZstdDecompressor", made)
+    for x in arrays:
+        assert (_blocks.unpack(_blocks.pack(x), np.int64) == x).all()
+        up = np.sort(x)
+        assert (_blocks.unpack(_blocks.pack(up, True), np.int64, True) == up).all()
+        assert (_blocks.unpack_sparse(_blocks.pack_sparse(x)) == x).all()
