@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import distance_affinity, safe_div
-from ..sources.store import stash
 from .graph import normalised
 from .relational import strong, unit
 from .spread import measured, spread
@@ -62,7 +61,7 @@ def affinities(
     """
     kx, ky = key_of(x), key_of(y)
     if mix_x and not mix_y and not normalise_before and _whole(x) and len(kx) == len(ky) == 1:
-        found = stash(measured(x, kx[0], y, ky[0], edges), "measured")  # the spread scores are many: they stay in tasks
+        found = measured(x, kx[0], y, ky[0], edges)  # the spread scores are many: they stay in tasks
         dot = found.where("dot is not null").select(*kx, *ky, "dot")
         return _compared(pairs, dot, found.where("norm is not null").select(*kx, F.col("norm").alias("norm_x")), norms(y).withColumnRenamed("norm", "norm_y"), kx, ky, method, k)
     if edges is not None and edges.columns == ["own"]:

@@ -350,3 +350,28 @@ def test_spread_scores_stay_in_blocks(spark, monkeypatch):
     assert {r["s"]: r["norm"] for r in got if r["norm"] is not None} == pytest.approx(norms)
     assert {(r["s"], r["u"]): r["dot"] for r in got if r["dot"] is not None} == pytest.approx({(r["s"], r["u"]): r["d"] for r in dots})
     assert len(norms) > 6 and len(dots) > 6
+
+
+def test_graph_is_not_sent_to_every_block_of_keys(spark, monkeypatch):
+    from ontoloom.operators import spread
+
+    rng = random.Random(8)
+    own = spark.createDataFrame([(rng.sample(range(3000), 4),) for _ in range(6000)], "own array<long>")
+    x = spark.createDataFrame([(s, c, 0.5) for s in range(64) for c in rng.sample(range(3000), 40)], "s long, concept long, score double")
+    y = spark.createDataFrame([(c % 3, c, 1.0) for c in range(3000)], "u int, concept long, score double")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def sent() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    monkeypatch.setattr(spread, "UNIT", 4)
+    written, rows = [], []
+    for keys in (64, 4):
+        monkeypatch.setattr(spread, "KEYS", keys)
+        before = sent()
+        rows.append({(r["s"], r["u"]): r["norm"] if r["u"] is None else r["dot"] for r in spread.measured(x, "s", y, "u", own).collect()})
+        written.append(sent() - before)
+    assert len(rows[0]) == 64 * 4 and rows[1] == pytest.approx(rows[0])
+    assert written[1] < 2 * written[0]  # sixteen blocks of keys instead of one reach all of the graph
