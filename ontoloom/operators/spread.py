@@ -367,24 +367,10 @@ def _keyed(x: DataFrame, key: str) -> Column:
     return F.when(F.col("k") != NONE, F.col("k")).cast(x.schema[key].dataType).alias(key)
 
 
-class Pane:
-    """A pane of panes(), laid out for keys to be spread over: edges in order of their end `a`."""
+class Ends:
+    """Where the edges of each end are, edges being in order of it."""
 
-    def __init__(self, pane: int, first: int, data: bytes, width: int, usual: float):
-        x = unpacked(data, wide=False)
-        a, b = first + np.cumsum(x["step"], dtype=np.int64), x["b"]
-        size = np.bincount(b, minlength=width)
-        n = x["score"] if "score" in x else x["n"]
-        if (size == 1).any():  # concepts without other edges
-            some = size[b] > 1
-            a, b, n = a[some], b[some], n[some]
-        self.b, self.n, self.size, self.width, self.low = b, n, size.astype(float), width, pane * width
-        self.counted, self.usual, self.layers = "n" in x, usual, None
-        self.positive = self.counted or bool((n > 0).all())
-        self.weight = n / (n + 1.0) if self.counted else n.copy()
-        self.weight[np.flatnonzero(a == b.astype(np.int64) + self.low)] = 1.0
-        self.weight *= usual
-        self.weight /= self.size[b]
+    def __init__(self, a: np.ndarray):
         at = opens(a) if len(a) else np.zeros(0, np.int64)
         self.kinds, self.starts, self.table = a[at], np.append(at, len(a)), None
         if len(at) and self.kinds[-1] - self.kinds[0] <= 8 * len(a) + (1 << 16):  # none are before and behind them
@@ -403,6 +389,27 @@ class Pane:
         at = np.minimum(np.searchsorted(self.kinds, concept), len(self.kinds) - 1)
         return self.starts[at], np.where(self.kinds[at] == concept, self.starts[at + 1] - self.starts[at], 0)
 
+
+class Pane(Ends):
+    """A pane of panes(), laid out for keys to be spread over: edges in order of their end `a`."""
+
+    def __init__(self, pane: int, first: int, data: bytes, width: int, usual: float):
+        x = unpacked(data, wide=False)
+        a, b = first + np.cumsum(x["step"], dtype=np.int64), x["b"]
+        size = np.bincount(b, minlength=width)
+        n = x["score"] if "score" in x else x["n"]
+        if (size == 1).any():  # concepts without other edges
+            some = size[b] > 1
+            a, b, n = a[some], b[some], n[some]
+        self.b, self.n, self.size, self.width, self.low = b, n, size.astype(float), width, pane * width
+        self.counted, self.usual, self.layers = "n" in x, usual, None
+        self.positive = self.counted or bool((n > 0).all())
+        self.weight = n / (n + 1.0) if self.counted else n.copy()
+        self.weight[np.flatnonzero(a == b.astype(np.int64) + self.low)] = 1.0
+        self.weight *= usual
+        self.weight /= self.size[b]
+        super().__init__(a)
+
     def paths(self, starts: np.ndarray, concept: np.ndarray, score: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """(keys that have paths, paths of each, end of each path, what it adds, the whole score at its end) for some keys at once.
 

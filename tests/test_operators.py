@@ -375,3 +375,47 @@ def test_graph_is_not_sent_to_every_block_of_keys(spark, monkeypatch):
         written.append(sent() - before)
     assert len(rows[0]) == 64 * 4 and rows[1] == pytest.approx(rows[0])
     assert written[1] < 2 * written[0]  # sixteen blocks of keys instead of one reach all of the graph
+
+
+def test_links_by_tiles_of_few_nodes_equal_links_by_rows_of_paths(spark, monkeypatch):
+    from ontoloom.operators import links, spread
+
+    for module, name, n in ((spread, "KEYS", 4), (spread, "UNIT", 2), (spread, "TILE", 8), (links, "WIDTH", 8), (links, "RANGE", 4), (spread, "CELLS", 16)):
+        monkeypatch.setattr(module, name, n, raising=False)
+    rng = random.Random(9)
+    own = spark.createDataFrame([(rng.sample(range(40), rng.randrange(5)),) for _ in range(60)], "own array<long>")
+    table = lambda pairs: spark.createDataFrame([(*k, rng.random()) for k in pairs], "src long, dst long, score double")
+    left, both = table({(a, b) for a, b in ((rng.randrange(20), rng.randrange(20)) for _ in range(40)) if a != b}), table({(rng.randrange(20), rng.randrange(45)) for _ in range(90)})
+    lw, rw = (spark.createDataFrame([(i, rng.random()) for i in range(1, n)], "id long, weight double") for n in (20, 45))
+    edges = configuration.counted(own)
+    for least in (0.001, 0.02, 0.05):
+        want = links.jaccard(lw, rw, left, both, edges.union(edges.select("dst", "src", "score")), least)
+        want = {(r["src"], r["dst"]): r["jaccard_110"] for r in want.collect()}
+        got = links.jaccard_in_blocks(lw, rw, left, both, own, least).collect()
+        assert {(r["src"], r["dst"]): r["jaccard_110"] for r in got} == pytest.approx(want) and len(got) == len(want) > 2
+
+
+def test_graph_is_not_sent_to_every_block_of_left_nodes(spark, monkeypatch):
+    from ontoloom.operators import links, spread
+
+    rng = random.Random(10)
+    own = spark.createDataFrame([(rng.sample(range(3000), 4),) for _ in range(6000)], "own array<long>")
+    both = spark.createDataFrame([(s, c, 0.5) for s in range(64) for c in rng.sample(range(3000), 40)], "src long, dst long, score double")
+    left = spark.createDataFrame([(s, (s + k) % 64, 0.5) for s in range(64) for k in (1, 2)], "src long, dst long, score double")
+    lw, rw = spark.range(64).selectExpr("id", "0.9D weight"), spark.range(3000).selectExpr("id", "0.7D weight")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def sent() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    monkeypatch.setattr(spread, "UNIT", 4)
+    written, rows = [], []
+    for keys in (64, 4):
+        monkeypatch.setattr(spread, "KEYS", keys)
+        before = sent()
+        rows.append({(r["src"], r["dst"]): r["jaccard_110"] for r in links.jaccard_in_blocks(lw, rw, left, both, own, 0.001).collect()})
+        written.append(sent() - before)
+    assert len(rows[0]) > 100 and rows[1] == pytest.approx(rows[0])
+    assert written[1] < 2 * written[0]
